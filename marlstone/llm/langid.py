@@ -88,7 +88,7 @@ def gradients(net: BiGru, frames: np.ndarray, labels: np.ndarray) -> tuple[float
     return loss, grads
 
 
-def train(windows: list[bytes], labels: list[int], langs: list[str], hidden: int = 12, steps: int = 32, rounds: int = 300, batch: int = 192, rate: float = 0.02, seed: int = 7) -> BiGru:
+def train(windows: list[bytes], labels: list[int], langs: list[str], hidden: int = 8, steps: int = 32, rounds: int = 200, batch: int = 192, rate: float = 0.02, seed: int = 7) -> BiGru:
     """Fit by Adam on windows of steps * FRAME bytes; batches hold the languages in equal parts."""
     rng = np.random.default_rng(seed)
     net = BiGru.fresh(langs, hidden, rng)
@@ -183,7 +183,7 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and (re.search(rb"[A-Za-z]", text) is not None or any(c.isalpha() for c in text.decode("utf-8", "ignore")))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_docs: int = 300, windows: int = 8, hidden: int = 12, rounds: int = 300) -> BiGru | None:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_docs: int = 300, windows: int = 8, hidden: int = 8, rounds: int = 200) -> BiGru | None:
     """A network for the languages of labelled rows, or None without any.
 
     It is fitted on a bounded sample: of each language the sample_docs rows of least hash of `order`, and of each of these up to

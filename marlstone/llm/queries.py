@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, simhash, tokens, warc
+from . import decontam, langid, lines, lm, mixing, simhash, suffix, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,20 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.expr("try_cast(page_id AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to AS bigint)").alias("refers_to"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"), length=50, content=False)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = tokens.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokens.read_tokens(tokens.starts(index), ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("row.doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), block=8, slots=1000, power=0.7)
 
@@ -44,8 +53,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_held_out(_table(spark, sf_dir, "documents").select("doc_id", "text"), order=2)
+    return scored.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op4_token_files, op6_mix, op7_decontaminate, op8_line_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_suffix_dedup, op4_token_files, op5_language_id, op6_mix, op7_decontaminate, op8_line_dedup, op9_lm_score)}
 
 
 ORACLES: dict[str, str] = {}

@@ -30,6 +30,8 @@ from .common import as_bytes, materialise, scratch, text_slices
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 HAS_CHECKSUM = 0x80
+#: What is cut off the end of a word before its ids are looked up.
+STOPS = b".,;:!?"
 
 
 class FrameWriter:
@@ -104,11 +106,12 @@ def _encoder(path: str, cache_words: int) -> WordEncoder:
 class WordEncoder:
     """Ids of a text as little-endian bytes, by way of a cache of its pieces between ASCII white space.
 
-    Right for tokenizers that drop white space and never merge across it, as `word_bpe_49k` does; each new piece goes to the
-    library. The cache has two generations of cache_words pieces, so its memory is bounded.
+    Right for tokenizers that drop white space, fold case and never merge across white space or from a letter or digit into
+    a stop, as `word_bpe_49k` does. A piece not met before is cut into a core and the stops that end it, and a core of ASCII letters
+    is folded, so that the library sees each word once. The cache has two generations of cache_words entries, so its memory is bounded.
     """
 
-    def __init__(self, path: str, cache_words: int = 250_000) -> None:
+    def __init__(self, path: str, cache_words: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -116,23 +119,40 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def parts(piece: bytes) -> tuple[bytes, bytes]:
+        """The core, folded where that is safe (no special token, nothing that could compose), and the stops after it."""
+        core = piece.rstrip(STOPS)
+        if not core[-1:].isalnum():
+            core = piece
+        tail = piece[len(core) :]
+        return (core.lower() if core.isascii() and b"<" not in core else core), tail
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Put all pieces into the young generation."""
+        young, old = self.young, self.old
+        cut = {p: self.parts(p) for p in pieces if p not in old}
+        young.update((p, old[p]) for p in pieces if p in old)
+        cores = {c for pair in cut.values() for c in pair if c} - young.keys()
+        young.update((c, old[c]) for c in cores if c in old)
+        fresh = [c for c in cores if c not in young]
+        if fresh:
+            coded = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False)
+            young.update((w, struct.pack(f"<{len(c.ids)}I", *c.ids)) for w, c in zip(fresh, coded, strict=True))
+        young.update((p, young[core] + young[tail] if tail else young[core]) for p, (core, tail) in cut.items())
+
     def encode_batch(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
         split = [t.split() if t else [] for t in texts]
-        fresh = list({w for words in split for w in words} - self.young.keys())
         if len(self.young) > self.cache_words:
             self.old, self.young = self.young, {}
-            fresh = list({w for words in split for w in words})
-        known = [w for w in fresh if w in self.old]
-        self.young.update((w, self.old[w]) for w in known)
-        fresh = [w for w in fresh if w not in self.old] if known else fresh
-        if fresh:
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-            self.young.update((w, struct.pack(f"<{len(c.ids)}I", *c.ids)) for w, c in zip(fresh, coded, strict=True))
+        pieces = set().union(*split) - self.young.keys()
+        if pieces:
+            self._learn(pieces)
         get = self.young.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", order: list[Column] | None = None, frame_bytes: int = 256 << 10, cache_words: int = 250_000) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", order: list[Column] | None = None, frame_bytes: int = 256 << 10, cache_words: int = 400_000) -> DataFrame:
     """Encode every text and write the ids to files under uri; returns the index: (doc_id, part, seq, file, at, n_tokens).
 
     Documents are dealt to files by ranges of `order` (by default the id, nulls first; equal ids by text) and stand in that order
