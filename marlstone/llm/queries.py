@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, lm, mixing, simhash, suffix, tokens, warc
+from . import ann, decontam, langid, lines, lm, mixing, simhash, suffix, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,12 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_suffix_dedup, op4_token_files, op5_language_id, op6_mix, op7_decontaminate, op8_line_dedup, op9_lm_score)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_suffix_dedup, op4_token_files, op5_language_id, op6_mix, op7_decontaminate, op8_line_dedup, op9_lm_score, op10_nearest)}
 
 
 ORACLES: dict[str, str] = {}
