@@ -8,6 +8,7 @@ zstandard seekable format, so any zstandard reader can also read the whole strea
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -32,6 +33,11 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 HAS_CHECKSUM = 0x80
 #: What is cut off the end of a word before its ids are looked up.
 STOPS = b".,;:!?"
+#: Words of small letters of ASCII and Latin-1, in composed form.
+SMALL_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next from 256.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 class FrameWriter:
@@ -103,21 +109,32 @@ def _encoder(path: str, cache_words: int) -> WordEncoder:
     return WordEncoder(path, cache_words)
 
 
-class WordEncoder:
-    """Ids of a text as little-endian bytes, by way of a cache of its pieces between ASCII white space.
+class WordEncoder(dict):
+    """Ids of pieces between ASCII white space, as little-endian bytes; a dictionary that works out what it lacks.
 
     Right for tokenizers that drop white space, fold case and never merge across white space or from a letter or digit into
-    a stop, as `word_bpe_49k` does. A piece not met before is cut into a core and the stops that end it, and a core of ASCII letters
-    is folded, so that the library sees each word once. The cache has two generations of cache_words entries, so its memory is bounded.
+    a stop, as `word_bpe_49k` does. A new piece is cut into a core and the stops that end it, and a core of ASCII letters is folded, so that
+    the library sees each word once. A core of small letters, which normalisation and pre-tokenisation leave in one part, goes straight
+    to the library's merge model; anything else takes the whole way. Two generations of cache_words entries bound the memory.
     """
 
     def __init__(self, path: str, cache_words: int = 400_000) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.merge, self.old = self.tokenizer.model.tokenize, {}
+        tried = [b"the", b"tion", b"ndering", "für".encode(), "éçàêœ"[:4].encode(), "straße".encode()]
+        self.direct = all(self._merged(w) == self._whole(w) for w in tried)
+
+    def _whole(self, core: bytes) -> bytes:
+        ids = self.tokenizer.encode(core.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _merged(self, core: bytes) -> bytes:
+        ids = [t.id for t in self.merge(core.decode("latin-1").translate(BYTE_CHARS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     @staticmethod
     def parts(piece: bytes) -> tuple[bytes, bytes]:
@@ -128,28 +145,23 @@ class WordEncoder:
         tail = piece[len(core) :]
         return (core.lower() if core.isascii() and b"<" not in core else core), tail
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        """Put all pieces into the young generation."""
-        young, old = self.young, self.old
-        cut = {p: self.parts(p) for p in pieces if p not in old}
-        young.update((p, old[p]) for p in pieces if p in old)
-        cores = {c for pair in cut.values() for c in pair if c} - young.keys()
-        young.update((c, old[c]) for c in cores if c in old)
-        fresh = [c for c in cores if c not in young]
-        if fresh:
-            coded = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False)
-            young.update((w, struct.pack(f"<{len(c.ids)}I", *c.ids)) for w, c in zip(fresh, coded, strict=True))
-        young.update((p, young[core] + young[tail] if tail else young[core]) for p, (core, tail) in cut.items())
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            core, tail = self.parts(piece)
+            if core != piece:
+                ids = self[core] + (self[tail] if tail else b"")
+            else:
+                ids = self._merged(core) if self.direct and SMALL_LETTERS(core) else self._whole(core)
+        self[piece] = ids
+        return ids
 
     def encode_batch(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
-        if len(self.young) > self.cache_words:
-            self.old, self.young = self.young, {}
-        pieces = set().union(*split) - self.young.keys()
-        if pieces:
-            self._learn(pieces)
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        if len(self) > self.cache_words:
+            self.old = dict(self)
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.split())) + end if t else end for t in texts]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", order: list[Column] | None = None, frame_bytes: int = 256 << 10, cache_words: int = 400_000) -> DataFrame:
