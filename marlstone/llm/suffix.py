@@ -184,7 +184,7 @@ def _flags(size: int, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 8 << 20, bucket_bytes: int = 32 << 20, content: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, content: bool = True) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]), one per input row.
 
     Removes each byte covered by a string of `length` bytes that also starts in a document with a smaller id (an integer); matches do
