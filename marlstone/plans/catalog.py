@@ -1,11 +1,14 @@
-"""Registry of the library's own queries."""
+"""All queries of the library's own operators."""
 
 from __future__ import annotations
 
+from . import aggregate_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
