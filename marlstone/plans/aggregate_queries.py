@@ -9,7 +9,7 @@ from ..operators import aggregates as A
 from .registry import Source, query
 
 KEY = ["district_id", "academic_year"]
-METRICS = """count(*) AS days, sum(absent) AS outcome_days, round(avg(CAST(absent AS DOUBLE)), 9) AS outcome_rate, round(avg(deprivation_score), 9) AS mean_score,
+METRICS = """count(*) AS days, CAST(sum(absent) AS BIGINT) AS outcome_days, round(avg(CAST(absent AS DOUBLE)), 9) AS outcome_rate, round(avg(deprivation_score), 9) AS mean_score,
   round(avg(CAST(rural AS DOUBLE)), 9) AS flag_share, round(avg(CASE WHEN rural IS NULL THEN 1.0 ELSE 0.0 END), 9) AS flag_unknown_rate"""
 
 
@@ -23,12 +23,12 @@ def _(s: Source) -> DataFrame:
     return rounded(A.rate_metrics(s.view("attendance"), KEY, "absent", "deprivation_score", "rural"))
 
 
-@query("a02_district_totals", "SELECT district_id, count(*) AS n, sum(absent) AS absent_days, round(sum(absent) / CAST(count(*) AS DOUBLE), 9) AS rate FROM {attendance} a GROUP BY district_id")
+@query("a02_district_totals", "SELECT district_id, count(*) AS n, CAST(sum(absent) AS BIGINT) AS absent_days, round(sum(absent) / CAST(count(*) AS DOUBLE), 9) AS rate FROM {attendance} a GROUP BY district_id")
 def _(s: Source) -> DataFrame:
     return rounded(s.view("attendance").groupBy("district_id").agg(F.count("*").alias("n"), F.sum("absent").alias("absent_days"), (F.sum("absent") / F.count("*")).alias("rate")))
 
 
-@query("a03_partial_metrics", "SELECT district_id, academic_year, CAST(k % 4 AS INT) AS bucket, count(*) AS days, sum(absent) AS outcome_days, round(sum(deprivation_score), 6) AS score_sum, count(deprivation_score) AS score_known, coalesce(sum(rural), 0) AS flag_sum, count(rural) AS flag_known FROM {attendance} a GROUP BY 1, 2, 3")
+@query("a03_partial_metrics", "SELECT district_id, academic_year, CAST(k % 4 AS INT) AS bucket, count(*) AS days, CAST(sum(absent) AS BIGINT) AS outcome_days, round(sum(deprivation_score), 6) AS score_sum, count(deprivation_score) AS score_known, CAST(coalesce(sum(rural), 0) AS BIGINT) AS flag_sum, count(rural) AS flag_known FROM {attendance} a GROUP BY 1, 2, 3")
 def _(s: Source) -> DataFrame:
     df = s.view("attendance").withColumn("bucket", (F.col("k") % 4).cast("int"))
     return rounded(A.partial_metrics(df, [*KEY, "bucket"], "absent", "deprivation_score", "rural"), 6)

@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 def expand(text: str, table: Callable[[str], str]) -> str:
     """Replace {name} by a table or, in brackets, by the text of a view."""
-    return re.sub(r"\{(\w+)\}", lambda m: table(m[1]) if m[1] in TABLES else f"({expand(VIEWS[m[1]], table)})", text)
+    return re.sub(r"\{([a-z_]+)\}", lambda m: table(m[1]) if m[1] in TABLES else f"({expand(VIEWS[m[1]], table)})", text)
 
 
 class Source:
