@@ -183,18 +183,19 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and (re.search(rb"[A-Za-z]", text) is not None or any(c.isalpha() for c in text.decode("utf-8", "ignore")))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_docs: int = 300, windows: int = 8, hidden: int = 8, rounds: int = 200) -> BiGru | None:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_docs: int = 320, windows: int = 8, hidden: int = 8, rounds: int = 200) -> BiGru | None:
     """A network for the languages of labelled rows, or None without any.
 
-    It is fitted on a bounded sample: of each language the sample_docs rows of least hash of `order`, and of each of these up to
-    `windows` pieces of 64 bytes at evenly spread places of the whole text. Rows with a null label, or no letter, teach nothing.
+    It is fitted on a bounded sample: of each language sample_docs rows, those of least hash of `order` in each of 64 classes of the hash, and of
+    each of these up to `windows` pieces of 64 bytes at evenly spread places of the whole text. Rows with a null label, or no letter, teach nothing.
     """
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.coalesce(F.xxhash64(F.col(f"`{order}`")), F.lit(0)).alias("rank"), F.col(f"`{text}`").cast("string").alias("text")).filter("lang IS NOT NULL")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
-    bounds = rows.select("lang", "rank").withColumn("n", nth).filter(F.col("n") <= sample_docs).groupBy("lang").agg(F.max("rank").alias("most")).collect()
-    if not bounds:
+    rows = rows.withColumn("part", F.pmod("rank", F.lit(64)))
+    nth = F.row_number().over(Window.partitionBy("lang", "part").orderBy("rank"))
+    bounds = rows.select("lang", "part", "rank").withColumn("n", nth).filter(F.col("n") <= -(-sample_docs // 64)).groupBy("lang", "part").agg(F.max("rank").alias("most"))
+    langs_seen = [r.lang for r in bounds.select("lang").distinct().collect()]
+    if not langs_seen:
         return None
-    limits = F.create_map(*[x for r in bounds for x in (F.lit(r.lang), F.lit(r.most))])
     size = 32 * FRAME
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +208,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
                     pieces.append(t[at : at + size])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.binary())], ["lang", "piece"])
 
-    sample = rows.filter(F.col("rank") <= limits[F.col("lang")]).select("lang", "text").mapInArrow(cut, "lang string, piece binary")
-    got = sample.limit(2 * sample_docs * windows * len(bounds)).collect()
+    # 64 rows a language
+    sample = rows.join(F.broadcast(bounds), ["lang", "part"]).filter("rank <= most").select("lang", "text").mapInArrow(cut, "lang string, piece binary")
+    got = sample.limit(2 * sample_docs * windows * len(langs_seen)).collect()
     langs = sorted({r.lang for r in got})
     got.sort(key=lambda r: (r.lang, bytes(r.piece)))
     return train([bytes(r.piece) for r in got], [langs.index(r.lang) for r in got], langs, hidden, rounds=rounds) if langs else None

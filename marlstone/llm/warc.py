@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import os
 import re
@@ -65,7 +66,7 @@ def write_warc(pages: DataFrame, uri: str | None = None, page_id: str = "page_id
     least_bytes, that with the largest id is a response and the others revisit it; smaller ones are responses. Rows that repeat the largest
     id are responses each; a null id is never the largest, unless it is the only one. A null url has no target header. Other columns are ignored; an empty table writes no file.
 
-    Only payload hashes are grouped; the group's largest id comes back by a join, whose hot payloads Spark can split. A
+    Each record is a gzip member of its own, so it can be read alone. Only payload hashes are grouped; the group's largest id comes back by a join, whose hot payloads Spark can split. A
     task starts a new file every file_bytes; a task that runs again writes other files, and the index names those that count.
     """
     base = uri or scratch(pages.sparkSession, "warc")
@@ -86,12 +87,12 @@ def write_warc(pages: DataFrame, uri: str | None = None, page_id: str = "page_id
                 if out is None or offset >= file_bytes:
                     if out:
                         out.close()
-                    name, offset = f"{base}/{uuid.uuid4().hex}.warc", 0
+                    name, offset = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
                     fs, path = pafs.FileSystem.from_uri(name)
                     fs.create_dir(os.path.dirname(path), recursive=True)
                     out = fs.open_output_stream(path, compression=None)
                 kind = "revisit" if again else "response"
-                data = record(page, link, kind, digest, payloads[i], size, refers)
+                data = gzip.compress(record(page, link, kind, digest, payloads[i], size, refers), mtime=0)
                 out.write(data)
                 index.append((name, offset, len(data), link, digest, kind))
                 offset += len(data)
@@ -127,7 +128,7 @@ def read_warc(index: DataFrame, chunk_bytes: int = 8 << 20, gap_bytes: int = 64
                         fs, path = pafs.FileSystem.from_uri(file)
                         name, handle = file, fs.open_input_file(path)
                     data = handle.read_at(end - start, start)
-                    found += [parse(data[o - start : o - start + n]) for _, o, n in rows[i:j]]
+                    found += [parse(gzip.decompress(data[o - start : o - start + n])) for _, o, n in rows[i:j]]
                     i = j
                 for r in found:
                     if r["payload"] is not None and hashlib.sha1(r["payload"]).hexdigest() != r["digest"]:
