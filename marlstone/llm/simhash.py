@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -80,17 +81,20 @@ def close_pairs(fps: DataFrame, radius: int = 2, blocks: int = 4, max_block: int
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 4, max_block: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, blocks: int | None = None, max_block: int = 64) -> DataFrame:
     """Rows (doc_id, fp, component_id), one per input row; component_id is the least doc_id linked, directly or by way of others.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is one shingle. Null,
     empty and blank texts have fingerprint 0 and are linked with each other. Repeated rows keep a row each. A null doc_id
     takes part but is never a component_id while the component has another. Other columns are ignored; an empty table gives none.
-    Texts are not shuffled: only (doc_id, fingerprint) is written, and links are between distinct fingerprints.
+    Texts are not shuffled: only (doc_id, fingerprint) is written, and links are between distinct fingerprints. The number of
+    blocks, unless given, is the least whose keys have two bits more than it takes to count the distinct fingerprints.
     """
     found = materialise(fingerprints(docs, doc_id, text, shingle), "simhash")
     fps = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    groups = connected_components(close_pairs(fps.select("fp"), radius, blocks, max_block))
+    n = fps.count()
+    blocks = blocks or next(b for b in range(radius + 1, 65) if 64 * (b - radius) / b >= math.log2(max(1, n)) + 2 or b == 64)
+    groups = connected_components(close_pairs(fps.select("fp").repartition(max(1, n // 20_000)), radius, blocks, max_block))
     member = fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     # only linked fingerprints need a second look; the others are their own component
     linked = member.join(groups.select("component").distinct(), "component", "left_semi")
