@@ -4,7 +4,7 @@ Of every window of `length` bytes one suffix takes part: that at the window's le
 twice), so equal windows have it at equal offsets. Its digits are (1) the gram, (2) the rest of the windows that it stands for, from the first
 byte of the first to the last byte of the last, (3) the single windows. A pass orders suffixes by one digit; suffixes alone under the first digit
 go no further, those of one second digit are equal through the threshold, so all but the earliest document's windows are
-repeats, and only where one gram has several second digits are single windows ordered. Equal groups of the last digits are exactly the repeated windows.
+repeats, and only where one gram has several second digits are single windows ordered, from the bytes around the gram. Equal groups of the last digits are exactly the repeated windows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise
+from .common import as_bytes, materialise, text_slices
 
 GRAM = 16
 UNIT = 96 << 10  # bytes of documents worked on at a time, so that arrays stay in a core's cache
@@ -110,6 +110,17 @@ def _distinct(*digits: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, of, doc[first]
 
 
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, doc_id, text) rows as one compressed row for each group met in a slice."""
+    for part in text_slices(batches, 2, 8 << 20):
+        g, ids, texts = part.column(0).to_numpy(), part.column(1).to_numpy(), [t or b"" for t in as_bytes(part.column(2))]
+        order = np.argsort(g, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(g[order])) + 1).tolist(), len(g)]
+        rows = [order[x:y].tolist() for x, y in zip(cuts, cuts[1:], strict=False)]
+        zstd = zstandard.ZstdCompressor(level=3)
+        yield pa.RecordBatch.from_arrays([pa.array([int(g[r[0]]) for r in rows], pa.int32()), pa.array([ids[r] for r in rows], pa.list_(pa.int64())), pa.array([[len(texts[i]) for i in r] for r in rows], pa.list_(pa.int64())), pa.array([zstd.compress(b"".join([texts[i] for i in r])) for r in rows], pa.binary())], ["g", "ids", "sizes", "data"])
+
+
 @dataclass
 class Group:
     """The documents of one group, by (id, text), and their joined bytes."""
@@ -121,61 +132,85 @@ class Group:
 
     @classmethod
     def of(cls, table: pa.Table) -> Group:
-        texts = [t or b"" for c in table.column("text").chunks for t in as_bytes(c)]
-        ids = table.column("doc_id").to_numpy().astype(np.int64)
+        texts, zstd = [], zstandard.ZstdDecompressor()
+        for sizes, data in zip(table.column("sizes").to_pylist(), table.column("data").to_pylist(), strict=True):
+            whole, at = zstd.decompress(data, max_output_size=max(1, sum(sizes))), 0
+            for n in sizes:
+                texts.append(whole[at : at + n])
+                at += n
+        ids = np.array([i for r in table.column("ids").to_pylist() for i in r], dtype=np.int64)
         order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i])) if len(np.unique(ids)) < len(ids) else np.argsort(ids).tolist()
         texts = [texts[i] for i in order]
         return cls(ids[order], texts, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), b"".join(texts))
 
 
-def _sent(kind: int, g: int, buckets: int, bits: int, *columns: np.ndarray) -> list[dict]:
-    """A row for each bucket (the leading bits of the first column, which is sorted), with the columns' part."""
-    edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(bits - (buckets - 1).bit_length())
-    cuts = [0, *np.searchsorted(columns[0], edges).tolist(), len(columns[0])]
-    return [{"kind": kind, "g": g, "bucket": b, "first": cuts[b], "n": cuts[b + 1] - cuts[b], "run": _planes(*(c[cuts[b] : cuts[b + 1]] for c in columns))} for b in range(buckets) if cuts[b + 1] > cuts[b]]
+ROW = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("bucket", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("run", pa.binary()), ("data", pa.binary())])
+ROW_DDL = "kind int, g int, bucket int, first long, n long, run binary, data binary"
+DIGITS, INTERVALS, CONTEXTS, PLACES, REPEATED, SEVERAL, WINDOWS = range(7)
+
 
+def _row(kind: int, g: int, *columns: np.ndarray, bucket: int = 0, first: int = 0, data: bytes | None = None) -> dict:
+    return {"kind": kind, "g": g, "bucket": bucket, "first": first, "n": len(columns[0]), "run": _planes(*(c.astype(np.uint64) for c in columns)), "data": data}
 
-ROW = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("bucket", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("run", pa.binary())])
-ROW_DDL = "kind int, g int, bucket int, first long, n long, run binary"
-DIGITS, INTERVALS, WINDOWS, PLACES, REPEATED, SEVERAL = range(6)
+
+def _sent(kind: int, g: int, buckets: int, *columns: np.ndarray, texts: list[bytes] | None = None) -> list[dict]:
+    """A row for each bucket (the leading bits of the gram, the first column, which is sorted), with the columns' part and its texts."""
+    edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(48 - (buckets - 1).bit_length())
+    cuts = [0, *np.searchsorted(columns[0], edges).tolist(), len(columns[0])]
+    zstd = zstandard.ZstdCompressor(level=3)
+    return [_row(kind, g, *(c[x:y] for c in columns), bucket=i, first=x, data=zstd.compress(b"".join(texts[x:y])) if texts is not None else None) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
 
 
-def _replies(table: pa.Table, judge: object) -> pa.Table:
-    """Read a bucket's runs, judge their rows together, and answer each group with its rows' places that were found true."""
+def _judge_digits(table: pa.Table) -> pa.Table:
+    """Of each group's rows in a bucket, the places of those whose two digits have a lesser document elsewhere, and of those whose gram has several second digits."""
     g, first, n = (table.column(c).to_numpy() for c in ("g", "first", "n"))
     runs = [_columns(r, k) for r, k in zip(table.column("run").to_pylist(), n.tolist(), strict=True)]
-    answers = judge(*(np.concatenate(c) for c in zip(*runs, strict=True)))
+    gram, rest, doc = (np.concatenate(c) for c in zip(*runs, strict=True))
+    ids = doc.view(np.int64)
+    one, of, least = _distinct(gram, rest, doc=ids)
+    several = np.zeros(len(one), dtype=bool)
+    same = gram[one][1:] == gram[one][:-1]
+    several[1:] |= same
+    several[:-1] |= same
+    repeated = ids > least[of]
     out, ends = [], np.cumsum(n)
-    for i in range(len(n)):
-        for kind, found in answers.items():
+    for kind, found in ((REPEATED, repeated), (SEVERAL, several[of] & ~repeated)):
+        for i in range(len(n)):
             places = np.flatnonzero(found[ends[i] - n[i] : ends[i]]) + first[i]
             if len(places):
-                out.append({"kind": kind, "g": int(g[i]), "bucket": 0, "first": 0, "n": len(places), "run": _planes(places.astype(np.uint64))})
+                out.append(_row(kind, int(g[i]), places))
     return pa.Table.from_pylist(out, schema=ROW)
 
 
-def _judge_digits(gram: np.ndarray, rest: np.ndarray, doc: np.ndarray) -> dict[int, np.ndarray]:
-    """By digits 1 and 2: rows whose group's least document is not the least of all, and rows whose gram has several second digits."""
-    ids = doc.view(np.int64)
-    first, of, least = _distinct(gram, rest, doc=ids)
-    one = gram[first]
-    several = np.zeros(len(first), dtype=bool)
-    several[1:] |= one[1:] == one[:-1]
-    several[:-1] |= one[1:] == one[:-1]
-    repeated = ids > least[of]
-    return {REPEATED: repeated, SEVERAL: several[of] & ~repeated}
-
-
-def _judge_windows(window: np.ndarray, check: np.ndarray, doc: np.ndarray) -> dict[int, np.ndarray]:
-    ids = doc.view(np.int64)
-    _, of, least = _distinct(window, check, doc=ids)
-    return {REPEATED: ids > least[of]}
+def _judge_windows(table: pa.Table, length: int) -> pa.Table:
+    """Of each group's contexts in a bucket, the (place, window) pairs whose window starts in a lesser document elsewhere."""
+    keys, docs, rows, places, offsets = [], [], [], [], []
+    zstd, hash_of = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
+    for i, (run, data, n, first) in enumerate(zip(table.column("run").to_pylist(), table.column("data").to_pylist(), table.column("n").to_pylist(), table.column("first").to_pylist(), strict=True)):
+        _, doc, size = _columns(run, n)
+        whole, at = zstd.decompress(data), 0
+        counts = size.astype(np.int64) - length + 1
+        for k in size.tolist():
+            keys += [hash_of(whole[at + w : at + w + length]) for w in range(k - length + 1)]
+            at += k
+        docs.append(np.repeat(doc.view(np.int64), counts))
+        rows.append(np.full(int(counts.sum()), i))
+        places.append(np.repeat(np.arange(n) + first, counts))
+        offsets.append(np.arange(counts.sum()) - np.repeat(counts.cumsum() - counts, counts))
+    pairs = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+    ids, rows, places, offsets = (np.concatenate(c) for c in (docs, rows, places, offsets))
+    _, of, least = _distinct(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), doc=ids)
+    found = ids > least[of]
+    g = table.column("g").to_pylist()
+    out = [_row(WINDOWS, g[i], places[at], offsets[at]) for i in range(len(g)) if len(at := np.flatnonzero(found & (rows == i)))]
+    return pa.Table.from_pylist(out, schema=ROW)
 
 
-def _places(table: pa.Table, kind: int) -> np.ndarray:
+def _read(table: pa.Table, kind: int, columns: int) -> list[np.ndarray]:
+    """The columns of all rows of a kind, as signed numbers."""
     rows = table.filter(pa.compute.equal(table.column("kind"), kind))
-    parts = [_columns(r, n)[0].astype(np.int64) for r, n in zip(rows.column("run").to_pylist(), rows.column("n").to_pylist(), strict=True)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    parts = [_columns(r, n) for r, n in zip(rows.column("run").to_pylist(), rows.column("n").to_pylist(), strict=True)]
+    return [np.concatenate([p[c].astype(np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for c in range(columns)]
 
 
 def _flags(size: int, places: np.ndarray) -> np.ndarray:
@@ -200,38 +235,31 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(8, math.ceil(size / group_bytes))
     buckets = max(32, 1 << math.ceil(math.log2(max(1, size / bucket_bytes))))
-    dealt = source.filter("doc_id IS NOT NULL").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    named = source.filter("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text")
+    dealt = named.mapInArrow(_packed_texts, "g int, ids array<long>, sizes array<long>, data binary")
 
     def digits(table: pa.Table) -> pa.Table:
         group = Group.of(table)
         s = sampled_suffixes(group.data, group.starts, length)
         first, _, least = _distinct(s.gram, s.rest, doc=group.ids[s.doc])
-        return pa.Table.from_pylist(_sent(DIGITS, table.column("g")[0].as_py(), buckets, 48, s.gram[first], s.rest[first], least.view(np.uint64)), schema=ROW)
+        return pa.Table.from_pylist(_sent(DIGITS, table.column("g")[0].as_py(), buckets, s.gram[first], s.rest[first], least.view(np.uint64)), schema=ROW)
 
-    def windows(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return ROW.empty_table()
         group, g = Group.of(table), table.column("g")[0].as_py()
         s = sampled_suffixes(group.data, group.starts, length)
         ids = group.ids[s.doc]
         first, of, least = _distinct(s.gram, s.rest, doc=ids)
-        repeated = (_flags(len(first), _places(answers, REPEATED))[of]) | (ids > least[of])
-        out = []
-        at, to = s.low[repeated], s.high[repeated] + length
-        if len(at):
-            out.append({"kind": INTERVALS, "g": g, "bucket": 0, "first": 0, "n": len(at), "run": _planes(at.astype(np.uint64), (to - at).astype(np.uint64))})
-        open_ = ~repeated & _flags(len(first), _places(answers, SEVERAL))[of]
+        repeated = _flags(len(first), _read(answers, REPEATED, 1)[0])[of] | (ids > least[of])
+        out = [_row(INTERVALS, g, s.low[repeated], s.high[repeated] + length - s.low[repeated])] if repeated.any() else []
+        several = _flags(len(first), _read(answers, SEVERAL, 1)[0])
+        open_ = ~repeated & several[of]
         if open_.any():
-            low, counts = s.low[open_], s.high[open_] - s.low[open_] + 1
-            begin = np.repeat(low - (counts.cumsum() - counts), counts) + np.arange(counts.sum())
-            hash_of, data = xxhash.xxh3_128_digest, group.data
-            pairs = np.frombuffer(b"".join([hash_of(data[a : a + length]) for a in begin.tolist()]), "<u8").reshape(-1, 2)
-            key, check = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]) >> np.uint64(8)
-            doc = np.repeat(ids[open_], counts)
-            some, which, earliest = _distinct(key, check, doc=doc)
-            out += _sent(WINDOWS, g, buckets, 64, key[some], check[some], earliest.view(np.uint64))
-            order = np.argsort(begin)
-            out.append({"kind": PLACES, "g": g, "bucket": 0, "first": 0, "n": len(begin), "run": _planes(begin[order].astype(np.uint64), which[order].astype(np.uint64), (doc > earliest[which])[order].astype(np.uint64))})
+            chosen = np.flatnonzero(several & _flags(len(first), of[open_]))  # in order of the gram
+            texts = [group.data[a : b + length] for a, b in zip(s.low[first[chosen]].tolist(), s.high[first[chosen]].tolist(), strict=True)]
+            out += _sent(CONTEXTS, g, buckets, s.gram[first[chosen]], least[chosen].view(np.uint64), np.array([len(t) for t in texts], dtype=np.uint64), texts=texts)
+            out.append(_row(PLACES, g, s.low[open_], np.searchsorted(chosen, of[open_])))
         return pa.Table.from_pylist(out, schema=ROW)
 
     def result(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -239,15 +267,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
             return schema.empty_table()
         group = Group.of(table)
         marks = np.zeros(len(group.data) + 1, dtype=np.int32)
-        rows = {k: found.filter(pa.compute.equal(found.column("kind"), k)) for k in (INTERVALS, PLACES)}
-        for r, n in zip(rows[INTERVALS].column("run").to_pylist(), rows[INTERVALS].column("n").to_pylist(), strict=True):
-            at, span = (c.astype(np.int64) for c in _columns(r, n))
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + span, -1)
-        repeated = _places(found, REPEATED)
-        for r, n in zip(rows[PLACES].column("run").to_pylist(), rows[PLACES].column("n").to_pylist(), strict=True):
-            begin, which, here = (c.astype(np.int64) for c in _columns(r, n))
-            at = begin[(here == 1) | _flags(int(which.max()) + 1, repeated)[which]]
+        at, span = _read(found, INTERVALS, 2)
+        np.add.at(marks, at, 1)
+        np.add.at(marks, at + span, -1)
+        low, which = _read(found, PLACES, 2)
+        context, offset = _read(found, WINDOWS, 2)
+        if len(low) and len(context):
+            order = np.argsort(which, kind="stable")
+            left, right = np.searchsorted(which[order], context, "left"), np.searchsorted(which[order], context, "right")
+            times = right - left
+            place = order[np.repeat(left - (times.cumsum() - times), times) + np.arange(times.sum())]
+            at = low[place] + np.repeat(offset, times)
             np.add.at(marks, at, 1)
             np.add.at(marks, at + length, -1)
         gone = np.cumsum(marks[:-1]) > 0
@@ -268,9 +298,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     schema = pa.schema(fields)
 
     sent = dealt.groupBy("g").applyInArrow(digits, ROW_DDL)
-    answers = sent.groupBy("bucket").applyInArrow(lambda t: _replies(t, _judge_digits), ROW_DDL)
-    found = materialise(dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(windows, ROW_DDL), "suffix-windows")
-    more = found.filter(F.col("kind") == WINDOWS).groupBy("bucket").applyInArrow(lambda t: _replies(t, _judge_windows), ROW_DDL)
+    answers = sent.groupBy("bucket").applyInArrow(_judge_digits, ROW_DDL)
+    found = materialise(dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(contexts, ROW_DDL), "suffix-contexts")
+    more = found.filter(F.col("kind") == CONTEXTS).groupBy("bucket").applyInArrow(lambda t: _judge_windows(t, length), ROW_DDL)
     local = found.filter(F.col("kind").isin(INTERVALS, PLACES)).unionByName(more)
     ordered = dealt.groupBy("g").cogroup(local.groupBy("g")).applyInArrow(result, ddl)
     whole = F.coalesce("text", F.lit(""))
