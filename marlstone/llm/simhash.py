@@ -20,22 +20,33 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 LANES = 256 * np.arange(8)
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """The 64-bit SimHash of a text's word shingles; 0 for a text without words."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of the whole sequence if it is shorter; none for a text without words."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hash_of = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return hash_of(joined, SEED)
+        return np.array([hash_of(joined, SEED)], dtype=np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps[shingle - 1 :].tolist(), len(joined)]
-    hashes = np.array([hash_of(joined[s:e], SEED) for s, e in zip(starts, ends, strict=False)], dtype=">u8")
+    return np.array([hash_of(joined[s:e], SEED) for s, e in zip(starts, ends, strict=False)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set where over half of the hashes have them set; 0 without hashes."""
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     # a histogram of byte values for each of the eight bytes, instead of 64 sums of bits
-    lanes = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + LANES).ravel(), minlength=2048).reshape(8, 256)
+    lanes = np.bincount((hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + LANES).ravel(), minlength=2048).reshape(8, 256)
     return int.from_bytes(np.packbits((lanes @ BITS).ravel() * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """The 64-bit SimHash of a text's word shingles; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """Rows (doc_id, fp): the 64-bit fingerprint as a signed long. One row per input row, in place (no shuffle)."""
 
@@ -103,6 +114,105 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+CLASSES = 16  # of a document's shingle classes, those that make up its blocks
+SKETCH = 256  # least shingle hashes kept for the last check; exact for documents of no more shingles
+
+
+def _levels(n: int, similarity: float) -> set[int]:
+    """Class numbers, as powers of two, that leave two to four shingles a class; two of them if a similar set could have the next."""
+    return {max(0, math.floor(math.log2(k / 2))) for k in (n, n / similarity)}
+
+
+def class_blocks(hashes: np.ndarray, similarity: float) -> list[int]:
+    """Blocks of a set of shingle hashes: for each of CLASSES classes of the hash that has any, a hash of the class's members.
+
+    Pigeonhole over the set: a pair of the given similarity differs in few shingles, these fall into few of the many small classes, and any
+    class without a difference is a block that the pair shares.
+    """
+    out: list[int] = []
+    for level in _levels(len(hashes), similarity):
+        of = hashes & np.uint64((1 << level) - 1)
+        mine = of < CLASSES
+        if mine.any():
+            order = np.argsort(of[mine], kind="stable")
+            members, classes = hashes[mine][order], of[mine][order]
+            first = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+            sums = np.add.reduceat((members ^ (members >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15), first)
+            out += (sums ^ ((classes[first] + np.uint64(64 * level)) * np.uint64(0xD6E8FEB86659FD93))).view(np.int64).tolist()
+    return out
+
+
+def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Rows (doc_id, fp, whole, n, blocks, sketch): the fingerprint, a hash and the size of the shingle set, its blocks and its least hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            rows = []
+            for t in as_bytes(part.column(1)):
+                hashes = shingle_hashes(t, shingle)
+                distinct = np.unique(hashes)
+                whole = int((((distinct ^ (distinct >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)).view(np.int64)) if len(distinct) else 0
+                rows.append((majority(hashes), whole, len(distinct), class_blocks(distinct, similarity) if len(distinct) else [], distinct[:SKETCH].tobytes()))
+            fps, wholes, sizes, blocks, sketches = map(list, zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(wholes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "whole", "n", "blocks", "sketch"])
+
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long, whole long, n long, blocks array<long>, sketch binary")
+
+
+def sketch_similarity(pairs: DataFrame) -> DataFrame:
+    """Adds similarity, the estimated share of common shingles, to pairs with sketches a_sketch and b_sketch."""
+    names = [c for c in pairs.columns if not c.endswith("_sketch")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b in zip(batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                union = np.union1d(x, y)[: max(len(x), len(y)) if max(len(x), len(y)) == SKETCH else None]
+                found.append(float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(union) else 1.0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found)], [*names, "similarity"])
+
+    return pairs.mapInArrow(run, ", ".join(f"{n} {pairs.schema[n].dataType.simpleString()}" for n in names) + ", similarity double")
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, max_block: int = 24) -> DataFrame:
+    """As near_duplicates, for documents that share at least `similarity` of their shingles: rows (doc_id, fp, component_id).
+
+    At such a similarity whole fingerprints differ in about ten bits, too many for blocks of their bits to select. Blocks are
+    hashes of small classes of the shingle set instead (`class_blocks`); pairs that share one must be within `radius` bits of each other's fingerprints
+    (at 0.8 the distance is ten bits, give or take three), and then share enough of their sketches, which is exact up to SKETCH shingles. Documents of
+    one shingle set are one node. Where more than max_block nodes share a block, each is compared with the one whose blocks meet most others (the
+    likely original), as pairs of such a group also meet in their other blocks. Nulls, empty texts, ties and repeats as in near_duplicates.
+    """
+    found = materialise(signatures(docs, doc_id, text, shingle, similarity), "similar")
+    node = F.struct("whole", "n")
+    nodes = found.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
+    nodes = materialise(nodes.select(F.xxhash64("node.whole", "node.n").alias("id"), "least", "fp"), "similar-nodes")
+    keyed = found.select(F.xxhash64("whole", "n").alias("id"), "fp", "blocks", "sketch").dropDuplicates(["id"])
+    keyed = materialise(keyed, "similar-keyed")
+    blocks = keyed.select("id", "fp", F.explode("blocks").alias("block"))
+    sizes = blocks.groupBy("block").count().filter("count > 1")
+    met = materialise(blocks.join(sizes, "block"), "similar-blocks")
+    near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius
+    cold = met.filter(F.col("count") <= max_block)
+    pairs = cold.select("block", F.col("id").alias("a"), F.col("fp").alias("a_fp")).join(cold.select("block", F.col("id").alias("b"), F.col("fp").alias("b_fp")), "block").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    degree = met.groupBy("id").agg(F.sum("count").alias("degree"))
+    hot = met.filter(F.col("count") > max_block).select("block", "id", "fp").join(degree, "id")
+    centre = hot.groupBy("block").agg(F.max(F.struct("degree", "id", "fp")).alias("c")).select("block", F.col("c.id").alias("a"), F.col("c.fp").alias("a_fp"))
+    stars = hot.select("block", F.col("id").alias("b"), F.col("fp").alias("b_fp")).join(centre, "block").filter((F.col("a") != F.col("b")) & near).select("a", "b")
+    candidates = materialise(pairs.unionByName(stars).distinct(), "similar-pairs")
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sketches = materialise(keyed.select("id", "sketch").join(ends, "id", "left_semi"), "similar-sketches")
+    compared = candidates.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("a_sketch")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("b_sketch")), "b")
+    links = sketch_similarity(compared.select("a", "b", "a_sketch", "b_sketch")).filter(F.col("similarity") >= similarity).select("a", "b")
+    groups = connected_components(links)
+    member = nodes.join(groups.withColumnRenamed("node", "id"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = groups.join(member, "component").select(F.col("node").alias("id"), "component_id")
+    of = nodes.join(labels, "id", "left").select("id", F.coalesce("component_id", "least").alias("component_id"))
+    return found.select("doc_id", "fp", F.xxhash64("whole", "n").alias("id")).join(of, "id").select("doc_id", "fp", "component_id")
+
+
 def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is its component's least; rows that share an id count as one document, null ids stay."""
     ids = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()

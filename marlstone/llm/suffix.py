@@ -112,7 +112,7 @@ def _distinct(*digits: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, doc_id, text) rows as one compressed row for each group met in a slice."""
-    for part in text_slices(batches, 2, 8 << 20):
+    for part in text_slices(batches, 2, 4 << 20):
         g, ids, texts = part.column(0).to_numpy(), part.column(1).to_numpy(), [t or b"" for t in as_bytes(part.column(2))]
         order = np.argsort(g, kind="stable")
         cuts = [0, *(np.flatnonzero(np.diff(g[order])) + 1).tolist(), len(g)]
@@ -219,7 +219,7 @@ def _flags(size: int, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, content: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 3 << 20, bucket_bytes: int = 4 << 20, content: bool = True) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]), one per input row.
 
     Removes each byte covered by a string of `length` bytes that also starts in a document with a smaller id (an integer); matches do
@@ -280,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
             at = low[place] + np.repeat(offset, times)
             np.add.at(marks, at, 1)
             np.add.at(marks, at + length, -1)
-        gone = np.cumsum(marks[:-1]) > 0
+        gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
         out = []
         for i, t in enumerate(group.texts):
             part = gone[group.starts[i] : group.starts[i + 1]]

@@ -353,3 +353,34 @@ def test_nearest(spark, broadcast_bytes):
     few = ann.nearest(table.filter("vec_id < 4"), F.col("vec_id") == 0, k=20).collect()
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3]
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
+
+
+def test_similar_documents(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+
+    def edited(text: list[str], changes: int) -> list[str]:
+        out = list(text)
+        for _ in range(changes):
+            out[rng.randrange(len(out))] = rng.choice(words)
+        return out
+
+    texts: list[list[str]] = []
+    for size in (12, 30, 80, 200, 500, 900):
+        for _ in range(12):
+            base = rng.choices(words, k=size)
+            texts += [base, list(base), edited(base, max(1, size // 60)), edited(base, max(1, size // 25)), edited(base, size // 8)]
+    crowd = rng.choices(words, k=150)
+    texts += [crowd, *[edited(crowd, 2) for _ in range(80)], [], [], ["one"]]
+    docs = spark.createDataFrame([(i, " ".join(t), None, None, 0) for i, t in enumerate(texts)] + [(None, None, None, None, 0)], SCHEMA)
+    sets = [set(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in texts]
+    parent = {i: i for i in range(len(texts))}
+    for a in range(len(texts)):
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if (len(sets[a] & sets[b]) / union if union else 1) >= 0.8:
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect() if r.doc_id is not None}
+    wrong = [i for i in got if got[i] != find(parent, i)]
+    assert len(got) == len(texts) and len(wrong) <= 0.02 * len(texts), wrong
