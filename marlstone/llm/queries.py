@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, lines, lm, mixing, simhash, suffix, tokens, warc
+from . import ann, decontam, langid, lines, lm, mixing, oracles, simhash, suffix, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,5 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_warc, op3_suffix_dedup, op4_token_files, op5_language_id, op6_mix, op7_decontaminate, op8_line_dedup, op9_lm_score, op10_nearest)}
 
 
-ORACLES: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(oracles.SQL)
