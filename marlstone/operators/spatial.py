@@ -44,7 +44,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size
             met = open_rows.join(r_cols, list(by)) if by else open_rows.crossJoin(r_cols)
         else:
             around = F.explode(F.array(*[F.struct((F.floor(F.col("x") / width) + a).alias("cx"), (F.floor(F.col("y") / width) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-            met = open_rows.withColumn("cell", around).join(r_cols.withColumn("cell", cell_of(F.col("rx"), F.col("ry"), width)), ["cell", *by])
+            met = open_rows.withColumn("_cell", around).join(r_cols.withColumn("_cell", cell_of(F.col("rx"), F.col("ry"), width)), ["_cell", *by])
         distance = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
         best = met.withColumn("d", distance).groupBy(*keys).agg(F.min(F.struct("d", right_id)).alias("b"))
         settled = best.filter(F.lit(last) | (F.col("b.d") <= width)).select(*keys, F.col(f"b.{right_id}").alias(right_id), F.col("b.d").alias("distance"))
