@@ -14,7 +14,7 @@ from .registry import Source, query, view
 
 view("catalog", """
 SELECT path, digest, CASE page_id % 6 WHEN 0 THEN 'raw' WHEN 1 THEN 'curated' WHEN 2 THEN 'processed' WHEN 3 THEN 'gis' WHEN 4 THEN 'artifact' ELSE 'other' END AS data_layer,
-  CASE page_id % 6 WHEN 0 THEN 'education' WHEN 1 THEN 'health' WHEN 2 THEN 'waste_gis' ELSE 'general_project_data' END AS domain,
+  CASE page_id % 6 WHEN 0 THEN 'education' WHEN 1 THEN 'health' WHEN 2 THEN 'refuse' ELSE 'general_project_data' END AS domain,
   CASE page_id % 4 WHEN 0 THEN '.csv' WHEN 1 THEN '.parquet' WHEN 2 THEN '.json' ELSE '.bin' END AS extension, round(size_bytes / CAST(1048576 AS DOUBLE), 4) AS size_mb,
   CASE WHEN page_id % 6 IN (0, 5) THEN false ELSE true END AS metadata_complete, page_id % 4 < 3 AS privacy_scan_required, page_id,
   CASE WHEN page_id % 4 = 3 THEN 'review_required' WHEN page_id % 10 = 1 THEN 'restricted' WHEN page_id % 10 = 2 THEN 'potentially_personal' ELSE 'internal' END AS sensitivity
@@ -265,9 +265,9 @@ def _(s: Source) -> DataFrame:
     return G.gate_status(G.gate(_catalog(s), G.staleness(_events(s), s.view("assets").select("path", F.col("digest").alias("sha256")))))
 
 
-@query("g13_scoped_gate", f"SELECT * FROM ({_FAILURES}) WHERE path LIKE '%waste_gis%' OR path LIKE '%models%'")
+@query("g13_scoped_gate", f"SELECT * FROM ({_FAILURES}) WHERE path LIKE '%refuse%' OR path LIKE '%models%'")
 def _(s: Source) -> DataFrame:
-    scope = F.col("path").contains("waste_gis") | F.col("path").contains("models")
+    scope = F.col("path").contains("refuse") | F.col("path").contains("models")
     return G.gate(_catalog(s), G.staleness(_events(s), s.view("assets").select("path", F.col("digest").alias("sha256"))), scope, strict=True)
 
 

@@ -27,9 +27,9 @@ def _(s: Source) -> DataFrame:
     return s.view("places").filter((F.col("healthcare") > 2) | (F.col("food") > 4)).select("place")
 
 
-@query("p06_path_scope", "SELECT path FROM {assets} a WHERE path LIKE '%waste_gis%' OR path LIKE '%models%'")
+@query("p06_path_scope", "SELECT path FROM {assets} a WHERE path LIKE '%refuse%' OR path LIKE '%models%'")
 def _(s: Source) -> DataFrame:
-    return s.view("assets").filter(F.col("path").contains("waste_gis") | F.col("path").contains("models")).select("path")
+    return s.view("assets").filter(F.col("path").contains("refuse") | F.col("path").contains("models")).select("path")
 
 
 @query("p07_membership", "SELECT c_custkey FROM {customer} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")

@@ -89,7 +89,7 @@ SELECT CAST(user_id % 40 AS INT) AS bin, CAST(ts AS DATE) AS day, CAST(hour(ts)
 FROM {events}""")
 
 view("assets", """
-SELECT CAST(page_id AS STRING) AS asset_id, CASE page_id % 6 WHEN 0 THEN 'data/raw/education/' WHEN 1 THEN 'data/curated/health/' WHEN 2 THEN 'data/processed/waste_gis/'
+SELECT CAST(page_id AS STRING) AS asset_id, CASE page_id % 6 WHEN 0 THEN 'data/raw/education/' WHEN 1 THEN 'data/curated/health/' WHEN 2 THEN 'data/processed/refuse/'
     WHEN 3 THEN 'data/gis/' WHEN 4 THEN 'artifacts/models/' ELSE 'docs/' END || 'f' || CAST(page_id AS STRING) || CASE page_id % 4 WHEN 0 THEN '.csv' WHEN 1 THEN '.parquet' WHEN 2 THEN '.json' ELSE '.bin' END AS path,
   CAST(length(html) AS BIGINT) AS size_bytes, md5(coalesce(html, '')) AS digest, page_id
 FROM {pages}""")
