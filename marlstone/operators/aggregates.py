@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import ranked
+
 
 def _double(x: Column) -> Column:
     return x.cast("double")
@@ -146,12 +148,11 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def classification_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """Accuracy, balanced accuracy and ROC-AUC of a 0/1 label; AUC by rank sums, ties sharing the average rank.
 
-    Ranks are running counts over distinct scores, so only those meet in one window.
+    Ranks are running counts over distinct scores, made in ranges of the score.
     """
     scores = df.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = scores.withColumn("rank", before + (F.col("n") + 1) / 2)
-    auc = ranked.agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("s")).select(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, _double(F.col("p") * F.col("q"))).alias("auc"))
+    placed = ranked(scores, [F.col(score)], "n").withColumn("rank", F.col("running") - F.col("n") + (F.col("n") + 1) / 2)
+    auc = placed.agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("s")).select(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, _double(F.col("p") * F.col("q"))).alias("auc"))
     hit = (F.col(score) >= threshold).cast("int") == F.col(label)
     rates = df.agg(F.avg(_double(hit.cast("int"))).alias("accuracy"), ((F.avg(F.when(F.col(label) == 1, _double(hit.cast("int")))) + F.avg(F.when(F.col(label) == 0, _double(hit.cast("int"))))) / 2).alias("balanced_accuracy"))
     return rates.crossJoin(auc)

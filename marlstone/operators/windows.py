@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import materialise
+
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str = "n") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -18,16 +20,27 @@ def change(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -
     return df.withColumn("change", F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def pareto(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key, greatest first (ties by key): rank, share of the total in per cent, and the running share.
+def ranked(df: DataFrame, order: Sequence[str | Column], value: str) -> DataFrame:
+    """Adds rank (from 1) and running, the sum of value up to the row, over the whole table in `order` (which should be total).
 
-    Sums per key are made first; the running sum is over one row per key.
+    No task sees more than a range of the rows: ranges are ordered within themselves and moved by the counts and sums of those
+    before, one row a range. The ranges are written to the shared folder, so counts and rows come from the same ones.
     """
+    dealt = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range").orderBy(*order)
+    sums = dealt.groupBy("_range").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sums.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s"))
+    rows = dealt.withColumns({"rank": F.row_number().over(inside), "running": F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))}).join(moved, "_range")
+    return rows.withColumns({"rank": F.col("rank") + F.col("_n"), "running": F.col("running") + F.col("_s")}).drop("_range", "_n", "_s")
+
+
+def pareto(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key, greatest first (ties by key): amount, rank, share of the total in per cent, and the running share."""
     sums = df.groupBy(key).agg(F.sum(value).alias("amount"))
-    order = Window.orderBy(F.desc("amount"), key)
-    total = sums.agg(F.sum("amount").alias("_total"))
-    ranked = sums.crossJoin(F.broadcast(total)).withColumns({"rank": F.row_number().over(order), "_running": F.sum("amount").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    return ranked.select(key, "amount", "rank", (F.col("amount") * 100 / F.col("_total")).alias("share"), (F.col("_running") * 100 / F.col("_total")).alias("running_share"))
+    placed = ranked(sums, [F.desc("amount"), F.col(key)], "amount")
+    total = placed.agg(F.sum("amount").alias("_total"))
+    return placed.crossJoin(F.broadcast(total)).select(key, "amount", F.col("rank").cast("int").alias("rank"), (F.col("amount") * 100 / F.col("_total")).alias("share"), (F.col("running") * 100 / F.col("_total")).alias("running_share"))
 
 
 def running_max(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
