@@ -143,7 +143,7 @@ def class_blocks(hashes: np.ndarray, similarity: float) -> list[int]:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Rows (doc_id, fp, whole, n, blocks, sketch): the fingerprint, a hash and the size of the shingle set, its blocks and its least hashes."""
+    """Rows (doc_id, fp, whole, n, blocks, sketch): the fingerprint, a hash and the size of the shingle set, its blocks and its least hashes (leading 32 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -152,7 +152,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity
                 hashes = shingle_hashes(t, shingle)
                 distinct = np.unique(hashes)
                 whole = int((((distinct ^ (distinct >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)).view(np.int64)) if len(distinct) else 0
-                rows.append((majority(hashes), whole, len(distinct), class_blocks(distinct, similarity) if len(distinct) else [], distinct[:SKETCH].tobytes()))
+                rows.append((majority(hashes), whole, len(distinct), class_blocks(distinct, similarity) if len(distinct) else [], (distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()))
             fps, wholes, sizes, blocks, sketches = map(list, zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(wholes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "whole", "n", "blocks", "sketch"])
 
@@ -168,8 +168,8 @@ def sketch_similarity(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for a, b in zip(batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                union = np.union1d(x, y)[: max(len(x), len(y)) if max(len(x), len(y)) == SKETCH else None]
+                x, y = np.unique(np.frombuffer(a, np.uint32)), np.unique(np.frombuffer(b, np.uint32))
+                union = np.union1d(x, y)[: SKETCH if max(len(a), len(b)) == 4 * SKETCH else None]
                 found.append(float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(union) else 1.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found)], [*names, "similarity"])
 
@@ -189,9 +189,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     node = F.struct("whole", "n")
     nodes = found.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
     nodes = materialise(nodes.select(F.xxhash64("node.whole", "node.n").alias("id"), "least", "fp"), "similar-nodes")
-    keyed = found.select(F.xxhash64("whole", "n").alias("id"), "fp", "blocks", "sketch").dropDuplicates(["id"])
-    keyed = materialise(keyed, "similar-keyed")
-    blocks = keyed.select("id", "fp", F.explode("blocks").alias("block"))
+    named = found.withColumn("id", F.xxhash64("whole", "n"))
+    blocks = named.groupBy("id").agg(F.min("fp").alias("fp"), F.first("blocks").alias("blocks")).select("id", "fp", F.explode("blocks").alias("block"))
     sizes = blocks.groupBy("block").count().filter("count > 1")
     met = materialise(blocks.join(sizes, "block"), "similar-blocks")
     near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius
@@ -203,7 +202,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     stars = hot.select("block", F.col("id").alias("b"), F.col("fp").alias("b_fp")).join(centre, "block").filter((F.col("a") != F.col("b")) & near).select("a", "b")
     candidates = materialise(pairs.unionByName(stars).distinct(), "similar-pairs")
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sketches = materialise(keyed.select("id", "sketch").join(ends, "id", "left_semi"), "similar-sketches")
+    sketches = materialise(named.select("id", "sketch").join(ends, "id", "left_semi").dropDuplicates(["id"]), "similar-sketches")
     compared = candidates.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("a_sketch")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("b_sketch")), "b")
     links = sketch_similarity(compared.select("a", "b", "a_sketch", "b_sketch")).filter(F.col("similarity") >= similarity).select("a", "b")
     groups = connected_components(links)
