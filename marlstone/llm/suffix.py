@@ -231,6 +231,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     the first digit's bucket (about bucket_bytes of text); a bucket answers with places in the group's own list. So what meets in a
     bucket for one string is at most one row per group, however often the string occurs, and all sizes follow the corpus.
     """
+    # texts reach the workers in batches of bytes, not of rows, so that neither side holds many at a time
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(8, math.ceil(size / group_bytes))
@@ -301,7 +303,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     answers = sent.groupBy("bucket").applyInArrow(_judge_digits, ROW_DDL)
     found = materialise(dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(contexts, ROW_DDL), "suffix-contexts")
     more = found.filter(F.col("kind") == CONTEXTS).groupBy("bucket").applyInArrow(lambda t: _judge_windows(t, length), ROW_DDL)
-    local = found.filter(F.col("kind").isin(INTERVALS, PLACES)).unionByName(more)
+    columns = ["kind", "g", "n", "run"]
+    local = found.filter(F.col("kind").isin(INTERVALS, PLACES)).select(columns).unionByName(more.select(columns))
     ordered = dealt.groupBy("g").cogroup(local.groupBy("g")).applyInArrow(result, ddl)
     whole = F.coalesce("text", F.lit(""))
     extra = [F.expr(f"CAST(array() AS {SPANS}) AS spans"), whole.cast("binary").alias("kept")] if content else []
