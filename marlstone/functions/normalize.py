@@ -22,6 +22,8 @@ SYNONYMS = {
 }
 DISTRICTS = (1, 250)
 # `try_cast` also takes "1d"; only plain decimal notation counts as a number.
+#: The year of a student number, as it stands after repair or as it would be repaired.
+STUDENT_YEAR = r"^(?:STU-(?=\d{4}_\d+$))?(\d{4})(?:_|-\d+$)"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -82,7 +84,7 @@ def year(x: Column, student_id: Column) -> Column:
     full = F.when(t.rlike(r"^\d{4}$"), t.try_cast("int"))
     short = F.when(t.rlike(r"^\d{2}$"), t.try_cast("int") + 2000)
     span = F.when(t.rlike(r"^\d{4}/\d{4}$"), F.substring(t, 1, 4).try_cast("int"))
-    of_student = F.when(student_id.rlike(r"^\d{4}_"), F.substring(student_id, 1, 4).try_cast("int"))
+    of_student = F.nullif(F.regexp_extract(student_id, STUDENT_YEAR, 1), F.lit("")).try_cast("int")
     return (F.when(full.isin(*YEARS), _pair(full, "direct")).when(short.isin(*YEARS), _pair(short, "normalized")).when(span.isin(*YEARS), _pair(span, "normalized"))
             .when(of_student.isin(*YEARS), _pair(of_student, "recovered_from_student")).otherwise(_pair(F.lit(None).cast("int"), "unresolved")))
 
