@@ -184,25 +184,29 @@ def _judge_digits(table: pa.Table) -> pa.Table:
 
 def _judge_windows(table: pa.Table, length: int) -> pa.Table:
     """Of each group's contexts in a bucket, the (place, window) pairs whose window starts in a lesser document elsewhere."""
-    keys, docs, rows, places, offsets = [], [], [], [], []
+    digests, docs, places, counts, ends = bytearray(), [], [], [], []
     zstd, hash_of = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
-    for i, (run, data, n, first) in enumerate(zip(table.column("run").to_pylist(), table.column("data").to_pylist(), table.column("n").to_pylist(), table.column("first").to_pylist(), strict=True)):
+    for run, data, n, first in zip(*(table.column(c).to_pylist() for c in ("run", "data", "n", "first")), strict=True):
         _, doc, size = _columns(run, n)
         whole, at = zstd.decompress(data), 0
-        counts = size.astype(np.int64) - length + 1
         for k in size.tolist():
-            keys += [hash_of(whole[at + w : at + w + length]) for w in range(k - length + 1)]
+            for w in range(at, at + k - length + 1):
+                digests += hash_of(whole[w : w + length])
             at += k
-        docs.append(np.repeat(doc.view(np.int64), counts))
-        rows.append(np.full(int(counts.sum()), i))
-        places.append(np.repeat(np.arange(n) + first, counts))
-        offsets.append(np.arange(counts.sum()) - np.repeat(counts.cumsum() - counts, counts))
-    pairs = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-    ids, rows, places, offsets = (np.concatenate(c) for c in (docs, rows, places, offsets))
+        docs.append(doc.view(np.int64))
+        places.append(np.arange(n) + first)
+        counts.append(size.astype(np.int64) - length + 1)
+        ends.append(len(digests) // 16)
+    pairs = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    per, places = np.concatenate(counts), np.concatenate(places)
+    context = np.repeat(np.arange(len(per), dtype=np.int32), per)
+    ids = np.concatenate(docs)[context]
     _, of, least = _distinct(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), doc=ids)
-    found = ids > least[of]
-    g = table.column("g").to_pylist()
-    out = [_row(WINDOWS, g[i], places[at], offsets[at]) for i in range(len(g)) if len(at := np.flatnonzero(found & (rows == i)))]
+    hit = np.flatnonzero(ids > least[of])
+    del of, ids, pairs
+    start = per.cumsum() - per
+    g, cuts = table.column("g").to_pylist(), np.searchsorted(hit, [0, *ends])
+    out = [_row(WINDOWS, g[i], places[context[at]], at - start[context[at]]) for i in range(len(g)) if len(at := hit[cuts[i] : cuts[i + 1]])]
     return pa.Table.from_pylist(out, schema=ROW)
 
 
@@ -260,7 +264,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
         if open_.any():
             chosen = np.flatnonzero(several & _flags(len(first), of[open_]))  # in order of the gram
             texts = [group.data[a : b + length] for a, b in zip(s.low[first[chosen]].tolist(), s.high[first[chosen]].tolist(), strict=True)]
-            out += _sent(CONTEXTS, g, buckets, s.gram[first[chosen]], least[chosen].view(np.uint64), np.array([len(t) for t in texts], dtype=np.uint64), texts=texts)
+            out += _sent(CONTEXTS, g, 4 * buckets, s.gram[first[chosen]], least[chosen].view(np.uint64), np.array([len(t) for t in texts], dtype=np.uint64), texts=texts)
             out.append(_row(PLACES, g, s.low[open_], np.searchsorted(chosen, of[open_])))
         return pa.Table.from_pylist(out, schema=ROW)
 
