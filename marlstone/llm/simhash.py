@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, connected_components, materialise, text_slices
@@ -116,6 +116,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 CLASSES = 16  # of a document's shingle classes, those that make up its blocks
 SKETCH = 256  # least shingle hashes kept for the last check; exact for documents of no more shingles
+CHUNK = 1 << 18  # shingles, and EACH a document besides, of a chunk of a hot block: bounds what one comparison of two chunks holds
+EACH = 128
 
 
 def _levels(n: int, similarity: float) -> set[int]:
@@ -142,22 +144,27 @@ def class_blocks(hashes: np.ndarray, similarity: float) -> list[int]:
     return out
 
 
+def set_hash(distinct: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingle hashes; 0 for none."""
+    return int((((distinct ^ (distinct >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)).view(np.int64)) if len(distinct) else 0
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Rows (doc_id, fp, whole, n, blocks, sketch): the fingerprint, a hash and the size of the shingle set, its blocks and its least hashes (leading 32 bits)."""
+    """Rows (doc_id, key, fp, whole, n, blocks, sketch): a hash of the text, the fingerprint, a hash and the size of the shingle set, its blocks and its least hashes (leading 32 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             rows = []
-            for t in as_bytes(part.column(1)):
+            for t in as_bytes(part.column(2)):
                 hashes = shingle_hashes(t, shingle)
                 distinct = np.unique(hashes)
-                whole = int((((distinct ^ (distinct >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)).view(np.int64)) if len(distinct) else 0
-                rows.append((majority(hashes), whole, len(distinct), class_blocks(distinct, similarity) if len(distinct) else [], (distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()))
+                rows.append((majority(hashes), set_hash(distinct), len(distinct), class_blocks(distinct, similarity) if len(distinct) else [], (distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()))
             fps, wholes, sizes, blocks, sketches = map(list, zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(wholes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "whole", "n", "blocks", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(wholes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "key", "fp", "whole", "n", "blocks", "sketch"])
 
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long, whole long, n long, blocks array<long>, sketch binary")
+    whole_text = F.col(f"`{text}`").cast("string")
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(whole_text).alias("key"), whole_text.alias("text"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, key long, fp long, whole long, n long, blocks array<long>, sketch binary")
 
 
 def sketch_similarity(pairs: DataFrame) -> DataFrame:
@@ -176,35 +183,143 @@ def sketch_similarity(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, ", ".join(f"{n} {pairs.schema[n].dataType.simpleString()}" for n in names) + ", similarity double")
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, max_block: int = 24) -> DataFrame:
+def shingle_sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
+    """Rows (id, shingles): the whole shingle set, as sorted 64-bit hashes, of each node of `wanted` (columns id and key, the hash of one of its texts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in as_bytes(part.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["whole", "n", "shingles"])
+
+    source = docs.select(F.col(f"`{text}`").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    again = source.join(wanted.select("key").distinct(), "key", "left_semi").select("text").mapInArrow(run, "whole long, n long, shingles binary")
+    return again.select(F.xxhash64("whole", "n").alias("id"), "shingles").join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+
+
+def whole_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (a, b, similarity) of pairs (a, b): the share of common shingles, from whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b in zip(batch.column("a_set").to_pylist(), batch.column("b_set").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                found.append(common / (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+
+    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set")), "b")
+    return both.mapInArrow(run, "a long, b long, similarity double")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The number of common members of each set of left and each of right, by products of slabs of the members that both sides have."""
+    (x, y), out = [np.concatenate(s) for s in (left, right)], np.zeros((len(left), len(right)), np.float64)
+    both = np.intersect1d(x, y)
+    for start in range(0, len(both), width):
+        slab, marks = both[start : start + width], []
+        for sets, keys in ((left, x), (right, y)):
+            at = np.minimum(np.searchsorted(slab, keys), len(slab) - 1)
+            mark = np.zeros((len(sets), len(slab)), np.float32)
+            mine = slab[at] == keys
+            mark[np.repeat(np.arange(len(sets)), [len(s) for s in sets])[mine], at[mine]] = 1
+            marks.append(mark)
+        out += marks[0] @ marks[1].T
+    return out
+
+
+def spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the symmetric matrix connects, one fewer than the members of each component."""
+    left, out = np.ones(len(near), dtype=bool), []
+    for i in range(len(near)):
+        stack = [i] if left[i] else []
+        left[i] = False
+        while stack:
+            u = stack.pop()
+            new = np.flatnonzero(near[u] & left).tolist()
+            left[new] = False
+            out += [(u, v) for v in new]
+            stack += new
+    return out
+
+
+def hot_links(hot: DataFrame, centres: DataFrame, stars: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """Rows (a, b): with `links`, what connects the members of each hot block (rows block, id, n) as all its similar pairs would.
+
+    `stars` has each member's similarity to its block's centre (rows block, centre). Members that links connect to the centre need no
+    comparison with each other. All else is compared in pairs of chunks, ordered by the distance from the centre: the share of differing shingles
+    is a metric, so chunks further apart than a similar pair can be are left out, as are chunks whose sizes differ too much. A pair of
+    chunks is one group, compared on whole sets, and gives a spanning forest of its links; the pairs themselves are never rows.
+    """
+    label = connected_components(links).select("node", "component")
+    far = 1 - similarity + 1e-9
+    placed = hot.join(centres, "block").filter("id <> centre").join(stars.select(F.col("a").alias("centre"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("d")), ["centre", "id"])
+    for c in ("id", "centre"):
+        placed = placed.join(label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")), c, "left")
+    placed = placed.withColumn("main", F.coalesce("id_component", "id") == F.coalesce("centre_component", "centre"))
+    order = Window.partitionBy("block", "main").orderBy("d", "id")
+    part = F.floor(F.sum(F.col("n") + EACH).over(order) / chunk) * 2 + F.col("main").cast("long")
+    placed = materialise(placed.select("block", "id", "n", "d", "main", part.alias("part")), "similar-chunks")
+    boxes = placed.groupBy("block", "part", "main").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.min("n").alias("least"), F.max("n").alias("most"))
+    x, y = (boxes.select("block", *[F.col(c).alias(f"{s}_{c}") for c in boxes.columns[1:]]) for s in "xy")
+    apart = (F.col("x_near") - F.col("y_far") > far) | (F.col("y_near") - F.col("x_far") > far) | (F.col("x_most") < similarity * F.col("y_least") - 1e-9) | (F.col("y_most") < similarity * F.col("x_least") - 1e-9)
+    met = x.join(y, "block").filter((F.col("x_part") <= F.col("y_part")) & ~(F.col("x_main") & F.col("y_main")) & ~apart).select("block", "x_part", "y_part")
+    sides = F.explode(F.array_distinct(F.array("x_part", "y_part"))).alias("part")
+    members = met.select("*", sides).join(placed.select("block", "part", "id"), ["block", "part"]).join(sets, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        parts, ids = np.array(table.column("part")), np.array(table.column("id"))
+        one, two = table.column("x_part")[0].as_py(), table.column("y_part")[0].as_py()
+        every = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        xs, ys = np.flatnonzero(parts == one), np.flatnonzero(parts == two)
+        found: list[tuple[int, int]] = []
+        if len(xs) and len(ys):
+            size = np.array([len(s) for s in every])
+            common = common_counts([every[i] for i in xs], [every[i] for i in ys])
+            alike = common / (size[xs][:, None] + size[ys][None, :] - common) >= similarity
+            near = np.zeros((len(ids), len(ids)), dtype=bool)
+            near[np.ix_(xs, ys)] = alike
+            near[np.ix_(ys, xs)] = alike.T
+            found = spanning_links(near)
+        return pa.table({"a": pa.array([int(ids[u]) for u, _ in found], pa.int64()), "b": pa.array([int(ids[v]) for _, v in found], pa.int64())})
+
+    return members.select("block", "x_part", "y_part", "part", "id", "shingles").groupBy("block", "x_part", "y_part").applyInArrow(compare, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, max_block: int = 24, chunk: int = CHUNK) -> DataFrame:
     """As near_duplicates, for documents that share at least `similarity` of their shingles: rows (doc_id, fp, component_id).
 
     At such a similarity whole fingerprints differ in about ten bits, too many for blocks of their bits to select. Blocks are
     hashes of small classes of the shingle set instead (`class_blocks`); pairs that share one must be within `radius` bits of each other's fingerprints
     (at 0.8 the distance is ten bits, give or take three), and then share enough of their sketches, which is exact up to SKETCH shingles. Documents of
     one shingle set are one node. Where more than max_block nodes share a block, each is compared with the one whose blocks meet most others (the
-    likely original), as pairs of such a group also meet in their other blocks. Nulls, empty texts, ties and repeats as in near_duplicates.
+    likely original), and those that this does not connect are compared with all others by chunks (`hot_links`). Nulls, empty texts, ties and repeats as in near_duplicates.
     """
     found = materialise(signatures(docs, doc_id, text, shingle, similarity), "similar")
     node = F.struct("whole", "n")
-    nodes = found.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
-    nodes = materialise(nodes.select(F.xxhash64("node.whole", "node.n").alias("id"), "least", "fp"), "similar-nodes")
+    nodes = found.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("key").alias("key"))
+    nodes = materialise(nodes.select(F.xxhash64("node.whole", "node.n").alias("id"), "least", "fp", "key"), "similar-nodes")
     named = found.withColumn("id", F.xxhash64("whole", "n"))
-    blocks = named.groupBy("id").agg(F.min("fp").alias("fp"), F.first("blocks").alias("blocks")).select("id", "fp", F.explode("blocks").alias("block"))
+    blocks = named.groupBy("id").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("blocks").alias("blocks")).select("id", "fp", "n", F.explode("blocks").alias("block"))
     sizes = blocks.groupBy("block").count().filter("count > 1")
     met = materialise(blocks.join(sizes, "block"), "similar-blocks")
     near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius
     cold = met.filter(F.col("count") <= max_block)
     pairs = cold.select("block", F.col("id").alias("a"), F.col("fp").alias("a_fp")).join(cold.select("block", F.col("id").alias("b"), F.col("fp").alias("b_fp")), "block").filter((F.col("a") < F.col("b")) & near).select("a", "b")
-    degree = met.groupBy("id").agg(F.sum("count").alias("degree"))
-    hot = met.filter(F.col("count") > max_block).select("block", "id", "fp").join(degree, "id")
-    centre = hot.groupBy("block").agg(F.max(F.struct("degree", "id", "fp")).alias("c")).select("block", F.col("c.id").alias("a"), F.col("c.fp").alias("a_fp"))
-    stars = hot.select("block", F.col("id").alias("b"), F.col("fp").alias("b_fp")).join(centre, "block").filter((F.col("a") != F.col("b")) & near).select("a", "b")
-    candidates = materialise(pairs.unionByName(stars).distinct(), "similar-pairs")
+    candidates = materialise(pairs.distinct(), "similar-pairs")
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sketches = materialise(named.select("id", "sketch").join(ends, "id", "left_semi").dropDuplicates(["id"]), "similar-sketches")
     compared = candidates.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("a_sketch")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("b_sketch")), "b")
-    links = sketch_similarity(compared.select("a", "b", "a_sketch", "b_sketch")).filter(F.col("similarity") >= similarity).select("a", "b")
+    links = materialise(sketch_similarity(compared.select("a", "b", "a_sketch", "b_sketch")).filter(F.col("similarity") >= similarity).select("a", "b"), "similar-links")
+    hot = met.filter(F.col("count") > max_block).select("block", "id", "n")
+    if not hot.isEmpty():
+        sets = materialise(shingle_sets(docs, text, shingle, nodes.join(hot.select("id").distinct(), "id").select("id", "key")), "similar-sets")
+        degree = met.groupBy("id").agg(F.sum("count").alias("degree"))
+        centres = materialise(hot.join(degree, "id").groupBy("block").agg(F.max(F.struct("degree", "id")).alias("c")).select("block", F.col("c.id").alias("centre")), "similar-centres")
+        stars = hot.join(centres, "block").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        stars = materialise(whole_similarity(stars, sets), "similar-stars")
+        links = links.unionByName(stars.filter(F.col("similarity") >= similarity).select("a", "b"))
+        links = links.unionByName(hot_links(hot, centres, stars, links, sets, similarity, chunk))
     groups = connected_components(links)
     member = nodes.join(groups.withColumnRenamed("node", "id"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
     labels = groups.join(member, "component").select(F.col("node").alias("id"), "component_id")

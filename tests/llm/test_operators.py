@@ -384,3 +384,37 @@ def test_similar_documents(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect() if r.doc_id is not None}
     wrong = [i for i in got if got[i] != find(parent, i)]
     assert len(got) == len(texts) and len(wrong) <= 0.02 * len(texts), wrong
+
+
+def similar_by_brute_force(texts: list[str]) -> list[int]:
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    parent = {i: i for i in range(len(texts))}
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    return [find(parent, i) for i in range(len(texts))]
+
+
+def test_similar_in_hot_blocks(spark):
+    rng = random.Random(1)
+    spread, base = [], [f"c{i}" for i in range(200)]
+    for _ in range(120):  # edits of one text, many near each other and not near it
+        copy = list(base)
+        for p in rng.sample(range(0, 200, 5), rng.randint(0, 6)):
+            copy[p] = f"x{rng.randrange(2)}.{p}"
+        spread.append(" ".join(copy))
+    rng = random.Random(2)
+    tree = [[f"t{i}" for i in range(200)]]
+    for i in range(120):  # revisions of revisions
+        copy = list(rng.choice(tree))
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(200)] = f"y{i}.{rng.random()}"
+        tree.append(copy)
+    texts = [*spread, *map(" ".join, tree)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    want = similar_by_brute_force(texts)
+    for options in ({}, {"max_block": 4, "chunk": 3000}):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, **options).collect()}
+        assert [got[i] for i in range(len(texts))] == want, options
