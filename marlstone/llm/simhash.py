@@ -114,8 +114,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-CLASSES = 16  # of a document's shingle classes, those that make up its blocks
-SKETCH = 256  # least shingle hashes kept for the last check; exact for documents of no more shingles
+CLASSES = 32  # of a document's shingle classes, those that make up its blocks
+SHORT = 256  # shingles up to which a set has a block for each shingle of its prefix
+SKETCH = 256  # least shingle hashes kept, to discard pairs far below the similarity before whole sets are fetched
 CHUNK = 1 << 18  # shingles, and EACH a document besides, of a chunk of a hot block: bounds what one comparison of two chunks holds
 EACH = 128
 
@@ -129,10 +130,14 @@ def class_blocks(hashes: np.ndarray, similarity: float) -> list[int]:
     """Blocks of a set of shingle hashes: for each of CLASSES classes of the hash that has any, a hash of the class's members.
 
     Pigeonhole over the set: a pair of the given similarity differs in few shingles, these fall into few of the many small classes, and any
-    class without a difference is a block that the pair shares.
+    class without a difference is a block that the pair shares. Sets of up to SHORT shingles meet by prefixes instead, which is exact: of two
+    similar sets in order of hash, some shingle is among the first n - ceil(similarity n) + 1 of each. A set that may meet both kinds has both blocks.
     """
     out: list[int] = []
-    for level in _levels(len(hashes), similarity):
+    n = len(hashes)
+    if n <= SHORT:
+        out += np.sort(hashes)[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64).tolist()
+    for level in _levels(max(n, SHORT + 1), similarity) if n / similarity > SHORT else ():
         of = hashes & np.uint64((1 << level) - 1)
         mine = of < CLASSES
         if mine.any():
@@ -286,39 +291,42 @@ def hot_links(hot: DataFrame, centres: DataFrame, stars: DataFrame, links: DataF
     return members.select("block", "x_part", "y_part", "part", "id", "shingles").groupBy("block", "x_part", "y_part").applyInArrow(compare, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, max_block: int = 24, chunk: int = CHUNK) -> DataFrame:
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_block: int = 24, chunk: int = CHUNK) -> DataFrame:
     """As near_duplicates, for documents that share at least `similarity` of their shingles: rows (doc_id, fp, component_id).
 
     At such a similarity whole fingerprints differ in about ten bits, too many for blocks of their bits to select. Blocks are
-    hashes of small classes of the shingle set instead (`class_blocks`); pairs that share one must be within `radius` bits of each other's fingerprints
-    (at 0.8 the distance is ten bits, give or take three), and then share enough of their sketches, which is exact up to SKETCH shingles. Documents of
+    shingles and hashes of small classes of the shingle set instead (`class_blocks`). Pairs that share one, if neither set is too large for the other, are estimated
+    from their sketches; those not far below the similarity are decided on their whole shingle sets, which are worked out anew from the texts. Documents of
     one shingle set are one node. Where more than max_block nodes share a block, each is compared with the one whose blocks meet most others (the
     likely original), and those that this does not connect are compared with all others by chunks (`hot_links`). Nulls, empty texts, ties and repeats as in near_duplicates.
     """
     found = materialise(signatures(docs, doc_id, text, shingle, similarity), "similar")
     node = F.struct("whole", "n")
-    nodes = found.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("key").alias("key"))
-    nodes = materialise(nodes.select(F.xxhash64("node.whole", "node.n").alias("id"), "least", "fp", "key"), "similar-nodes")
+    nodes = found.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"))
+    nodes = materialise(nodes.select(F.xxhash64("node.whole", "node.n").alias("id"), "least", "key"), "similar-nodes")
     named = found.withColumn("id", F.xxhash64("whole", "n"))
-    blocks = named.groupBy("id").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("blocks").alias("blocks")).select("id", "fp", "n", F.explode("blocks").alias("block"))
+    blocks = named.groupBy("id").agg(F.min("n").alias("n"), F.first("blocks").alias("blocks")).select("id", "n", F.explode("blocks").alias("block"))
     sizes = blocks.groupBy("block").count().filter("count > 1")
     met = materialise(blocks.join(sizes, "block"), "similar-blocks")
-    near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius
-    cold = met.filter(F.col("count") <= max_block)
-    pairs = cold.select("block", F.col("id").alias("a"), F.col("fp").alias("a_fp")).join(cold.select("block", F.col("id").alias("b"), F.col("fp").alias("b_fp")), "block").filter((F.col("a") < F.col("b")) & near).select("a", "b")
-    candidates = materialise(pairs.distinct(), "similar-pairs")
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sketches = materialise(named.select("id", "sketch").join(ends, "id", "left_semi").dropDuplicates(["id"]), "similar-sketches")
+    cold, hot = met.filter(F.col("count") <= max_block), met.filter(F.col("count") > max_block).select("block", "id", "n")
+    sized = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
+    a, b = (cold.select("block", F.col("id").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab")
+    candidates = materialise(a.join(b, "block").filter((F.col("a") < F.col("b")) & sized).select("a", "b").distinct(), "similar-pairs")
+    ends = F.explode(F.array("a", "b")).alias("id")
+    sketches = materialise(named.select("id", "sketch").join(candidates.select(ends).distinct(), "id", "left_semi").dropDuplicates(["id"]), "similar-sketches")
     compared = candidates.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("a_sketch")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("b_sketch")), "b")
-    links = materialise(sketch_similarity(compared.select("a", "b", "a_sketch", "b_sketch")).filter(F.col("similarity") >= similarity).select("a", "b"), "similar-links")
-    hot = met.filter(F.col("count") > max_block).select("block", "id", "n")
+    # a quarter below is eight standard errors of a full sketch
+    likely = materialise(sketch_similarity(compared.select("a", "b", "a_sketch", "b_sketch")).filter(F.col("similarity") >= 0.75 * similarity).select("a", "b"), "similar-likely")
+    wanted = likely.select(ends).unionByName(hot.select("id")).distinct()
+    sets = materialise(shingle_sets(docs, text, shingle, nodes.join(wanted, "id").select("id", "key")), "similar-sets")
+    alike = F.col("similarity") >= similarity
+    links = materialise(whole_similarity(likely, sets).filter(alike).select("a", "b"), "similar-links")
     if not hot.isEmpty():
-        sets = materialise(shingle_sets(docs, text, shingle, nodes.join(hot.select("id").distinct(), "id").select("id", "key")), "similar-sets")
         degree = met.groupBy("id").agg(F.sum("count").alias("degree"))
         centres = materialise(hot.join(degree, "id").groupBy("block").agg(F.max(F.struct("degree", "id")).alias("c")).select("block", F.col("c.id").alias("centre")), "similar-centres")
         stars = hot.join(centres, "block").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         stars = materialise(whole_similarity(stars, sets), "similar-stars")
-        links = links.unionByName(stars.filter(F.col("similarity") >= similarity).select("a", "b"))
+        links = links.unionByName(stars.filter(alike).select("a", "b"))
         links = links.unionByName(hot_links(hot, centres, stars, links, sets, similarity, chunk))
     groups = connected_components(links)
     member = nodes.join(groups.withColumnRenamed("node", "id"), "id").groupBy("component").agg(F.min("least").alias("component_id"))

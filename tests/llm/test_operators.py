@@ -418,3 +418,22 @@ def test_similar_in_hot_blocks(spark):
     for options in ({}, {"max_block": 4, "chunk": 3000}):
         got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, **options).collect()}
         assert [got[i] for i in range(len(texts))] == want, options
+
+
+def test_similar_at_the_edge(spark):
+    rng = random.Random(3)
+    texts = []
+    for i in range(40):  # 4 of 5 shingles in common
+        words = [f"s{i}.{j}" for j in range(9)]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    for i in range(30):  # long texts, a little above and a little below
+        words = [f"l{i}.{j}" for j in range(904)]
+        copy = list(words)
+        for j in rng.sample(range(0, 900, 5), 20 if i % 2 else 21):
+            copy[j + 4] = f"e{i}.{j}"
+        texts += [" ".join(words), " ".join(copy)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    want = similar_by_brute_force(texts)
+    assert 0 < sum(want[i] != i for i in range(80, len(texts))) < 30
+    assert [got[i] for i in range(len(texts))] == want
