@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, crc_fold, materialise, text_slices, whole_rows
 
-END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
-START = xxhash.xxh3_64_intdigest(b"\n\n")
+WORD = np.uint64(0xFFFFFFFFFFFFFFFE)  # keys of words have a last bit of 0, those of longer n-grams one of 1
+END = xxhash.xxh3_64_intdigest(b"\n") & int(WORD)  # no word holds white space
+START = xxhash.xxh3_64_intdigest(b"\n\n") & int(WORD)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -39,7 +41,7 @@ def tokenise(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """
     split = [t.lower().split() if t else [] for t in texts]
     place: dict[bytes, int] = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)), 1)}
-    hashes = np.fromiter(chain([END], map(xxhash.xxh3_64_intdigest, place)), np.uint64, len(place) + 1)
+    hashes = np.fromiter(chain([END], map(xxhash.xxh3_64_intdigest, place)), np.uint64, len(place) + 1) & WORD
     sizes = np.array([len(s) + 1 for s in split], dtype=np.int64)
     ids = np.zeros(int(sizes.sum()), dtype=np.int64)
     words = np.ones(len(ids), dtype=bool)
@@ -49,31 +51,18 @@ def tokenise(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def grams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-grams that end at each token, for n from 1 to order; each text is preceded by a start symbol."""
-    out, first = [mix(tokens, np.uint64(1))], sizes.cumsum() - sizes
+    """Keys of the n-grams that end at each token, for n from 1 to order; each text is preceded by a start symbol."""
+    out, first = [tokens], sizes.cumsum() - sizes
     history = tokens
     for n in range(2, order + 1):
         before = np.empty_like(history)
         before[1:] = history[:-1]
         before[first] = START
         history = mix(before, tokens)
-        out.append(mix(history, np.uint64(n)))
+        out.append(mix(history, np.uint64(n)) | ~WORD)
     return out
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys and their counts: differences, by byte plane, compressed."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(keys), 8).T).tobytes() for x in (gaps, counts.astype(np.uint64))]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=16 * n), np.uint8).reshape(2, 8, n)
-    gaps, counts = (np.ascontiguousarray(p.T).reshape(-1).view(np.uint64) for p in planes)
-    return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -86,21 +75,31 @@ def level(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(base) + 1e-9).astype(np.int64)
 
 
-def probes(keys: np.ndarray, step: int, bits: np.ndarray | int, hashes: int) -> Iterator[np.ndarray]:
-    """Bit places, within bits, at which (key, step) is entered."""
+def middle(levels: np.ndarray, base: float) -> np.ndarray:
+    """The middle of each level's counts; 0 for level 0."""
+    low = base ** (levels - 1.0)
+    return np.where(levels > 0, (low + np.maximum(base ** (levels * 1.0) - 1, low)) / 2, 0.0)
+
+
+def seeds(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of (key, step), whose combinations are its probes."""
     h = mix(keys, np.uint64(1000 + step))
-    low, high = h & LOW, (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(hashes):
-        yield (((low + np.uint64(i) * high) & LOW) * np.asarray(bits, dtype=np.uint64)) >> np.uint64(32)
+    return h & LOW, (h >> np.uint64(32)) | np.uint64(1)
+
 
+def probe(low: np.ndarray, high: np.ndarray, i: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """The bit, within bits, of the probe of number i."""
+    return (((low + np.uint64(i) * high) & LOW) * bits) >> np.uint64(32)
 
-def filter_segment(keys: np.ndarray, levels: np.ndarray, bits_per_entry: float, hashes: int, most_bytes: int) -> bytes:
-    """Bits with (key, step) entered for each step from 1 to the key's level."""
-    bits = 8 * max(1, min(most_bytes, math.ceil(levels.sum() * bits_per_entry / 8)))
+
+def filter_segment(keys: np.ndarray, levels: np.ndarray, bits_per_entry: float, hashes: int) -> bytes:
+    """Bits with (key, step) entered for each step from 1 to the key's level: bits_per_entry for each, whatever the size."""
+    bits = 8 * max(1, math.ceil(int(levels.sum()) * bits_per_entry / 8))
     marks = np.zeros(bits, dtype=bool)
     for step in range(1, int(levels.max(initial=0)) + 1):
-        for at in probes(keys[levels >= step], step, bits, hashes):
-            marks[at.astype(np.int64)] = True
+        low, high = seeds(keys[levels >= step], step)
+        for i in range(hashes):
+            marks[probe(low, high, i, np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(marks, bitorder="little").tobytes()
 
 
@@ -112,165 +111,216 @@ class LogFrequencyFilter:
     starts: np.ndarray  # first bit of each segment
     bits: np.ndarray
     hashes: int
-    base: float
 
     @classmethod
-    def of(cls, segments: list[bytes], hashes: int, base: float) -> LogFrequencyFilter:
-        bits = np.array([8 * len(s) for s in segments], dtype=np.uint64)
-        return cls(np.frombuffer(b"".join(segments), np.uint8), np.cumsum(bits) - bits, bits, hashes, base)
+    def of(cls, data: np.ndarray, sizes: np.ndarray, hashes: int) -> LogFrequencyFilter:
+        """Of segments of sizes bytes each, joined in data."""
+        bits = 8 * sizes.astype(np.uint64)
+        return cls(data, np.cumsum(bits) - bits, bits, hashes)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, 0 if it is not in the filter; errors are one-sided (never too low)."""
         out = np.zeros(len(keys), dtype=np.int64)
         shift = np.uint64(64 - (len(self.bits) - 1).bit_length())
+        segment = (keys >> shift).astype(np.int64) if len(self.bits) > 1 else np.zeros(len(keys), np.int64)
         alive, step = np.arange(len(keys)), 1
         while len(alive):
-            k = keys[alive]
-            segment = (k >> shift).astype(np.int64) if len(self.bits) > 1 else np.zeros(len(k), np.int64)
-            start, bits, in_all = self.starts[segment], self.bits[segment], np.arange(len(k))
-            for i in range(self.hashes):  # one probe at a time, since most keys fail early
-                h = mix(k[in_all], np.uint64(1000 + step))
-                low, high = h & LOW, (h >> np.uint64(32)) | np.uint64(1)
-                at = start[in_all] + ((((low + np.uint64(i) * high) & LOW) * bits[in_all]) >> np.uint64(32))
-                in_all = in_all[(self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            alive = alive[in_all]
+            low, high = seeds(keys[alive], step)
+            start, bits = self.starts[segment[alive]], self.bits[segment[alive]]
+            for i in range(self.hashes):  # one probe at a time, since most absent keys fail early
+                at = start + probe(low, high, i, bits)
+                held = (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                if not held.all():
+                    low, high, start, bits, alive = (x[held] for x in (low, high, start, bits, alive))
             out[alive] = step
             step += 1
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of each level's counts; 0 for keys that are not in the filter."""
-        levels = self.levels(keys)
-        return np.where(levels > 0, (self.base ** (levels - 1.0) + np.maximum(self.base ** (levels * 1.0) - 1, self.base ** (levels - 1.0))) / 2, 0.0)
 
+def ngram_counts(docs: DataFrame, text: str = "text", order: int = 2, bits: int = 3, run_tokens: int = 4_000_000) -> DataFrame:
+    """Rows (segment, key, n): how often each n-gram of up to order words occurs, in part sums of runs of documents; segment is the key's leading bits."""
 
-def count_grams(docs: DataFrame, text: str = "text", order: int = 2, min_count: int = 2, base: float = 2.0, bits_per_entry: float = 10, hashes: int = 5, max_filter_bytes: int = 256 << 20, segment_bytes: int = 4 << 20) -> DataFrame:
-    """Rows (bucket, buckets, words, tokens, hashes, counts, filter): exact counts of the distinct tokens and a filter segment for each range of hashes.
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, held = [], 0
 
-    All rows are read. Partitions send sorted, summed runs of hashes to the range's bucket; there is one for about segment_bytes of
-    text, so the number of buckets grows with the corpus and the size of one does not. N-grams (of one word too) seen
-    min_count times or more are entered; the filter as a whole stays below max_filter_bytes, beyond which its error rate grows.
-    """
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    bits = max(3, math.ceil(math.log2(max(1, size / segment_bytes))))
-    edges = (np.arange(1, 1 << bits, dtype=np.uint64)) << np.uint64(64 - bits)
-
-    def sent(words: list[np.ndarray], runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for kind, parts in enumerate((words, runs)):
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            rows = [(b, kind, cuts[b + 1] - cuts[b], pack(keys[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]])) for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
-            for at in range(0, len(rows), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1024], strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "kind", "n", "run"])
+        def sent() -> Iterator[pa.RecordBatch]:
+            keys, counts = np.unique(np.concatenate(runs), return_counts=True)
+            for at in range(0, len(keys), 1 << 18):
+                k = keys[at : at + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array((k >> np.uint64(64 - bits)).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(counts[at : at + (1 << 18)].astype(np.int32))], ["segment", "key", "n"])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs, held = [], [], 0
         for part in text_slices(batches):
             known, ids, sizes = tokenise(as_bytes(part.column(0)))
-            tokens = known[ids]
-            words.append(tokens)
-            runs += grams(tokens, sizes, order)
-            held += len(tokens)
-            if held >= 4_000_000:
-                yield from sent(words, runs)
-                words, runs, held = [], [], 0
-        if words:
-            yield from sent(words, runs)
-
-    most = max_filter_bytes >> bits
+            runs += grams(known[ids], sizes, order)
+            held += len(ids)
+            if held >= run_tokens:
+                yield from sent()
+                runs, held = [], 0
+        if runs:
+            yield from sent()
+
+    return docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(gather, "segment int, key long, n int")
+
+
+def count_segments(docs: DataFrame, text: str = "text", order: int = 2, base: float = 2.0, bits_per_entry: float = 10, hashes: int = 5, segment_bytes: int = 16 << 20) -> DataFrame:
+    """Rows (segment, segments, words, tokens, keys, counts, filter): exact counts of the words and the filter of all n-grams of a range of keys.
+
+    All rows and all n-grams count, those seen once too. There is a segment for about segment_bytes of text, so their number grows with
+    the corpus and the size of one does not; the filter has bits_per_entry bits for each level of each n-gram at every size.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    bits = min(31, max(3, math.ceil(math.log2(max(1, size / segment_bytes)))))
 
     def merge(table: pa.Table) -> pa.Table:
-        kinds = np.array(table.column("kind"))
-        got = [unpack(r, n) for r, n in zip(table.column("run").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        sums = [summed(*(np.concatenate(x) for x in zip(*[g for g, k in zip(got, kinds, strict=True) if k == kind], strict=True))) if (kinds == kind).any() else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for kind in (0, 1)]
-        (keys, counts), (runs, n) = sums
-        segment = filter_segment(runs[n >= min_count], level(n[n >= min_count], base), bits_per_entry, hashes, most)
-        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "buckets": pa.array([1 << bits], pa.int32()), "words": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64()), "hashes": pa.array([keys.tobytes()]), "counts": pa.array([counts.tobytes()]), "filter": pa.array([segment])})
+        keys, n = summed(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy().astype(np.int64))
+        word = keys & ~WORD == 0
+        held = filter_segment(keys, level(n, base), bits_per_entry, hashes)
+        columns = [[table.column("segment")[0].as_py()], [1 << bits], [int(word.sum())], [int(n[word].sum())], [keys[word].tobytes()], [n[word].tobytes()], [held]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["segment", "segments", "words", "tokens", "keys", "counts", "filter"])
 
-    source = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    sent_rows = source.mapInArrow(gather, "bucket int, kind int, n long, run binary")
-    return materialise(sent_rows.groupBy("bucket").applyInArrow(merge, "bucket int, buckets int, words long, tokens long, hashes binary, counts binary, filter binary"), "lm-counts")
+    rows = ngram_counts(docs, text, order, bits)
+    return materialise(rows.groupBy("segment").applyInArrow(merge, "segment int, segments int, words long, tokens long, keys binary, counts binary, filter binary"), "lm-counts")
 
 
 @dataclass
 class Model:
-    filter: LogFrequencyFilter
+    """Scores texts, given ways to look keys up: exact counts of words, and levels of n-grams."""
+
     tokens: int
     words: int
     order: int
     weight: float
+    base: float
 
-    def log10(self, known: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability of each token: linear interpolation of the orders, add-0.1 smoothing in the lowest."""
-        tokens = known[ids]
-        history = self.filter.counts(mix(known, np.uint64(1)))
+    def keys(self, texts: list[bytes | None]) -> np.ndarray:
+        """All keys that scoring the texts looks up."""
+        known, ids, sizes = tokenise(texts)
+        return np.unique(np.concatenate([known, *grams(known[ids], sizes, self.order)[1:]]))
+
+    def score(self, texts: list[bytes | None], exact: Callable[[np.ndarray], np.ndarray], levels: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
+        """Columns n_tokens, n_known, train_tokens, base_score and score of the texts.
+
+        A token's probability is the linear interpolation of the orders, with add-0.1 smoothing in the lowest.
+        """
+        known, ids, sizes = tokenise(texts)
+        count, first = exact(known), sizes.cumsum() - sizes
+        total = self.tokens + 0.1 * (self.words + 1)
+        base = np.log10((count + 0.1) / total)
+        history = middle(levels(known), self.base)
         starts, history = history[0], history[ids]  # as many texts start as end
-        p = (history + 0.1) / (self.tokens + 0.1 * (self.words + 1))
-        for gram in grams(tokens, sizes, self.order)[1:]:
-            count = self.filter.counts(gram)
+        p = (history + 0.1) / total
+        for gram in grams(known[ids], sizes, self.order)[1:]:
+            n = middle(levels(gram), self.base)
             seen = np.empty_like(history)
             seen[1:] = history[:-1]
-            seen[sizes.cumsum() - sizes] = starts
-            p = self.weight * count / np.maximum(np.maximum(seen, count), 1) + (1 - self.weight) * p
-            history = count
-        return np.log10(p)
+            seen[first] = starts
+            p = self.weight * n / np.maximum(np.maximum(seen, n), 1) + (1 - self.weight) * p
+            history = n
+        sums = [np.add.reduceat(x, first) if len(first) else x for x in ((count > 0).astype(np.int64)[ids], base[ids], np.log10(p))]
+        return [pa.array(sizes), pa.array(sums[0]), pa.array(np.full(len(sizes), self.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+
+
+def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values at the wanted keys, 0 where they are absent; keys are sorted."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
 
 
-def _pass(frame: DataFrame, table: tuple[np.ndarray, np.ndarray, int, int], totals: tuple[int, int], model: Model | None) -> DataFrame:
-    """Adds to base_score and n_known what the words of one range of hashes make up; with a model, fills score and n_tokens."""
-    shared = frame.sparkSession.sparkContext.broadcast((table, model))
-    n, v = totals
+MEASURES = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+def _scored(rows: DataFrame) -> T.StructType:
+    kinds = [T.LongType()] * 3 + [T.DoubleType()] * 2
+    return T.StructType([rows.schema["row"], *[T.StructField(m, t) for m, t in zip(MEASURES, kinds, strict=True)]])
+
+
+def _score_by_broadcast(rows: DataFrame, segments: DataFrame, n_segments: int, model: Model, hashes: int) -> DataFrame:
+    """Scores in one pass over the rows, with the whole filter and all word counts in the workers."""
+    filters, keys, counts = [b"\0"] * n_segments, [b""] * n_segments, [b""] * n_segments
+    for r in segments.select("segment", "keys", "counts", "filter").toLocalIterator():  # a partition at a time
+        keys[r.segment], counts[r.segment], filters[r.segment] = bytes(r["keys"]), bytes(r["counts"]), bytes(r["filter"])
+    sizes = np.array([len(f) for f in filters])
+    data = [np.frombuffer(b"".join(x), t) for x, t in ((filters, np.uint8), (keys, np.uint64), (counts, np.int64))]
+    del filters, keys, counts
+    shared = rows.sparkSession.sparkContext.broadcast((data, sizes))
+    del data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, counts, low, high), lm = shared.value
+        (held, words, of), sizes = shared.value
+        probed = LogFrequencyFilter.of(held, sizes, hashes)
         for part in text_slices(batches, 1):
-            known, ids, sizes = tokenise(as_bytes(part.column(1)))
-            at = np.minimum(np.searchsorted(keys, known), max(0, len(keys) - 1))
-            count = np.where(keys[at] == known, counts[at], 0) if len(keys) else np.zeros(len(known), np.int64)
-            here = (known >= np.uint64(low)) & (known <= np.uint64(high))
-            first = sizes.cumsum() - sizes
-            base = np.where(here, np.log10((count + 0.1) / (n + 0.1 * (v + 1))), 0.0)
-            sums = [np.add.reduceat(x[ids], first) for x in (base, (count > 0).astype(np.int64))]
-            score = np.add.reduceat(lm.log10(known, ids, sizes), first) if lm else part.column(5)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(sums[1] + np.array(part.column(3))), pa.array(sums[0] + np.array(part.column(4))), pa.array(score) if lm else score], ["row", "text", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *model.score(as_bytes(part.column(1)), lambda k: lookup(words, of, k), probed.levels)], ["row", *MEASURES])
+
+    return rows.mapInArrow(run, _scored(rows))
 
-    return frame.mapInArrow(run, frame.schema)
 
+def _score_by_shuffle(rows: DataFrame, segments: DataFrame, n_segments: int, model: Model, hashes: int, pack_bytes: int) -> DataFrame:
+    """Scores with each filter segment in one task only: packs of texts send it the keys they look up, once each, and get counts and levels back.
 
-def score_documents(docs: DataFrame, training: Column | None = None, text: str = "text", order: int = 2, weight: float = 0.7, max_words: int = 16_000_000, **counting: float) -> DataFrame:
+    Work and traffic are in proportion to the rows. A task holds one pack, or one segment with what is asked of it, at most each of its keys once a pack.
+    """
+    row = rows.schema["row"].dataType
+    packed = T.StructType([T.StructField("pack", T.StringType()), T.StructField("rows", T.ArrayType(row)), T.StructField("texts", T.ArrayType(T.StringType()))])
+    shift = np.uint64(64 - (n_segments - 1).bit_length())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, 1, pack_bytes):
+            lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(i)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists], ["pack", "rows", "texts"])
+
+    packs = materialise(rows.mapInArrow(pack, packed), "lm-packs")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = model.keys(as_bytes(texts.values))
+                segment = (keys >> shift).astype(np.int32)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]])
+                runs = [keys[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(runs), pa.string()), pa.array(segment[cuts[:-1]]), pa.array(runs, pa.binary())], ["pack", "segment", "asked"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        if right.num_rows:
+            words, of, held = (np.frombuffer(right.column(c)[0].as_py(), t) for c, t in (("keys", np.uint64), ("counts", np.int64), ("filter", np.uint8)))
+        else:
+            words, of, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.uint8)
+        probed = LogFrequencyFilter.of(held, np.array([len(held)]), hashes)
+        asked = [np.frombuffer(k, np.uint64) for k in left.column("asked").to_pylist()]
+        return pa.table({"pack": left.column("pack"), "keys": left.column("asked"), "counts": pa.array([lookup(words, of, k).tobytes() for k in asked], pa.binary()), "levels": pa.array([probed.levels(k).astype(np.uint8).tobytes() for k in asked], pa.binary())})
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = [np.concatenate([np.frombuffer(b, t) for b in right.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("counts", np.int64), ("levels", np.uint8))]
+        order = np.argsort(got[0])
+        keys, counts, levels = (x[order] for x in got)
+        one, texts = (left.column(c).chunk(0).values for c in ("rows", "texts"))
+        return pa.table([one, *model.score(as_bytes(texts), lambda k: lookup(keys, counts, k), lambda k: lookup(keys, levels, k).astype(np.int64))], ["row", *MEASURES])
+
+    asked = packs.select("pack", "texts").mapInArrow(ask, "pack string, segment int, asked binary")
+    answers = asked.groupBy("segment").cogroup(segments.select("segment", "keys", "counts", "filter").groupBy("segment")).applyInArrow(answer, "pack string, keys binary, counts binary, levels binary")
+    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, _scored(rows))
+
+
+def score_documents(docs: DataFrame, training: Column | None = None, text: str = "text", order: int = 2, weight: float = 0.7, max_broadcast: int = 160 << 20, pack_bytes: int = 16 << 20, **counting: float) -> DataFrame:
     """Rows (row, n_tokens, n_known, train_tokens, base_score, score), one per input row; row is the whole input row as a struct.
 
     Learns from the rows for which `training` holds (all by default; null does not hold) and scores every row. base_score sums
     log10((c + 0.1) / (N + 0.1 (V + 1))) with exact counts; score is the log10 probability under the interpolated n-gram model
-    whose counts are probed in the log-frequency filter. A null or empty text is its end alone; repeated rows count again; an
-    empty table gives none. Distinct words are told apart by 64-bit hashes.
+    whose counts are probed in the log-frequency filter, into which every training n-gram goes. A null or empty text is its end alone; repeated
+    rows count again; an empty table gives none. Distinct words are told apart by 63-bit hashes.
 
-    Exact counts are broadcast in ranges of at most max_words words (16 bytes each), one pass over the rows for each; the
-    filter has its own bound. Texts are never shuffled.
+    Filter and word counts are broadcast while both together have at most max_broadcast bytes, which is checked; beyond, the n-grams to be
+    probed are shuffled to the filter's segments. Both ways give the same rows.
     """
-    segments = count_grams(docs.filter(training) if training is not None else docs, text, order, **counting)
-    sizes = segments.select("bucket", "buckets", "words", "tokens").orderBy("bucket").collect()
-    v, n = sum(r.words for r in sizes), sum(r.tokens for r in sizes)
-    buckets = sizes[0].buckets if sizes else 8
-    found = {r.bucket: bytes(r["filter"]) for r in segments.select("bucket", "filter").collect()}
-    model = Model(LogFrequencyFilter.of([found.get(b, b"\0") for b in range(buckets)], int(counting.get("hashes", 5)), float(counting.get("base", 2.0))), n, v, order, weight)
-    groups: list[list[int]] = [[]]
-    held = 0
-    for r in sizes:
-        if held and held + r.words > max_words:
-            groups.append([])
-            held = 0
-        groups[-1].append(r.bucket)
-        held += r.words
-    width = (1 << 64) // buckets
-    frame = whole_rows(docs, text).select("row", "text", *[F.lit(0).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))])
-    lows = [0, *[g[0] * width for g in groups[1:]], 1 << 64]
-    for i, group in enumerate(groups):
-        rows = segments.filter(F.col("bucket").between(min(group, default=0), max(group, default=0))).select("bucket", "hashes", "counts").collect()
-        rows.sort(key=lambda r: r.bucket)
-        keys, counts = np.frombuffer(b"".join(bytes(r.hashes) for r in rows), np.uint64), np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.int64)
-        frame = _pass(frame, (keys, counts, lows[i], lows[i + 1] - 1), (n, v), model if i == 0 else None)
-    return frame.select("row", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    options = {"base": 2.0, "hashes": 5, **counting}
+    segments = count_segments(docs.filter(training) if training is not None else docs, text, order, **options)
+    words, tokens, n_segments, size = segments.agg(F.sum("words"), F.sum("tokens"), F.max("segments"), F.sum(F.octet_length("filter") + 16 * F.col("words"))).first()
+    model, n_segments = Model(tokens or 0, words or 0, order, weight, options["base"]), n_segments or 8
+    rows = whole_rows(docs, text)
+    if (size or 0) <= max_broadcast:
+        return _score_by_broadcast(rows, segments, n_segments, model, options["hashes"])
+    return _score_by_shuffle(rows, segments, n_segments, model, options["hashes"], pack_bytes)
 
 
 def score_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, **options: float) -> DataFrame:
