@@ -2,9 +2,11 @@
 
 Of every window of `length` bytes one suffix takes part: that at the window's least 16-byte gram by hash (the leftmost, if it stands there
 twice), so equal windows have it at equal offsets. Its digits are (1) the gram, (2) the rest of the windows that it stands for, from the first
-byte of the first to the last byte of the last, (3) the single windows. A pass orders suffixes by one digit; suffixes alone under the first digit
-go no further, those of one second digit are equal through the threshold, so all but the earliest document's windows are
-repeats, and only where one gram has several second digits are single windows ordered, from the bytes around the gram. Equal groups of the last digits are exactly the repeated windows.
+byte of the first to the last byte of the last, (3) the single windows. A pass orders suffixes by one digit, the first two by hashes of their
+bytes (104 bits in all); suffixes alone under the first digit go no further, those of one second digit are equal through the threshold, so all but the earliest document's windows are
+repeats, and only where one gram has several second digits are single windows ordered, by a radix sort over their bytes (`equal_groups`).
+Equal groups of its last pass are exactly the repeated windows. Where very many second digits share a gram, its windows are dealt by all their bytes, each once
+a group of documents, so that no string gathers in one task.
 """
 
 from __future__ import annotations
@@ -146,7 +148,8 @@ class Group:
 
 ROW = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("bucket", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("run", pa.binary()), ("data", pa.binary())])
 ROW_DDL = "kind int, g int, bucket int, first long, n long, run binary, data binary"
-DIGITS, INTERVALS, CONTEXTS, PLACES, REPEATED, SEVERAL, WINDOWS = range(7)
+DIGITS, INTERVALS, CONTEXTS, PLACES, REPEATED, SEVERAL, MANY, WINDOWS = range(8)
+HOT = 512  # second digits of one gram above which its windows are dealt one by one
 
 
 def _row(kind: int, g: int, *columns: np.ndarray, bucket: int = 0, first: int = 0, data: bytes | None = None) -> dict:
@@ -161,20 +164,18 @@ def _sent(kind: int, g: int, buckets: int, *columns: np.ndarray, texts: list[byt
     return [_row(kind, g, *(c[x:y] for c in columns), bucket=i, first=x, data=zstd.compress(b"".join(texts[x:y])) if texts is not None else None) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
 
 
-def _judge_digits(table: pa.Table) -> pa.Table:
-    """Of each group's rows in a bucket, the places of those whose two digits have a lesser document elsewhere, and of those whose gram has several second digits."""
+def _judge_digits(table: pa.Table, hot: int) -> pa.Table:
+    """Of each group's rows in a bucket, the places of those whose two digits have a lesser document elsewhere, and of those whose gram has several (or very many) second digits."""
     g, first, n = (table.column(c).to_numpy() for c in ("g", "first", "n"))
     runs = [_columns(r, k) for r, k in zip(table.column("run").to_pylist(), n.tolist(), strict=True)]
     gram, rest, doc = (np.concatenate(c) for c in zip(*runs, strict=True))
     ids = doc.view(np.int64)
     one, of, least = _distinct(gram, rest, doc=ids)
-    several = np.zeros(len(one), dtype=bool)
-    same = gram[one][1:] == gram[one][:-1]
-    several[1:] |= same
-    several[:-1] |= same
+    _, which, sharing = np.unique(gram[one], return_inverse=True, return_counts=True)
+    sharing = sharing[which]
     repeated = ids > least[of]
     out, ends = [], np.cumsum(n)
-    for kind, found in ((REPEATED, repeated), (SEVERAL, several[of] & ~repeated)):
+    for kind, found in ((REPEATED, repeated), (SEVERAL, (sharing[of] > 1) & (sharing[of] <= hot) & ~repeated), (MANY, (sharing[of] > hot) & ~repeated)):
         for i in range(len(n)):
             places = np.flatnonzero(found[ends[i] - n[i] : ends[i]]) + first[i]
             if len(places):
@@ -182,34 +183,67 @@ def _judge_digits(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=ROW)
 
 
+def equal_groups(data: np.ndarray, starts: np.ndarray, length: int, digit: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, groups): the suffixes of data at starts that share their first `length` bytes with another, and a number for each set of equal ones.
+
+    A most-significant-digit radix sort through `length` bytes: each pass orders what is left by (group, next `digit` bytes), cuts groups where
+    the bytes differ, and leaves out suffixes that are alone. What is equal after the last pass is equal byte by byte.
+    """
+    number = np.zeros(len(data), np.uint32)  # the digit at each place, most significant byte first
+    padded = np.concatenate([data, np.zeros(digit, np.uint8)])
+    for k in range(digit):
+        number = (number << np.uint32(8)) | padded[k : k + len(data)]
+    rows, groups = np.arange(len(starts), dtype=np.int32), np.zeros(len(starts), np.uint32)
+    for at in range(0, length, digit):
+        value = number[starts[rows] + at]
+        if at + digit > length:
+            value >>= np.uint32(8 * (at + digit - length))
+        key = (groups.astype(np.uint64) << np.uint64(32)) | value
+        order = np.argsort(key)
+        key, rows = key[order], rows[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
+        alone = new & np.concatenate([new[1:], [True]]) if len(key) else new
+        rows, groups = rows[~alone], (new.cumsum(dtype=np.uint32) - np.uint32(1))[~alone]
+    return rows, groups
+
+
 def _judge_windows(table: pa.Table, length: int) -> pa.Table:
     """Of each group's contexts in a bucket, the (place, window) pairs whose window starts in a lesser document elsewhere."""
-    digests, docs, places, counts, ends = bytearray(), [], [], [], []
-    zstd, hash_of = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
+    parts, docs, places, counts, ends = [], [], [], [], []
+    zstd = zstandard.ZstdDecompressor()
     for run, data, n, first in zip(*(table.column(c).to_pylist() for c in ("run", "data", "n", "first")), strict=True):
         _, doc, size = _columns(run, n)
-        whole, at = zstd.decompress(data), 0
-        for k in size.tolist():
-            for w in range(at, at + k - length + 1):
-                digests += hash_of(whole[w : w + length])
-            at += k
+        parts.append(zstd.decompress(data))
         docs.append(doc.view(np.int64))
         places.append(np.arange(n) + first)
         counts.append(size.astype(np.int64) - length + 1)
-        ends.append(len(digests) // 16)
-    pairs = np.frombuffer(digests, "<u8").reshape(-1, 2)
-    per, places = np.concatenate(counts), np.concatenate(places)
+        ends.append(int(counts[-1].sum()))
+    per, places, docs = np.concatenate(counts), np.concatenate(places), np.concatenate(docs)
     context = np.repeat(np.arange(len(per), dtype=np.int32), per)
-    ids = np.concatenate(docs)[context]
-    _, of, least = _distinct(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), doc=ids)
-    hit = np.flatnonzero(ids > least[of])
-    del of, ids, pairs
+    # a context of n windows has n + length - 1 bytes, so its windows start length - 1 bytes further on for each context before
+    starts = np.arange(len(context), dtype=np.int32) + context * np.int32(length - 1)
+    rows, groups = equal_groups(np.frombuffer(b"".join(parts), np.uint8), starts, length)
+    del parts, starts
+    ids = docs[context[rows]]
+    least = np.minimum.reduceat(ids, np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))) if len(ids) else ids
+    hit = np.sort(rows[ids > np.repeat(least, np.unique(groups, return_counts=True)[1])])
     start = per.cumsum() - per
-    g, cuts = table.column("g").to_pylist(), np.searchsorted(hit, [0, *ends])
+    g, cuts = table.column("g").to_pylist(), np.searchsorted(hit, np.concatenate([[0], np.cumsum(ends)]))
     out = [_row(WINDOWS, g[i], places[context[at]], at - start[context[at]]) for i in range(len(g)) if len(at := hit[cuts[i] : cuts[i + 1]])]
     return pa.Table.from_pylist(out, schema=ROW)
 
 
+def _distinct_windows(data: bytes, low: np.ndarray, high: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that start at low to high: (starts, the id of each, the place of each among the distinct, a first row for each distinct, its least id)."""
+    per = high - low + 1
+    starts = np.repeat(low - (per.cumsum() - per), per) + np.arange(per.sum())
+    owner = np.repeat(ids, per)
+    rows = np.zeros((len(starts), -(-length // 8) * 8), np.uint8)
+    rows[:, :length] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)[starts]
+    first, of, least = _distinct(*rows.view(np.uint64).T, doc=owner)
+    return starts, owner, of, first, least
+
+
 def _read(table: pa.Table, kind: int, columns: int) -> list[np.ndarray]:
     """The columns of all rows of a kind, as signed numbers."""
     rows = table.filter(pa.compute.equal(table.column("kind"), kind))
@@ -223,7 +257,7 @@ def _flags(size: int, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 3 << 20, bucket_bytes: int = 4 << 20, content: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", group_bytes: int = 3 << 20, bucket_bytes: int = 4 << 20, content: bool = True, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]), one per input row.
 
     Removes each byte covered by a string of `length` bytes that also starts in a document with a smaller id (an integer); matches do
@@ -259,13 +293,30 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
         first, of, least = _distinct(s.gram, s.rest, doc=ids)
         repeated = _flags(len(first), _read(answers, REPEATED, 1)[0])[of] | (ids > least[of])
         out = [_row(INTERVALS, g, s.low[repeated], s.high[repeated] + length - s.low[repeated])] if repeated.any() else []
-        several = _flags(len(first), _read(answers, SEVERAL, 1)[0])
-        open_ = ~repeated & several[of]
-        if open_.any():
-            chosen = np.flatnonzero(several & _flags(len(first), of[open_]))  # in order of the gram
-            texts = [group.data[a : b + length] for a, b in zip(s.low[first[chosen]].tolist(), s.high[first[chosen]].tolist(), strict=True)]
-            out += _sent(CONTEXTS, g, 4 * buckets, s.gram[first[chosen]], least[chosen].view(np.uint64), np.array([len(t) for t in texts], dtype=np.uint64), texts=texts)
-            out.append(_row(PLACES, g, s.low[open_], np.searchsorted(chosen, of[open_])))
+        several, many = (_flags(len(first), _read(answers, kind, 1)[0]) for kind in (SEVERAL, MANY))
+        open_, alone = ~repeated & several[of], ~repeated & many[of]
+        chosen = np.flatnonzero(several & _flags(len(first), of[open_]))
+        dealt_by, owner, texts = [s.gram[first[chosen]]], [least[chosen]], [group.data[a : b + length] for a, b in zip(s.low[first[chosen]].tolist(), s.high[first[chosen]].tolist(), strict=True)]
+        places, number = [s.low[open_]], [np.searchsorted(chosen, of[open_])]
+        if alone.any():
+            # single windows, each a context of its own, dealt by a hash of all its bytes
+            at, mine, same, one, lesser = _distinct_windows(group.data, s.low[alone], s.high[alone], ids[alone], length)
+            again = mine > lesser[same]
+            if again.any():
+                out.append(_row(INTERVALS, g, at[again], np.full(int(again.sum()), length)))
+            windows = [group.data[a : a + length] for a in at[one].tolist()]
+            dealt_by.append(np.fromiter(map(xxhash.xxh3_64_intdigest, windows), np.uint64, len(windows)) >> np.uint64(16))
+            owner.append(lesser)
+            texts += windows
+            places.append(at[~again])
+            number.append(same[~again] + len(chosen))
+        if texts:
+            keys = np.concatenate(dealt_by)
+            order = np.argsort(keys, kind="stable")
+            texts = [texts[i] for i in order.tolist()]
+            out += _sent(CONTEXTS, g, 4 * buckets, keys[order], np.concatenate(owner)[order].view(np.uint64), np.array([len(t) for t in texts], dtype=np.uint64), texts=texts)
+            if sum(map(len, places)):
+                out.append(_row(PLACES, g, np.concatenate(places), np.argsort(order)[np.concatenate(number)]))
         return pa.Table.from_pylist(out, schema=ROW)
 
     def result(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -304,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     schema = pa.schema(fields)
 
     sent = dealt.groupBy("g").applyInArrow(digits, ROW_DDL)
-    answers = sent.groupBy("bucket").applyInArrow(_judge_digits, ROW_DDL)
+    answers = sent.groupBy("bucket").applyInArrow(lambda t: _judge_digits(t, hot), ROW_DDL)
     found = materialise(dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(contexts, ROW_DDL), "suffix-contexts")
     more = found.filter(F.col("kind") == CONTEXTS).groupBy("bucket").applyInArrow(lambda t: _judge_windows(t, length), ROW_DDL)
     columns = ["kind", "g", "n", "run"]

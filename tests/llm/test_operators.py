@@ -132,18 +132,41 @@ def brute_repeats(rows: list[tuple[int | None, bytes]], length: int) -> dict:
     return {k: sorted(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 23, 4000])
-def test_suffix_dedup(spark, docs, group_bytes):
+@pytest.mark.parametrize(("group_bytes", "hot"), [(1 << 23, 512), (4000, 512), (4000, 1)])
+def test_suffix_dedup(spark, docs, group_bytes, hot):
     extra = spark.createDataFrame([(None, "q" * 120, None, None, 0), (500, "a" * 400 + "b" * 60, None, None, 0), (501, "b" * 60 + "a" * 300, None, None, 0), (501, "b" * 60 + "a" * 301, None, None, 0), (502, "q" * 120, None, None, 0)], SCHEMA)
-    both = docs.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", ")).unionByName(extra)
+    rng = random.Random(5)
+    edges = [(600 + i, "".join(rng.choices("xyz", k=40)) + "a passage that many documents share, word for word" + "".join(rng.choices("uvw", k=40)), None, None, 0) for i in range(12)]
+    both = docs.unionByName(extra.unionByName(spark.createDataFrame(edges, SCHEMA)), allowMissingColumns=True)
+    both = both.withColumns({c: F.lit("clash") for c in ("g", "bucket", "data", "kind", "ids", "n_bytes")})
     rows = [(r.doc_id, (r.text or "").encode()) for r in both.collect()]
     got = defaultdict(list)
-    for r in suffix.remove_repeats(both, 50, group_bytes=group_bytes).collect():
+    for r in suffix.remove_repeats(both, 50, group_bytes=group_bytes, hot=hot).collect():
         got[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and sum(s.end - s.start for s in r.spans) == r.n_removed
     assert {k: sorted(v) for k, v in got.items()} == brute_repeats(rows, 50)
 
 
+def test_suffix_dedup_of_an_empty_table(spark, empty):
+    assert suffix.remove_repeats(empty).count() == 0
+
+
+def test_radix_sort_of_bytes():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 600, dtype=np.uint8)
+    for length in (1, 4, 6, 11):
+        starts = np.arange(len(data) - length + 1, dtype=np.int32)
+        rows, groups = suffix.equal_groups(data, starts, length)
+        got = defaultdict(set)
+        for r, g in zip(rows.tolist(), groups.tolist(), strict=True):
+            got[g].add(r)
+        want = defaultdict(set)
+        for a in starts.tolist():
+            want[data[a : a + length].tobytes()].add(a)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    assert len(suffix.equal_groups(np.zeros(0, np.uint8), np.zeros(0, np.int32), 5)[0]) == 0
+
+
 def test_token_files(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
