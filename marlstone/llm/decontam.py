@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_slices, whole_rows
+from .common import as_bytes, materialise, text_slices, whole_rows
 
 # Word characters are digits, letters and all beyond ASCII; A-Z are lower-cased; any other byte separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -29,25 +30,62 @@ class TestSet:
     keys: np.ndarray  # the windows' words, big-endian, padded with zeros
     last: np.ndarray  # the same padded with the largest value: the end of the range of suffixes that start with the window
     lengths: np.ndarray
-    places: list[list[tuple[int, int]]]  # of each window: (item, start in the item)
+    holders: list[list[int]]  # of each window: the items that hold it
     names: list[str]
-    shortest: list[int]  # of each item: the words of its windows
+    words: list[np.ndarray]  # of each item
+    arrays: dict[int, np.ndarray] = field(default_factory=dict)  # suffix arrays of the items met so far
 
     @classmethod
     def of(cls, items: list[tuple[str, bytes | None]], window: int) -> TestSet:
         vocab: dict[bytes, int] = {}
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        shortest = []
+        holders: dict[tuple[int, ...], dict[int, None]] = {}
+        words = []
         for i, (_, text) in enumerate(items):
             ids = [vocab.setdefault(w, len(vocab) + 1) for w in words_of(text)]
-            shortest.append(min(window, len(ids)))
+            words.append(np.array(ids, dtype=np.int32))
             for j in range(max(1, len(ids) - window + 1) if ids else 0):
-                places.setdefault(tuple(ids[j : j + window]), []).append((i, j))
-        keys = np.zeros((len(places), window), dtype=">u4")
-        last = np.full((len(places), window), 0xFFFFFFFF, dtype=">u4")
-        for row, w in enumerate(places):
+                holders.setdefault(tuple(ids[j : j + window]), {})[i] = None
+        keys = np.zeros((len(holders), window), dtype=">u4")
+        last = np.full((len(holders), window), 0xFFFFFFFF, dtype=">u4")
+        for row, w in enumerate(holders):
             keys[row, : len(w)] = last[row, : len(w)] = w
-        return cls(vocab, packed(keys), packed(last), np.array([len(w) for w in places], dtype=np.int64), list(places.values()), [name for name, _ in items], shortest)
+        return cls(vocab, packed(keys), packed(last), np.array([len(w) for w in holders], dtype=np.int64), [list(h) for h in holders.values()], [name for name, _ in items], words)
+
+    def longest(self, item: int, text: list[int], at: int) -> tuple[int, int]:
+        """(words, start in the item) of the longest run of the text from `at` on that the item holds, by halving its suffix array word by word."""
+        words = self.words[item]
+        if item not in self.arrays:
+            self.arrays[item] = whole_suffix_array(words)
+        order, n = self.arrays[item], len(words)
+        low, high, k = 0, len(order), 0
+        while at + k < len(text):
+            w, depth = text[at + k], k
+
+            def word(r: int, depth: int = depth) -> int:
+                place = int(order[r]) + depth
+                return int(words[place]) if place < n else -1
+
+            first = bisect_left(range(n), w, low, high, key=word)
+            end = bisect_right(range(n), w, first, high, key=word)
+            if first == end:
+                break
+            low, high, k = first, end, k + 1
+        return k, int(order[low:high].min())
+
+
+def whole_suffix_array(words: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes in order, by doubling the depth to which they are ranked."""
+    rank, depth = np.unique(words, return_inverse=True)[1] + 1, 1
+    while True:
+        after = np.zeros_like(rank)
+        after[:-depth] = rank[depth:] if depth < len(rank) else 0
+        order = np.lexsort((after, rank))
+        new = np.concatenate([[1], (np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0)]).cumsum()
+        rank = np.empty_like(new)
+        rank[order] = new
+        if new[-1] == len(new):
+            return order
+        depth *= 2
 
 
 def packed(rows: np.ndarray) -> np.ndarray:
@@ -81,20 +119,22 @@ def shard_matches(docs: list[list[int]], tests: TestSet, window: int) -> list[li
     low, high = np.searchsorted(keys, tests.keys, "left"), np.searchsorted(keys, tests.last, "right")
     whole = tests.lengths == window
     high[whole] = np.searchsorted(keys, tests.keys[whole], "right")
-    runs: dict[tuple[int, int, int], list[int]] = {}
+    runs: dict[tuple[int, int], list[np.ndarray]] = {}
     for w in np.flatnonzero(high > low):
-        found = starts[low[w] : high[w]]
-        for d, p in zip(np.searchsorted(ends, found, "right").tolist(), found.tolist(), strict=True):
-            for item, j in tests.places[w]:
-                runs.setdefault((d, item, p - j), []).append(p)
-    # consecutive windows on one diagonal of (document, item) make up one longer match
-    for (d, item, diagonal), places in sorted(runs.items()):
-        at, first = sorted(places), int(ends[d]) - len(docs[d]) - 1
-        begin, length = at[0], tests.shortest[item]
-        for p, following in zip(at, [*at[1:], None], strict=True):
-            if following != p + 1:
-                out[d].append((tests.names[item], begin - first, begin - diagonal, p - begin + length))
-                begin = following
+        found = np.sort(starts[low[w] : high[w]])
+        of = np.searchsorted(ends, found, "right")
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            for item in tests.holders[w]:
+                runs.setdefault((int(of[x]), item), []).append(found[x:y])
+    # the longest match from the first window on, then from the first window that it does not contain, and so on
+    for (d, item), parts in sorted(runs.items()):
+        places, first, i = np.unique(np.concatenate(parts)) - (ends[d] - len(docs[d]) - 1), min(window, len(tests.words[item])), 0
+        while i < len(places):
+            at = int(places[i])
+            length, start = tests.longest(item, docs[d], at)
+            out[d].append((tests.names[item], at, start, length))
+            i = int(np.searchsorted(places, at + length - first, "right"))
     return out
 
 
@@ -125,12 +165,13 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, t
     """Rows (row, matches, n_words, n_hit), one per input row: row is the whole input row as a struct.
 
     matches are the longest verbatim runs of at least `window` words (or of a whole shorter item) that the document shares with
-    an item: (item_id as text, start word in the document, start word in the item, words). n_hit counts the document's words
+    an item: (item_id as text, start word in the document, first such start word in the item, words). For each item they run from left to right, each
+    the longest from its start, which is the first window not inside the match before; so texts that repeat themselves give few. n_hit counts the document's words
     inside any occurrence of a window. A null or wordless text has no words and no match; wordless items match nothing; items of
     one id count as one; a null item_id is the empty string. Repeated rows are judged alike; an empty table gives no rows.
 
-    The benchmark is sent to the workers in blocks of about block_bytes (measured first), one pass over the rows for each block,
-    so no broadcast grows with it; the documents are neither shuffled nor joined.
+    The benchmark is sent to the workers in blocks of about block_bytes (measured first), one pass over the rows for each block, and what a pass
+    finds is written before the next starts, so one block is held at a time; the documents are neither shuffled nor joined.
     """
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item_id"), F.col(f"`{item_text}`").cast("string").cast("binary").alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -138,6 +179,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, t
     out = whole_rows(docs, text).withColumn("matches", F.expr(f"CAST(array() AS {MATCHES})"))
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        if b:
+            out = materialise(out, "benchmark-block")
         out = _pass(out, TestSet.of(sorted((r.item_id, bytes(r.text) if r.text is not None else b"") for r in block.collect()), window), window)
     return out.select("row", "matches", "n_words", "n_hit")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,11 +100,12 @@ def test_components_on_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100}
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("most_broadcast", [200_000, 0])
+def test_warc_round_trip(spark, most_broadcast):
     big, rows = "é" * 700, [(1, "http://a/x y\r\nz", "<p>one</p>"), (2, None, None), (3, "u", ""), (7, "http://d", "x" * 999), (8, "http://e", "x" * 999), (9, "http://f", "long " * 50000)]
     rows += [(i, "http://b", big) for i in (4, 5, 6)] + [(6, "http://b2", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
-    index = warc.write_warc(pages)
+    index = warc.write_warc(pages, most_broadcast=most_broadcast)
     got = sorted((int(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in warc.read_warc(index).collect())
     want = []
     for i, _, html in rows:
@@ -281,6 +283,36 @@ def brute_matches(text: str | None, items: list[tuple], window: int = 13) -> tup
     return len(mine), len(hit), sorted(names)
 
 
+def test_matches_are_longest_and_verbatim():
+    rng = random.Random(8)
+    words = [b"a", b"b", b"c"]
+    docs = [rng.choices(words, k=n) for n in (0, 3, 40, 90, 90)]
+    items = [(f"i{k}", b" ".join(rng.choices(words, k=n))) for k, n in enumerate((2, 4, 9, 30, 60))]
+    items.append(("copy", b" ".join(docs[3][20:50])))
+    tests = decontam.TestSet.of(items, 4)
+    got = decontam.shard_matches([[tests.vocab.get(w, 0) for w in d] for d in docs], tests, 4)
+    for d, found in zip(docs, got, strict=True):
+        covered = defaultdict(set)
+        for name, at, start, n in found:
+            ws = dict(items)[name].split()
+            assert d[at : at + n] == ws[start : start + n] and n >= min(4, len(ws))
+            assert not any(d[at : at + n + 1] == ws[j : j + n + 1] for j in range(len(ws) - n)) or at + n == len(d)
+            covered[name] |= set(range(at, at + n))
+        for name, text in items:
+            ws = text.split()
+            least = min(4, len(ws))
+            want = {a + x for j in range(len(ws) - least + 1) for a in range(len(d) - least + 1) if d[a : a + least] == ws[j : j + least] for x in range(least)}
+            assert covered[name] == want
+
+
+def test_matches_of_repetitive_texts_are_linear():
+    tests = decontam.TestSet.of([("a", b"ha " * 20_000), ("b", b"ha " * 15 + b"ho")], 13)
+    began = time.perf_counter()
+    got = decontam.shard_matches([[tests.vocab[b"ha"]] * 20_000], tests, 13)[0]
+    assert ("a", 0, 0, 20_000) in got and sum(m[3] for m in got if m[0] == "b") >= 20_000
+    assert time.perf_counter() - began < 10
+
+
 @pytest.mark.parametrize("block_bytes", [8 << 20, 200])
 def test_decontamination(spark, docs, block_bytes):
     rows = sample()
