@@ -59,22 +59,23 @@ def parse(data: bytes) -> dict:
     return {"record_type": kind, "page_id": headers["WARC-Record-ID"][10:-1], "refers_to": headers.get("WARC-Refers-To", "<urn:page:>")[10:-1] or None, "url": headers.get("WARC-Target-URI"), "size": size, "digest": _digest_of(headers["WARC-Payload-Digest"]), "payload": None if kind == "revisit" else payload}
 
 
-def write_warc(pages: DataFrame, uri: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000, file_bytes: int = 256 << 20) -> DataFrame:
+def write_warc(pages: DataFrame, uri: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000, file_bytes: int = 256 << 20, most_broadcast: int = 200_000) -> DataFrame:
     """Write a record per page under uri; returns the index: (file, offset, length, url, digest, page_id, record_type).
 
     The payload is the html in UTF-8, empty for null. Of records with equal payloads (by SHA-1, size and a second hash) of at least
     least_bytes, that with the largest id is a response and the others revisit it; smaller ones are responses. Rows that repeat the largest
     id are responses each; a null id is never the largest, unless it is the only one. A null url has no target header. Other columns are ignored; an empty table writes no file.
 
-    Each record is a gzip member of its own, so it can be read alone. Only payload hashes are grouped; the group's largest id comes back by a join, whose hot payloads Spark can split. A
+    Each record is a gzip member of its own, so it can be read alone. Only payload hashes are grouped. Up to most_broadcast repeated payloads (about
+    150 bytes each, counted first) are broadcast, and pages stay where they are; beyond, they are joined by their hashes, and adaptive execution splits hot ones. A
     task starts a new file every file_bytes; a task that runs again writes other files, and the index names those that count.
     """
     base = uri or scratch(pages.sparkSession, "warc")
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html"), "check": F.xxhash64("html")})
     same = ["digest", "size", "check"]
-    groups = rows.filter(F.col("size") >= least_bytes).groupBy(*same).agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    judged = rows.join(groups, same, "left")
+    groups = materialise(rows.filter(F.col("size") >= least_bytes).groupBy(*same).agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-repeated")
+    judged = rows.join(F.broadcast(groups) if groups.count() <= most_broadcast else groups.hint("merge"), same, "left")
     revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     judged = judged.select("page_id", "url", "digest", F.col("size").cast("long"), F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"), F.when(~revisit, F.col("html")).alias("html"))
 
@@ -107,11 +108,12 @@ def write_warc(pages: DataFrame, uri: str | None = None, page_id: str = "page_id
 def read_warc(index: DataFrame, chunk_bytes: int = 8 << 20, gap_bytes: int = 64 << 10) -> DataFrame:
     """Rows (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of the index rows given.
 
-    Records are dealt by (file, chunk of chunk_bytes), sorted by offset, and read in byte ranges that bridge gaps of up to gap_bytes. For a
+    Records are dealt by (file, chunk of chunk_bytes) to tasks of four chunks or so (one for each core at least), sorted by offset, and read in byte ranges that bridge gaps of up to gap_bytes. For a
     response, size and digest are taken from the bytes read (a digest other than its header's is an error); for a revisit from its
     headers, and payload is null. Ids come back as text. Index rows given twice are read twice; an empty index gives no rows.
     """
-    dealt = index.select("file", F.floor(F.col("offset") / chunk_bytes).alias("chunk"), "offset", "length").repartition("file", "chunk").sortWithinPartitions("file", "offset").drop("chunk")
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-(index.agg(F.sum("length")).first()[0] or 0) // (4 * chunk_bytes)))
+    dealt = index.select("file", F.floor(F.col("offset") / chunk_bytes).alias("chunk"), "offset", "length").repartition(tasks, "file", "chunk").sortWithinPartitions("file", "offset").drop("chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, handle = None, None
