@@ -204,9 +204,14 @@ def starts(index: DataFrame) -> DataFrame:
     return index.join(files, "part").withColumn("start", F.col("before") + (F.col("at") / 4).cast("long")).drop("before")
 
 
-def read_tokens(index: DataFrame, ids: bool = True) -> DataFrame:
-    """The index rows given, with ids_crc32 and (if asked for) ids, read back from the files; only their frames are decompressed."""
+def read_tokens(index: DataFrame, ids: bool = True, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """The index rows given, with ids_crc32 and (if asked for) ids, read back from the files; only their frames are decompressed.
+
+    Rows are dealt by (file, chunk of chunk_bytes of its stream) to tasks of four chunks or so (one for each core at least), and read in order of place.
+    """
     names = index.columns
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-4 * (index.agg(F.sum("n_tokens")).first()[0] or 0) // (4 * chunk_bytes)))
+    index = index.repartition(tasks, F.col("file"), F.floor(F.col("at") / chunk_bytes)).sortWithinPartitions("file", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = None
