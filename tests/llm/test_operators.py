@@ -212,7 +212,7 @@ def test_language_gradients():
     rng = np.random.default_rng(0)
     net = langid.BiGru.fresh(["a", "b", "c"], 4, rng)
     net.w, net.u, net.v, net.b = (p.astype(np.float64) for p in net.params())
-    frames, labels = rng.integers(0, 256, (5, 6, langid.FRAME)).astype(np.uint8), rng.integers(0, 3, 5)
+    frames, labels = rng.integers(0, 256, (5, 6)).astype(np.uint8), rng.integers(0, 3, 5)
     _, grads = langid.gradients(net, frames, labels)
     for p, g in zip(net.params(), grads, strict=True):
         i = np.unravel_index(np.abs(g).argmax(), g.shape)
@@ -238,10 +238,42 @@ def test_language_held_out(spark):
 
 def test_language_spans(spark):
     docs = spark.createDataFrame([(i, w * 40, l) for i in range(80) for w, l in (("abab cdcd ", "x"), ("wyxz zyzx ", "y"))], "doc_id long, text string, lang string")
-    net = langid.fit(docs, rounds=40)
-    out = langid.predict(spark.createDataFrame([(1, "abab cdcd " * 30 + "wyxz zyzx " * 30)], "doc_id long, text string"), net, spans=True).first()
-    assert out.spans[0].start == 0 and out.spans[-1].end == 600
-    assert out.spans[0].lang == "x" and out.spans[-1].lang == "y"
+    net = langid.fit(docs, rounds=60)
+    out = langid.predict(spark.createDataFrame([(1, "abab cdcd " * 30 + "wyxz zyzx " * 31 + "w")], "doc_id long, text string"), net, spans=True).first()
+    assert out.spans[0].start == 0 and out.spans[-1].end == 611  # every byte has a label, the odd last one too
+    labels = "".join(s.lang * (s.end - s.start) for s in out.spans)
+    assert sum(a == b for a, b in zip(labels, "x" * 300 + "y" * 311, strict=True)) > 0.95 * 611
+
+
+def test_language_segments_carry_the_state():
+    rng = np.random.default_rng(4)
+    net = langid.BiGru.fresh(["a", "b", "c"], 8, rng)
+    net.u *= 0.5
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (1, 223, 224, 225, 700)] + [None]
+    got, runs = langid.Labeller(net)(texts, spans=True)
+    for t, p, spans in zip(texts, got, runs, strict=True):
+        if t is None:
+            assert (p == 0).all() and not spans
+            continue
+        # one run over the whole text, without segments
+        logits = np.zeros((len(t), 3)) + net.b
+        for d in range(2):
+            h = np.zeros(8)
+            for i in range(len(t)) if d == 0 else reversed(range(len(t))):
+                x, a = net.w[d][t[i]], h @ net.u[d]
+                z, r = 1 / (1 + np.exp(-(x[:8] + a[:8]))), 1 / (1 + np.exp(-(x[8:16] + a[8:16])))
+                c = np.tanh(x[16:] + r * a[16:])
+                h = c + z * (h - c)
+                logits[i] += h @ net.v[d]
+        e = np.exp(logits)
+        assert np.abs((e / e.sum(1, keepdims=True)).mean(0) - p).max() < 1e-3
+        assert spans[0][0] == 0 and spans[-1][1] == len(t) and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_language_sample_is_bounded_under_ties(spark):
+    docs = spark.createDataFrame([(1, "the same row again and again", "x")] * 500 + [(None, "die andere", "y")] * 3, "doc_id long, text string, lang string")
+    assert set(langid.fit(docs, rounds=2).langs) == {"x", "y"}
+    assert langid.predict(docs, langid.fit(docs, rounds=2)).count() == 503
 
 
 def test_mixing(spark, docs):
