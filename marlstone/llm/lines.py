@@ -23,7 +23,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     columns are ignored; an empty table gives an empty result.
 
     Windows travel as 128-bit hashes. First places are a grouped minimum (combined before the shuffle), the removed lines of a
-    document one set of line numbers; only the last join, on the document, moves texts.
+    document the bits of one array; only the last join, on the document, moves texts.
     """
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     keyed = source.withColumn("digest", F.xxhash64("text"))
@@ -37,8 +37,11 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
     later = windows.join(first, ["h1", "h2"]).filter(place != F.col("first"))
     removed = later.select("doc_id", "digest", F.explode(F.array(*[F.col("line") + k for k in range(window)])).alias("line"))
-    removed = removed.groupBy("doc_id", "digest").agg(F.collect_set("line").alias("removed"))
-    both = keyed.alias("d").join(removed.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.digest = r.digest"), "left").select("d.doc_id", "d.text", F.split("d.text", "\n", -1).alias("lines"), "r.removed")
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("removed", i)), "\n"))
+    # line numbers as bits of 64-bit words, so that a line is looked up at once
+    words = removed.groupBy("doc_id", "digest", F.floor(F.col("line") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, line % 64))").alias("bits"))
+    removed = words.groupBy("doc_id", "digest").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("most"), F.sum(F.bit_count("bits")).alias("n"))
+    removed = removed.select("doc_id", "digest", "n", F.transform(F.sequence(F.lit(0), "most"), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))).alias("removed"))
+    both = keyed.alias("d").join(removed.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.digest = r.digest"), "left").select("d.doc_id", "d.text", F.split("d.text", "\n", -1).alias("lines"), "r.removed", "r.n")
+    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.expr("filter(lines, (x, i) -> coalesce(shiftright(get(removed, CAST(i DIV 64 AS INT)), i % 64), 0L) % 2 = 0)"), "\n"))
     n_lines = F.coalesce(F.size("lines"), F.lit(0))
-    return both.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    return both.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))

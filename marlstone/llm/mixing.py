@@ -12,14 +12,15 @@ from .common import materialise
 def tempered_shares(docs: DataFrame, source: str = "source", power: float = 0.7, slots: int = 1000) -> DataFrame:
     """Rows (key, share): whole shares that sum to `slots`, in proportion to the sources' row counts to `power`, at least 1 each.
 
-    Every source gets 1, the rest is dealt by largest remainder, ties to the lesser key. Needs no more sources than slots.
+    Every source gets 1, the rest is dealt by largest remainder, ties to the lesser key. With many sources there are four slots for each, if that is more.
     """
     counts = docs.groupBy(source_key(source).alias("key")).count()
     total = Window.partitionBy()
     ideal = counts.withColumn("p", F.pow(F.col("count").cast("double"), F.lit(power))).withColumn("n", F.count("*").over(total))
-    ideal = ideal.withColumn("ideal", F.col("p") / F.sum("p").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * (F.lit(slots) - F.col("n")))
+    slots = F.greatest(F.lit(slots), 4 * F.col("n"))
+    ideal = ideal.withColumn("ideal", F.col("p") / F.sum("p").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * (slots - F.col("n")))
     floors = ideal.withColumn("whole", F.floor(F.round("ideal", 9)))
-    left = floors.withColumn("left", F.lit(slots) - F.col("n") - F.sum("whole").over(total))
+    left = floors.withColumn("left", slots - F.col("n") - F.sum("whole").over(total))
     rank = F.row_number().over(Window.orderBy(F.round(F.col("ideal") - F.col("whole"), 9).desc(), "key"))
     return left.select("key", (F.lit(1) + F.col("whole") + (rank <= F.col("left")).cast("long")).cast("long").alias("share"))
 
@@ -35,7 +36,7 @@ def pfair_pattern(shares: DataFrame) -> DataFrame:
     With weight w = share / slots, block k of a source may not run before floor(k / w) and must run before ceil((k + 1) / w). Slot by
     slot, the released block of the earliest deadline runs, ties to the lesser key; since the weights sum to 1 no deadline is
     missed, and a source is never a whole block ahead of or behind its weight. The schedule is one fold over the slots of a
-    period, whose number is a parameter: its cost does not depend on the data.
+    period, a parameter, or four for each source: its cost is slots times sources and does not depend on the rows.
     """
     one = shares.agg(F.array_sort(F.collect_list(F.struct("key", "share"))).alias("s"), F.sum("share").alias("slots"))
     fold = """

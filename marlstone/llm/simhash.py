@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, connected_components, materialise, text_slices
@@ -48,15 +48,16 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """Rows (doc_id, fp): the 64-bit fingerprint as a signed long. One row per input row, in place (no shuffle)."""
+    """Rows (doc_id, key, fp): a hash of the text and its 64-bit fingerprint as a signed long. One row per input row, in place (no shuffle)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            values = [fingerprint(t, shingle) for t in as_bytes(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            values = [fingerprint(t, shingle) for t in as_bytes(part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], ["doc_id", "key", "fp"])
 
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    whole = F.col(f"`{text}`").cast("string")
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(whole).alias("key"), whole.alias("text"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, key long, fp long")
 
 
 def masks(radius: int, blocks: int) -> list[int]:
@@ -93,7 +94,8 @@ def close_pairs(fps: DataFrame, radius: int = 2, blocks: int = 4, max_block: int
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, blocks: int | None = None, max_block: int = 64) -> DataFrame:
-    """Rows (doc_id, fp, component_id), one per input row; component_id is the least doc_id linked, directly or by way of others.
+    """Rows (doc_id, key, fp, component_id, component_key), one per input row; component_id is the least doc_id linked, directly or by way of others.
+    The keys are hashes of the texts; component_key is that of the row of component_id (the lesser, if texts share the id).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is one shingle. Null,
     empty and blank texts have fingerprint 0 and are linked with each other. Repeated rows keep a row each. A null doc_id
@@ -102,16 +104,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks, unless given, is the least whose keys have two bits more than it takes to count the distinct fingerprints.
     """
     found = materialise(fingerprints(docs, doc_id, text, shingle), "simhash")
-    fps = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    fps = materialise(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")), "simhash-distinct")
     n = fps.count()
     blocks = blocks or next(b for b in range(radius + 1, 65) if 64 * (b - radius) / b >= math.log2(max(1, n)) + 2 or b == 64)
     groups = connected_components(close_pairs(fps.select("fp").repartition(max(1, n // 20_000)), radius, blocks, max_block))
     member = fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     # only linked fingerprints need a second look; the others are their own component
     linked = member.join(groups.select("component").distinct(), "component", "left_semi")
-    label = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = member.join(label, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return found.join(of, "fp").select("doc_id", "fp", "component_id")
+    label = linked.groupBy("component").agg(F.min("least").alias("first"))
+    of = member.join(label, "component", "left").select("fp", F.coalesce("first", "least").alias("first"))
+    return found.join(of, "fp").select("doc_id", "key", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("component_key"))
 
 
 CLASSES = 32  # of a document's shingle classes, those that make up its blocks
@@ -292,7 +294,8 @@ def hot_links(hot: DataFrame, centres: DataFrame, stars: DataFrame, links: DataF
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_block: int = 24, chunk: int = CHUNK) -> DataFrame:
-    """As near_duplicates, for documents that share at least `similarity` of their shingles: rows (doc_id, fp, component_id).
+    """As near_duplicates, for documents that share at least `similarity` of their shingles: rows (doc_id, key, fp, component_id, component_key); the keys
+    are hashes of the texts, and component_key is that of the component's least document (null ids last, ties to the lesser key).
 
     At such a similarity whole fingerprints differ in about ten bits, too many for blocks of their bits to select. Blocks are
     shingles and hashes of small classes of the shingle set instead (`class_blocks`). Pairs that share one, if neither set is too large for the other, are estimated
@@ -302,8 +305,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     found = materialise(signatures(docs, doc_id, text, shingle, similarity), "similar")
     node = F.struct("whole", "n")
-    nodes = found.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"))
-    nodes = materialise(nodes.select(F.xxhash64("node.whole", "node.n").alias("id"), "least", "key"), "similar-nodes")
+    nodes = found.groupBy(node.alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    nodes = materialise(nodes.select(F.xxhash64("node.whole", "node.n").alias("id"), "least", F.col("least.key").alias("key")), "similar-nodes")
     named = found.withColumn("id", F.xxhash64("whole", "n"))
     blocks = named.groupBy("id").agg(F.min("n").alias("n"), F.first("blocks").alias("blocks")).select("id", "n", F.explode("blocks").alias("block"))
     sizes = blocks.groupBy("block").count().filter("count > 1")
@@ -329,15 +332,25 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         links = links.unionByName(stars.filter(alike).select("a", "b"))
         links = links.unionByName(hot_links(hot, centres, stars, links, sets, similarity, chunk))
     groups = connected_components(links)
-    member = nodes.join(groups.withColumnRenamed("node", "id"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = groups.join(member, "component").select(F.col("node").alias("id"), "component_id")
-    of = nodes.join(labels, "id", "left").select("id", F.coalesce("component_id", "least").alias("component_id"))
-    return found.select("doc_id", "fp", F.xxhash64("whole", "n").alias("id")).join(of, "id").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is its component's least; rows that share an id count as one document, null ids stay."""
-    ids = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter(F.col(f"`{doc_id}`").isNotNull())
-    kept = named.join(ids, named[f"`{doc_id}`"] == ids["_kept"], "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))
+    member = nodes.join(groups.withColumnRenamed("node", "id"), "id").groupBy("component").agg(F.min("least").alias("first"))
+    labels = groups.join(member, "component").select(F.col("node").alias("id"), "first")
+    of = nodes.join(labels, "id", "left").select("id", F.coalesce("first", "least").alias("first"))
+    return found.select("doc_id", "key", "fp", F.xxhash64("whole", "n").alias("id")).join(of, "id").select("doc_id", "key", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("component_key"))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component of groups (as similar_documents gives them) one row of docs, with docs' own columns: that of the component's id and text.
+
+    Unlike texts that share an id are told apart; a row with a null id goes if its component has a row with one. Rows that repeat the kept id and
+    text count as one document, of which any one stays. Rows move only where a join needs it: what goes is few, and is joined from its side.
+    """
+    ids = groups.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first((F.col("doc_id").eqNullSafe(F.col("component_id"))) & (F.col("key") == F.col("component_key"))).alias("kept"))
+    odd = materialise(ids.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("id"), "key", "kept"), "similar-removed")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("key"))
+
+    def same(other: DataFrame) -> Column:
+        return rows["id"].eqNullSafe(other["id"]) & (rows["key"] == other["key"])
+
+    once = rows.join(odd, same(odd), "left_anti")
+    repeated = odd.filter("kept")
+    return once.unionByName(rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["id", "key"])).select("row.*")
