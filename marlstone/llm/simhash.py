@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, connected_components, materialise, text_slices
@@ -250,23 +250,29 @@ def spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def hot_links(hot: DataFrame, centres: DataFrame, stars: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, chunk: int) -> DataFrame:
-    """Rows (a, b): with `links`, what connects the members of each hot block (rows block, id, n) as all its similar pairs would.
+def hot_links(hot: DataFrame, stars: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """Rows (a, b): with `links`, what connects the members of each hot block (rows block, id, n, centre) as all its similar pairs would.
 
-    `stars` has each member's similarity to its block's centre (rows block, centre). Members that links connect to the centre need no
-    comparison with each other. All else is compared in pairs of chunks, ordered by the distance from the centre: the share of differing shingles
+    `stars` has each member's similarity to its block's centre. Members that links connect to the centre need no
+    comparison with each other. All else is compared in pairs of chunks of members at like distances from the centre: the share of differing shingles
     is a metric, so chunks further apart than a similar pair can be are left out, as are chunks whose sizes differ too much. A pair of
     chunks is one group, compared on whole sets, and gives a spanning forest of its links; the pairs themselves are never rows.
     """
     label = connected_components(links).select("node", "component")
     far = 1 - similarity + 1e-9
-    placed = hot.join(centres, "block").filter("id <> centre").join(stars.select(F.col("a").alias("centre"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("d")), ["centre", "id"])
+    placed = hot.join(stars.select(F.col("a").alias("centre"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("d")), ["centre", "id"])
     for c in ("id", "centre"):
         placed = placed.join(label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")), c, "left")
     placed = placed.withColumn("main", F.coalesce("id_component", "id") == F.coalesce("centre_component", "centre"))
-    order = Window.partitionBy("block", "main").orderBy("d", "id")
-    part = F.floor(F.sum(F.col("n") + EACH).over(order) / chunk) * 2 + F.col("main").cast("long")
-    placed = materialise(placed.select("block", "id", "n", "d", "main", part.alias("part")), "similar-chunks")
+    # chunks are bands of the distance, as many as the block's sets need, and parts of these by hash where a band is still too large
+    size = F.ceil(F.sum(F.col("n") + EACH) / chunk)
+    placed = materialise(placed.select("block", "id", "n", "d", (F.coalesce("id_component", "id") == F.coalesce("centre_component", "centre")).alias("main")), "similar-distances")
+    bands = placed.groupBy("block", "main").agg(F.least(size, F.lit(32)).alias("bands"))
+    placed = placed.join(bands, ["block", "main"]).withColumn("band", F.floor(F.col("d") * F.col("bands")))
+    place = ["block", "main", "band"]
+    parts = placed.groupBy(*place).agg(size.alias("parts"))
+    part = F.concat_ws(".", F.col("main").cast("int"), "band", F.pmod(F.xxhash64("id"), F.col("parts")))
+    placed = materialise(placed.join(parts, place).select("block", "id", "n", "d", "main", part.alias("part")), "similar-chunks")
     boxes = placed.groupBy("block", "part", "main").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.min("n").alias("least"), F.max("n").alias("most"))
     x, y = (boxes.select("block", *[F.col(c).alias(f"{s}_{c}") for c in boxes.columns[1:]]) for s in "xy")
     apart = (F.col("x_near") - F.col("y_far") > far) | (F.col("y_near") - F.col("x_far") > far) | (F.col("x_most") < similarity * F.col("y_least") - 1e-9) | (F.col("y_most") < similarity * F.col("x_least") - 1e-9)
@@ -327,10 +333,11 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     if not hot.isEmpty():
         degree = met.groupBy("id").agg(F.sum("count").alias("degree"))
         centres = materialise(hot.join(degree, "id").groupBy("block").agg(F.max(F.struct("degree", "id")).alias("c")).select("block", F.col("c.id").alias("centre")), "similar-centres")
-        stars = hot.join(centres, "block").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        hot = materialise(hot.join(centres, "block").filter("id <> centre"), "similar-hot")
+        stars = hot.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         stars = materialise(whole_similarity(stars, sets), "similar-stars")
         links = links.unionByName(stars.filter(alike).select("a", "b"))
-        links = links.unionByName(hot_links(hot, centres, stars, links, sets, similarity, chunk))
+        links = links.unionByName(hot_links(hot, stars, links, sets, similarity, chunk))
     groups = connected_components(links)
     member = nodes.join(groups.withColumnRenamed("node", "id"), "id").groupBy("component").agg(F.min("least").alias("first"))
     labels = groups.join(member, "component").select(F.col("node").alias("id"), "first")
