@@ -11,6 +11,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ END = xxhash.xxh3_64_intdigest(b"\n") & int(WORD)  # no word holds white space
 START = xxhash.xxh3_64_intdigest(b"\n\n") & int(WORD)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 LOW = np.uint64(0xFFFFFFFF)
+ENTRY = 16  # bytes of a word and its count
+FETCH = 16 << 20  # bytes of segments that come to the driver at a time
 
 
 def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -137,42 +140,62 @@ class LogFrequencyFilter:
         return out
 
 
-def ngram_counts(docs: DataFrame, text: str = "text", order: int = 2, bits: int = 3, run_tokens: int = 4_000_000) -> DataFrame:
-    """Rows (segment, key, n): how often each n-gram of up to order words occurs, in part sums of runs of documents; segment is the key's leading bits."""
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts: differences, by byte plane, compressed."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(keys), -1).T).tobytes() for x in (gaps, counts.astype(np.uint32))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=12 * n), np.uint8)
+    gaps, counts = (np.ascontiguousarray(planes[x : x + w * n].reshape(w, n).T).reshape(-1).view(t) for x, w, t in ((0, 8, np.uint64), (8 * n, 4, np.uint32)))
+    return np.cumsum(gaps, dtype=np.uint64), counts
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, held = [], 0
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.unique(np.concatenate(runs), return_counts=True)
-            for at in range(0, len(keys), 1 << 18):
-                k = keys[at : at + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array((k >> np.uint64(64 - bits)).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(counts[at : at + (1 << 18)].astype(np.int32))], ["segment", "key", "n"])
+def ngram_counts(docs: DataFrame, text: str = "text", order: int = 2, bits: int = 3, run_tokens: int = 2_000_000) -> DataFrame:
+    """Rows (segment, n, run): packed counts of the n distinct n-grams, of up to order words, that runs of documents send to a segment (the keys' leading bits)."""
 
+    def sent(runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate(runs)
+        runs.clear()
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        counts, keys = np.diff(first, append=len(keys)), keys[first]
+        segment = keys >> np.uint64(64 - bits)
+        cuts = np.concatenate([[0], np.flatnonzero(segment[1:] != segment[:-1]) + 1, [len(keys)]]).tolist()
+        for at in range(0, len(cuts) - 1, 256):
+            ends = list(zip(cuts[at : at + 256], cuts[at + 1 : at + 257], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array([int(segment[x]) for x, _ in ends], pa.int32()), pa.array([y - x for x, y in ends], pa.int64()), pa.array([pack(keys[x:y], counts[x:y]) for x, y in ends], pa.binary())], ["segment", "n", "run"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list[np.ndarray] = []
+        held = 0
         for part in text_slices(batches):
             known, ids, sizes = tokenise(as_bytes(part.column(0)))
             runs += grams(known[ids], sizes, order)
             held += len(ids)
             if held >= run_tokens:
-                yield from sent()
-                runs, held = [], 0
+                yield from sent(runs)
+                held = 0
         if runs:
-            yield from sent()
+            yield from sent(runs)
 
-    return docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(gather, "segment int, key long, n int")
+    return docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(gather, "segment int, n long, run binary")
 
 
-def count_segments(docs: DataFrame, text: str = "text", order: int = 2, base: float = 2.0, bits_per_entry: float = 10, hashes: int = 5, segment_bytes: int = 16 << 20) -> DataFrame:
+def count_segments(docs: DataFrame, text: str = "text", order: int = 2, base: float = 2.0, bits_per_entry: float = 8, hashes: int = 4, segment_bytes: int = 16 << 20) -> DataFrame:
     """Rows (segment, segments, words, tokens, keys, counts, filter): exact counts of the words and the filter of all n-grams of a range of keys.
 
     All rows and all n-grams count, those seen once too. There is a segment for about segment_bytes of text, so their number grows with
-    the corpus and the size of one does not; the filter has bits_per_entry bits for each level of each n-gram at every size.
+    the corpus and the size of one does not (a run of documents sends a row to each segment that its n-grams meet, so never more rows than n-grams); the filter has bits_per_entry bits for each level of each n-gram at every size.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     bits = min(31, max(3, math.ceil(math.log2(max(1, size / segment_bytes)))))
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, n = summed(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy().astype(np.int64))
+        runs = [unpack(r, n) for r, n in zip(table.column("run").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        keys, n = summed(np.concatenate([k for k, _ in runs]), np.concatenate([c.astype(np.int64) for _, c in runs]))
         word = keys & ~WORD == 0
         held = filter_segment(keys, level(n, base), bits_per_entry, hashes)
         columns = [[table.column("segment")[0].as_py()], [1 << bits], [int(word.sum())], [int(n[word].sum())], [keys[word].tobytes()], [n[word].tobytes()], [held]]
@@ -238,19 +261,26 @@ def _scored(rows: DataFrame) -> T.StructType:
 
 def _score_by_broadcast(rows: DataFrame, segments: DataFrame, n_segments: int, model: Model, hashes: int) -> DataFrame:
     """Scores in one pass over the rows, with the whole filter and all word counts in the workers."""
-    filters, keys, counts = [b"\0"] * n_segments, [b""] * n_segments, [b""] * n_segments
-    for r in segments.select("segment", "keys", "counts", "filter").toLocalIterator():  # a partition at a time
-        keys[r.segment], counts[r.segment], filters[r.segment] = bytes(r["keys"]), bytes(r["counts"]), bytes(r["filter"])
-    sizes = np.array([len(f) for f in filters])
-    data = [np.frombuffer(b"".join(x), t) for x, t in ((filters, np.uint8), (keys, np.uint64), (counts, np.int64))]
-    del filters, keys, counts
-    shared = rows.sparkSession.sparkContext.broadcast((data, sizes))
-    del data
+    bytes_of, words_of = np.ones(n_segments, np.int64), np.zeros(n_segments, np.int64)
+    for r in segments.select("segment", F.octet_length("filter").alias("bytes"), "words").collect():
+        bytes_of[r.segment], words_of[r.segment] = r.bytes, r.words
+    at, place = np.cumsum(bytes_of) - bytes_of, np.cumsum(words_of) - words_of
+    held, words, counts = np.zeros(int(bytes_of.sum()), np.uint8), np.empty(int(words_of.sum()), np.uint64), np.empty(int(words_of.sum()), np.int64)
+    first = 0
+    while first < n_segments:  # a few segments at a time, straight into their places
+        last = first + max(1, int(np.searchsorted((bytes_of + ENTRY * words_of)[first:].cumsum(), FETCH, "right")))
+        for r in segments.filter(F.col("segment").between(first, last - 1)).select("segment", "keys", "counts", "filter").collect():
+            i = r.segment
+            held[at[i] : at[i] + bytes_of[i]] = np.frombuffer(r["filter"], np.uint8)
+            words[place[i] : place[i] + words_of[i]], counts[place[i] : place[i] + words_of[i]] = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)
+        first = last
+    shared = rows.sparkSession.sparkContext.broadcast((held, words, counts))
+    del held, words, counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (held, words, of), sizes = shared.value
-        probed = LogFrequencyFilter.of(held, sizes, hashes)
-        for part in text_slices(batches, 1):
+        held, words, of = shared.value
+        probed = LogFrequencyFilter.of(held, bytes_of, hashes)
+        for part in text_slices(batches, 1, 2 << 20):
             yield pa.RecordBatch.from_arrays([part.column(0), *model.score(as_bytes(part.column(1)), lambda k: lookup(words, of, k), probed.levels)], ["row", *MEASURES])
 
     return rows.mapInArrow(run, _scored(rows))
@@ -265,12 +295,12 @@ def _score_by_shuffle(rows: DataFrame, segments: DataFrame, n_segments: int, mod
     packed = T.StructType([T.StructField("pack", T.StringType()), T.StructField("rows", T.ArrayType(row)), T.StructField("texts", T.ArrayType(T.StringType()))])
     shift = np.uint64(64 - (n_segments - 1).bit_length())
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 1, pack_bytes):
             lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(i)) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists], ["pack", "rows", "texts"])
 
-    packs = materialise(rows.mapInArrow(pack, packed), "lm-packs")
+    packs = materialise(rows.mapInArrow(packs_of, packed), "lm-packs")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,8 +308,9 @@ def _score_by_shuffle(rows: DataFrame, segments: DataFrame, n_segments: int, mod
                 keys = model.keys(as_bytes(texts.values))
                 segment = (keys >> shift).astype(np.int32)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]])
-                runs = [keys[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(runs), pa.string()), pa.array(segment[cuts[:-1]]), pa.array(runs, pa.binary())], ["pack", "segment", "asked"])
+                none = np.zeros(len(keys), np.uint32)
+                runs = [pack(keys[x:y], none[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(runs), pa.string()), pa.array(segment[cuts[:-1]]), pa.array(np.diff(cuts)), pa.array(runs, pa.binary())], ["pack", "segment", "n", "asked"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         if right.num_rows:
@@ -287,22 +318,25 @@ def _score_by_shuffle(rows: DataFrame, segments: DataFrame, n_segments: int, mod
         else:
             words, of, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.uint8)
         probed = LogFrequencyFilter.of(held, np.array([len(held)]), hashes)
-        asked = [np.frombuffer(k, np.uint64) for k in left.column("asked").to_pylist()]
-        return pa.table({"pack": left.column("pack"), "keys": left.column("asked"), "counts": pa.array([lookup(words, of, k).tobytes() for k in asked], pa.binary()), "levels": pa.array([probed.levels(k).astype(np.uint8).tobytes() for k in asked], pa.binary())})
+        asked = [unpack(k, n)[0] for k, n in zip(left.column("asked").to_pylist(), left.column("n").to_pylist(), strict=True)]
+        exact = [lookup(words, of, k[k & ~WORD == 0]).tobytes() for k in asked]
+        return pa.table({"pack": left.column("pack"), "segment": left.column("segment"), "counts": pa.array(exact, pa.binary()), "levels": pa.array([probed.levels(k).astype(np.uint8).tobytes() for k in asked], pa.binary())})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = [np.concatenate([np.frombuffer(b, t) for b in right.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("counts", np.int64), ("levels", np.uint8))]
-        order = np.argsort(got[0])
-        keys, counts, levels = (x[order] for x in got)
         one, texts = (left.column(c).chunk(0).values for c in ("rows", "texts"))
-        return pa.table([one, *model.score(as_bytes(texts), lambda k: lookup(keys, counts, k), lambda k: lookup(keys, levels, k).astype(np.int64))], ["row", *MEASURES])
-
-    asked = packs.select("pack", "texts").mapInArrow(ask, "pack string, segment int, asked binary")
-    answers = asked.groupBy("segment").cogroup(segments.select("segment", "keys", "counts", "filter").groupBy("segment")).applyInArrow(answer, "pack string, keys binary, counts binary, levels binary")
+        # answers stand in the order of the keys asked for, segment by segment
+        right = right.sort_by("segment")
+        keys = model.keys(as_bytes(texts))
+        counts, levels = (np.concatenate([np.frombuffer(b, t) for b in right.column(c).to_pylist()]) for c, t in (("counts", np.int64), ("levels", np.uint8)))
+        words = keys[keys & ~WORD == 0]
+        return pa.table([one, *model.score(as_bytes(texts), lambda k: lookup(words, counts, k), lambda k: lookup(keys, levels, k).astype(np.int64))], ["row", *MEASURES])
+
+    asked = packs.select("pack", "texts").mapInArrow(ask, "pack string, segment int, n long, asked binary")
+    answers = asked.groupBy("segment").cogroup(segments.select("segment", "keys", "counts", "filter").groupBy("segment")).applyInArrow(answer, "pack string, segment int, counts binary, levels binary")
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, _scored(rows))
 
 
-def score_documents(docs: DataFrame, training: Column | None = None, text: str = "text", order: int = 2, weight: float = 0.7, max_broadcast: int = 160 << 20, pack_bytes: int = 16 << 20, **counting: float) -> DataFrame:
+def score_documents(docs: DataFrame, training: Column | None = None, text: str = "text", order: int = 2, weight: float = 0.7, max_broadcast: int = 144 << 20, pack_bytes: int = 16 << 20, **counting: float) -> DataFrame:
     """Rows (row, n_tokens, n_known, train_tokens, base_score, score), one per input row; row is the whole input row as a struct.
 
     Learns from the rows for which `training` holds (all by default; null does not hold) and scores every row. base_score sums
@@ -313,9 +347,9 @@ def score_documents(docs: DataFrame, training: Column | None = None, text: str =
     Filter and word counts are broadcast while both together have at most max_broadcast bytes, which is checked; beyond, the n-grams to be
     probed are shuffled to the filter's segments. Both ways give the same rows.
     """
-    options = {"base": 2.0, "hashes": 5, **counting}
+    options = {"base": 2.0, "hashes": 4, **counting}
     segments = count_segments(docs.filter(training) if training is not None else docs, text, order, **options)
-    words, tokens, n_segments, size = segments.agg(F.sum("words"), F.sum("tokens"), F.max("segments"), F.sum(F.octet_length("filter") + 16 * F.col("words"))).first()
+    words, tokens, n_segments, size = segments.agg(F.sum("words"), F.sum("tokens"), F.max("segments"), F.sum(F.octet_length("filter") + ENTRY * F.col("words"))).first()
     model, n_segments = Model(tokens or 0, words or 0, order, weight, options["base"]), n_segments or 8
     rows = whole_rows(docs, text)
     if (size or 0) <= max_broadcast:
