@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. A local session may do without and gets one in the working folder; a cluster may not."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = path or f"{os.path.abspath('spark-warehouse')}/scratch"
     return path.rstrip("/") if "://" in path else f"file://{path.rstrip('/')}"
 
 
@@ -33,6 +33,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialised frame that nothing needs any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int = -1, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of about max_bytes of text; a longer text stands alone, never cut."""
     for batch in batches:
@@ -65,7 +73,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Rows (node, component) for every node of `edges` (columns a, b of one integer type); component is the least node.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): each step is a grouped minimum and a join, the number of
-    edges never grows, and each round is written to the shared folder. An empty edge table gives an empty result.
+    edges never grows, and each round is written to the shared folder in place of the one before. An empty edge table gives an empty result.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     before = None
@@ -75,7 +83,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        edges = materialise(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), "edges")
+        last, edges = edges, materialise(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint")), F.sum(F.crc32(F.concat_ws(",", "a", "b").cast("binary")))).first()
         if now == before:
             break
