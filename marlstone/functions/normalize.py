@@ -44,17 +44,18 @@ def _number(x: Column) -> Column:
     return F.when(x.rlike(NUMBER), x.try_cast("double"))
 
 
-def student(x: Column) -> Column:
+# The normalisers take trimmed text, so that a table's texts can be trimmed once, in a projection of their own.
+
+
+def student(t: Column) -> Column:
     """year_number; an STU- prefix or a dash is repaired; other text is kept, unresolved."""
-    t = trimmed(x)
     bare = F.regexp_replace(t, "^STU-", "")
     return (F.when(is_missing(t), _pair(F.lit(""), "unresolved")).when(t.rlike(r"^\d{4}_\d+$"), _pair(t, "direct"))
             .when(t.startswith("STU-") & bare.rlike(r"^\d{4}_\d+$"), _pair(bare, "normalized"))
             .when(t.rlike(r"^\d{4}-\d+$"), _pair(F.replace(t, F.lit("-"), F.lit("_")), "normalized")).otherwise(_pair(t, "unresolved")))
 
 
-def school(x: Column) -> Column:
-    t = trimmed(x)
+def school(t: Column) -> Column:
     return F.when(is_missing(t), _pair(F.lit(""), "unresolved")).when(t.rlike(r"^SCH-\d{3}-\d{2}$"), _pair(t, "direct")).otherwise(_pair(t, "unresolved"))
 
 
@@ -68,9 +69,8 @@ def district_from_school(x: Column) -> Column:
     return _in_range(F.nullif(F.regexp_extract(x, r"^SCH-(\d{3})-\d{2}$", 1), F.lit("")))
 
 
-def district(x: Column, school_code: Column) -> Column:
+def district(t: Column, school_code: Column) -> Column:
     """A number in range, one of five written forms, or the school's district."""
-    t = trimmed(x)
     plain = F.when(t.rlike(r"^\d{1,9}$"), _in_range(t))
     written = F.when(t.rlike(r"^(?i)(district\s+|dist\s+|dist\.\s*)(\d{1,3})$"), _in_range(F.regexp_extract(t, r"(\d{1,3})$", 1))).when(t.rlike(r"^(?i)d\d{3}$"), _in_range(F.substring(t, 2, 3)))
     of_school = district_from_school(school_code)
@@ -78,27 +78,25 @@ def district(x: Column, school_code: Column) -> Column:
             .when(of_school.isNotNull(), _pair(of_school, "recovered_from_school")).otherwise(_pair(F.lit(None).cast("int"), "unresolved")))
 
 
-def year(x: Column, student_id: Column) -> Column:
+def year(t: Column, student_id: Column) -> Column:
     """A year in the set, its last two digits, a span that starts with it, or the year of the student's number."""
-    t = trimmed(x)
     full = F.when(t.rlike(r"^\d{4}$"), t.try_cast("int"))
     short = F.when(t.rlike(r"^\d{2}$"), t.try_cast("int") + 2000)
     span = F.when(t.rlike(r"^\d{4}/\d{4}$"), F.substring(t, 1, 4).try_cast("int"))
     of_student = F.nullif(F.regexp_extract(student_id, STUDENT_YEAR, 1), F.lit("")).try_cast("int")
     return (F.when(full.isin(*YEARS), _pair(full, "direct")).when(short.isin(*YEARS), _pair(short, "normalized")).when(span.isin(*YEARS), _pair(span, "normalized"))
-            .when(of_student.isin(*YEARS), _pair(of_student, "recovered_from_student")).otherwise(_pair(F.lit(None).cast("int"), "unresolved")))
+            .when(of_student.isin(*YEARS), _pair(of_student, "recovered_from_student_id")).otherwise(_pair(F.lit(None).cast("int"), "unresolved")))
 
 
-def binary(x: Column, zeros: Sequence[str], ones: Sequence[str]) -> Column:
-    t = trimmed(x)
+def binary(t: Column, zeros: Sequence[str], ones: Sequence[str]) -> Column:
     low = F.lower(t)
     return (F.when(is_missing(t), _pair(F.lit(None).cast("int"), "unresolved")).when(t.isin("0", "1"), _pair(t.try_cast("int"), "direct"))
             .when(low.isin(*zeros), _pair(F.lit(0), "normalized")).when(low.isin(*ones), _pair(F.lit(1), "normalized")).otherwise(_pair(F.lit(None).cast("int"), "unresolved")))
 
 
-def share(x: Column) -> Column:
+def share(t: Column) -> Column:
     """A number from 0 to 1; a per-cent sign or a value up to 100 is scaled; a decimal comma is read as a point."""
-    t = F.replace(trimmed(x), F.lit(","), F.lit("."))
+    t = F.replace(t, F.lit(","), F.lit("."))
     per_cent = _number(F.regexp_replace(t, r"\s*%$", "")) / 100
     plain = _number(t)
     return (F.when(is_missing(t), _pair(F.lit(None).cast("double"), "unresolved")).when(t.endswith("%") & per_cent.between(0, 1), _pair(per_cent, "normalized"))

@@ -64,10 +64,13 @@ def path_extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def path_domain(path: Column, skip: Sequence[str]) -> Column:
-    """The first folder after data/ that no name in `skip` takes up, else general_project_data."""
-    folders = F.filter(F.slice(F.split(path, "/"), 2, 100), lambda p: ~p.isin(*skip) & ~p.contains("."))
-    return F.when(F.element_at(F.split(path, "/"), 1) == "data", F.coalesce(F.try_element_at(folders, F.lit(1)), F.lit("general_project_data"))).otherwise("general_project_data")
+def path_domain(path: Column, skip: Sequence[str], prefixes: Sequence[str] = ()) -> Column:
+    """Below artifacts/ the next part; below data/ the first folder that is not in `skip` and starts with none of `prefixes`; else general_project_data."""
+    parts = F.split(path, "/")
+    folders = F.filter(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 2)), lambda p: ~p.isin(*skip) & ~p.rlike(f"^({'|'.join(prefixes) or '$.'})"))
+    top = F.element_at(parts, 1)
+    found = F.when(top == "artifacts", F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("artifacts"))).when(top == "data", F.try_element_at(folders, F.lit(1)))
+    return F.coalesce(found, F.lit("general_project_data"))
 
 
 def first_listed(x: Column) -> Column:

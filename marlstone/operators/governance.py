@@ -28,6 +28,10 @@ STRONG = ("credential_or_secret", "email", "email_values", "phone", "phone_like_
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 PHONE = r"^\+?[\d\s().-]{7,20}$"
 PSEUDONYM = r"^[0-9a-fA-F]{16,64}$"
+TEMPORAL = ("date", "datetime", "timestamp", "year", "month", "day", "shift_start", "shift_end", "academic_year", "fiscal_year", "calendar_year", "school_year")
+#: Folders that say how data is made, not what it is about; also those whose names start with a stage of its making.
+TECHNICAL = ("attribution", "operations_state", "scheduler", "simulation", "traffic_scenarios", "distributed_cleaning", "global_resolution", "local_cleaning_test")
+STAGES = ("curated", "processed", "clean", "raw")
 TRANSFER = ("ALLOW", "CONTROLLED", "REVIEW", "BLOCK")
 
 
@@ -39,7 +43,7 @@ def build_catalog(files: DataFrame, path: str = "path", size: str = "size_bytes"
 def enrich(catalog: DataFrame) -> DataFrame:
     """Adds domain, the layer's policy, purpose, sensitivity, metadata_complete and privacy_scan_required."""
     policy = catalog.sparkSession.createDataFrame([(k, *v) for k, v in LAYER_POLICY.items()], "data_layer string, source string, authoritative string, retention_policy string")
-    out = catalog.join(F.broadcast(policy), "data_layer", "left").withColumn("domain", X.path_domain(F.col("path"), NOT_DOMAINS))
+    out = catalog.join(F.broadcast(policy), "data_layer", "left").withColumn("domain", X.path_domain(F.col("path"), (*NOT_DOMAINS, *TECHNICAL), STAGES))
     suffix = F.when(F.col("data_layer") == "artifact", "_reproducibility_monitoring_or_experiment").when(F.col("data_layer") == "raw", "_source_data").when(F.col("data_layer") == "gis", "_geospatial_analysis").otherwise("_research_and_operations")
     scan = F.col("extension").isin(*SCANNED)
     out = out.withColumns({"purpose": F.concat("domain", suffix), "sensitivity": F.when(scan, "pending_privacy_scan").otherwise("review_required"), "privacy_scan_required": scan})
@@ -57,27 +61,26 @@ def name_signals(columns: DataFrame, column: str = "column") -> DataFrame:
 
 def is_temporal_name(x: Column) -> Column:
     name = X.normalized_name(x)
-    return name.isin("date", "datetime", "timestamp", "year", "month", "day") | name.rlike(r"(_date|_time|_timestamp)$") | name.rlike(r"^(date|time|timestamp)_")
+    return name.isin(*TEMPORAL) | name.rlike(r"(_date|_time|_timestamp)$") | name.rlike(r"^(date|time|timestamp)_")
 
 
-def value_signals(df: DataFrame, columns: Sequence[str], key: str, sample: int = 500) -> DataFrame:
-    """Rows (column, signal, weight) from up to `sample` values of each text column, taken in key order."""
-    head = df.select(key, *columns).orderBy(key).limit(sample)
-    long = head.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("e")).select("e.*").filter("v IS NOT NULL")
-    per = long.groupBy("column").agg(F.count("*").alias("n"), F.count_if(F.col("v").rlike(EMAIL)).alias("mails"), F.count_if(F.col("v").rlike(PHONE)).alias("phones"), F.count_if(F.col("v").rlike(PSEUDONYM)).alias("hexes"))
+def value_signals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (column, signal, weight) from all values of each text column that are not null: one pass, counted per partition before anything moves."""
+    counted = {c: F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.count_if(v.rlike(EMAIL)).alias("mails"), F.count_if(v.rlike(PHONE)).alias("phones"), F.count_if(v.rlike(PSEUDONYM)).alias("hexes")) for c, v in ((c, F.col(c).cast("string")) for c in columns)}
+    per = df.agg(F.array(*counted.values()).alias("e")).select(F.explode("e").alias("e")).select("e.*").filter("n > 0")
     temporal = is_temporal_name(F.col("column"))
 
     def found(when: Column, signal: str, weight: int) -> Column:
         return F.when(when, F.struct(F.lit(signal).alias("signal"), F.lit(weight).alias("weight")))
 
-    rules = [found(F.col("mails") >= 2, "email_values", 5), found(temporal, "temporal", 2), found((F.col("n") >= 5) & ~temporal & (F.col("phones") >= 0.8 * F.col("n")), "phone_like_values", 4), found((F.col("n") >= 5) & (F.col("hexes") >= 0.95 * F.col("n")), "pseudonym_values", 0)]
+    rules = [found(F.col("mails") >= 2, "email_values", 5), found(temporal, "temporal_quasi_identifier", 2), found((F.col("n") >= 5) & ~temporal & (F.col("phones") >= 0.8 * F.col("n")), "phone_like_values", 4), found((F.col("n") >= 5) & (F.col("hexes") >= 0.95 * F.col("n")), "pseudonym_values", 0)]
     return per.select("column", F.explode(F.array_compact(F.array(*rules))).alias("s")).select("column", "s.signal", "s.weight")
 
 
-def profile_privacy(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+def profile_privacy(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows (column, signal, weight): names and values; an id column that holds pseudonyms counts as pseudonymized_identifier, 3."""
     names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
-    found = name_signals(names).unionByName(value_signals(df, columns, key))
+    found = name_signals(names).unionByName(value_signals(df, columns))
     hidden = found.filter("signal = 'pseudonym_values'").select("column", F.lit(True).alias("_hidden"))
     down = (F.col("signal") == "personal_id") & F.col("_hidden").isNotNull()
     both = found.filter("signal <> 'pseudonym_values'").join(hidden, "column", "left")
@@ -150,7 +153,7 @@ def transfer_decision(row: Mapping[str, Column]) -> Column:
 def transfer_plan(events: DataFrame, catalog: DataFrame, transformation: str) -> DataFrame:
     """The inputs of a transformation's latest event with their decisions; inputs outside the catalog are reviewed."""
     runs = events.filter(F.col("transformation") == transformation)
-    last = quality.newest_first(runs.withColumn("_all", F.lit(1)), ["_all"], [F.desc("timestamp_utc"), F.desc("seq")])
+    last = runs.agg(F.max_by("inputs", F.struct("timestamp_utc", "seq")).alias("inputs"))
     inputs = last.select(F.explode("inputs.path").alias("path")).distinct()
     both = inputs.join(catalog.withColumn("_in", F.lit(True)), "path", "left")
     decision = F.when(F.col("_in").isNull(), "REVIEW").otherwise(transfer_decision({c: F.col(c) for c in ("sensitivity", "metadata_complete")}))

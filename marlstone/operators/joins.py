@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -41,34 +42,51 @@ def lookup_window(df: DataFrame, minute: str, windows: DataFrame) -> DataFrame:
     The windows of one day are few (a table of minutes), so all 1,440 minutes are resolved first and joined by equality.
     """
     minutes = df.sparkSession.range(1440).select(F.col("id").cast("int").alias("_m"))
-    inside = minutes.join(F.broadcast(windows), (F.col("start") <= F.col("_m")) & (F.col("_m") < F.col("end")), "left").groupBy("_m").agg(F.min("end").alias("window_end"))
-    after = minutes.join(F.broadcast(windows), F.col("start") > F.col("_m"), "left").groupBy("_m").agg(F.min("start").alias("next_start"))
+    inside = minutes.join(windows, (F.col("start") <= F.col("_m")) & (F.col("_m") < F.col("end")), "left").groupBy("_m").agg(F.min("end").alias("window_end"))
+    after = minutes.join(windows, F.col("start") > F.col("_m"), "left").groupBy("_m").agg(F.min("start").alias("next_start"))
     return df.join(F.broadcast(inside.join(after, "_m")), df[minute] == F.col("_m"), "left").drop("_m")
 
 
 def scenario_sweep(df: DataFrame, load: str, capacity: str, scenarios: int = 2048, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """Per multiplier between low and high: rows whose load, times it, passes capacity, and by how much in all.
 
-    Every row meets every scenario inside its partition, and only sums leave it.
+    A row passes its capacity from one scenario on (a negative load: up to one), so it is counted where that begins and where it ends, and running sums
+    over the scenarios give the rest: rows plus scenarios, not their product. Rows with a null take no part; an empty table gives no rows.
     """
     step = (high - low) / max(1, scenarios - 1)
-    grown = df.select(F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario"), load, capacity)
-    over = F.greatest(F.col(load) * (F.lit(low) + F.col("scenario") * F.lit(step)) - F.col(capacity), F.lit(0.0))
-    return grown.groupBy("scenario").agg(F.count_if(over > 0).alias("events"), F.sum(over).alias("excess"))
+    x, c = F.col(load), F.col(capacity)
+
+    def passes(scenario: Column) -> Column:
+        return x * (F.lit(low) + scenario * F.lit(step)) > c
+
+    # the crossing by division, then to the exact scenario by the comparison itself
+    near = F.greatest(F.lit(-1), F.least(F.lit(scenarios + 1), F.floor((F.try_divide(c.cast("double"), x.cast("double")) - low) / (step or 1.0)))).cast("int")
+    around = F.filter(F.transform(F.sequence(F.lit(-2), F.lit(3)), lambda i: near + i), lambda s: (s >= 0) & (s < scenarios))
+    up = F.when(x > 0, F.coalesce(F.array_min(F.filter(around, passes)), F.lit(scenarios))).otherwise(0)
+    end = F.when(x < 0, F.coalesce(F.array_min(F.filter(around, lambda s: ~passes(s))), F.lit(scenarios))).otherwise(scenarios)
+    end = F.when((x <= 0) & ~passes(F.lit(0)), 0).otherwise(end)
+    turns = df.filter(x.isNotNull() & c.isNotNull()).select(F.explode(F.array(F.struct(up.alias("scenario"), F.lit(1).alias("sign")), F.struct(end.alias("scenario"), F.lit(-1).alias("sign")))).alias("t"), x.alias("x"), c.alias("c")).select("t.*", "x", "c")
+    deltas = turns.filter(F.col("scenario") < scenarios).groupBy("scenario").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("x")).alias("x"), F.sum(F.col("sign") * F.col("c")).alias("c"))
+    every = df.limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(scenarios - 1))).alias("scenario"))
+    # one row for each scenario, a parameter
+    running = Window.orderBy("scenario")
+    sums = every.join(deltas, "scenario", "left").select("scenario", *[F.sum(F.coalesce(k, F.lit(0))).over(running).alias(k) for k in ("n", "x", "c")])
+    excess = F.col("x") * (F.lit(low) + F.col("scenario") * F.lit(step)) - F.col("c")
+    return sums.select("scenario", F.col("n").alias("events"), F.when(F.col("n") > 0, excess).otherwise(F.lit(0.0)).alias("excess"))
 
 
 def product(*frames: DataFrame) -> DataFrame:
-    """All combinations of the rows of small dimension tables."""
+    """All combinations of the rows of small dimension tables; which side is broadcast, if any, is left to Spark, which knows the sizes."""
     out = frames[0]
     for f in frames[1:]:
-        out = out.crossJoin(F.broadcast(f))
+        out = out.crossJoin(f)
     return out
 
 
 def fill_from_policy(requests: DataFrame, policies: DataFrame, on: str, fields: Sequence[str]) -> DataFrame:
     """Null fields of a request taken from its policy."""
     p = policies.select(on, *[F.col(f).alias(f"_p_{f}") for f in fields])
-    both = requests.join(F.broadcast(p), on, "left")
+    both = requests.join(p, on, "left")
     return both.select(*[F.coalesce(c, f"_p_{c}").alias(c) if c in fields else F.col(c) for c in requests.columns])
 
 

@@ -30,10 +30,11 @@ def read_variants(frames: Sequence[DataFrame], canonical: Sequence[str] = FIELDS
 
 def clean_records(df: DataFrame) -> DataFrame:
     """Seven values and their statuses, and quarantine_reason; other columns are kept as they are."""
-    # every field is worked out from raw text, so that no expression contains another's cases
-    done = df.withColumns({
-        "_student": N.student(F.col("student_id")), "_school": N.school(F.col("school_code")), "_district": N.district(F.col("district_id"), N.trimmed(F.col("school_code"))), "_year": N.year(F.col("academic_year"), N.trimmed(F.col("student_id"))),
-        "_absent": N.binary(F.col("absent"), N.ABSENT_ZERO, N.ABSENT_ONE), "_rural": N.binary(F.col("rural"), N.RURAL_ZERO, N.RURAL_ONE), "_score": N.share(F.col("deprivation_score"))})
+    # texts are trimmed first, and every field is worked out from these, so that no expression contains another's cases
+    t = {c: F.col(f"_t_{c}") for c in FIELDS}
+    done = df.withColumns({f"_t_{c}": N.trimmed(F.col(c)) for c in FIELDS}).withColumns({
+        "_student": N.student(t["student_id"]), "_school": N.school(t["school_code"]), "_district": N.district(t["district_id"], t["school_code"]), "_year": N.year(t["academic_year"], t["student_id"]),
+        "_absent": N.binary(t["absent"], N.ABSENT_ZERO, N.ABSENT_ONE), "_rural": N.binary(t["rural"], N.RURAL_ZERO, N.RURAL_ONE), "_score": N.share(t["deprivation_score"])})
     held = {"student_id": "_student", "district_id": "_district", "academic_year": "_year", "absent": "_absent", "deprivation_score": "_score", "rural": "_rural", "school_code": "_school"}
     reason = N.quarantine_reason(student=F.col("_student.value") == "", district=F.col("_district.value").isNull(), year=F.col("_year.value").isNull(), absent=F.col("_absent.value").isNull())
     rest = [F.col(c) for c in df.columns if c not in FIELDS]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import windows
 
@@ -63,7 +63,7 @@ def compliance(due: DataFrame, unreachable: DataFrame, served: DataFrame, by: Se
 def collection_points(bins: DataFrame, by: Sequence[str], bin_type: str, capacity: str) -> DataFrame:
     """Co-located bins as one point: counts by type, capacity and a number in order of place."""
     points = bins.groupBy(*by).agg(*[F.count_if(F.col(bin_type) == t).alias(f"{t}_bins") for t in ("small", "medium", "large")], F.sum(capacity).alias("capacity"))
-    return windows.numbered(points.withColumn("_one", F.lit(1)), ["_one"], list(by), "point").drop("_one")
+    return windows.ranked(points, list(by), "capacity").withColumn("point", F.col("rank").cast("int")).drop("rank", "running")
 
 
 def hotspots(panel: DataFrame, zone: str, day: str, load: str) -> DataFrame:
@@ -96,31 +96,29 @@ def replay(events: DataFrame, capacity: float, key: str = "bin") -> DataFrame:
     street; a pickup takes from the street first, then from the bin, as far as there is any.
 
     Events (bin, day, minute, event_id, kind arrival or pickup, kg) are worked through in order of (day, minute, arrivals first, event_id); what is
-    left is carried to the next day. One bin's history is one group; minutes past 1440 are an error.
-    """
+    left is carried to the next day; minutes past 1440 are an error; a null amount is 0.
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        if (group["minute"] > 1440).any():
-            raise ValueError("an event after the end of its day")
-        group = group.assign(_p=(group["kind"] == "pickup").astype(int)).sort_values(["day", "minute", "_p", "event_id"])
-        inside = street = 0.0
-        rows = []
-        for day, part in group.groupby("day", sort=True):
-            arrived = collected = unmet = peak = 0.0
-            for kind, kg in zip(part["kind"], part["kg"], strict=True):
-                if kind == "arrival":
-                    room = min(kg, max(capacity - inside, 0.0))
-                    inside, street, arrived = inside + room, street + kg - room, arrived + kg
-                else:
-                    of_street = min(street, kg)
-                    of_bin = min(inside, kg - of_street)
-                    inside, street = inside - of_bin, street - of_street
-                    collected, unmet = collected + of_street + of_bin, unmet + kg - of_street - of_bin
-                peak = max(peak, street)
-            rows.append((group[key].iloc[0], day, arrived, collected, unmet, inside, street, peak))
-        return pd.DataFrame(rows, columns=[key, "day", "arrived", "collected", "unmet", "left_in_bin", "left_on_street", "peak_street"])
-
-    return events.groupBy(key).applyInPandas(fold, f"{key} {events.schema[key].dataType.simpleString()}, day date, arrived double, collected double, unmet double, left_in_bin double, left_on_street double, peak_street double")
+    The street holds something only while the bin is full, so the total is all there is to know, and a total that pickups cannot take below
+    0 is its plain running sum less the least that this sum has come to (if below 0). Days are summed up first, to a sum and a least each; these are
+    carried from day to day, and each (bin, day) is then worked through on its own.
+    """
+    late = F.when(F.col("minute") > 1440, F.raise_error(F.lit("an event after the end of its day")).cast("int"))
+    pickup = (F.coalesce(F.col("kind"), F.lit("")) == "pickup").cast("int")
+    kg = F.coalesce(F.col("kg").cast("double"), F.lit(0.0))
+    signed = events.select(key, "day", F.coalesce(late, F.col("minute")).alias("minute"), pickup.alias("pickup"), "event_id", F.when(pickup == 1, -kg).otherwise(kg).alias("change"))
+    inside = Window.partitionBy(key, "day").orderBy("minute", "pickup", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = signed.withColumn("plain", F.sum("change").over(inside)).withColumn("least", F.min("plain").over(inside))
+    days = summed.groupBy(key, "day").agg(F.sum("change").alias("sum"), F.min("plain").alias("low"))
+    earlier = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    begun = days.withColumn("base", F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)))
+    begun = begun.withColumn("floor", F.least(F.lit(0.0), F.coalesce(F.min(F.col("base") + F.col("low")).over(earlier), F.lit(0.0)))).select(key, "day", "base", "floor")
+    total = F.col("base") + F.col("plain") - F.least(F.col("floor"), F.col("base") + F.col("least"))
+    states = summed.join(begun, [key, "day"]).withColumn("total", total)
+    before = F.coalesce(F.lag("total").over(Window.partitionBy(key, "day").orderBy("minute", "pickup", "event_id")), F.col("base") - F.col("floor"))
+    states = states.withColumn("taken", F.when(F.col("pickup") == 1, before - F.col("total")).otherwise(F.lit(0.0)))
+    last = F.max_by("total", F.struct("minute", "pickup", "event_id"))
+    out = states.groupBy(key, "day").agg(F.sum(F.greatest("change", F.lit(0.0))).alias("arrived"), F.sum("taken").alias("collected"), F.sum(F.when(F.col("pickup") == 1, -F.col("change") - F.col("taken")).otherwise(F.lit(0.0))).alias("unmet"), last.alias("left"), F.max(F.greatest(F.col("total") - capacity, F.lit(0.0))).alias("peak_street"))
+    return out.select(key, "day", "arrived", "collected", "unmet", F.least("left", F.lit(float(capacity))).alias("left_in_bin"), F.greatest(F.col("left") - capacity, F.lit(0.0)).alias("left_on_street"), "peak_street")
 
 
 def _unknown(names: Sequence[str]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialise
+from ..sources.tables import discard, materialise
 
 
 def cell_of(x: Column, y: Column, size: float) -> Column:
@@ -26,33 +26,28 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, x: str = "
     return points_in_cells(points, size, x, y).join(spread, ["cx", "cy"]).filter(inside).drop("cx", "cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, rounds: int = 6, by: Sequence[str] = ()) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, by: Sequence[str] = ()) -> DataFrame:
     """Rows (left_id, [by], right_id, distance): the nearest right row of each left row (and value of `by`), ties to the lesser id; columns x, y.
 
     Round by round, cells double in size; a left row meets the right rows of its own and the eight cells around, and is settled if the
-    nearest is no farther than a cell is wide, since then nothing outside can be nearer. What is left after all rounds
-    meets every right row, so choose size and rounds to span the plane. Each round is an equality join.
+    nearest is no farther than a cell is wide, since then nothing outside can be nearer. Each round is an equality join, and there are as many as it takes;
+    a round of wide cells is left to the rows that lie far from everything. Rows without a place are left out.
     """
-    l_cols, keys = left.select(left_id, "x", "y"), [left_id, *by]
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double"))
+    right = right.filter(placed)
+    l_cols, keys = left.filter(placed).select(left_id, "x", "y"), [left_id, *by]
     r_cols = right.select(F.col(right_id), F.col("x").alias("rx"), F.col("y").alias("ry"), *by)
-    open_rows = l_cols.crossJoin(F.broadcast(right.select(*by).distinct())) if by else l_cols
-    parts = []
-    for i in range(rounds + 1):
-        width = size * 2**i
-        last = i == rounds
-        if last:
-            met = open_rows.join(r_cols, list(by)) if by else open_rows.crossJoin(r_cols)
-        else:
-            around = F.explode(F.array(*[F.struct((F.floor(F.col("x") / width) + a).alias("cx"), (F.floor(F.col("y") / width) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-            met = open_rows.withColumn("_cell", around).join(r_cols.withColumn("_cell", cell_of(F.col("rx"), F.col("ry"), width)), ["_cell", *by])
+    open_rows = l_cols.crossJoin(right.select(*by).distinct()) if by else l_cols
+    parts, width = [], size
+    while not parts or not (open_rows.isEmpty() or right.isEmpty()):
+        around = F.explode(F.array(*[F.struct((F.floor(F.col("x") / width) + a).alias("cx"), (F.floor(F.col("y") / width) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        met = open_rows.withColumn("_cell", around).join(r_cols.withColumn("_cell", cell_of(F.col("rx"), F.col("ry"), width)), ["_cell", *by])
         distance = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
         best = met.withColumn("d", distance).groupBy(*keys).agg(F.min(F.struct("d", right_id)).alias("b"))
-        settled = best.filter(F.lit(last) | (F.col("b.d") <= width)).select(*keys, F.col(f"b.{right_id}").alias(right_id), F.col("b.d").alias("distance"))
-        settled = materialise(settled, "nearest")
-        parts.append(settled)
-        open_rows = open_rows.join(settled.select(*keys), keys, "left_anti")
-        if not last and open_rows.isEmpty():
-            break
+        settled = best.filter(F.col("b.d") <= width).select(*keys, F.col(f"b.{right_id}").alias(right_id), F.col("b.d").alias("distance"))
+        parts.append(materialise(settled, "nearest"))
+        open_rows = open_rows.join(parts[-1].select(*keys), keys, "left_anti")
+        width *= 2
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -90,10 +85,13 @@ def shortest_times(edges: DataFrame, origins: DataFrame, keys: Sequence[str] = (
     for _ in range(max_rounds):
         reached = frontier.withColumnRenamed("node", "src").join(usable, [*keys, "src"]).groupBy(*keys, "origin", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("cost"))
         better = reached.alias("r").join(best.withColumnRenamed("cost", "_old"), ids, "left").filter(F.col("_old").isNull() | (F.col("cost") < F.col("_old"))).select(*ids, "cost")
+        last = (best, frontier)
         frontier = materialise(better, "frontier")
         if frontier.isEmpty():
             return best
         best = materialise(best.unionByName(frontier).groupBy(*ids).agg(F.min("cost").alias("cost")), "paths")
+        for old in last:  # the round before is not read again
+            discard(old)
     raise RuntimeError(f"paths did not settle within {max_rounds} rounds")
 
 
@@ -112,7 +110,7 @@ def travel_matrix(edges: DataFrame, hubs: DataFrame, bins: DataFrame, keys: Sequ
     there = shortest_times(edges, origins, keys).select(*keys, F.col("origin").alias("hub"), F.col("node").alias("bin"), F.col("cost").alias("there"))
     turned = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     back = shortest_times(turned, origins, keys).select(*keys, F.col("origin").alias("hub"), F.col("node").alias("bin"), F.col("cost").alias("back"))
-    pairs = hubs.crossJoin(F.broadcast(bins.select("bin")))
+    pairs = hubs.crossJoin(bins.select("bin"))
     on = [*keys, "hub", "bin"]
     return pairs.join(there, on, "left").join(back, on, "left").withColumn("round_trip", F.col("there") + F.col("back"))
 
@@ -122,11 +120,23 @@ def cell_sums(pixels: DataFrame, size: float, value: str = "v") -> DataFrame:
     return points_in_cells(pixels, size).groupBy("cx", "cy").agg(F.sum(F.greatest(F.coalesce(value, F.lit(0)), F.lit(0))).alias("total"))
 
 
-def grid(minx: float, miny: float, maxx: float, maxy: float, size: float, area: tuple[float, float, float, float], spark, least: float = 0.25) -> DataFrame:
-    """Cells of a bounding box with the share of each that an axis-aligned area covers, if at least `least`."""
-    xs, ys = spark.range(int((maxx - minx) // size)), spark.range(int((maxy - miny) // size))
-    cells = xs.select(F.col("id").alias("cx")).crossJoin(ys.select(F.col("id").alias("cy")))
-    left, low = F.lit(minx) + F.col("cx") * size, F.lit(miny) + F.col("cy") * size
-    wide = F.greatest(F.lit(0.0), F.least(left + size, F.lit(area[2])) - F.greatest(left, F.lit(area[0])))
-    high = F.greatest(F.lit(0.0), F.least(low + size, F.lit(area[3])) - F.greatest(low, F.lit(area[1])))
-    return cells.withColumn("coverage", wide * high / (size * size)).filter(F.col("coverage") >= least)
+def bounds(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """One row: the box around the points."""
+    return points.agg(F.min(x).alias("minx"), F.min(y).alias("miny"), F.max(x).alias("maxx"), F.max(y).alias("maxy"))
+
+
+def grid(box: DataFrame, size: float) -> DataFrame:
+    """Rows (cx, cy): the cells that a box (one row of minx, miny, maxx, maxy) touches."""
+    def along(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
+
+    return box.select("miny", "maxy", along("minx", "maxx").alias("cx")).select("cx", along("miny", "maxy").alias("cy"))
+
+
+def coverage(cells: DataFrame, area: DataFrame, size: float, least: float = 0.25) -> DataFrame:
+    """Cells (cx, cy) with the share of each that an axis-aligned area (one row) covers, if at least `least`."""
+    both = cells.crossJoin(area)
+    left, low = F.col("cx") * size, F.col("cy") * size
+    wide = F.greatest(F.lit(0.0), F.least(left + size, F.col("maxx")) - F.greatest(left, F.col("minx")))
+    high = F.greatest(F.lit(0.0), F.least(low + size, F.col("maxy")) - F.greatest(low, F.col("miny")))
+    return both.select("cx", "cy", (wide * high / (size * size)).alias("coverage")).filter(F.col("coverage") >= least)

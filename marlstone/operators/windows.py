@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalars as X
 from ..sources.tables import materialise
 
 
@@ -78,13 +79,13 @@ def halves(df: DataFrame, day: str) -> DataFrame:
 
 def surrogate_ids(df: DataFrame, key: str, form: str = "CP%04d") -> DataFrame:
     """Formatted numbers in key order, for the distinct keys of a dimension."""
-    keys = df.select(key).distinct()
-    return keys.withColumn("surrogate", F.format_string(form, F.row_number().over(Window.orderBy(key))))
+    keys = df.select(key).distinct().withColumn("_none", F.lit(0))
+    return ranked(keys, [key], "_none").select(key, F.format_string(form, "rank").alias("surrogate"))
 
 
-def partition_sizes(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Rows of each partition after hash partitioning by keys."""
-    return df.repartition(n, *keys).groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
+def partition_sizes(df: DataFrame, n: int, key: str) -> DataFrame:
+    """Rows of each of n partitions that a hash of the key chooses."""
+    return df.repartitionById(n, X.md5_bucket(F.col(key), n).cast("int")).groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -194,11 +194,11 @@ def _(s: Source) -> DataFrame:
     return A.totals_agree(parts, wholes, "o_orderkey", "p", "w")
 
 
-@query("a33_worst_level", "SELECT c_nationkey, ['ALLOW', 'CONTROLLED', 'REVIEW', 'BLOCK'][CAST(max(c_custkey % 4) + 1 AS INT)] AS worst FROM {customer} WHERE c_custkey % 7 < 3 GROUP BY 1")
+@query("a33_worst_level", "SELECT o_custkey, ['ALLOW', 'CONTROLLED', 'REVIEW', 'BLOCK'][CAST(max(o_orderkey % 4) + 1 AS INT)] AS worst FROM {orders} GROUP BY 1")
 def _(s: Source) -> DataFrame:
     order = ["ALLOW", "CONTROLLED", "REVIEW", "BLOCK"]
-    level = F.element_at(F.array(*[F.lit(o) for o in order]), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return A.worst_of(s.table("customer").filter("c_custkey % 7 < 3").withColumn("level", level), "c_nationkey", "level", order)
+    level = F.element_at(F.array(*[F.lit(o) for o in order]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return A.worst_of(s.table("orders").withColumn("level", level), "o_custkey", "level", order)
 
 
 @query("a34_price_bands", "SELECT p_brand, min(p_retailprice) AS low, max(p_retailprice) AS high, count(*) AS n FROM {part} GROUP BY 1")

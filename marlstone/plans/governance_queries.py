@@ -9,12 +9,13 @@ from ..functions import scalars as X
 from ..operators import aggregates as A
 from ..operators import governance as G
 from ..operators import joins as J
+from ..sources import tables as T
 from .aggregate_queries import rounded
 from .registry import Source, query, view
 
 view("catalog", """
 SELECT path, digest, CASE page_id % 6 WHEN 0 THEN 'raw' WHEN 1 THEN 'curated' WHEN 2 THEN 'processed' WHEN 3 THEN 'gis' WHEN 4 THEN 'artifact' ELSE 'other' END AS data_layer,
-  CASE page_id % 6 WHEN 0 THEN 'education' WHEN 1 THEN 'health' WHEN 2 THEN 'refuse' ELSE 'general_project_data' END AS domain,
+  CASE page_id % 6 WHEN 0 THEN 'education' WHEN 1 THEN 'health' WHEN 2 THEN 'refuse' WHEN 3 THEN CASE WHEN page_id % 12 = 9 THEN 'transport' ELSE 'general_project_data' END WHEN 4 THEN 'models' ELSE 'general_project_data' END AS domain,
   CASE page_id % 4 WHEN 0 THEN '.csv' WHEN 1 THEN '.parquet' WHEN 2 THEN '.json' ELSE '.bin' END AS extension, round(size_bytes / CAST(1048576 AS DOUBLE), 4) AS size_mb,
   CASE WHEN page_id % 6 IN (0, 5) THEN false ELSE true END AS metadata_complete, page_id % 4 < 3 AS privacy_scan_required, page_id,
   CASE WHEN page_id % 4 = 3 THEN 'review_required' WHEN page_id % 10 = 1 THEN 'restricted' WHEN page_id % 10 = 2 THEN 'potentially_personal' ELSE 'internal' END AS sensitivity
@@ -71,7 +72,7 @@ def _(s: Source) -> DataFrame:
 
 @query("x06_path_parts", "SELECT path, data_layer, domain, extension FROM {catalog} c")
 def _(s: Source) -> DataFrame:
-    return s.view("assets").select("path", X.path_layer(F.col("path")).alias("data_layer"), X.path_domain(F.col("path"), G.NOT_DOMAINS).alias("domain"), X.path_extension(F.col("path")).alias("extension"))
+    return s.view("assets").select("path", X.path_layer(F.col("path")).alias("data_layer"), X.path_domain(F.col("path"), (*G.NOT_DOMAINS, *G.TECHNICAL), G.STAGES).alias("domain"), X.path_extension(F.col("path")).alias("extension"))
 
 
 _ROADS = "SELECT l_orderkey * 10 + l_linenumber AS edge, CASE l_partkey % 5 WHEN 0 THEN 'primary_link' WHEN 1 THEN 'residential' WHEN 2 THEN 'trunk' WHEN 3 THEN 'service' ELSE 'tertiary' END AS highway, CASE l_suppkey % 4 WHEN 0 THEN '30 mph' WHEN 1 THEN '50' WHEN 2 THEN 'none' ELSE '[''40'', ''60'']' END AS speed_text, l_quantity * 10 AS length_m, l_partkey FROM {lineitem}"
@@ -117,9 +118,9 @@ def _(s: Source) -> DataFrame:
     return s.view("panel").agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
 
 
-@query("x13_clock", "SELECT DISTINCT minute, strftime(TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * (28800 + minute * 60), '%H:%M:%S') AS clock FROM {arrivals} a WHERE minute < 900")
+@query("x13_clock", "SELECT DISTINCT minute, strftime(TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * (28800 + minute * 60), '%H:%M:%S') AS clock FROM {arrivals} a")
 def _(s: Source) -> DataFrame:
-    return s.view("arrivals").filter("minute < 900").select("minute", X.clock(F.col("minute")).alias("clock")).distinct()
+    return s.view("arrivals").select("minute", X.clock(F.col("minute")).alias("clock")).distinct()
 
 
 @query("x14_seasonal", "SELECT zone, round(sum(greatest(0.5, least(1.5, 1 + 0.2 * sin(2 * 3.141592653589793 * dayofyear(day) / 365)))), 6) AS season FROM {panel} p GROUP BY 1")
@@ -187,9 +188,12 @@ def _(s: Source) -> DataFrame:
     return s.table("events").groupBy(F.from_json("props", "k int")["k"].alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("s12_hash_files", "SELECT CAST(CAST('0x' || substr(md5(student_id), 1, 8) AS BIGINT) % 8 AS BIGINT) AS bucket, min(student_id) AS low, max(student_id) AS high FROM {attendance} a GROUP BY 1")
+@query("s12_hash_files", "SELECT CAST(CAST('0x' || substr(md5(student_id), 1, 8) AS BIGINT) % 8 AS BIGINT) AS bucket, count(*) AS n, min(student_id) AS low, max(student_id) AS high, CAST(1 AS BIGINT) AS files FROM {attendance} a GROUP BY 1")
 def _(s: Source) -> DataFrame:
-    return s.view("attendance").groupBy(X.md5_bucket(F.col("student_id"), 8).alias("bucket")).agg(F.min("student_id").alias("low"), F.max("student_id").alias("high"))
+    path = T.scratch(s.spark, "hashed")
+    T.write_hashed(s.view("attendance").select("student_id"), path, "student_id", 8)
+    back = s.spark.read.schema("student_id string, bucket long").parquet(path)
+    return back.groupBy("bucket").agg(F.count("*").alias("n"), F.min("student_id").alias("low"), F.max("student_id").alias("high"), F.countDistinct("_metadata.file_path").alias("files"))
 
 
 @query("g01_catalog", "SELECT path, extension, size_mb, data_layer FROM {catalog} c")
@@ -202,29 +206,36 @@ def _(s: Source) -> DataFrame:
     return G.enrich(G.build_catalog(s.view("assets"))).select("path", "domain", "metadata_complete", "privacy_scan_required", "purpose")
 
 
-@query("g03_name_signals", "SELECT * FROM (VALUES ('api_key', 'credential_or_secret', 5), ('mobile', 'phone', 5), ('full_name', 'person_name', 3), ('customer_id', 'personal_id', 5), ('national_id', 'personal_id', 5), ('birth_date', 'date_of_birth', 4)) t(\"column\", signal, weight)")
+_NAME_RULES = {"email": (5, ("email", "e_mail", "mail_address")), "phone": (5, ("phone", "mobile", "telephone")), "person_name": (3, ("first_name", "last_name", "full_name")), "personal_id": (5, ("national_id", "passport", "customer_id", "student_id")), "date_of_birth": (4, ("date_of_birth", "birth_date", "dob"))}
+_NAMED = "SELECT column_name AS \"column\" FROM (DESCRIBE SELECT * FROM {people} p)"
+_BY_NAME = " UNION ALL ".join([f"SELECT \"column\", 'credential_or_secret' AS signal, 5 AS weight FROM ({_NAMED}) WHERE regexp_matches(lower(\"column\"), 'api[_-]?key|secret|password|token|private[_-]?key')", *[f"SELECT \"column\", '{signal}', {weight} FROM ({_NAMED}) WHERE lower(\"column\") IN {names}" for signal, (weight, names) in _NAME_RULES.items()]])
+_TEXTS = ["full_name", "contact", "mobile", "customer_id", "segment", "birth_date"]
+_COUNTED = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) FILTER (regexp_matches({c}, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')) AS mails, count(*) FILTER (regexp_matches({c}, '^\\+?[\\d\\s().-]{{7,20}}$')) AS phones, count(*) FILTER (regexp_matches({c}, '^[0-9a-fA-F]{{16,64}}$')) AS hexes FROM {{people}} p" for c in _TEXTS).replace("{{7,20}}", "{7,20}")
+_BY_VALUE = f"SELECT \"column\", 'email_values' AS signal, 5 AS weight FROM ({_COUNTED}) WHERE mails >= 2 UNION ALL SELECT \"column\", 'temporal_quasi_identifier', 2 FROM ({_COUNTED}) WHERE \"column\" LIKE '%\\_date' ESCAPE '\\' AND n > 0 UNION ALL SELECT \"column\", 'phone_like_values', 4 FROM ({_COUNTED}) WHERE n >= 5 AND phones >= 0.8 * n AND NOT \"column\" LIKE '%\\_date' ESCAPE '\\' UNION ALL SELECT \"column\", 'pseudonym_values', 0 FROM ({_COUNTED}) WHERE n >= 5 AND hexes >= 0.95 * n"
+_PROFILE = f"SELECT f.\"column\", CASE WHEN signal = 'personal_id' AND h.\"column\" IS NOT NULL THEN 'pseudonymized_identifier' ELSE signal END AS signal, CASE WHEN signal = 'personal_id' AND h.\"column\" IS NOT NULL THEN 3 ELSE weight END AS weight FROM ({_BY_NAME} UNION ALL SELECT * FROM ({_BY_VALUE}) WHERE signal <> 'pseudonym_values') f LEFT JOIN (SELECT \"column\" FROM ({_BY_VALUE}) WHERE signal = 'pseudonym_values') h ON f.\"column\" = h.\"column\""
+
+
+@query("g03_name_signals", _BY_NAME)
 def _(s: Source) -> DataFrame:
     p = s.view("people")
     names = p.select(F.explode(F.map_keys(F.create_map(*[x for c in p.columns for x in (F.lit(c), F.lit(1))]))).alias("column")).distinct()
     return G.name_signals(names)
 
 
-_SAMPLE = "(SELECT * FROM {people} p ORDER BY c_custkey LIMIT 500)"
-
-
-@query("g04_value_signals", f"SELECT 'contact' AS \"column\", 'email_values' AS signal, 5 AS weight FROM {_SAMPLE} HAVING count(*) FILTER (regexp_matches(contact, '@')) >= 2 UNION ALL SELECT 'mobile', 'phone_like_values', 4 FROM {_SAMPLE} HAVING count(*) >= 5 UNION ALL SELECT 'customer_id', 'pseudonym_values', 0 FROM {_SAMPLE} HAVING count(*) >= 5")
+@query("g04_value_signals", _BY_VALUE)
 def _(s: Source) -> DataFrame:
-    return G.value_signals(s.view("people"), ["full_name", "contact", "mobile", "customer_id", "segment"], "c_custkey")
+    return G.value_signals(s.view("people"), _TEXTS)
 
 
-@query("g05_profile", "SELECT \"column\", CASE WHEN \"column\" = 'customer_id' THEN 'pseudonymized_identifier' ELSE signal END AS signal, CASE WHEN \"column\" = 'customer_id' THEN 3 ELSE weight END AS weight FROM (VALUES ('api_key', 'credential_or_secret', 5), ('mobile', 'phone', 5), ('full_name', 'person_name', 3), ('customer_id', 'personal_id', 5), ('national_id', 'personal_id', 5), ('birth_date', 'date_of_birth', 4), ('contact', 'email_values', 5), ('mobile', 'phone_like_values', 4)) t(\"column\", signal, weight)")
+@query("g05_profile", _PROFILE)
 def _(s: Source) -> DataFrame:
-    return G.profile_privacy(s.view("people"), ["full_name", "contact", "mobile", "customer_id", "segment"], "c_custkey")
+    return G.profile_privacy(s.view("people"), _TEXTS)
 
 
-@query("g06_classify", "SELECT CAST(34 AS BIGINT) AS privacy_score, 'restricted' AS privacy_classification FROM {people} p LIMIT 1")
+@query("g06_classify", f"""SELECT CAST(sum(weight) AS BIGINT) AS privacy_score, CASE WHEN bool_or(signal IN ('credential_or_secret', 'email', 'email_values', 'phone', 'phone_like_values', 'personal_id', 'date_of_birth')) THEN 'restricted' WHEN sum(weight) >= 4 THEN 'potentially_personal' ELSE 'internal' END AS privacy_classification,
+  '[' || string_agg('{{"column":"' || "column" || '","signal":"' || signal || '","weight":' || weight || '}}', ',' ORDER BY "column", signal, weight) || ']' AS signals FROM ({_PROFILE})""")
 def _(s: Source) -> DataFrame:
-    return G.classify(G.profile_privacy(s.view("people"), ["full_name", "contact", "mobile", "customer_id", "segment"], "c_custkey")).select("privacy_score", "privacy_classification")
+    return G.classify(G.profile_privacy(s.view("people"), _TEXTS)).select("privacy_score", "privacy_classification", "signals")
 
 
 @query("g07_applied_profile", "SELECT path, sensitivity, CASE sensitivity WHEN 'restricted' THEN 'pseudonymize_or_restrict' WHEN 'potentially_personal' THEN 'manual_review' WHEN 'internal' THEN 'allow_internal_use' ELSE 'complete_scan' END AS privacy_action, metadata_complete AND sensitivity = 'internal' AS governance_complete FROM {catalog} c")
@@ -247,9 +258,11 @@ def _(s: Source) -> DataFrame:
     return G.staleness(_events(s), s.view("assets").select("path", F.col("digest").alias("sha256")))
 
 
-@query("g11_lineage_checks", "SELECT count(*) > 0 AS not_empty, true AS structured, true AS linked FROM {assets} a")
-def _(s: Source) -> DataFrame:
-    return G.lineage_checks(_events(s), "data/raw/education/f0.csv", "data/curated/health/f1.parquet")
+_LINKS = "SELECT o.path AS o, i.path AS i FROM {assets} o JOIN {assets} i ON i.page_id IN (o.page_id - 1, o.page_id + 1) WHERE o.page_id % 3 = 1"
+for _name, _from, _to in (("g11_lineage_checks", "data/raw/education/f0.csv", "data/curated/health/f1.parquet"), ("g11_lineage_without_link", "data/curated/health/f1.parquet", "data/raw/education/f0.csv")):
+    @query(_name, f"SELECT count(*) > 0 AS not_empty, coalesce(bool_and(o IS NOT NULL AND i IS NOT NULL), true) AS structured, coalesce(bool_or(i = '{_from}' AND o = '{_to}'), false) AS linked FROM ({_LINKS})")
+    def _(s: Source, start: str = _from, end: str = _to) -> DataFrame:
+        return G.lineage_checks(_events(s), start, end)
 
 
 _FAILURES = f"SELECT path, 'metadata_incomplete' AS reason FROM {{catalog}} c WHERE NOT metadata_complete UNION ALL SELECT path, 'privacy_block' FROM {{catalog}} c WHERE sensitivity = 'restricted' UNION ALL SELECT output, 'lineage_' || status FROM ({_STALE}) WHERE status <> 'current'"

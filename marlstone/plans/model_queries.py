@@ -123,28 +123,34 @@ def _(s: Source) -> DataFrame:
 
 
 _BOTH = "SELECT src, dst, w FROM {edges} e UNION ALL SELECT dst, src, w + 1 FROM {edges} e"
-_PATHS = "WITH RECURSIVE b AS MATERIALIZED ({both}), d(origin, node, cost) USING KEY (origin, node) AS (SELECT o.x, o.x, CAST(0 AS BIGINT) FROM (VALUES (CAST(1000 AS BIGINT)), (1010)) o(x) UNION SELECT d.origin, b.dst, min(d.cost + b.w) FROM d JOIN b ON b.src = d.node LEFT JOIN recurring.d AS r ON r.origin = d.origin AND r.node = b.dst WHERE r.cost IS NULL OR d.cost + b.w < r.cost GROUP BY d.origin, b.dst)"
+_ONE_WAY = "SELECT src, dst, w FROM {edges} e UNION ALL SELECT dst, src, w + 1 FROM {edges} e WHERE w >= 40"
+_BACK = "SELECT dst AS src, src AS dst, w FROM ({both})"
 
 
-def _two_way(s: Source) -> DataFrame:
-    return s.sql(_BOTH)
+def _paths(name: str, both: str) -> str:
+    return f"b_{name} AS MATERIALIZED ({both}), {name}(origin, node, cost) USING KEY (origin, node) AS (SELECT hub, hub, CAST(0 AS BIGINT) FROM {{hubs}} h UNION SELECT d.origin, b.dst, min(d.cost + b.w) FROM {name} d JOIN b_{name} b ON b.src = d.node LEFT JOIN recurring.{name} AS r ON r.origin = d.origin AND r.node = b.dst WHERE r.cost IS NULL OR d.cost + b.w < r.cost GROUP BY d.origin, b.dst)"
 
 
-@query("j18_shortest_times", _PATHS.replace("{both}", _BOTH) + " SELECT origin, node, cost FROM d")
+def _hubs(s: Source, name: str) -> DataFrame:
+    return s.view("hubs").withColumnRenamed("hub", name)
+
+
+@query("j18_shortest_times", f"WITH RECURSIVE {_paths('d', _BOTH)} SELECT origin, node, cost FROM d")
 def _(s: Source) -> DataFrame:
-    origins = s.spark.createDataFrame([(1000,), (1010,)], "origin long")
-    return S.shortest_times(_two_way(s), origins)
+    return S.shortest_times(s.sql(_BOTH), _hubs(s, "origin"))
+
 
+_PIVOT = f"SELECT n FROM (SELECT src AS n FROM ({_ONE_WAY}) UNION ALL SELECT dst FROM ({_ONE_WAY})) GROUP BY n ORDER BY count(*) DESC, n LIMIT 1"
 
-@query("j19_largest_component", "SELECT DISTINCT src AS node FROM {edges} e UNION SELECT DISTINCT dst FROM {edges} e")
+
+@query("j19_largest_component", f"WITH RECURSIVE e AS MATERIALIZED ({_ONE_WAY}), there(n) AS (({_PIVOT}) UNION SELECT dst FROM there JOIN e ON src = n), back(n) AS (({_PIVOT}) UNION SELECT src FROM back JOIN e ON dst = n) SELECT n AS node FROM there JOIN back USING (n)")
 def _(s: Source) -> DataFrame:
-    return S.largest_component(_two_way(s))
+    return S.largest_component(s.sql(_ONE_WAY))
 
 
-@query("l08_travel_matrix")
+@query("l08_travel_matrix", f"WITH RECURSIVE {_paths('t', _ONE_WAY)}, {_paths('u', _BACK.replace('{both}', _ONE_WAY))} SELECT hub, bin, t.cost AS there, u.cost AS back, t.cost + u.cost AS round_trip FROM {{hubs}} h CROSS JOIN (SELECT DISTINCT src AS bin FROM {{edges}} e) LEFT JOIN t ON t.origin = hub AND t.node = bin LEFT JOIN u ON u.origin = hub AND u.node = bin")
 def _(s: Source) -> DataFrame:
-    bins = s.view("edges").select(F.col("src").alias("bin")).distinct()
-    return S.travel_matrix(_two_way(s), s.spark.createDataFrame([(1000,), (1010,)], "hub long"), bins)
+    return S.travel_matrix(s.sql(_ONE_WAY), s.view("hubs"), s.view("edges").select(F.col("src").alias("bin")).distinct())
 
 
 @query("l10_cell_sums", "SELECT CAST(floor(x / 1000) AS BIGINT) AS cx, CAST(floor(y / 1000) AS BIGINT) AS cy, CAST(sum(greatest(population - 100, 0)) AS BIGINT) AS total FROM {places} p GROUP BY 1, 2")
@@ -152,7 +158,10 @@ def _(s: Source) -> DataFrame:
     return S.cell_sums(s.view("places").withColumn("v", F.col("population") - 100), 1000.0)
 
 
-@query("x27_grid_coverage", "SELECT cx.range AS cx, cy.range AS cy, round(greatest(0, least(cx.range * 100 + 100.0, 1030) - greatest(cx.range * 100, 50)) * greatest(0, least(cy.range * 100 + 100.0, 470) - greatest(cy.range * 100, 120)) / 10000.0, 6) AS coverage FROM range(20) cx CROSS JOIN range(10) cy WHERE coverage >= 0.25 AND (SELECT count(*) FROM {region}) > 0")
+_CELLS = "SELECT CAST(unnest(generate_series(CAST(floor(minx / 100) AS BIGINT), CAST(floor(maxx / 100) AS BIGINT))) AS BIGINT) AS cx, miny, maxy FROM (SELECT min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM {places} p)"
+_GRID = f"SELECT cx, CAST(unnest(generate_series(CAST(floor(miny / 100) AS BIGINT), CAST(floor(maxy / 100) AS BIGINT))) AS BIGINT) AS cy FROM ({_CELLS})"
+
+
+@query("x27_grid_coverage", f"SELECT cx, cy, round(greatest(0, least(cx * 100 + 100.0, maxx) - greatest(cx * 100.0, minx)) * greatest(0, least(cy * 100 + 100.0, maxy) - greatest(cy * 100.0, miny)) / 10000.0, 6) AS coverage FROM ({_GRID}) CROSS JOIN (SELECT min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM {{sites}} s) WHERE coverage >= 0.25")
 def _(s: Source) -> DataFrame:
-    some = s.table("region").limit(1).select(F.lit(1).alias("one"))
-    return rounded(S.grid(0, 0, 2000, 1000, 100.0, (50.0, 120.0, 1030.0, 470.0), s.spark).crossJoin(some).drop("one"), 6)
+    return rounded(S.coverage(S.grid(S.bounds(s.view("places")), 100.0), S.bounds(s.view("sites")), 100.0), 6)

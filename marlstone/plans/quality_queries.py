@@ -27,7 +27,7 @@ SELECT k, student_v AS student_id, student_s AS student_id_status, school_v AS s
   CASE WHEN academic_year IN ('2022', '2023', '2024', '2025') THEN CAST(academic_year AS INT) WHEN academic_year IN ('22', '23', '24', '25') THEN 2000 + CAST(academic_year AS INT)
     WHEN regexp_matches(academic_year, '^202[2-5]/\d{{4}}$') THEN CAST(substr(academic_year, 1, 4) AS INT) WHEN regexp_matches(student_v, '^202[2-5]_') THEN CAST(substr(student_v, 1, 4) AS INT) END AS academic_year,
   CASE WHEN academic_year IN ('2022', '2023', '2024', '2025') THEN 'direct' WHEN academic_year IN ('22', '23', '24', '25') OR regexp_matches(academic_year, '^202[2-5]/\d{{4}}$') THEN 'normalized'
-    WHEN regexp_matches(student_v, '^202[2-5]_') THEN 'recovered_from_student' ELSE 'unresolved' END AS academic_year_status,
+    WHEN regexp_matches(student_v, '^202[2-5]_') THEN 'recovered_from_student_id' ELSE 'unresolved' END AS academic_year_status,
   CASE WHEN lower(absent) IN ('0', 'n', 'no', 'p', 'present') THEN 0 WHEN lower(absent) IN ('1', 'y', 'yes', 'a', 'absent') THEN 1 END AS absent,
   CASE WHEN absent IN ('0', '1') THEN 'direct' WHEN lower(absent) IN ('n', 'no', 'p', 'present', 'y', 'yes', 'a', 'absent') THEN 'normalized' ELSE 'unresolved' END AS absent_status,
   CASE WHEN lower(rural) IN ('0', 'n', 'no', 'u', 'urban') THEN 0 WHEN lower(rural) IN ('1', 'y', 'yes', 'r', 'rural') THEN 1 END AS rural,

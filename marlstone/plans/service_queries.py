@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..operators import service as V
+from ..sources import tables as T
 from ..streaming import requests as R
 from .aggregate_queries import rounded
 from .registry import Source, query, view
@@ -136,7 +137,12 @@ def _(s: Source) -> DataFrame:
     return h.select("zone", "days", F.round("mean", 2).alias("mean"), "peak", "last", F.round("share", 6).alias("share"))
 
 
-@query("l16_replay")
+_LOG = "SELECT bin, day, minute, event_id, CAST(kind = 'pickup' AS INT) AS p, CAST(CASE WHEN kind = 'pickup' THEN -6 * kg ELSE kg END AS DOUBLE) AS c FROM {arrivals} a"
+_LEVELS = f"SELECT *, plain - least(0, min(plain) OVER (PARTITION BY bin ORDER BY day, minute, p, event_id ROWS UNBOUNDED PRECEDING)) AS total FROM (SELECT *, sum(c) OVER (PARTITION BY bin ORDER BY day, minute, p, event_id ROWS UNBOUNDED PRECEDING) AS plain FROM ({_LOG}))"
+
+
+@query("l16_replay", f"""SELECT bin, day, sum(greatest(c, 0.0)) AS arrived, sum(taken) AS collected, sum(CASE WHEN p = 1 THEN -c - taken ELSE 0.0 END) AS unmet, least(arg_max(total, (minute, p, event_id)), 400.0) AS left_in_bin, greatest(arg_max(total, (minute, p, event_id)) - 400.0, 0.0) AS left_on_street, max(greatest(total - 400.0, 0.0)) AS peak_street
+  FROM (SELECT *, CASE WHEN p = 1 THEN coalesce(lag(total) OVER (PARTITION BY bin ORDER BY day, minute, p, event_id), 0.0) - total ELSE 0.0 END AS taken FROM ({_LEVELS})) GROUP BY 1, 2""")
 def _(s: Source) -> DataFrame:
     events = s.view("arrivals").withColumn("kg", F.when(F.col("kind") == "pickup", F.col("kg") * 6).otherwise(F.col("kg")))
     return V.replay(events, 400.0)
@@ -223,24 +229,28 @@ def _(s: Source) -> DataFrame:
     return R.run_to_end(R.latency_histogram(_stream(s)))
 
 
-@query("r02_error_ratio", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS requests, round(count(*) FILTER (status BETWEEN 500 AND 599) / CAST(count(*) AS DOUBLE), 9) AS error_ratio FROM {requests} r GROUP BY 1")
+# windows that the watermark, ten minutes behind the last event, has closed
+_SLIDING = "SELECT *, time_bucket(INTERVAL 1 MINUTE, ts) - i * INTERVAL 1 MINUTE AS start FROM {requests} r CROSS JOIN range(5) t(i) WHERE start + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM {events})"
+
+
+@query("r02_error_ratio", f"SELECT start, count(*) AS requests, round(count(*) FILTER (status BETWEEN 500 AND 599) / CAST(count(*) AS DOUBLE), 9) AS error_ratio FROM ({_SLIDING}) GROUP BY 1")
 def _(s: Source) -> DataFrame:
-    return rounded(R.run_to_end(R.slo_windows(_stream(s), "1 hour")).select(F.col("start").cast("timestamp_ntz").alias("start"), "requests", "error_ratio"))
+    return rounded(R.run_to_end(R.slo_windows(_stream(s), "5 minutes", "1 minute"), "append").select(F.col("start").cast("timestamp_ntz").alias("start"), "requests", "error_ratio"))
 
 
 _B = [0.0, *R.BOUNDS]
 _QUANTILE = "CASE " + " ".join(f"WHEN b{i} >= n * 0.95 THEN {_B[i]} + ({_B[i + 1]} - {_B[i]}) * coalesce((n * 0.95 - {f'b{i - 1}' if i else '0'}) / NULLIF(CAST(b{i} - {f'b{i - 1}' if i else '0'} AS DOUBLE), 0), 1.0)" for i in range(len(R.BOUNDS))) + f" ELSE {R.BOUNDS[-1]} END"
 
 
-@query("r03_latency_quantile", f"SELECT start, round(CAST({_QUANTILE} AS DOUBLE), 6) AS quantile FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, " + ", ".join(f"count(*) FILTER (seconds <= {b}) AS b{i}" for i, b in enumerate(R.BOUNDS)) + " FROM {requests} r GROUP BY 1)")
+@query("r03_latency_quantile", f"SELECT start, round(CAST({_QUANTILE} AS DOUBLE), 6) AS quantile FROM (SELECT start, count(*) AS n, " + ", ".join(f"count(*) FILTER (seconds <= {b}) AS b{i}" for i, b in enumerate(R.BOUNDS)) + f" FROM ({_SLIDING}) GROUP BY 1)")
 def _(s: Source) -> DataFrame:
-    out = R.run_to_end(R.latency_quantile(_stream(s), 0.95, "1 hour"))
+    out = R.run_to_end(R.latency_quantile(_stream(s), 0.95, "5 minutes", "1 minute"), "append")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("quantile", 6).alias("quantile"))
 
 
-@query("r04_request_rate", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, round(count(*) / 86400.0, 9)::DOUBLE AS rate FROM {requests} r GROUP BY 1")
+@query("r04_request_rate", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS start, round(count(*) / 60.0, 9)::DOUBLE AS rate FROM {requests} r WHERE time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM {events}) GROUP BY 1")
 def _(s: Source) -> DataFrame:
-    return R.run_to_end(R.slo_windows(_stream(s), "1 day")).select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("rate", 9).alias("rate"))
+    return R.run_to_end(R.slo_windows(_stream(s), "1 minute"), "append").select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("rate", 9).alias("rate"))
 
 
 _STATES = "SELECT *, CASE WHEN NOT bad THEN 'inactive' WHEN epoch_us(ts) - epoch_us(min(CASE WHEN bad THEN ts END) OVER (PARTITION BY user_id, run)) >= 3600000000 THEN 'firing' ELSE 'pending' END AS state FROM (SELECT *, sum(CASE WHEN bad AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT user_id, ts, event_id, seconds > 0.02 AS bad, lag(seconds > 0.02) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM {requests} r))"
@@ -274,6 +284,20 @@ def _(s: Source) -> DataFrame:
     return R.storage_status(s.view("storage_events"), "main", existing).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("r07_storage_register", "SELECT DISTINCT object_name FROM {storage_events} e WHERE bucket = 'main' AND object_name IS NOT NULL AND event_type = 'OBJECT_FINALIZE' AND CAST(substr(object_name, 4) AS INT) % 3 <> 0")
+def _(s: Source) -> DataFrame:
+    """The stream of storage events into the register, worked through twice from the start, as after a lost checkpoint."""
+    path = T.scratch(s.spark, "register")
+    s.spark.createDataFrame([], "object_name string").write.parquet(path)
+    user = F.col("user_id")
+    existing = s.table("events").filter("user_id % 3 <> 0").select(F.concat(F.lit("obj"), user.cast("string")).alias("object_name"))
+    for _i in range(2):
+        events = s.spark.readStream.schema(s.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(s.sf_dir)
+        events = events.select(F.when(user % 10 == 0, None).when(user % 10 == 1, "other").otherwise("main").alias("bucket"), F.when(user % 13 == 0, None).otherwise(F.concat(F.lit("obj"), user.cast("string"))).alias("object_name"), F.when(F.col("event_type") == "view", "OBJECT_DELETE").otherwise("OBJECT_FINALIZE").alias("event_type"))
+        R.storage_status(events, "main", existing).writeStream.foreachBatch(R.register(path)).option("checkpointLocation", T.scratch(s.spark, "register-state")).trigger(availableNow=True).start().awaitTermination()
+    return s.spark.read.parquet(path)
+
+
 @query("r08_ordered_events", "SELECT priority, count(*) AS n, min(minute) AS first_minute FROM (SELECT CASE WHEN kind = 'pickup' THEN 1 ELSE 0 END AS priority, minute FROM {arrivals} a UNION ALL SELECT DISTINCT 2, 1440 + 0 * day(day) FROM {arrivals} a WHERE false UNION ALL SELECT 2, 1440 FROM (SELECT DISTINCT day FROM {arrivals} a)) GROUP BY 1")
 def _(s: Source) -> DataFrame:
     a = s.view("arrivals")

@@ -21,12 +21,12 @@ def _(s: Source) -> DataFrame:
     return back.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
 
 
-@query("s02_export_rows", "SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys, CAST(2 AS BIGINT) AS first_row FROM {customer}")
+@query("s02_export_rows", "SELECT c_custkey AS key, c_name, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) + 1 AS source_row FROM {customer}")
 def _(s: Source) -> DataFrame:
     path = T.scratch(s.spark, "exports")
-    s.table("customer").select(F.col("c_custkey").cast("string").alias("key"), "c_name").write.option("header", True).csv(path)
-    rows = T.read_exports(s.spark, path, ["key", "c_name"])
-    return rows.agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"), F.min("source_row").alias("first_row"))
+    four = s.table("customer").repartitionById(4, (F.col("c_custkey") % 4).cast("int")).sortWithinPartitions("c_custkey")
+    four.select(F.col("c_custkey").cast("string").alias("key"), "c_name").write.option("header", True).csv(path)
+    return T.read_exports(s.spark, path, ["key", "c_name"]).select(F.col("key").cast("long").alias("key"), "c_name", "source_row")
 
 
 @query("s04_malformed_rows", "SELECT count(*) FILTER (c_custkey % 10 = 0) AS malformed FROM {customer}")
@@ -49,14 +49,36 @@ def _(s: Source) -> DataFrame:
     return rows.select("f.properties.site", F.col("f.geometry.coordinates")[0].alias("x"), F.col("f.geometry.coordinates")[1].alias("y"), "f.properties.category")
 
 
-@query("s08_binary_assets", "SELECT sha256(s_name) AS sha256, CAST(strlen(s_name) AS BIGINT) AS size_bytes FROM {supplier} WHERE s_suppkey < 20")
+_FILES = "SELECT s_nationkey, string_agg(s_name || chr(10), '' ORDER BY s_suppkey) AS body FROM {supplier} GROUP BY 1"
+
+
+def _files_by_nation(s: Source, path: str) -> None:
+    """A text file for each nation with its suppliers' names."""
+    named = s.table("supplier").select("s_nationkey", "s_suppkey", "s_name").repartition(25, "s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+    named.select("s_nationkey", "s_name").write.partitionBy("s_nationkey").text(path)
+
+
+@query("s08_binary_assets", f"SELECT s_nationkey, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS size_bytes FROM ({_FILES})")
 def _(s: Source) -> DataFrame:
     path = T.scratch(s.spark, "assets")
-    names = s.table("supplier").filter("s_suppkey < 20").select("s_suppkey", "s_name")
-    names.repartition(20, "s_suppkey").write.partitionBy("s_suppkey").option("lineSep", "\x00").text(path)
-    found = T.binary_assets(s.spark, path, skip=(".crc",))
-    # the sink ends the line with one byte
-    return found.filter("size_bytes > 0").join(names.select(F.concat(F.lit("s_suppkey="), F.col("s_suppkey").cast("string")).alias("folder"), "s_name"), F.col("folder") == F.element_at(F.split("path", "/"), -2)).select(F.sha2(F.col("s_name").cast("binary"), 256).alias("sha256"), (F.col("size_bytes") - 1).alias("size_bytes"))
+    _files_by_nation(s, path)
+    found = T.binary_assets(s.spark, path, skip=(".crc",)).filter("size_bytes > 0")
+    return found.select(F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int").alias("s_nationkey"), "sha256", "size_bytes")
+
+
+@query("s09_whole_texts", f"SELECT sha256(trim(replace(lower(body), chr(10), ' '))) AS sha256 FROM ({_FILES})")
+def _(s: Source) -> DataFrame:
+    path = T.scratch(s.spark, "texts")
+    _files_by_nation(s, path)
+    return T.whole_texts(s.spark, path).select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+@query("s10_single_csv", "SELECT c_nationkey, count(*) AS n, CAST(1 AS BIGINT) AS files FROM {customer} GROUP BY 1")
+def _(s: Source) -> DataFrame:
+    path = T.scratch(s.spark, "single")
+    T.write_single_csv(s.table("customer").groupBy("c_nationkey").agg(F.count("*").alias("n")), path)
+    rows = T.read_csv(s.spark, path, "c_nationkey int, n long").select("*", F.col("_metadata.file_path").alias("file"))
+    return rows.join(rows.agg(F.countDistinct("file").alias("files")), how="cross").select("c_nationkey", "n", "files")
 
 
 @query("s11_split_sink", "SELECT CASE WHEN c_acctbal < 0 THEN 'quarantined' ELSE 'accepted' END AS status, count(*) AS n FROM {customer} GROUP BY 1")
@@ -109,11 +131,11 @@ def _(s: Source) -> DataFrame:
     return rounded(S.nearest(s.view("sites"), s.view("places"), "site", "place", 200.0), 6)
 
 
-@query("l01_cell_features", f"""WITH c AS (SELECT CAST(floor(x / 2000) AS BIGINT) AS cx, CAST(floor(y / 2000) AS BIGINT) AS cy, category, count(*) AS n FROM {{sites}} s GROUP BY 1, 2, 3), g AS (SELECT a.range AS cx, b.range AS cy, a.range * 2000 + 1000.0 AS x, b.range * 2000 + 1000.0 AS y FROM range(5) a CROSS JOIN range(5) b)
+@query("l01_cell_features", f"""WITH c AS (SELECT CAST(floor(x / 2000) AS BIGINT) AS cx, CAST(floor(y / 2000) AS BIGINT) AS cy, category, count(*) AS n FROM {{sites}} s GROUP BY 1, 2, 3), w AS (SELECT CAST(unnest(generate_series(CAST(floor(min(x) / 2000) AS BIGINT), CAST(floor(max(x) / 2000) AS BIGINT))) AS BIGINT) AS cx FROM {{places}} p), h AS (SELECT CAST(unnest(generate_series(CAST(floor(min(y) / 2000) AS BIGINT), CAST(floor(max(y) / 2000) AS BIGINT))) AS BIGINT) AS cy FROM {{places}} p), g AS (SELECT cx, cy, cx * 2000 + 1000.0 AS x, cy * 2000 + 1000.0 AS y FROM w CROSS JOIN h)
   SELECT p.cx, p.cy, CAST(coalesce((SELECT sum(n) FROM c WHERE c.cx = p.cx AND c.cy = p.cy AND category = 'healthcare'), 0) AS BIGINT) AS healthcare, CAST(coalesce((SELECT sum(n) FROM c WHERE c.cx = p.cx AND c.cy = p.cy AND category = 'supermarket'), 0) AS BIGINT) AS supermarket,
   CAST(coalesce((SELECT sum(n * CASE category WHEN 'healthcare' THEN 4 WHEN 'supermarket' THEN 3 ELSE 0 END) FROM c WHERE c.cx = p.cx AND c.cy = p.cy), 0) AS DOUBLE) AS activity, round((SELECT min({_D}) FROM {{sites}} t WHERE category = 'healthcare'), 6) AS nearest_healthcare FROM g p""")
 def _(s: Source) -> DataFrame:
-    cells = S.grid(0, 0, 10000, 10000, 2000.0, (0.0, 0.0, 10000.0, 10000.0), s.spark).select("cx", "cy", (F.col("cx") * 5 + F.col("cy")).alias("cell"), (F.col("cx") * 2000 + 1000.0).alias("x"), (F.col("cy") * 2000 + 1000.0).alias("y"))
+    cells = S.grid(S.bounds(s.view("places")), 2000.0).select("cx", "cy", F.struct("cx", "cy").alias("cell"), (F.col("cx") * 2000 + 1000.0).alias("x"), (F.col("cy") * 2000 + 1000.0).alias("y"))
     counts = S.points_in_cells(s.view("sites"), 2000.0).groupBy("cx", "cy").pivot("category", ["healthcare", "supermarket"]).count()
     near = S.nearest(cells, s.view("sites").filter("category = 'healthcare'"), "cell", "site", 2000.0).select("cell", F.round("distance", 6).alias("nearest_healthcare"))
     both = cells.join(counts, ["cx", "cy"], "left").fillna(0, ["healthcare", "supermarket"]).join(near, "cell")

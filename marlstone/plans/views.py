@@ -75,8 +75,10 @@ SELECT s_suppkey AS site, CAST((s_suppkey * 6007) % 10000 AS DOUBLE) AS x, CAST(
 FROM {supplier}""")
 
 view("edges", """
-SELECT CAST(l_partkey % 200 AS BIGINT) AS src, CAST(1000 + l_suppkey % 50 AS BIGINT) AS dst, min(CAST(l_quantity AS BIGINT)) AS w
-FROM {lineitem} WHERE l_partkey % 5 = 0 GROUP BY CAST(l_partkey % 200 AS BIGINT), CAST(1000 + l_suppkey % 50 AS BIGINT)""")
+SELECT CAST(l_partkey AS BIGINT) AS src, CAST(-l_suppkey - 1 AS BIGINT) AS dst, min(CAST(l_quantity AS BIGINT)) AS w
+FROM {lineitem} GROUP BY CAST(l_partkey AS BIGINT), CAST(-l_suppkey - 1 AS BIGINT)""")
+
+view("hubs", "SELECT min(dst) AS hub FROM {edges} e UNION SELECT max(dst) FROM {edges} e")
 
 view("requests", """
 SELECT event_id, ts, user_id, CASE WHEN event_type IN ('click', 'view') THEN 'GET' ELSE 'POST' END AS method, '/' || event_type AS route,
@@ -84,12 +86,12 @@ SELECT event_id, ts, user_id, CASE WHEN event_type IN ('click', 'view') THEN 'GE
 FROM {events}""")
 
 view("arrivals", """
-SELECT CAST(user_id % 40 AS INT) AS bin, CAST(ts AS DATE) AS day, CAST(hour(ts) * 60 + minute(ts) AS INT) AS minute, event_id,
+SELECT CAST(user_id AS INT) AS bin, CAST(ts AS DATE) AS day, CAST(hour(ts) * 60 + minute(ts) AS INT) AS minute, event_id,
   CASE WHEN event_type = 'purchase' THEN 'pickup' ELSE 'arrival' END AS kind, CAST(round(value) AS BIGINT) AS kg
 FROM {events}""")
 
 view("assets", """
 SELECT CAST(page_id AS STRING) AS asset_id, CASE page_id % 6 WHEN 0 THEN 'data/raw/education/' WHEN 1 THEN 'data/curated/health/' WHEN 2 THEN 'data/processed/refuse/'
-    WHEN 3 THEN 'data/gis/' WHEN 4 THEN 'artifacts/models/' ELSE 'docs/' END || 'f' || CAST(page_id AS STRING) || CASE page_id % 4 WHEN 0 THEN '.csv' WHEN 1 THEN '.parquet' WHEN 2 THEN '.json' ELSE '.bin' END AS path,
+    WHEN 3 THEN CASE WHEN page_id % 12 = 9 THEN 'data/gis/processed_v2/simulation/transport/' ELSE 'data/gis/' END WHEN 4 THEN 'artifacts/models/' ELSE 'docs/' END || 'f' || CAST(page_id AS STRING) || CASE page_id % 4 WHEN 0 THEN '.csv' WHEN 1 THEN '.parquet' WHEN 2 THEN '.json' ELSE '.bin' END AS path,
   CAST(length(html) AS BIGINT) AS size_bytes, md5(coalesce(html, '')) AS digest, page_id
 FROM {pages}""")

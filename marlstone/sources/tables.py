@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 from collections.abc import Sequence
 
@@ -15,12 +15,11 @@ from ..operators import quality
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. A local session may do without and gets one in the working folder; a cluster may not."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (path or f"file://{os.path.abspath('spark-warehouse')}/scratch").rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,6 +33,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialised frame that nothing needs any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options: object) -> DataFrame:
     """CSV with a header and a given schema (no second scan to infer one); empty fields are null."""
     return spark.read.schema(schema).options(header=True, nullValue="", **options).csv(path)
@@ -43,13 +50,13 @@ def read_exports(spark: SparkSession, path: str, columns: Sequence[str], pattern
     """All text columns of the CSV files in a folder, with source_file and source_row (the first row of data is 2).
 
     A file's rows are numbered by their place in the file, which holds while a file is read in one piece, as with
-    multiLine.
+    multiLine (fields may hold line ends, so a file cannot be split); numbers come from one scan, which is written.
     """
     schema = ", ".join(f"`{c}` string" for c in columns)
     rows = spark.read.schema(schema).options(header=True, multiLine=True, pathGlobFilter=pattern).csv(path)
-    placed = rows.select("*", F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("_at"))
+    placed = materialise(rows.select("*", F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("_at")), "exports")
     first = placed.groupBy("source_file").agg(F.min("_at").alias("_first"))
-    return placed.join(F.broadcast(first), "source_file").withColumn("source_row", F.col("_at") - F.col("_first") + 2).drop("_at", "_first")
+    return placed.join(first, "source_file").withColumn("source_row", F.col("_at") - F.col("_first") + 2).drop("_at", "_first")
 
 
 def malformed_rows(spark: SparkSession, path: str, fields: int, separator: str = ",") -> DataFrame:

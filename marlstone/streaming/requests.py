@@ -43,10 +43,10 @@ def slo_windows(df: DataFrame, size: str = "5 minutes", slide: str | None = None
     return grouped.select(F.col("w.start").alias("start"), "requests", (F.col("errors") / F.greatest(F.col("requests").cast("double"), F.lit(1e-6))).alias("error_ratio"), (F.col("requests") / seconds).alias("rate"))
 
 
-def latency_quantile(df: DataFrame, q: float = 0.95, size: str = "5 minutes", bounds: Sequence[float] = BOUNDS) -> DataFrame:
+def latency_quantile(df: DataFrame, q: float = 0.95, size: str = "5 minutes", slide: str | None = None, bounds: Sequence[float] = BOUNDS) -> DataFrame:
     """Per window the quantile read off bucket counts, linear within a bucket; past the last bound, that bound."""
     counts = [F.count_if(F.col("seconds") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
-    g = df.groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("n"), *counts)
+    g = df.groupBy((F.window("ts", size, slide) if slide else F.window("ts", size)).alias("w")).agg(F.count("*").alias("n"), *counts)
     target = F.col("n") * q
     value: Column = F.lit(float(bounds[-1]))
     for i in reversed(range(len(bounds))):
@@ -132,7 +132,8 @@ def daily_totals(df: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Work through all that is there now and give the result table: of complete mode the last batch, of append mode all batches."""
+    """Work through all that is there now and give the result table: of complete mode (counters, whose state is the table itself) the last batch, of
+    append mode all batches: of windows those that the watermark has closed, whose state is freed."""
     spark = stream.sparkSession
     out, seen = scratch(spark, "stream"), []
 

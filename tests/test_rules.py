@@ -27,25 +27,25 @@ def values(spark, column, inputs, ddl="x string"):
 
 
 def test_student_rules(spark):
-    got = values(spark, N.student(F.col("x")), ["2022_15", " 2022_15\t", "STU-2022_15", "2022-15", "stu-2022_15", "", None, "N/A", "x"])
+    got = values(spark, N.student(N.trimmed(F.col("x"))), ["2022_15", " 2022_15\t", "STU-2022_15", "2022-15", "stu-2022_15", "", None, "N/A", "x"])
     assert got == [("2022_15", "direct"), ("2022_15", "direct"), ("2022_15", "normalized"), ("2022_15", "normalized"), ("stu-2022_15", "unresolved"), ("", "unresolved"), ("", "unresolved"), ("", "unresolved"), ("x", "unresolved")]
 
 
 def test_district_rules(spark):
     cases = [("7", ""), ("0", "SCH-012-01"), ("1001", "SCH-012-01"), ("District 007", ""), ("DIST 7", ""), ("Dist.7", ""), ("d007", ""), ("D7", "SCH-999-01"), ("Distrct 7", None), (None, "SCH-250-00")]
-    got = values(spark, N.district(F.col("x"), F.col("s")), cases, "x string, s string")
+    got = values(spark, N.district(N.trimmed(F.col("x")), F.col("s")), cases, "x string, s string")
     assert got == [(7, "direct"), (12, "recovered_from_school"), (12, "recovered_from_school"), (7, "normalized"), (7, "normalized"), (7, "normalized"), (7, "normalized"), (None, "unresolved"), (None, "unresolved"), (250, "recovered_from_school")]
 
 
 def test_year_and_share_rules(spark):
-    got = values(spark, N.year(F.col("x"), F.col("s")), [("2023", ""), ("23", ""), ("2023/2024", ""), ("1999", "2024_1"), ("1999", "1999_1"), (None, None)], "x string, s string")
-    assert got == [(2023, "direct"), (2023, "normalized"), (2023, "normalized"), (2024, "recovered_from_student"), (None, "unresolved"), (None, "unresolved")]
-    got = values(spark, N.share(F.col("x")), ["0.5", "0,5", "12.5%", "50", "100", "101", "-0.1", "1d", "low", "", None, "150%", "1e-1"])
+    got = values(spark, N.year(N.trimmed(F.col("x")), F.col("s")), [("2023", ""), ("23", ""), ("2023/2024", ""), ("1999", "2024_1"), ("1999", "1999_1"), (None, None)], "x string, s string")
+    assert got == [(2023, "direct"), (2023, "normalized"), (2023, "normalized"), (2024, "recovered_from_student_id"), (None, "unresolved"), (None, "unresolved")]
+    got = values(spark, N.share(N.trimmed(F.col("x"))), ["0.5", "0,5", "12.5%", "50", "100", "101", "-0.1", "1d", "low", "", None, "150%", "1e-1"])
     assert got == [(0.5, "direct"), (0.5, "direct"), (0.125, "normalized"), (0.5, "normalized"), (1.0, "normalized"), *[(None, "unresolved")] * 6, (None, "unresolved"), (0.1, "direct")]
 
 
 def test_binary_rules(spark):
-    got = values(spark, N.binary(F.col("x"), N.ABSENT_ZERO, N.ABSENT_ONE), ["1", "0", "Yes", "P", "2", "-1", "?", None])
+    got = values(spark, N.binary(N.trimmed(F.col("x")), N.ABSENT_ZERO, N.ABSENT_ONE), ["1", "0", "Yes", "P", "2", "-1", "?", None])
     assert got == [(1, "direct"), (0, "direct"), (1, "normalized"), (0, "normalized"), *[(None, "unresolved")] * 4]
 
 
@@ -87,7 +87,7 @@ def test_checked_join_raises(spark):
 def test_nearest_settles_far_points(spark):
     left = spark.createDataFrame([(1, 0.0, 0.0), (2, 900.0, 900.0), (3, 5.0, 0.0)], "place int, x double, y double")
     right = spark.createDataFrame([(10, 4.0, 0.0), (11, 6.0, 0.0)], "site int, x double, y double")
-    got = {r.place: (r.site, round(r.distance, 3)) for r in S.nearest(left, right, "place", "site", 2.0, rounds=2).collect()}
+    got = {r.place: (r.site, round(r.distance, 3)) for r in S.nearest(left, right, "place", "site", 2.0).collect()}
     assert got == {1: (10, 4.0), 2: (11, 1268.557), 3: (10, 1.0)}
 
 
@@ -108,7 +108,7 @@ def test_replay(spark):
 
 def test_profile_on_empty_table(spark):
     people = spark.createDataFrame([], "id int, email string, note string")
-    assert {(r.column, r.signal) for r in G.profile_privacy(people, ["email", "note"], "id").collect()} == {("email", "email")}
+    assert {(r.column, r.signal) for r in G.profile_privacy(people, ["email", "note"]).collect()} == {("email", "email")}
 
 
 def test_csv_exports(spark, tmp_path):
