@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialise
@@ -28,7 +29,7 @@ class Lookup:
     @classmethod
     def of(cls, table: pa.Table) -> Lookup:
         column = table.column("vec").combine_chunks()
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
         return cls(table.column("node").to_numpy().astype(np.int64), flat.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1), np.float32))
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
@@ -70,7 +71,8 @@ class Index:
         self.nodes, self.size, self.buckets = nodes, size, max(8, math.ceil(size / 1000))
         dim = len(nodes.first().vec) if size else 1
         self.dim, self.shared = dim, None
-        if 4 * dim * size <= broadcast_bytes:
+        width = 8 if nodes.schema["vec"].dataType.elementType == T.DoubleType() else 4
+        if width * dim * size <= broadcast_bytes:
             self.shared = nodes.sparkSession.sparkContext.broadcast(Lookup.of(nodes.toArrow()))
 
     def bucket(self, node: str | Column) -> Column:
@@ -212,8 +214,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     Equal vectors are one node of the graph, however many they are; a node brings its k + 1 least ids to the result, enough for any query.
     """
     vec = F.col(f"`{embedding}`")
+    # single precision stays as it is; anything else is taken in double, so that scores are those of the original vectors
+    kind = "float" if vectors.schema[embedding].dataType.elementType == T.FloatType() else "double"
     sound = vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
-    rows = vectors.filter(F.col(f"`{vec_id}`").isNotNull()).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("query"), F.when(sound, F.transform(vec.cast("array<float>"), lambda x: (x + F.lit(0.0).cast("float")))).alias("vec")).filter("vec IS NOT NULL")
+    rows = vectors.filter(F.col(f"`{vec_id}`").isNotNull()).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("query"), F.when(sound, F.transform(vec.cast(f"array<{kind}>"), lambda x: (x + F.lit(0.0).cast(kind)))).alias("vec")).filter("vec IS NOT NULL")
     length = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     rows = rows.filter(F.size("vec") == (length.n if length else 0))
     # a node is named by a hash of its vector, since rows may repeat an id with other vectors

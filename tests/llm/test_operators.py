@@ -505,6 +505,28 @@ def test_nearest(spark, broadcast_bytes):
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_scores_doubles_as_they_are(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 5))
+    x[:, 0] += 1e-9 * np.arange(60)  # lost in single precision
+    rows = [(i, [float(v) for v in x[i]]) for i in range(60)] + [(7, [float(v) for v in x[8]]), (7, [float(v) for v in x[8]])]  # one id with two vectors, and a repeat
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    for q in (0, 20, 40):
+        near = sorted(((-float(np.einsum("i,i->", x[q], np.array(v))), i) for i, v in {(i, tuple(v)) for i, v in rows if i != q}))[:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, pytest.approx(-s, rel=1e-13)) for s, i in near]
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = "the marl of stone and clay is the marl of stone"
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (1, text, "en", "a", 1), (None, text, None, None, None), (None, None, None, None, None), (2, None, "fr", "b", 1)], SCHEMA)
+    scored = decontam.benchmark_matches(docs, spark.createDataFrame([("i", text), ("i", text), (None, text)], "item_id string, text string")).collect()
+    assert sorted((r.n_words, r.n_hit, len(r.matches)) for r in scored) == [(0, 0, 0), (0, 0, 0), *[(11, 11, 3)] * 3]
+    assert sorted((r.doc_id is None, r.lang_pred) for r in langid.identify(docs, rounds=2).select("row.doc_id", "lang_pred").collect()) == [(False, "en"), (False, "en"), (False, "und"), (True, "en"), (True, "und")]
+    pages = spark.createDataFrame([(None, "u", "x" * 1200), (None, "v", "x" * 1200), (3, "w", "x" * 1200)], "page_id long, url string, html string")
+    assert sorted(r.record_type for r in warc.read_warc(warc.write_warc(pages)).collect()) == ["response", "revisit", "revisit"]
+    assert mixing.mix_sources(docs).count() == 5
+
+
 def test_similar_documents(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(3000)]
