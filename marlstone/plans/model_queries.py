@@ -43,7 +43,13 @@ def _(s: Source) -> DataFrame:
     return rounded(M.linear_coefficients(_split(s)[0], "pickups", "load"), 6)
 
 
-@query("f04_linear_model")
+# least squares on three features by the adjugate of their covariances
+_X = ("pickups", "previous", "month")
+_COV = f"SELECT {', '.join(f'covar_pop({a}, {b}) AS {n}' for n, a, b in (('a', 'pickups', 'pickups'), ('b', 'pickups', 'previous'), ('c', 'pickups', 'month'), ('d', 'previous', 'previous'), ('e', 'previous', 'month'), ('f', 'month', 'month')))}, {', '.join(f'covar_pop({x}, load) AS r{i}, avg({x}) AS m{i}' for i, x in enumerate(_X))}, avg(load) AS my FROM ({_TRAIN})"
+_BETA = f"SELECT *, ((d * f - e * e) * r0 + (c * e - b * f) * r1 + (b * e - c * d) * r2) / det AS b0, ((c * e - b * f) * r0 + (a * f - c * c) * r1 + (b * c - a * e) * r2) / det AS b1, ((b * e - c * d) * r0 + (b * c - a * e) * r1 + (a * d - b * b) * r2) / det AS b2 FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM ({_COV}))"
+
+
+@query("f04_linear_model", f"SELECT zone, day, round(my + b0 * (pickups - m0) + b1 * (previous - m1) + b2 * (month - m2), 4) AS prediction FROM {{features}} f CROSS JOIN ({_BETA}) WHERE day > (SELECT max(day) - 30 FROM {{panel}} p)")
 def _(s: Source) -> DataFrame:
     train, test = _split(s)
     return M.fit_linear(train, ["pickups", "previous", "month"], "load").transform(test).select("zone", "day", F.round("prediction", 4).alias("prediction"))
@@ -110,10 +116,15 @@ def _(s: Source) -> DataFrame:
     return rounded(S.nearest(s.view("places"), s.view("sites"), "place", "site", 1000.0, by=["category"]).select("place", "category", "distance"), 6)
 
 
-@query("j14_clipped_lengths")
+_SEGMENTS = "SELECT x AS x1, y AS y1, least(x + population, 9999.0) AS x2, least(y + population / 2.0, 9999.0) AS y2 FROM {places} p"
+_TOUCHED = f"SELECT *, CAST(unnest(generate_series(CAST(floor(y1 / 1000) AS BIGINT), CAST(floor(y2 / 1000) AS BIGINT))) AS BIGINT) AS cy FROM (SELECT *, CAST(unnest(generate_series(CAST(floor(x1 / 1000) AS BIGINT), CAST(floor(x2 / 1000) AS BIGINT))) AS BIGINT) AS cx FROM ({_SEGMENTS}))"
+_WITHIN = "greatest(0, " + " ".join(("least(1.0,", "CASE WHEN x2 > x1 THEN ((cx + 1) * 1000 - x1) / (x2 - x1) ELSE 1 END, CASE WHEN y2 > y1 THEN ((cy + 1) * 1000 - y1) / (y2 - y1) ELSE 1 END)", "- greatest(0.0, CASE WHEN x2 > x1 THEN (cx * 1000 - x1) / (x2 - x1) ELSE 0 END, CASE WHEN y2 > y1 THEN (cy * 1000 - y1) / (y2 - y1) ELSE 0 END)")) + ")"
+
+
+@query("j14_clipped_lengths", f"SELECT * FROM (SELECT cx, cy, round(sum(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) * {_WITHIN}), 4) AS length FROM ({_TOUCHED}) GROUP BY 1, 2) WHERE length > 0")
 def _(s: Source) -> DataFrame:
     segments = s.view("places").select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.least(F.col("x") + F.col("population"), F.lit(9999.0)).alias("x2"), F.least(F.col("y") + F.col("population") / 2, F.lit(9999.0)).alias("y2"))
-    return rounded(S.clipped_lengths(segments, 1000.0), 4)
+    return rounded(S.clipped_lengths(segments, 1000.0), 4).filter("length > 0")
 
 
 @query("j14_total_length", "SELECT round(sum(sqrt(power(least(x + population, 9999) - x, 2) + power(least(y + population / 2.0, 9999) - y, 2))), 3) AS length FROM {places} p")

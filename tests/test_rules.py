@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,66 @@ def test_storage_register_is_idempotent(spark):
     for i in range(2):
         R.register(path)(status, i)
     assert sorted(r.object_name for r in spark.read.parquet(path).collect()) == ["a", "old"]
+
+
+def test_logistic_model_equals_newton_steps(spark):
+    from marlstone.operators import features as M
+    from marlstone.plans.registry import Source
+
+    rows = M.stratified_split(Source(spark, FOLDER).view("attendance").filter("rural IS NOT NULL AND deprivation_score IS NOT NULL"), "student_id", "rural")
+    model = M.fit_logistic(rows.filter("part = 'train'"), ["academic_year"], ["deprivation_score", "absent"], "rural")
+    pdf = rows.select("part", "academic_year", "deprivation_score", "absent", "rural").toPandas()
+    years = sorted(pdf.academic_year.unique())
+    x = np.column_stack([np.ones(len(pdf)), *[(pdf.academic_year == y).to_numpy(float) for y in years[1:]], pdf.deprivation_score, pdf.absent])
+    train, y, beta = (pdf.part == "train").to_numpy(), pdf.rural.to_numpy(float), np.zeros(x.shape[1])
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-x[train] @ beta))
+        beta += np.linalg.solve((x[train] * (p * (1 - p))[:, None]).T @ x[train], x[train].T @ (y[train] - p))
+    got = np.array([r.probability[1] for r in model.transform(rows.filter("part = 'test'").select("academic_year", "deprivation_score", "absent", "rural")).select("probability").collect()])
+    assert np.abs(np.sort(got) - np.sort(1 / (1 + np.exp(-x[~train] @ beta)))).max() < 0.01
+
+
+def test_sites_are_weighted_means_and_near_the_best(spark):
+    from marlstone.operators import features as M
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 1, (60, 2)) for c in ((0, 0), (40, 0), (0, 40), (40, 40))])
+    w = rng.uniform(1, 5, len(x))
+    got = M.place_sites(spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, w, strict=True)], "x double, y double, w double"), "x", "y", "w", 4)
+    centres = np.array(sorted((r.x, r.y) for r in got.collect()))
+    of = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+    assert sorted(np.bincount(of).tolist()) == [60] * 4
+    for i in range(4):
+        assert np.allclose(centres[i], np.average(x[of == i], axis=0, weights=w[of == i]), atol=1e-6)
+
+
+def test_scenario_sweep_equals_the_product(spark):
+    rows = [(x, c) for x in (-3.0, 0.0, 0.5, 1.0, 2.0, 7.5) for c in (-4.0, 0.0, 1.0, 1.5, 30.0)] + [(None, 1.0), (2.0, None)]
+    for n in (1, 2, 64):
+        got = {r.scenario: (r.events, r.excess) for r in J.scenario_sweep(spark.createDataFrame(rows, "w double, c double"), "w", "c", scenarios=n).collect()}
+        step = 1.5 / max(1, n - 1)
+        for s in range(n):
+            over = [w * (0.5 + s * step) - c for w, c in rows if w is not None and c is not None]
+            assert got[s] == (sum(o > 0 for o in over), pytest.approx(sum(max(o, 0) for o in over), abs=1e-9))
+    assert J.scenario_sweep(spark.createDataFrame([], "w double, c double"), "w", "c").count() == 0
+
+
+def test_replay_equals_a_fold(spark):
+    rng = np.random.default_rng(3)
+    start = datetime.date(2024, 1, 1)
+    rows = [(int(rng.integers(3)), start + datetime.timedelta(days=int(rng.integers(5))), int(rng.integers(0, 1440, endpoint=True)), i, "pickup" if rng.random() < 0.3 else "arrival", float(rng.integers(0, 90))) for i in range(300)]
+    want = {}
+    inside, street = dict.fromkeys(range(3), 0.0), dict.fromkeys(range(3), 0.0)
+    for b, day, _, kind, _, kg in sorted((b, d, m, k == "pickup", i, kg) for b, d, m, i, k, kg in rows):
+        row = want.setdefault((b, day), [0.0] * 6)
+        if kind:
+            of_street = min(street[b], kg)
+            of_bin = min(inside[b], kg - of_street)
+            street[b], inside[b] = street[b] - of_street, inside[b] - of_bin
+            row[1], row[2] = row[1] + of_street + of_bin, row[2] + kg - of_street - of_bin
+        else:
+            room = min(kg, 100.0 - inside[b])
+            inside[b], street[b], row[0] = inside[b] + room, street[b] + kg - room, row[0] + kg
+        row[3], row[4], row[5] = inside[b], street[b], max(row[5], street[b])
+    got = {(r.bin, r.day): list(r)[2:] for r in V.replay(spark.createDataFrame(rows, "bin int, day date, minute int, event_id int, kind string, kg double"), 100.0).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
