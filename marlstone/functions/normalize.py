@@ -29,7 +29,7 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def trimmed(x: Column) -> Column:
     """Without white space at the ends; null as the empty text."""
-    return F.coalesce(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(F.btrim(x, F.lit(" \t\n\r\f\v")), F.lit(""))
 
 
 def is_missing(x: Column) -> Column:
@@ -60,7 +60,7 @@ def school(t: Column) -> Column:
 
 
 def _in_range(x: Column) -> Column:
-    n = F.try_to_number(x, F.lit("999999999")).cast("int")
+    n = x.try_cast("int")
     return F.when(n.between(*DISTRICTS), n)
 
 
