@@ -234,3 +234,15 @@ def test_replay_equals_a_fold(spark):
         row[3], row[4], row[5] = inside[b], street[b], max(row[5], street[b])
     got = {(r.bin, r.day): list(r)[2:] for r in V.replay(spark.createDataFrame(rows, "bin int, day date, minute int, event_id int, kind string, kg double"), 100.0).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        T.shared_dir(session("spark://host:7077"))
+    assert T.shared_dir(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    assert T.shared_dir(session("local[2]")).endswith("spark-warehouse/scratch")
