@@ -609,3 +609,14 @@ def test_similar_at_the_edge(spark):
     want = similar_by_brute_force(texts)
     assert 0 < sum(want[i] != i for i in range(80, len(texts))) < 30
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session("spark://host:7077"))
+    assert common.shared_dir(session("yarn", "/shared")) == "file:///shared"
