@@ -73,15 +73,18 @@ def consistency(df: DataFrame, group: Sequence[str], value: str, threshold: floa
 
 
 def duplicate_statistics(df: DataFrame, keys: Sequence[str], compare: Sequence[str]) -> DataFrame:
-    """One row: keys, duplicated keys, extra rows, keys with exact and with conflicting rows, and conflicts by field; nulls are values."""
+    """One row: keys, duplicated keys, extra rows, keys with exact and with conflicting rows, and conflicts by field; nulls are values.
+
+    Whether a key's rows differ is whether their least and greatest do, so a key's rows are combined before the shuffle.
+    """
     shown = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in compare]
-    per_key = df.select(*keys, *shown).groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(F.struct(*compare)).alias("forms"), *[F.countDistinct(c).alias(f"of_{c}") for c in compare])
+    per_key = df.select(*keys, *shown).groupBy(*keys).agg(F.count("*").alias("n"), (F.min(F.struct(*compare)) != F.max(F.struct(*compare))).alias("differ"), *[(F.min(c) != F.max(c)).alias(f"of_{c}") for c in compare])
     again = F.col("n") > 1
 
     def number(x: Column) -> Column:
         return F.coalesce(F.sum(x.cast("int")), F.lit(0)).cast("long")
 
-    return per_key.agg(F.count("*").alias("keys"), number(again).alias("duplicated_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("extra_rows"), number(again & (F.col("forms") == 1)).alias("exact_keys"), number(F.col("forms") > 1).alias("conflicting_keys"), *[number(F.col(f"of_{c}") > 1).alias(f"conflict_{c}") for c in compare])
+    return per_key.agg(F.count("*").alias("keys"), number(again).alias("duplicated_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("extra_rows"), number(again & ~F.col("differ")).alias("exact_keys"), number(F.col("differ")).alias("conflicting_keys"), *[number(F.col(f"of_{c}")).alias(f"conflict_{c}") for c in compare])
 
 
 def exact_duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
