@@ -251,9 +251,9 @@ def spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def hot_links(hot: DataFrame, stars: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, chunk: int) -> DataFrame:
-    """Rows (a, b): with `links`, what connects the members of each hot block (rows block, id, n, centre) as all its similar pairs would.
+    """Rows (a, b): with `links`, what connects the members of hot blocks (rows centre, id, n) as all their similar pairs would.
 
-    `stars` has each member's similarity to its block's centre. Members that links connect to the centre need no
+    Blocks of one centre are one group, since copies share most of their blocks. `stars` has each member's similarity to its centre. Members that links connect to the centre need no
     comparison with each other. All else is compared in pairs of chunks of members at like distances from the centre: the share of differing shingles
     is a metric, so chunks further apart than a similar pair can be are left out, as are chunks whose sizes differ too much. A pair of
     chunks is one group, compared on whole sets, and gives a spanning forest of its links; the pairs themselves are never rows.
@@ -263,22 +263,21 @@ def hot_links(hot: DataFrame, stars: DataFrame, links: DataFrame, sets: DataFram
     placed = hot.join(stars.select(F.col("a").alias("centre"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("d")), ["centre", "id"])
     for c in ("id", "centre"):
         placed = placed.join(label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")), c, "left")
-    placed = placed.withColumn("main", F.coalesce("id_component", "id") == F.coalesce("centre_component", "centre"))
-    # chunks are bands of the distance, as many as the block's sets need, and parts of these by hash where a band is still too large
+    # chunks are bands of the distance, as many as the group's sets need, and parts of these by hash where a band is still too large
     size = F.ceil(F.sum(F.col("n") + EACH) / chunk)
-    placed = materialise(placed.select("block", "id", "n", "d", (F.coalesce("id_component", "id") == F.coalesce("centre_component", "centre")).alias("main")), "similar-distances")
-    bands = placed.groupBy("block", "main").agg(F.least(size, F.lit(32)).alias("bands"))
-    placed = placed.join(bands, ["block", "main"]).withColumn("band", F.floor(F.col("d") * F.col("bands")))
-    place = ["block", "main", "band"]
+    placed = materialise(placed.select("centre", "id", "n", "d", (F.coalesce("id_component", "id") == F.coalesce("centre_component", "centre")).alias("main")), "similar-distances")
+    bands = placed.groupBy("centre", "main").agg(F.least(size, F.lit(32)).alias("bands"))
+    placed = materialise(placed.join(bands, ["centre", "main"]).withColumn("band", F.floor(F.col("d") * F.col("bands"))), "similar-bands")
+    place = ["centre", "main", "band"]
     parts = placed.groupBy(*place).agg(size.alias("parts"))
     part = F.concat_ws(".", F.col("main").cast("int"), "band", F.pmod(F.xxhash64("id"), F.col("parts")))
-    placed = materialise(placed.join(parts, place).select("block", "id", "n", "d", "main", part.alias("part")), "similar-chunks")
-    boxes = placed.groupBy("block", "part", "main").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = (boxes.select("block", *[F.col(c).alias(f"{s}_{c}") for c in boxes.columns[1:]]) for s in "xy")
+    placed = materialise(placed.join(parts, place).select("centre", "id", "n", "d", "main", part.alias("part")), "similar-chunks")
+    boxes = placed.groupBy("centre", "part", "main").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.min("n").alias("least"), F.max("n").alias("most"))
+    x, y = (boxes.select("centre", *[F.col(c).alias(f"{s}_{c}") for c in boxes.columns[1:]]) for s in "xy")
     apart = (F.col("x_near") - F.col("y_far") > far) | (F.col("y_near") - F.col("x_far") > far) | (F.col("x_most") < similarity * F.col("y_least") - 1e-9) | (F.col("y_most") < similarity * F.col("x_least") - 1e-9)
-    met = x.join(y, "block").filter((F.col("x_part") <= F.col("y_part")) & ~(F.col("x_main") & F.col("y_main")) & ~apart).select("block", "x_part", "y_part")
+    met = x.join(y, "centre").filter((F.col("x_part") <= F.col("y_part")) & ~(F.col("x_main") & F.col("y_main")) & ~apart).select("centre", "x_part", "y_part")
     sides = F.explode(F.array_distinct(F.array("x_part", "y_part"))).alias("part")
-    members = met.select("*", sides).join(placed.select("block", "part", "id"), ["block", "part"]).join(sets, "id")
+    members = met.select("*", sides).join(placed.select("centre", "part", "id"), ["centre", "part"]).join(sets, "id")
 
     def compare(table: pa.Table) -> pa.Table:
         parts, ids = np.array(table.column("part")), np.array(table.column("id"))
@@ -296,7 +295,7 @@ def hot_links(hot: DataFrame, stars: DataFrame, links: DataFrame, sets: DataFram
             found = spanning_links(near)
         return pa.table({"a": pa.array([int(ids[u]) for u, _ in found], pa.int64()), "b": pa.array([int(ids[v]) for _, v in found], pa.int64())})
 
-    return members.select("block", "x_part", "y_part", "part", "id", "shingles").groupBy("block", "x_part", "y_part").applyInArrow(compare, "a long, b long")
+    return members.select("centre", "x_part", "y_part", "part", "id", "shingles").groupBy("centre", "x_part", "y_part").applyInArrow(compare, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_block: int = 24, chunk: int = CHUNK) -> DataFrame:
@@ -333,8 +332,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     if not hot.isEmpty():
         degree = met.groupBy("id").agg(F.sum("count").alias("degree"))
         centres = materialise(hot.join(degree, "id").groupBy("block").agg(F.max(F.struct("degree", "id")).alias("c")).select("block", F.col("c.id").alias("centre")), "similar-centres")
-        hot = materialise(hot.join(centres, "block").filter("id <> centre"), "similar-hot")
-        stars = hot.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        hot = materialise(hot.join(centres, "block").filter("id <> centre").select("centre", "id", "n").distinct(), "similar-hot")
+        stars = hot.select(F.col("centre").alias("a"), F.col("id").alias("b"))
         stars = materialise(whole_similarity(stars, sets), "similar-stars")
         links = links.unionByName(stars.filter(alike).select("a", "b"))
         links = links.unionByName(hot_links(hot, stars, links, sets, similarity, chunk))
