@@ -268,7 +268,7 @@ def _(s: Source) -> DataFrame:
     return R.alert_transitions(states, "user_id", "ts")
 
 
-@query("r06_alert_stream", _CHANGES)
+@query("r06_alert_stream", f"SELECT * FROM ({_CHANGES}) WHERE ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM {{events}})")
 def _(s: Source) -> DataFrame:
     samples = _stream(s).select("user_id", "ts", (F.col("seconds") > 0.02).alias("on"))
     return R.run_to_end(R.alert_stream(samples, "user_id", 3600), "append").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "change")

@@ -74,31 +74,44 @@ def alert_transitions(states: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def alert_stream(samples: DataFrame, key: str, hold_seconds: int = 120) -> DataFrame:
-    """Stream form of held_alert and alert_transitions: samples (key, ts, on) -> (key, ts, change), each change once.
+    """Stream form of held_alert and alert_transitions: samples (key, ts, on) with a watermark on ts -> (key, ts, change), each change once.
 
-    State is the start of the run and whether it fires. Samples of a key within one batch are worked through in order of ts.
+    Samples wait in the state until the watermark has passed them and are then worked through in order of ts, so batches may cut and mix them as they like;
+    a sample that comes after that is left out, as from windows. State is the start of the run, whether it fires and what waits;
+    a key that is quiet and has nothing waiting has none.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, fires = state.get if state.exists else (None, False)
+        since, fires, waiting, states = state.get if state.exists else (None, False, [], [])
+        passed = state.getCurrentWatermarkMs() * 1000
+        rows = list(zip(waiting, states, strict=True))
+        for frame in frames:
+            rows += [(t.value // 1000, bool(on)) for t, on in zip(frame["ts"], frame["on"], strict=True) if t.value // 1000 > passed]
+        rows.sort(key=lambda r: r[0])
+        done = sum(t <= passed for t, _ in rows)
         out = []
-        rows = pd.concat(list(frames)).sort_values("ts")
-        for ts, on in zip(rows["ts"], rows["on"], strict=True):
-            now = int(ts.value // 1000)
+        for now, on in rows[:done]:
             if on:
                 since = now if since is None else since
                 if not fires and now - since >= hold_seconds * 1_000_000:
                     fires = True
-                    out.append((k[0], ts, "firing"))
+                    out.append((k[0], pd.Timestamp(now, unit="us"), "firing"))
             else:
                 if fires:
-                    out.append((k[0], ts, "resolved"))
+                    out.append((k[0], pd.Timestamp(now, unit="us"), "resolved"))
                 since, fires = None, False
-        state.update((since, fires))
+        rest = rows[done:]
+        if since is None and not rest:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((since, fires, [t for t, _ in rest], [on for _, on in rest]))
+            if rest:
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, rest[0][0] // 1000))
         yield pd.DataFrame(out, columns=[key, "ts", "change"])
 
     kind = samples.schema[key].dataType.simpleString()
-    return samples.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, change string", "since long, fires boolean", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, change string", "since long, fires boolean, waiting array<long>, states array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def storage_status(df: DataFrame, bucket: str, existing: DataFrame, wanted: str = "OBJECT_FINALIZE") -> DataFrame:

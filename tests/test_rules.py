@@ -155,8 +155,11 @@ def test_alert_stream_equals_table(spark):
     rows = [(k, start + datetime.timedelta(seconds=60 * i), bool(v) if k == 1 else not v) for k in (1, 2) for i, v in enumerate(on)]
     samples = spark.createDataFrame(rows, "k int, ts timestamp, on boolean")
     path = T.scratch(spark, "samples")
-    samples.repartition(1).write.parquet(path)
-    stream = spark.readStream.schema(samples.schema).parquet(path)
+    # files that cut and mix the samples of a key, one a batch
+    samples.repartition(5).write.parquet(path)
+    stream = R.with_event_time(spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(path), delay="1 hour")
+    last = spark.createDataFrame([(3, start + datetime.timedelta(hours=2), False)], samples.schema)  # moves the watermark past all others
+    last.write.mode("append").parquet(path)
     got = sorted(map(tuple, R.run_to_end(R.alert_stream(stream, "k"), "append").collect()))
     table = R.alert_transitions(R.held_alert(samples, "k", "ts", F.col("on")), "k", "ts")
     assert got == sorted(map(tuple, table.collect())) and len(got) == 3
