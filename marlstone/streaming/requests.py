@@ -108,7 +108,8 @@ def alert_stream(samples: DataFrame, key: str, hold_seconds: int = 120) -> DataF
             state.update((since, fires, [t for t, _ in rest], [on for _, on in rest]))
             if rest:
                 state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, rest[0][0] // 1000))
-        yield pd.DataFrame(out, columns=[key, "ts", "change"])
+        if out:
+            yield pd.DataFrame(out, columns=[key, "ts", "change"])
 
     kind = samples.schema[key].dataType.simpleString()
     return samples.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, change string", "since long, fires boolean, waiting array<long>, states array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
