@@ -46,4 +46,29 @@ SELECT l.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(
   sha256(array_to_string(CASE WHEN gone IS NULL THEN ls ELSE list_filter(ls, lambda x, i: NOT list_contains(gone, i)) END, chr(10))) AS kept_sha256
 FROM l LEFT JOIN r ON l.doc_id = r.doc_id"""
 
-SQL = {"op2_warc": WARC, "op6_mix": MIX, "op7_decontaminate": DECONTAMINATION, "op8_line_dedup": LINES}
+# unsigned crc32 of a text's UTF-8 bytes: a fold over bytes with the table of its 256 remainders
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"
+_BYTES = "list_transform(range(1, strlen(s) + 1), lambda i: 16 * (strpos('0123456789ABCDEF', substr(hex(s), 2 * i - 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(hex(s), 2 * i, 1)) - 1)"
+_LOWER = "translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPELLING = f"""
+WITH RECURSIVE t AS MATERIALIZED ({_CRC_TABLE}),
+r AS (SELECT coalesce(CAST(doc_id AS STRING), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS r FROM documents),
+s AS (SELECT w, id || ':' || w AS s, m FROM (SELECT id, {_LOWER} AS w, count(*) AS m FROM r WHERE length(r) >= 7 GROUP BY 1, 2)),
+h AS (SELECT w, m, xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: xor(c >> 8, crc[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295) AS h FROM s, t),
+n AS MATERIALIZED (SELECT w, CAST(sum(m) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS w, m FROM h) WHERE length(w) >= 7 GROUP BY 1 HAVING sum(m) >= 2),
+d AS MATERIALIZED (SELECT w, length(w) AS l, k, substr(w, 1, k - 1) || substr(w, k + 1) AS v FROM n, unnest(range(1, length(w) + 1)) u(k)),
+p AS (SELECT a.w, b.w AS x FROM d a JOIN d b ON a.k = b.k AND a.v = b.v AND a.l = b.l AND a.w <> b.w UNION SELECT d.v, d.w FROM d JOIN n ON n.w = d.v UNION SELECT d.w, d.v FROM d JOIN n ON n.w = d.v),
+q AS (SELECT p.w, n.n, n.w AS x, count(*) OVER (PARTITION BY p.w) AS near, row_number() OVER (PARTITION BY p.w ORDER BY n.n DESC, n.w) AS i FROM p JOIN n ON n.w = p.x),
+f AS MATERIALIZED (SELECT n.w AS word, CASE WHEN q.n >= 10 * n.n THEN q.x END AS form, n.n, coalesce(near, 0) AS n_near, CASE WHEN q.n >= 10 * n.n THEN q.n END AS form_n FROM n LEFT JOIN q ON q.w = n.w AND i = 1),
+g(word, root) AS (SELECT word, word FROM f UNION SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, g.root, f.n, f.n_near, f.form_n FROM f JOIN g USING (word) JOIN f e ON e.word = g.root AND e.form IS NULL"""
+
+_HARD = "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))"
+HARD_NEGATIVES = f"""
+WITH e AS MATERIALIZED ({_HARD}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor, other, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, p.other AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) AS INT) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3"""
+
+SQL = {"op11_hard_negatives": HARD_NEGATIVES, "op13_spelling": SPELLING, "op2_warc": WARC, "op6_mix": MIX, "op7_decontaminate": DECONTAMINATION, "op8_line_dedup": LINES}

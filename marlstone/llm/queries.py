@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, lines, lm, mixing, oracles, simhash, suffix, tokens, warc
+from . import ann, decontam, langid, lines, lm, mixing, oracles, rtree, simhash, spelling, suffix, tokens, toxicity, warc
+
+from .common import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +64,24 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return rtree.hard_negatives(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, positives=5, negatives=3, low=50, high=95, label=label)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return found.select("row.doc_id", "held_out", "score", "predicted")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = materialise(spelling.corpus_words(_table(spark, sf_dir, "documents"), least=7, copies=2, drop_every=31), "words")
+    return spelling.group_variants(words, ratio=10)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_suffix_dedup, op4_token_files, op5_language_id, op6_mix, op7_decontaminate, op8_line_dedup, op9_lm_score, op10_nearest)}
+    operators = (op1_simhash, op2_warc, op3_suffix_dedup, op4_token_files, op5_language_id, op6_mix, op7_decontaminate, op8_line_dedup, op9_lm_score, op10_nearest, op11_hard_negatives, op12_toxicity, op13_spelling)
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
