@@ -1,4 +1,4 @@
-"""Planar joins by grid cells: points in cells, nearest neighbours, clipped lengths; and shortest paths on edge tables."""
+"""Planar joins by grid cells: points in cells, nearest neighbours, clipped lengths."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import discard, materialise
+from ..sources.tables import materialise
 
 
 def cell_of(x: Column, y: Column, size: float) -> Column:
@@ -72,49 +72,6 @@ def clipped_lengths(segments: DataFrame, size: float, segment: str = "segment")
     return at.groupBy("cx", "cy").agg(F.sum("length").alias("length"))
 
 
-def shortest_times(edges: DataFrame, origins: DataFrame, keys: Sequence[str] = (), max_rounds: int = 100) -> DataFrame:
-    """Rows (keys, origin, node, cost): least cost from every origin to each node reached, over edges (src, dst, w), for all origins and keys together.
-
-    Rounds relax only rows that got better in the round before; each round is written to the shared folder, which cuts the lineage.
-    Nodes out of reach have no row; null or infinite weights are closed edges.
-    """
-    ids = [*keys, "origin", "node"]
-    usable = materialise(edges.filter(F.col("w").isNotNull() & (F.col("w") < float("inf"))).groupBy(*keys, "src", "dst").agg(F.min("w").alias("w")), "edges")
-    best = materialise(origins.select(*keys, "origin", F.col("origin").alias("node"), F.lit(0).cast(usable.schema["w"].dataType).alias("cost")), "paths")
-    frontier = best
-    for _ in range(max_rounds):
-        reached = frontier.withColumnRenamed("node", "src").join(usable, [*keys, "src"]).groupBy(*keys, "origin", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("cost"))
-        better = reached.alias("r").join(best.withColumnRenamed("cost", "_old"), ids, "left").filter(F.col("_old").isNull() | (F.col("cost") < F.col("_old"))).select(*ids, "cost")
-        last = (best, frontier)
-        frontier = materialise(better, "frontier")
-        if frontier.isEmpty():
-            return best
-        best = materialise(best.unionByName(frontier).groupBy(*ids).agg(F.min("cost").alias("cost")), "paths")
-        for old in last:  # the round before is not read again
-            discard(old)
-    raise RuntimeError(f"paths did not settle within {max_rounds} rounds")
-
-
-def largest_component(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Nodes of the strongly connected component of the node with most edges (ties to the lesser): reached from it and reaching it."""
-    pivot = edges.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).select(F.col("n").alias("origin"))
-    hops = edges.select("src", "dst", F.lit(1).alias("w"))
-    out = shortest_times(hops, pivot, max_rounds=max_rounds).select("node")
-    back = shortest_times(hops.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), pivot, max_rounds=max_rounds).select("node")
-    return out.intersect(back)
-
-
-def travel_matrix(edges: DataFrame, hubs: DataFrame, bins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows (keys, hub, bin, there, back, round_trip); null where there is no way."""
-    origins = hubs.select(*keys, F.col("hub").alias("origin")) if keys else hubs.select(F.col("hub").alias("origin"))
-    there = shortest_times(edges, origins, keys).select(*keys, F.col("origin").alias("hub"), F.col("node").alias("bin"), F.col("cost").alias("there"))
-    turned = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    back = shortest_times(turned, origins, keys).select(*keys, F.col("origin").alias("hub"), F.col("node").alias("bin"), F.col("cost").alias("back"))
-    pairs = hubs.crossJoin(bins.select("bin"))
-    on = [*keys, "hub", "bin"]
-    return pairs.join(there, on, "left").join(back, on, "left").withColumn("round_trip", F.col("there") + F.col("back"))
-
-
 def cell_sums(pixels: DataFrame, size: float, value: str = "v") -> DataFrame:
     """Rows (cx, cy, total) of pixel values; negative and null count as 0."""
     return points_in_cells(pixels, size).groupBy("cx", "cy").agg(F.sum(F.greatest(F.coalesce(value, F.lit(0)), F.lit(0))).alias("total"))

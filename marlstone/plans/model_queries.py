@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as M
+from ..operators import graphs as G
 from ..operators import spatial as S
 from .aggregate_queries import rounded
 from .registry import Source, query, view
@@ -134,8 +135,6 @@ def _(s: Source) -> DataFrame:
 
 
 _BOTH = "SELECT src, dst, w FROM {edges} e UNION ALL SELECT dst, src, w + 1 FROM {edges} e"
-_ONE_WAY = "SELECT src, dst, w FROM {edges} e UNION ALL SELECT dst, src, w + 1 FROM {edges} e WHERE w >= 40"
-_BACK = "SELECT dst AS src, src AS dst, w FROM ({both})"
 
 
 def _paths(name: str, both: str) -> str:
@@ -148,20 +147,46 @@ def _hubs(s: Source, name: str) -> DataFrame:
 
 @query("j18_shortest_times", f"WITH RECURSIVE {_paths('d', _BOTH)} SELECT origin, node, cost FROM d")
 def _(s: Source) -> DataFrame:
-    return S.shortest_times(s.sql(_BOTH), _hubs(s, "origin"))
+    return G.shortest_times(s.sql(_BOTH), _hubs(s, "origin"))
 
 
-_PIVOT = f"SELECT n FROM (SELECT src AS n FROM ({_ONE_WAY}) UNION ALL SELECT dst FROM ({_ONE_WAY})) GROUP BY n ORDER BY count(*) DESC, n LIMIT 1"
+# roads of several towns that do not meet, streets out of each that lead nowhere back, and a depot with one-way streets to everyone: the busiest node, in no component but its own
+view("town_roads", """
+SELECT src, dst FROM {edges} e WHERE src % 5 = -dst % 5 UNION ALL SELECT dst, src FROM {edges} e WHERE w >= 40 AND src % 5 = -dst % 5
+UNION ALL SELECT CAST(1000000000 AS BIGINT), CAST(2000000000 + c_custkey AS BIGINT) FROM {customer}""")
+_REACH = "WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM {town_roads} t WHERE src < 1000000000), r(a, b) AS (SELECT src, src FROM e UNION SELECT dst, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b), k AS MATERIALIZED (SELECT r.b AS node, min(r.a) AS component FROM r JOIN r q ON q.a = r.b AND q.b = r.a GROUP BY 1)"
 
 
-@query("j19_largest_component", f"WITH RECURSIVE e AS MATERIALIZED ({_ONE_WAY}), there(n) AS (({_PIVOT}) UNION SELECT dst FROM there JOIN e ON src = n), back(n) AS (({_PIVOT}) UNION SELECT src FROM back JOIN e ON dst = n) SELECT n AS node FROM there JOIN back USING (n)")
+@query("j19_largest_component", f"{_REACH} SELECT node FROM k WHERE component = (SELECT component FROM k GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)")
 def _(s: Source) -> DataFrame:
-    return S.largest_component(s.sql(_ONE_WAY))
+    return G.largest_component(s.view("town_roads"))
 
 
-@query("l08_travel_matrix", f"WITH RECURSIVE {_paths('t', _ONE_WAY)}, {_paths('u', _BACK.replace('{both}', _ONE_WAY))} SELECT hub, bin, t.cost AS there, u.cost AS back, t.cost + u.cost AS round_trip FROM {{hubs}} h CROSS JOIN (SELECT DISTINCT src AS bin FROM {{edges}} e) LEFT JOIN t ON t.origin = hub AND t.node = bin LEFT JOIN u ON u.origin = hub AND u.node = bin")
+@query("j19_component_sizes", f"{_REACH} SELECT component, count(*) AS nodes FROM k GROUP BY 1 UNION ALL SELECT n, 1 FROM (SELECT src AS n FROM {{town_roads}} t WHERE src >= 1000000000 UNION SELECT dst FROM {{town_roads}} t WHERE src >= 1000000000)")
 def _(s: Source) -> DataFrame:
-    return S.travel_matrix(s.sql(_ONE_WAY), s.view("hubs"), s.view("edges").select(F.col("src").alias("bin")).distinct())
+    return G.component_sizes(s.view("town_roads"))
+
+
+# a large truck may not turn back and is slower, and in a disrupted hour short streets are closed
+view("truck_roads", """
+SELECT truck, scenario, src, dst, w * CASE WHEN truck = 'large' THEN 2 ELSE 1 END + CASE WHEN scenario = 'disrupted' THEN 3 ELSE 0 END AS w
+FROM (SELECT src, dst, w, 0 AS turned FROM {edges} e UNION ALL SELECT dst, src, w + 1, 1 FROM {edges} e) b
+CROSS JOIN (SELECT 'small' AS truck UNION ALL SELECT 'large') t CROSS JOIN (SELECT 'normal' AS scenario UNION ALL SELECT 'disrupted') c
+WHERE (turned = 0 OR truck = 'small' OR w >= 40) AND (scenario = 'normal' OR w >= 5)""")
+_KEYS = "truck, scenario"
+
+
+def _keyed_paths(name: str, src: str, dst: str) -> str:
+    return f"{name}(truck, scenario, origin, node, cost) USING KEY (truck, scenario, origin, node) AS (SELECT t.*, hub, hub, CAST(0 AS BIGINT) FROM {{hubs}} h CROSS JOIN (SELECT DISTINCT {_KEYS} FROM g) t UNION SELECT d.truck, d.scenario, d.origin, g.{dst}, min(d.cost + g.w) FROM {name} d JOIN g ON g.{src} = d.node AND g.truck = d.truck AND g.scenario = d.scenario LEFT JOIN recurring.{name} AS r ON r.truck = d.truck AND r.scenario = d.scenario AND r.origin = d.origin AND r.node = g.{dst} WHERE r.cost IS NULL OR d.cost + g.w < r.cost GROUP BY d.truck, d.scenario, d.origin, g.{dst})"
+
+
+@query("l08_travel_matrix", f"""WITH RECURSIVE g AS MATERIALIZED (SELECT * FROM {{truck_roads}} x), {_keyed_paths('t', 'src', 'dst')}, {_keyed_paths('u', 'dst', 'src')}
+SELECT k.truck, k.scenario, hub, bin, t.cost AS there, u.cost AS back, t.cost + u.cost AS round_trip FROM {{hubs}} h CROSS JOIN (SELECT DISTINCT {_KEYS} FROM g) k CROSS JOIN (SELECT DISTINCT src AS bin FROM {{edges}} e)
+LEFT JOIN t ON t.truck = k.truck AND t.scenario = k.scenario AND t.origin = hub AND t.node = bin LEFT JOIN u ON u.truck = k.truck AND u.scenario = k.scenario AND u.origin = hub AND u.node = bin""")
+def _(s: Source) -> DataFrame:
+    roads = s.view("truck_roads")
+    hubs = s.view("hubs").crossJoin(roads.select("truck", "scenario").distinct())
+    return G.travel_matrix(roads, hubs, s.view("edges").select(F.col("src").alias("bin")).distinct(), ["truck", "scenario"])
 
 
 @query("l10_cell_sums", "SELECT CAST(floor(x / 1000) AS BIGINT) AS cx, CAST(floor(y / 1000) AS BIGINT) AS cy, CAST(sum(greatest(population - 100, 0)) AS BIGINT) AS total FROM {places} p GROUP BY 1, 2")

@@ -15,6 +15,7 @@ from marlstone.operators import governance as G
 from marlstone.operators import joins as J
 from marlstone.operators import quality as Q
 from marlstone.operators import service as V
+from marlstone.operators import graphs
 from marlstone.operators import spatial as S
 from marlstone.sources import tables as T
 from marlstone.streaming import requests as R
@@ -94,7 +95,7 @@ def test_nearest_settles_far_points(spark):
 
 def test_shortest_times_with_keys_and_closed_edges(spark):
     edges = spark.createDataFrame([("a", 1, 2, 1.0), ("a", 2, 3, 1.0), ("a", 1, 3, 5.0), ("b", 1, 2, float("inf")), ("b", 1, 3, 4.0), ("b", 3, 3, None)], "t string, src int, dst int, w double")
-    got = {(r.t, r.node): r.cost for r in S.shortest_times(edges, spark.createDataFrame([("a", 1), ("b", 1)], "t string, origin int"), ["t"]).collect()}
+    got = {(r.t, r.node): r.cost for r in graphs.shortest_times(edges, spark.createDataFrame([("a", 1), ("b", 1)], "t string, origin int"), ["t"]).collect()}
     assert got == {("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("b", 1): 0, ("b", 3): 4}
 
 
