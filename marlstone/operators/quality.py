@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import normalize as N
+from .selection import exact_medians
 
 FIELDS = ("student_id", "district_id", "academic_year", "absent", "deprivation_score", "rural", "school_code")
 
@@ -75,7 +76,7 @@ def resolve_duplicates(df: DataFrame, keys: Sequence[str], compare: Sequence[str
 
 def impute_group_median(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """value filled by its group's median, with value_imputed (0/1) and imputation_method."""
-    medians = df.groupBy(*by).agg(F.median(value).alias("_median"))
+    medians = exact_medians(df, value, by).select(*by, F.col("median").alias("_median"))
     both = df.join(medians, list(by), "left")
     was = F.col(value)
     method = F.when(was.isNotNull(), "observed_or_repaired").when(F.col("_median").isNotNull(), "group_median").otherwise("unresolved_no_group_median")

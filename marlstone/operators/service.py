@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import windows
+from .selection import exact_quantiles
 
 HOURS_PER_MONTH = 24 * 30.4375
 NET_MINUTES = 360
@@ -25,8 +26,8 @@ def demand_factors(base: Column, day: Column, temperature: Column, rain_mm: Colu
 
 def service_policy(df: DataFrame, demand: str, counts: dict[str, int], quantile: float = 0.9) -> DataFrame:
     """priority, class, interval and trigger: a place is a priority if a count reaches its least, or demand its quantile over all places."""
-    level = df.agg(F.percentile(demand, F.lit(quantile)).alias("_q"))
-    both = df.crossJoin(F.broadcast(level))
+    level = exact_quantiles(df, demand, [quantile]).select(F.get("quantiles", F.lit(0)).alias("_q"))
+    both = df.join(F.broadcast(level), how="left")  # one row at most
     priority = F.col(demand) >= F.col("_q")
     for c, least in counts.items():
         priority = priority | (F.col(c) >= least)

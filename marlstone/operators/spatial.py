@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialise
+from ..sources.shared import materialise
 
 
 def cell_of(x: Column, y: Column, size: float) -> Column:
@@ -31,9 +31,9 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size
 
     Round by round, cells double in size; a left row meets the right rows of its own and the eight cells around, and is settled if the
     nearest is no farther than a cell is wide, since then nothing outside can be nearer. Each round is an equality join, and there are as many as it takes;
-    a round of wide cells is left to the rows that lie far from everything. Rows without a place are left out.
+    a round of wide cells is left to the rows that lie far from everything. Rows without a finite place are left out.
     """
-    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double"))
+    placed = (F.abs(F.col("x").cast("double")) < float("inf")) & (F.abs(F.col("y").cast("double")) < float("inf"))
     right = right.filter(placed)
     l_cols, keys = left.filter(placed).select(left_id, "x", "y"), [left_id, *by]
     r_cols = right.select(F.col(right_id), F.col("x").alias("rx"), F.col("y").alias("ry"), *by)
@@ -54,6 +54,13 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size
     return out
 
 
+def undirected(segments: DataFrame) -> DataFrame:
+    """Segments (x1, y1, x2, y2) once, whichever way round they are recorded; those without length, or with a null or infinite end, go."""
+    a, b = F.struct(*[F.col(c).cast("double").alias(c[0]) for c in ("x1", "y1")]), F.struct(*[F.col(c).cast("double").alias(c[0]) for c in ("x2", "y2")])
+    ends = segments.filter(" AND ".join(f"abs(CAST({c} AS DOUBLE)) < CAST('inf' AS DOUBLE)" for c in ("x1", "y1", "x2", "y2"))).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return ends.filter("a <> b").select(F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2")).distinct()
+
+
 def clipped_lengths(segments: DataFrame, size: float, segment: str = "segment") -> DataFrame:
     """Rows (cx, cy, length): the length of segments (x1, y1, x2, y2) within each grid cell.
 

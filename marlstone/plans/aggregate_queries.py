@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators.selection import exact_medians, exact_quantiles
 from .registry import Source, query
 
 KEY = ["district_id", "academic_year"]
@@ -52,12 +53,20 @@ def _(s: Source) -> DataFrame:
 
 @query("a06_group_median", "SELECT district_id, academic_year, round(median(deprivation_score), 9) AS median_score FROM {attendance} a GROUP BY 1, 2")
 def _(s: Source) -> DataFrame:
-    return rounded(s.view("attendance").groupBy(*KEY).agg(F.median("deprivation_score").alias("median_score")))
+    keys = s.view("attendance").select(*KEY).distinct()
+    return rounded(keys.join(exact_medians(s.view("attendance"), "deprivation_score", KEY).select(*KEY, F.col("median").alias("median_score")), list(KEY), "left"))
+
+
+@query("a06_skewed_median", "SELECT district_id, count(deprivation_score) AS n, round(median(deprivation_score), 9) AS median_score FROM {skewed} s GROUP BY 1 HAVING count(deprivation_score) > 0")
+def _(s: Source) -> DataFrame:
+    """One district with most of the rows, whose median is found by selection."""
+    return rounded(exact_medians(s.view("skewed"), "deprivation_score", ["district_id"], limit=1000).withColumnRenamed("median", "median_score"))
 
 
 @query("a07_quantiles", "SELECT round(quantile_cont(l_extendedprice, 0.9), 6) AS q90, round(quantile_cont(l_extendedprice, 0.95), 6) AS q95 FROM {lineitem}")
 def _(s: Source) -> DataFrame:
-    return rounded(s.table("lineitem").agg(F.percentile("l_extendedprice", F.lit(0.9)).alias("q90"), F.percentile("l_extendedprice", F.lit(0.95)).alias("q95")), 6)
+    found = exact_quantiles(s.table("lineitem"), "l_extendedprice", [0.9, 0.95], limit=5000)
+    return rounded(found.select(F.get("quantiles", F.lit(0)).alias("q90"), F.get("quantiles", F.lit(1)).alias("q95")), 6)
 
 
 @query("a08_common_values", "SELECT source AS value, count(*) AS n FROM {documents} GROUP BY 1 ORDER BY n DESC, value LIMIT 5")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Sequence
 
@@ -12,33 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import scalars as X
 from ..operators import quality
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it. A local session may do without and gets one in the working folder; a cluster may not."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (path or f"file://{os.path.abspath('spark-warehouse')}/scratch").rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a materialised frame that nothing needs any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+from .shared import discard, materialise, scratch, shared_dir  # noqa: F401
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options: object) -> DataFrame:
