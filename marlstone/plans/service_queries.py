@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..operators import service as V
+from ..operators.timeline import replay_points
 from ..sources import tables as T
 from ..streaming import requests as R
 from .aggregate_queries import rounded
@@ -154,6 +155,42 @@ def _(s: Source) -> DataFrame:
     return V.replay(events, 400.0).groupBy("bin").agg(F.sum("arrived").alias("arrived"), F.sum(F.col("collected") + F.col("unmet")).alias("scheduled"))
 
 
+# points of four bins; what a pickup takes from a point in all does not depend on how it is split, so windows over the point give it
+_AT_POINTS = "SELECT bin // 4 AS point, day, minute, event_id, CAST(kind = 'pickup' AS INT) AS p, CAST(CASE WHEN kind = 'pickup' THEN -25 * kg ELSE kg END AS DOUBLE) AS c FROM {arrivals} a"
+_POINT_LEVELS = f"SELECT *, plain - least(0, min(plain) OVER (PARTITION BY point ORDER BY day, minute, p, event_id ROWS UNBOUNDED PRECEDING)) AS total FROM (SELECT *, sum(c) OVER (PARTITION BY point ORDER BY day, minute, p, event_id ROWS UNBOUNDED PRECEDING) AS plain FROM ({_AT_POINTS}))"
+
+
+def _replayed(s: Source) -> tuple[DataFrame, DataFrame, DataFrame]:
+    log = s.view("arrivals")
+    bins = log.select("bin").distinct().select("bin", F.floor(F.col("bin") / 4).alias("point"), F.lit(90.0).alias("capacity"))
+    pickups = log.filter("kind = 'pickup'").select(F.col("event_id").alias("pickup"), F.floor(F.col("bin") / 4).alias("point"), "day", "minute", (F.col("kg") * 25).alias("kg"))
+    return replay_points(bins, log.filter("kind = 'arrival'"), pickups)
+
+
+@query("l16_pickups", f"SELECT event_id AS pickup, CAST(point AS BIGINT) AS point, day, -c AS scheduled, coalesce(before, 0) - total AS collected, -c - (coalesce(before, 0) - total) AS unmet, coalesce(before, 0) AS total_before, total AS total_after FROM (SELECT *, lag(total) OVER (PARTITION BY point ORDER BY day, minute, p, event_id) AS before FROM ({_POINT_LEVELS})) WHERE p = 1")
+def _(s: Source) -> DataFrame:
+    taken = _replayed(s)[1]
+    before, after = (F.col(f"street_{w}") + F.col(f"bin_{w}") for w in ("before", "after"))
+    return taken.select(F.col("pickup").cast("long").alias("pickup"), F.col("point").cast("long").alias("point"), "day", "scheduled", (F.col("from_street") + F.col("from_bin")).alias("collected"), "unmet", before.alias("total_before"), after.alias("total_after"))
+
+
+@query("l16_point_days", f"SELECT CAST(point AS BIGINT) AS point, day, sum(greatest(c, 0.0)) AS arrived, arg_max(total, (minute, p, event_id)) AS left_over FROM ({_POINT_LEVELS}) GROUP BY 1, 2")
+def _(s: Source) -> DataFrame:
+    days = _replayed(s)[0].groupBy(F.col("point").cast("long").alias("point"), "day").agg(F.sum("arrived").alias("arrived"), F.sum(F.col("left_in_bin") + F.col("left_on_street")).alias("left_over"))
+    eventful = s.view("arrivals").select(F.floor(F.col("bin") / 4).alias("point"), "day").distinct()
+    return days.join(eventful, ["point", "day"], "left_semi")
+
+
+@query("l16_bin_services")
+def _(s: Source) -> DataFrame:
+    return rounded(_replayed(s)[2].groupBy("point", "bin").agg(F.count("*").alias("services"), F.sum("from_street").alias("from_street"), F.sum("from_bin").alias("from_bin")), 6)
+
+
+@query("l16_exposure")
+def _(s: Source) -> DataFrame:
+    return rounded(_replayed(s)[0].groupBy("point", "bin").agg(F.max("peak_street").alias("peak_street"), F.sum("kg_hours").alias("kg_hours"), F.sum("overflow_hours").alias("overflow_hours")), 6)
+
+
 @query("l17_usable_minutes", "SELECT user_id % 50 AS truck, CAST(sum(least(CASE WHEN event_id % 13 = 0 THEN 0 ELSE greatest(0, 360 - coalesce(CASE WHEN event_id % 5 = 0 THEN 30 END, 0) - coalesce(CASE WHEN event_id % 7 = 0 THEN 45 END, 0)) END, coalesce(CASE WHEN event_id % 17 = 0 THEN 200 END, 360))) AS BIGINT) AS minutes FROM {events} GROUP BY 1")
 def _(s: Source) -> DataFrame:
     e = F.col("event_id")
