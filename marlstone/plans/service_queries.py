@@ -290,6 +290,12 @@ def _(s: Source) -> DataFrame:
     return R.run_to_end(R.slo_windows(_stream(s), "1 minute"), "append").select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("rate", 9).alias("rate"))
 
 
+@query("r04_request_board", f"SELECT start, round(CAST(n / 60.0 AS DOUBLE), 9) AS rate, round(errors / CAST(n AS DOUBLE), 9) AS error_ratio, round(CAST({_QUANTILE} AS DOUBLE), 6) AS quantile FROM (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS start, count(*) AS n, count(*) FILTER (status BETWEEN 500 AND 599) AS errors, " + ", ".join(f"count(*) FILTER (seconds <= {b}) AS b{i}" for i, b in enumerate(R.BOUNDS)) + " FROM {requests} r GROUP BY 1) WHERE start + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM {events})")
+def _(s: Source) -> DataFrame:
+    out = R.run_to_end(R.request_board(_stream(s), 0.95, "1 minute"), "append")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("rate", 9).alias("rate"), F.round("error_ratio", 9).alias("error_ratio"), F.round("quantile", 6).alias("quantile"))
+
+
 _STATES = "SELECT *, CASE WHEN NOT bad THEN 'inactive' WHEN epoch_us(ts) - epoch_us(min(CASE WHEN bad THEN ts END) OVER (PARTITION BY user_id, run)) >= 3600000000 THEN 'firing' ELSE 'pending' END AS state FROM (SELECT *, sum(CASE WHEN bad AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT user_id, ts, event_id, seconds > 0.02 AS bad, lag(seconds > 0.02) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM {requests} r))"
 _CHANGES = f"SELECT user_id, ts, CASE WHEN state = 'firing' THEN 'firing' ELSE 'resolved' END AS change FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'inactive') AS before FROM ({_STATES})) WHERE (state = 'firing') <> (before = 'firing')"
 
@@ -345,3 +351,9 @@ def _(s: Source) -> DataFrame:
 @query("r09_daily_totals", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS requests, count(*) FILTER (status >= 500) AS errors FROM {requests} r GROUP BY 1")
 def _(s: Source) -> DataFrame:
     return R.run_to_end(R.daily_totals(_stream(s))).select(F.col("start").cast("timestamp_ntz").alias("start"), "requests", "errors")
+
+
+@query("r09_closed_days", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS requests, count(*) FILTER (status >= 500) AS errors FROM {requests} r GROUP BY 1 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM {events})")
+def _(s: Source) -> DataFrame:
+    """In append mode: a day comes out once the watermark has passed its end, and its state is freed."""
+    return R.run_to_end(R.daily_totals(_stream(s)), "append").select(F.col("start").cast("timestamp_ntz").alias("start"), "requests", "errors")

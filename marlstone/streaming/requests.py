@@ -10,11 +10,14 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.window import Window
 
 from ..sources.tables import append_unseen, scratch
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 #: Upper bounds of the latency buckets in seconds; the last is open.
 BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -43,17 +46,32 @@ def slo_windows(df: DataFrame, size: str = "5 minutes", slide: str | None = None
     return grouped.select(F.col("w.start").alias("start"), "requests", (F.col("errors") / F.greatest(F.col("requests").cast("double"), F.lit(1e-6))).alias("error_ratio"), (F.col("requests") / seconds).alias("rate"))
 
 
-def latency_quantile(df: DataFrame, q: float = 0.95, size: str = "5 minutes", slide: str | None = None, bounds: Sequence[float] = BOUNDS) -> DataFrame:
-    """Per window the quantile read off bucket counts, linear within a bucket; past the last bound, that bound."""
-    counts = [F.count_if(F.col("seconds") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
-    g = df.groupBy((F.window("ts", size, slide) if slide else F.window("ts", size)).alias("w")).agg(F.count("*").alias("n"), *counts)
+def _bucket_counts(bounds: Sequence[float]) -> list[Column]:
+    return [F.count_if(F.col("seconds") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
+
+
+def _from_buckets(q: float, bounds: Sequence[float]) -> Column:
+    """The quantile read off counts n and b0, b1, ..., linear within a bucket; past the last bound, that bound."""
     target = F.col("n") * q
     value: Column = F.lit(float(bounds[-1]))
     for i in reversed(range(len(bounds))):
         below, low = (F.col(f"b{i - 1}") if i else F.lit(0)), (bounds[i - 1] if i else 0.0)
         inside = F.lit(low) + (F.lit(bounds[i]) - F.lit(low)) * F.coalesce(F.try_divide(target - below, (F.col(f"b{i}") - below).cast("double")), F.lit(1.0))
         value = F.when(F.col(f"b{i}") >= target, inside).otherwise(value)
-    return g.select(F.col("w.start").alias("start"), value.alias("quantile"))
+    return value
+
+
+def latency_quantile(df: DataFrame, q: float = 0.95, size: str = "5 minutes", slide: str | None = None, bounds: Sequence[float] = BOUNDS) -> DataFrame:
+    """Per window the quantile read off bucket counts."""
+    g = df.groupBy((F.window("ts", size, slide) if slide else F.window("ts", size)).alias("w")).agg(F.count("*").alias("n"), *_bucket_counts(bounds))
+    return g.select(F.col("w.start").alias("start"), _from_buckets(q, bounds).alias("quantile"))
+
+
+def request_board(df: DataFrame, q: float = 0.95, size: str = "1 minute", bounds: Sequence[float] = BOUNDS) -> DataFrame:
+    """Per window, from one aggregation: requests a second, the share of 5xx and the latency quantile."""
+    g = df.groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("status").between(500, 599)).alias("errors"), *_bucket_counts(bounds))
+    seconds = F.unix_timestamp(F.col("w.end")) - F.unix_timestamp(F.col("w.start"))
+    return g.select(F.col("w.start").alias("start"), (F.col("n") / seconds).alias("rate"), (F.col("errors") / F.greatest(F.col("n").cast("double"), F.lit(1e-6))).alias("error_ratio"), _from_buckets(q, bounds).alias("quantile"))
 
 
 def held_alert(samples: DataFrame, key: str, ts: str, condition: Column, hold_seconds: int = 120) -> DataFrame:
@@ -73,46 +91,68 @@ def alert_transitions(states: DataFrame, key: str, ts: str) -> DataFrame:
     return states.withColumn("change", change).filter("change IS NOT NULL").select(key, ts, "change")
 
 
-def alert_stream(samples: DataFrame, key: str, hold_seconds: int = 120) -> DataFrame:
-    """Stream form of held_alert and alert_transitions: samples (key, ts, on) with a watermark on ts -> (key, ts, change), each change once.
-
-    Samples wait in the state until the watermark has passed them and are then worked through in order of ts, so batches may cut and mix them as they like;
-    a sample that comes after that is left out, as from windows. State is the start of the run, whether it fires and what waits;
-    a key that is quiet and has nothing waiting has none.
-    """
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, fires, waiting, states = state.get if state.exists else (None, False, [], [])
-        passed = state.getCurrentWatermarkMs() * 1000
-        rows = list(zip(waiting, states, strict=True))
-        for frame in frames:
-            rows += [(t.value // 1000, bool(on)) for t, on in zip(frame["ts"], frame["on"], strict=True) if t.value // 1000 > passed]
-        rows.sort(key=lambda r: r[0])
-        done = sum(t <= passed for t, _ in rows)
+class AlertProcessor(StatefulProcessor):
+    """The state of one key: samples that wait for the watermark (appended, never rewritten as they come), the start of its run and whether it fires."""
+
+    def __init__(self, key: str, hold_seconds: int) -> None:
+        self.key, self.hold = key, hold_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, state boolean")
+        self.run = handle.getValueState("run", "since long, fires boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        come = [(t.value // 1000, bool(on)) for frame in rows for t, on in zip(frame["ts"], frame["on"], strict=True) if t.value // 1000 > passed]
+        if come:
+            self.waiting.appendList(come)
+            self.handle.registerTimer(-(-min(come)[0] // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: r[0])
+        due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        if not due:
+            return
+        since, fires = self.run.get() if self.run.exists() else (None, False)
         out = []
-        for now, on in rows[:done]:
+        for now, on in due:
             if on:
                 since = now if since is None else since
-                if not fires and now - since >= hold_seconds * 1_000_000:
+                if not fires and now - since >= self.hold:
                     fires = True
-                    out.append((k[0], pd.Timestamp(now, unit="us"), "firing"))
+                    out.append((key[0], pd.Timestamp(now, unit="us"), "firing"))
             else:
                 if fires:
-                    out.append((k[0], pd.Timestamp(now, unit="us"), "resolved"))
+                    out.append((key[0], pd.Timestamp(now, unit="us"), "resolved"))
                 since, fires = None, False
-        rest = rows[done:]
-        if since is None and not rest:
-            if state.exists:
-                state.remove()
+        if since is None:
+            self.run.clear()
+        else:
+            self.run.update((since, fires))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
         else:
-            state.update((since, fires, [t for t, _ in rest], [on for _, on in rest]))
-            if rest:
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, rest[0][0] // 1000))
+            self.waiting.clear()
         if out:
-            yield pd.DataFrame(out, columns=[key, "ts", "change"])
+            yield pd.DataFrame(out, columns=[self.key, "ts", "change"])
+
+    def close(self) -> None:
+        pass
 
+
+def alert_stream(samples: DataFrame, key: str, hold_seconds: int = 120) -> DataFrame:
+    """Stream form of held_alert and alert_transitions: samples (key, ts, on) with a watermark on ts -> (key, ts, change), each change once.
+
+    Samples wait in a list of the state until a timer says that the watermark has passed them and are then worked through in order of ts, so batches may cut and mix them as
+    they like; a sample that comes after that is left out, as from windows. A key that is quiet and has nothing waiting has no state and no timer.
+    The query must be started with the RocksDB state store, as run_to_end does.
+    """
     kind = samples.schema[key].dataType.simpleString()
-    return samples.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, change string", "since long, fires boolean, waiting array<long>, states array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
+    return samples.groupBy(key).transformWithStateInPandas(AlertProcessor(key, hold_seconds), f"{key} {kind}, ts timestamp, change string", "Append", "EventTime")
 
 
 def storage_status(df: DataFrame, bucket: str, existing: DataFrame, wanted: str = "OBJECT_FINALIZE") -> DataFrame:
@@ -155,8 +195,13 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
         seen.append(number)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    provider, rocks = spark.conf.get(STATE_STORE), "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set(STATE_STORE, rocks)  # what a query starts with stays with it
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, provider)
     if not seen:
         return spark.createDataFrame([], stream.schema)
     paths = [f"{out}/batch={n}" for n in (seen[-1:] if mode == "complete" else sorted(set(seen)))]

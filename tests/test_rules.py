@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 
 import numpy as np
 import pytest
@@ -166,6 +167,17 @@ def test_alert_stream_equals_table(spark):
     assert got == sorted(map(tuple, table.collect())) and len(got) == 3
 
 
+def test_alert_stream_leaves_out_late_samples(spark):
+    start = datetime.datetime(2024, 1, 1)
+    path = T.scratch(spark, "late-samples")
+    for batch in ([(1, 0, True), (1, 180, False), (2, 0, True), (2, 1, True)], [(1, 179, True), (2, 200, True)], [(3, 400, False)]):  # the second brings a sample that the watermark has passed
+        spark.createDataFrame([(k, start + datetime.timedelta(minutes=m), v) for k, m, v in batch], "k int, ts timestamp, on boolean").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken in order of their time
+    stream = R.with_event_time(spark.readStream.schema("k int, ts timestamp, on boolean").option("maxFilesPerTrigger", 1).parquet(path), delay="1 minute")
+    got = [tuple(r) for r in R.run_to_end(R.alert_stream(stream, "k", 120), "append").collect()]
+    assert got == [(2, start + datetime.timedelta(minutes=200), "firing")]
+
+
 def test_storage_register_is_idempotent(spark):
     path = T.scratch(spark, "register")
     spark.createDataFrame([("old",)], "object_name string").write.parquet(path)
