@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.shared import materialise
 
@@ -26,32 +28,75 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, x: str = "
     return points_in_cells(points, size, x, y).join(spread, ["cx", "cy"]).filter(inside).drop("cx", "cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, by: Sequence[str] = ()) -> DataFrame:
+#: Bits of a place, bits that a level of cells takes of each axis, and the number of points that a cell is no longer split at.
+BITS, STEP, FEW = 24, 2, 64
+
+
+class CellTree:
+    """Cells of points (id, x, y, by), each split into 16 until it holds FEW places at most, with the box around the points of each.
+
+    A level is one grouped count of the points in cells that are still split, so no task holds a crowded cell; equal places are one, with the least id.
+    """
+
+    def __init__(self, points: DataFrame, by: Sequence[str]) -> None:
+        self.by = list(by)
+        lowest, highest = points.agg(F.array(F.min("x"), F.min("y")), F.array(F.max("x"), F.max("y"))).first()
+        self.empty = lowest is None or lowest[0] is None
+        if self.empty:
+            return
+        unit = (1 << BITS) / (max(highest[0] - lowest[0], highest[1] - lowest[1]) or 1.0)
+        place = [F.least(F.floor((F.col(c) - F.lit(at)) * F.lit(unit)), F.lit((1 << BITS) - 1)).alias(f"{c}_bits") for c, at in (("x", lowest[0]), ("y", lowest[1]))]
+        open_ = materialise(points.groupBy(*self.by, "x", "y").agg(F.min("id").alias("id")).select("*", *place), "places")
+        nodes, leaves = [], []
+        for level in range(0, BITS + STEP, STEP):
+            cell = F.struct(*[F.shiftright(f"{c}_bits", BITS - level).alias(c) for c in ("x", "y")])
+            parent = F.struct(*[F.shiftright(f"{c}_bits", BITS - level + STEP).alias(c) for c in ("x", "y")])
+            placed = open_.withColumns({"cell": cell, "parent": parent if level else cell})
+            sizes = placed.groupBy(*self.by, "cell", "parent").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("x", "y")])
+            nodes.append(materialise(sizes.withColumn("leaf", (F.col("n") <= FEW) | F.lit(level == BITS)), "cells"))
+            marks = nodes[-1].select(*self.by, "cell", "leaf")
+            known = materialise(placed.join(marks, [*self.by, "cell"]), "placed")
+            leaves.append(known.filter("leaf").select(*self.by, F.lit(level).alias("level"), "cell", F.col("x").alias("rx"), F.col("y").alias("ry"), "id"))
+            open_ = known.filter(~F.col("leaf")).select(*self.by, "x", "y", "id", "x_bits", "y_bits")
+            if nodes[-1].filter(~F.col("leaf")).isEmpty():
+                break
+        self.levels, self.points = nodes, reduce(DataFrame.unionByName, leaves)
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows (left_id, [by], right_id, distance): the nearest right row of each left row (and value of `by`), ties to the lesser id; columns x, y.
 
-    Round by round, cells double in size; a left row meets the right rows of its own and the eight cells around, and is settled if the
-    nearest is no farther than a cell is wide, since then nothing outside can be nearer. Each round is an equality join, and there are as many as it takes;
-    a round of wide cells is left to the rows that lie far from everything. Rows without a finite place are left out.
+    The cells of the right rows are searched from the whole down: every left row keeps the cells whose box is no farther than the farthest corner of some other, since one of their
+    points must be the nearest, and goes on to the cells within them, until they hold few points. So work follows the number of left rows and the depth of the cells, however crowded some
+    of them are, and ends when boxes prove it. Rows without a finite place, and right rows with a null in `by`, are left out; an id at several places counts from the nearest of them.
     """
     placed = (F.abs(F.col("x").cast("double")) < float("inf")) & (F.abs(F.col("y").cast("double")) < float("inf"))
-    right = right.filter(placed)
-    l_cols, keys = left.filter(placed).select(left_id, "x", "y"), [left_id, *by]
-    r_cols = right.select(F.col(right_id), F.col("x").alias("rx"), F.col("y").alias("ry"), *by)
-    open_rows = l_cols.crossJoin(right.select(*by).distinct()) if by else l_cols
-    parts, width = [], size
-    while not parts or not (open_rows.isEmpty() or right.isEmpty()):
-        around = F.explode(F.array(*[F.struct((F.floor(F.col("x") / width) + a).alias("cx"), (F.floor(F.col("y") / width) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-        met = open_rows.withColumn("_cell", around).join(r_cols.withColumn("_cell", cell_of(F.col("rx"), F.col("ry"), width)), ["_cell", *by])
-        distance = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
-        best = met.withColumn("d", distance).groupBy(*keys).agg(F.min(F.struct("d", right_id)).alias("b"))
-        settled = best.filter(F.col("b.d") <= width).select(*keys, F.col(f"b.{right_id}").alias(right_id), F.col("b.d").alias("distance"))
-        parts.append(materialise(settled, "nearest"))
-        open_rows = open_rows.join(parts[-1].select(*keys), keys, "left_anti")
-        width *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    x, y = F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")
+    known = reduce(Column.__and__, (F.col(c).isNotNull() for c in by), F.lit(True))
+    tree = CellTree(right.filter(placed & known).select(F.col(right_id).alias("id"), x, y, *by), by)
+    kinds = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
+    if tree.empty:
+        return left.sparkSession.createDataFrame([], ", ".join(f"`{c}` {kinds[c]}" for c in (left_id, *by, right_id)) + ", distance double")
+    rows = left.filter(placed).select(F.col(left_id).alias("l"), x, y).distinct()
+    dx, dy = (F.greatest(F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}"), F.lit(0.0)) for c in ("x", "y"))
+    fx, fy = (F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(c) - F.col(f"hi{c}"))) for c in ("x", "y"))
+    one = Window.partitionBy("l", "x", "y", *by)
+    frontier, found = None, []
+    for level, nodes in enumerate(tree.levels):
+        cells = nodes.withColumnRenamed("cell", "_cell")
+        if frontier is None:
+            met = rows.crossJoin(F.broadcast(cells.drop("parent")))  # the root, one row for each value of `by`
+        else:
+            held = frontier.filter(F.col("leaf"))
+            met = frontier.filter(~F.col("leaf")).select("l", "x", "y", *by, F.col("_cell").alias("parent")).join(cells, [*by, "parent"]).drop("parent")
+        met = met.withColumns({"near": F.hypot(dx, dy), "far": F.hypot(fx, fy), "_level": F.lit(level * STEP)}).select("l", "x", "y", *by, "_cell", "_level", "leaf", "near", "far")
+        if frontier is not None:
+            met = met.unionByName(held)
+        kept = met.withColumn("bound", F.min("far").over(one)).filter(F.col("near") <= F.col("bound") * (1 + 1e-12)).drop("bound")
+        frontier = materialise(kept, "frontier")
+    close = frontier.join(tree.points.select(*by, F.col("level").alias("_level"), F.col("cell").alias("_cell"), "rx", "ry", "id"), [*by, "_level", "_cell"])
+    best = close.groupBy("l", *by).agg(F.min(F.struct(F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")).alias("d"), "id")).alias("b"))
+    return best.select(F.col("l").alias(left_id), *by, F.col("b.id").alias(right_id), F.col("b.d").alias("distance"))
 
 
 def undirected(segments: DataFrame) -> DataFrame:

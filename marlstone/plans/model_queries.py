@@ -109,12 +109,12 @@ _DIST = "sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y))"
 
 @query("j11_nearest", f"SELECT place, site, round(d, 6) AS distance FROM (SELECT place, site, {_DIST} AS d, row_number() OVER (PARTITION BY place ORDER BY {_DIST}, site) AS r FROM {{places}} p CROSS JOIN {{sites}} t) WHERE r = 1")
 def _(s: Source) -> DataFrame:
-    return rounded(S.nearest(s.view("places"), s.view("sites"), "place", "site", 500.0), 6)
+    return rounded(S.nearest(s.view("places"), s.view("sites"), "place", "site"), 6)
 
 
 @query("j12_nearest_by_category", f"SELECT place, category, round(min({_DIST}), 6) AS distance FROM {{places}} p CROSS JOIN {{sites}} t GROUP BY 1, 2")
 def _(s: Source) -> DataFrame:
-    return rounded(S.nearest(s.view("places"), s.view("sites"), "place", "site", 1000.0, by=["category"]).select("place", "category", "distance"), 6)
+    return rounded(S.nearest(s.view("places"), s.view("sites"), "place", "site", by=["category"]).select("place", "category", "distance"), 6)
 
 
 _SEGMENTS = "SELECT x AS x1, y AS y1, least(x + population, 9999.0) AS x2, least(y + population / 2.0, 9999.0) AS y2 FROM {places} p"

@@ -128,7 +128,7 @@ _D = "sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y))"
 
 @query("j13_snap_to_node", f"SELECT site, place, round(d, 6) AS distance FROM (SELECT site, place, {_D} AS d, row_number() OVER (PARTITION BY site ORDER BY {_D}, place) AS r FROM {{sites}} t CROSS JOIN {{places}} p) WHERE r = 1")
 def _(s: Source) -> DataFrame:
-    return rounded(S.nearest(s.view("sites"), s.view("places"), "site", "place", 200.0), 6)
+    return rounded(S.nearest(s.view("sites"), s.view("places"), "site", "place"), 6)
 
 
 @query("l01_cell_features", f"""WITH c AS (SELECT CAST(floor(x / 2000) AS BIGINT) AS cx, CAST(floor(y / 2000) AS BIGINT) AS cy, category, count(*) AS n FROM {{sites}} s GROUP BY 1, 2, 3), w AS (SELECT CAST(unnest(generate_series(CAST(floor(min(x) / 2000) AS BIGINT), CAST(floor(max(x) / 2000) AS BIGINT))) AS BIGINT) AS cx FROM {{places}} p), h AS (SELECT CAST(unnest(generate_series(CAST(floor(min(y) / 2000) AS BIGINT), CAST(floor(max(y) / 2000) AS BIGINT))) AS BIGINT) AS cy FROM {{places}} p), g AS (SELECT cx, cy, cx * 2000 + 1000.0 AS x, cy * 2000 + 1000.0 AS y FROM w CROSS JOIN h)
@@ -137,14 +137,14 @@ def _(s: Source) -> DataFrame:
 def _(s: Source) -> DataFrame:
     cells = S.grid(S.bounds(s.view("places")), 2000.0).select("cx", "cy", F.struct("cx", "cy").alias("cell"), (F.col("cx") * 2000 + 1000.0).alias("x"), (F.col("cy") * 2000 + 1000.0).alias("y"))
     counts = S.points_in_cells(s.view("sites"), 2000.0).groupBy("cx", "cy").pivot("category", ["healthcare", "supermarket"]).count()
-    near = S.nearest(cells, s.view("sites").filter("category = 'healthcare'"), "cell", "site", 2000.0).select("cell", F.round("distance", 6).alias("nearest_healthcare"))
+    near = S.nearest(cells, s.view("sites").filter("category = 'healthcare'"), "cell", "site").select("cell", F.round("distance", 6).alias("nearest_healthcare"))
     both = cells.join(counts, ["cx", "cy"], "left").fillna(0, ["healthcare", "supermarket"]).join(near, "cell")
     return both.select("cx", "cy", "healthcare", "supermarket", X.weighted({c: F.col(c) for c in ("healthcare", "supermarket")}, X.ACTIVITY_WEIGHT).alias("activity"), "nearest_healthcare")
 
 
 @query("l02_bin_rollup", f"SELECT t.site, count(r.place) AS places, CAST(coalesce(sum(population), 0) AS BIGINT) AS population, round(coalesce(max(d), 0), 6) AS farthest FROM {{sites}} t LEFT JOIN (SELECT place, population, site, d FROM (SELECT place, population, site, {_D} AS d, row_number() OVER (PARTITION BY place ORDER BY {_D}, site) AS r FROM {{places}} p CROSS JOIN {{sites}} t) WHERE r = 1) r ON r.site = t.site GROUP BY 1")
 def _(s: Source) -> DataFrame:
-    assigned = S.nearest(s.view("places"), s.view("sites"), "place", "site", 500.0).join(s.view("places").select("place", "population"), "place")
+    assigned = S.nearest(s.view("places"), s.view("sites"), "place", "site").join(s.view("places").select("place", "population"), "place")
     sums = assigned.groupBy("site").agg(F.count("*").alias("places"), F.sum("population").alias("population"), F.round(F.max("distance"), 6).alias("farthest"))
     return s.view("sites").select("site").join(sums, "site", "left").fillna(0)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import math
+import random
 import time
 
 import numpy as np
@@ -90,10 +92,29 @@ def test_checked_join_raises(spark):
 def test_nearest_settles_far_points(spark):
     left = spark.createDataFrame([(1, 0.0, 0.0), (2, 900.0, 900.0), (3, 5.0, 0.0)], "place int, x double, y double")
     right = spark.createDataFrame([(10, 4.0, 0.0), (11, 6.0, 0.0)], "site int, x double, y double")
-    got = {r.place: (r.site, round(r.distance, 3)) for r in S.nearest(left, right, "place", "site", 2.0).collect()}
+    got = {r.place: (r.site, round(r.distance, 3)) for r in S.nearest(left, right, "place", "site").collect()}
     assert got == {1: (10, 4.0), 2: (11, 1268.557), 3: (10, 1.0)}
 
 
+def test_nearest_in_crowded_places(spark):
+    rng = random.Random(11)
+    inf, nan = float("inf"), float("nan")
+    crowd = [(i, rng.uniform(500, 500.001), rng.uniform(500, 500.001), "ab"[i % 2]) for i in range(900)]  # nine tenths of all, in a cell
+    right = crowd + [(1000 + i, rng.uniform(0, 1000), rng.uniform(0, 1000), "ab"[i % 2]) for i in range(100)] + [(2000 + k, 3.0, 3.0, "b") for k in (5, 2, 9)] + [(3000, inf, 1.0, "a"), (3001, None, 1.0, "a"), (3002, 1.0, nan, "a"), (3003, 3.0, 3.0, None)]
+    left = [(i, rng.uniform(-100, 1100), rng.uniform(-100, 1100), 0) for i in range(150)] + [(200 + i, rng.uniform(499.9995, 500.0015), rng.uniform(499.9995, 500.0015), 0) for i in range(150)] + [(400, 3.0, 3.0, 0), (401, inf, 0.0, 0), (402, -inf, nan, 0), (403, None, 0.0, 0), (404, 1e12, 1e12, 0), (400, 3.0, 3.0, 0)]
+    l_df, r_df = spark.createDataFrame(left, "place int, x double, y double, id int"), spark.createDataFrame(right, "site int, x double, y double, kind string")
+    for by in ([], ["kind"]):
+        got = {(r.place, *(r[c] for c in by)): (r.site, r.distance) for r in S.nearest(l_df, r_df, "place", "site", by=by).collect()}
+        want = {}
+        for p, x, y, _ in left:
+            for kind in "ab" if by else [None]:
+                if x is not None and abs(x) < inf and abs(y) < inf:
+                    want[(p, kind) if by else (p,)] = min((math.hypot(x - rx, y - ry), s) for s, rx, ry, k in right if rx is not None and abs(rx) < inf and abs(ry) < inf and (not by or k == kind))
+        assert set(got) == set(want) and all(got[k][1] == pytest.approx(want[k][0]) for k in want)
+        assert sum(got[k][0] != want[k][1] for k in want) == 0
+    assert S.nearest(l_df, r_df.limit(0), "place", "site").isEmpty() and S.nearest(l_df.limit(0), r_df, "place", "site", by=["kind"]).isEmpty()
+
+
 def test_shortest_times_with_keys_and_closed_edges(spark):
     edges = spark.createDataFrame([("a", 1, 2, 1.0), ("a", 2, 3, 1.0), ("a", 1, 3, 5.0), ("b", 1, 2, float("inf")), ("b", 1, 3, 4.0), ("b", 3, 3, None)], "t string, src int, dst int, w double")
     got = {(r.t, r.node): r.cost for r in graphs.shortest_times(edges, spark.createDataFrame([("a", 1), ("b", 1)], "t string, origin int"), ["t"]).collect()}
