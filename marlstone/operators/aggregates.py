@@ -40,8 +40,18 @@ def merge_metrics(partials: DataFrame, by: Sequence[str]) -> DataFrame:
                     ratio("flag_sum", "flag_known").alias("flag_share"), (F.lit(1.0) - ratio("flag_known", "days")).alias("flag_unknown_rate"))
 
 
-def salted_metrics(df: DataFrame, by: Sequence[str], outcome: str, score: str, flag: str, salt_from: Sequence[str], hot: Column, buckets: int = 8) -> DataFrame:
-    """As rate_metrics, in two stages: rows for which `hot` holds spread over `buckets` first."""
+def heavy_hashes(df: DataFrame, keys: Sequence[str], share: float = 0.02, tracked: int = 10_000) -> list[int]:
+    """Hashes of the keys with about `share` of the rows or more, from one pass with a mergeable summary of `tracked` counters; 1 / share of them at most."""
+    k = max(1, round(1 / share))
+    rows = df.select(F.xxhash64(*keys).alias("h"))
+    top, n = rows.agg(F.expr(f"approx_top_k(h, {k}, {max(tracked, k)})"), F.count("*")).first()
+    return [r["item"] for r in top or [] if r["count"] >= share * n]
+
+
+def salted_metrics(df: DataFrame, by: Sequence[str], outcome: str, score: str, flag: str, salt_from: Sequence[str], hot: Column | None = None, buckets: int = 8) -> DataFrame:
+    """As rate_metrics, in two stages: rows for which `hot` holds, by default those of keys that are found to be heavy, spread over `buckets` first."""
+    if hot is None:
+        hot = F.xxhash64(*by).isin(heavy_hashes(df, by))
     salt = F.when(hot, F.pmod(F.xxhash64(*salt_from), F.lit(buckets))).otherwise(0)
     return merge_metrics(partial_metrics(df.withColumn("_salt", salt), [*by, "_salt"], outcome, score, flag), by)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,44 @@ def lookup_window(df: DataFrame, minute: str, windows: DataFrame) -> DataFrame:
     return df.join(F.broadcast(inside.join(after, "_m")), df[minute] == F.col("_m"), "left").drop("_m")
 
 
+def dyadic_cover(start: Column, end: Column) -> Column:
+    """The fewest intervals [node * 2^level, (node + 1) * 2^level) that make up [start, end) of longs: an array of (level, node), two a level at most; empty unless start < end."""
+    none = F.expr("CAST(array() AS array<struct<level: int, node: bigint>>)")
+
+    def climb(s: Column, level: Column) -> Column:
+        """From either end, what does not belong to a whole pair of the level above is cut off."""
+        a, b, out = s["a"], s["b"], s["out"]
+        left, right = (a < b) & (F.pmod(a, F.lit(2)) == 1), (a < b) & (F.pmod(b, F.lit(2)) == 1)
+        left_node = F.when(left, F.array(F.struct(level.alias("level"), a.alias("node")))).otherwise(none)
+        right_node = F.when(right & (b - 1 >= F.when(left, a + 1).otherwise(a)), F.array(F.struct(level.alias("level"), (b - 1).alias("node")))).otherwise(none)
+        up, down = F.when(left, a + 1).otherwise(a), F.when(right, b - 1).otherwise(b)
+        return F.struct(F.shiftright(up, 1).alias("a"), F.shiftright(down, 1).alias("b"), F.concat(out, left_node, right_node).alias("out"))
+
+    from_ = F.struct(start.cast("long").alias("a"), end.cast("long").alias("b"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), from_, climb, lambda s: s["out"])
+
+
+def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, by: Sequence[str] = ()) -> DataFrame:
+    """Every point with every half-open window [start, end) that holds it, with equal `by`; at, start and end are whole numbers (minutes, microseconds).
+
+    A window is covered by dyadic intervals, at most two a level, and a point lies in one of each level that any window uses: so the join is by equality, gives each pair once, and follows the
+    number of pairs, however the windows overlap or how long they are. Nulls match nothing; empty windows hold nothing. The levels in use are looked up first (63 at most).
+    """
+    right = windows.filter(F.col(start) < F.col(end)).withColumn("_n", F.explode(dyadic_cover(F.col(start), F.col(end)))).withColumns({"_level": F.col("_n.level"), "_node": F.col("_n.node")}).drop("_n")
+    levels = sorted(r[0] for r in right.select("_level").distinct().collect())
+    nodes = F.array(*[F.struct(F.lit(v).alias("_level"), F.shiftright(F.col(at).cast("long"), v).alias("_node")) for v in levels]) if levels else F.expr("CAST(array() AS array<struct<_level: int, _node: bigint>>)")
+    left = points.filter(F.col(at).isNotNull()).withColumn("_n", F.explode(nodes)).withColumns({"_level": F.col("_n._level"), "_node": F.col("_n._node")}).drop("_n")
+    return left.join(right, [*by, "_level", "_node"]).drop("_level", "_node")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, start: tuple[str, str], end: tuple[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """Every pair of half-open intervals that overlap, once: either the right one begins within the left one, or the left one begins after that and within the right one."""
+    first = interval_join(right, left, start[1], start[0], end[0], by)
+    second = interval_join(left.filter(F.col(start[0]) < F.col(end[0])), right.withColumn("_after", F.col(start[1]) + 1), start[0], "_after", end[1], by).drop("_after")
+    names = [*left.columns, *[c for c in right.columns if c not in by]]
+    return first.filter(F.col(start[1]) < F.col(end[1])).select(names).unionByName(second.select(names))
+
+
 def scenario_sweep(df: DataFrame, load: str, capacity: str, scenarios: int = 2048, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """Per multiplier between low and high: rows whose load, times it, passes capacity, and by how much in all.
 
@@ -59,11 +97,18 @@ def scenario_sweep(df: DataFrame, load: str, capacity: str, scenarios: int = 204
     def passes(scenario: Column) -> Column:
         return x * (F.lit(low) + scenario * F.lit(step)) > c
 
-    # the crossing by division, then to the exact scenario by the comparison itself
+    # the crossing by division, then to the exact scenario by the comparison itself: rounding moves it by one at most
     near = F.greatest(F.lit(-1), F.least(F.lit(scenarios + 1), F.floor((F.try_divide(c.cast("double"), x.cast("double")) - low) / (step or 1.0)))).cast("int")
-    around = F.filter(F.transform(F.sequence(F.lit(-2), F.lit(3)), lambda i: near + i), lambda s: (s >= 0) & (s < scenarios))
-    up = F.when(x > 0, F.coalesce(F.array_min(F.filter(around, passes)), F.lit(scenarios))).otherwise(0)
-    end = F.when(x < 0, F.coalesce(F.array_min(F.filter(around, lambda s: ~passes(s))), F.lit(scenarios))).otherwise(scenarios)
+    first = F.greatest(near - 1, F.lit(0))
+
+    def turn(holds: Callable[[Column], Column]) -> Column:
+        found = F.when(holds(first), first)
+        for i in (1, 2, 3):
+            found = found.when(holds(first + i), first + i)
+        return F.least(found.otherwise(scenarios), F.lit(scenarios))
+
+    up = F.when(x > 0, turn(passes)).otherwise(0)
+    end = F.when(x < 0, turn(lambda s: ~passes(s))).otherwise(scenarios)
     end = F.when((x <= 0) & ~passes(F.lit(0)), 0).otherwise(end)
     turns = df.filter(x.isNotNull() & c.isNotNull()).select(F.explode(F.array(F.struct(up.alias("scenario"), F.lit(1).alias("sign")), F.struct(end.alias("scenario"), F.lit(-1).alias("sign")))).alias("t"), x.alias("x"), c.alias("c")).select("t.*", "x", "c")
     deltas = turns.filter(F.col("scenario") < scenarios).groupBy("scenario").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("x")).alias("x"), F.sum(F.col("sign") * F.col("c")).alias("c"))

@@ -43,7 +43,7 @@ def _(s: Source) -> DataFrame:
 
 @query("a05_salted_metrics", f"SELECT district_id, academic_year, {METRICS} FROM {{skewed}} a GROUP BY district_id, academic_year")
 def _(s: Source) -> DataFrame:
-    return rounded(A.salted_metrics(s.view("skewed"), KEY, "absent", "deprivation_score", "rural", ["student_id"], F.col("district_id") == 1))
+    return rounded(A.salted_metrics(s.view("skewed"), KEY, "absent", "deprivation_score", "rural", ["student_id"]))
 
 
 @query("a05_hot_keys", "WITH c AS (SELECT district_id, count(*) AS count FROM {skewed} a GROUP BY 1) SELECT district_id, count FROM c WHERE count > 4 * (SELECT avg(count) FROM c)")

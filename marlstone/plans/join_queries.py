@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import windows as W
 from .aggregate_queries import rounded
-from .registry import Source, query
+from .registry import Source, query, view
 
 
 def _orders(s: Source) -> DataFrame:
@@ -83,6 +83,25 @@ def _(s: Source) -> DataFrame:
     return J.lookup_window(s.view("arrivals"), "minute", windows).groupBy("window_end", "next_start").agg(F.count("*").alias("n"))
 
 
+# shifts of teams that overlap and run over midnight, in minutes from the start of the month
+view("shifts", "SELECT CAST(o_orderkey AS BIGINT) AS shift, CAST(o_custkey % 20 AS INT) AS team, CAST(o_orderkey * 131 % 43000 AS BIGINT) AS begins, CAST(o_orderkey * 131 % 43000 + o_orderkey * 17 % 700 AS BIGINT) AS ends FROM {orders}")
+view("calls", "SELECT event_id, CAST(user_id % 20 AS INT) AS team, CAST((day(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts) AS BIGINT) AS at FROM {events}")
+
+
+@query("j17_overlapping_shifts", "SELECT shift, count(*) AS calls, min(c.at) AS first_at, max(event_id) AS last_event FROM {calls} c JOIN {shifts} w ON w.team = c.team AND c.at >= begins AND c.at < ends GROUP BY 1")
+def _(s: Source) -> DataFrame:
+    met = J.interval_join(s.view("calls"), s.view("shifts"), "at", "begins", "ends", ["team"])
+    return met.groupBy("shift").agg(F.count("*").alias("calls"), F.min("at").alias("first_at"), F.max("event_id").alias("last_event"))
+
+
+@query("j17_shift_overlaps", "SELECT a.shift, count(*) AS others FROM {shifts} a JOIN {shifts} b ON a.team = b.team AND a.shift <> b.shift AND a.begins < b.ends AND b.begins < a.ends AND a.begins < a.ends AND b.begins < b.ends GROUP BY 1")
+def _(s: Source) -> DataFrame:
+    one = s.view("shifts")
+    two = one.select("team", F.col("shift").alias("other"), F.col("begins").alias("other_begins"), F.col("ends").alias("other_ends"))
+    met = J.overlap_join(one, two, ("begins", "other_begins"), ("ends", "other_ends"), ["team"])
+    return met.filter("shift <> other").groupBy("shift").agg(F.count("*").alias("others"))
+
+
 @query("p10_policy_defaults", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, 'P-' || o_orderstatus) AS priority FROM {orders}")
 def _(s: Source) -> DataFrame:
     requests = s.table("orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("priority"))

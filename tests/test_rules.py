@@ -6,6 +6,7 @@ import datetime
 import math
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,6 +97,31 @@ def test_nearest_settles_far_points(spark):
     assert got == {1: (10, 4.0), 2: (11, 1268.557), 3: (10, 1.0)}
 
 
+def test_interval_joins(spark):
+    rng = random.Random(5)
+    spans = [(i, rng.randrange(3), a := rng.choice([rng.randrange(-50, 50), rng.randrange(-(10**12), 10**12)]), a + rng.choice([0, 1, 2, 7, 64, 10**11, -3])) for i in range(80)] + [(90, 1, None, 5), (91, 1, 5, None), (92, None, 0, 10), (93, 0, -(10**15), 10**15)]
+    points = [(i, rng.randrange(3), rng.choice([rng.randrange(-60, 60), rng.randrange(-(10**12), 10**12)])) for i in range(150)] + [(200, 1, None), (201, None, 3), (0, 0, 7), (0, 0, 7)]
+    p_df, w_df = spark.createDataFrame(points, "p int, k int, at long"), spark.createDataFrame(spans, "w int, k int, b long, e long")
+    for by in ([], ["k"]):
+        got = Counter((r.p, r.w) for r in J.interval_join(p_df, w_df if by else w_df.drop("k"), "at", "b", "e", by).collect())
+        assert got == Counter((p, w) for p, k, at in points for w, j, b, e in spans if None not in (at, b, e) and b <= at < e and (not by or (k is not None and k == j)))
+    other = w_df.toDF("w2", "k", "b2", "e2")
+    got = Counter((r.w, r.w2) for r in J.overlap_join(w_df, other, ("b", "b2"), ("e", "e2"), ["k"]).collect())
+    whole = [s for s in spans if None not in s]
+    assert got == Counter((w, v) for w, k, b, e in whole for v, j, c, d in whole if k == j and b < e and c < d and b < d and c < e)
+    assert J.interval_join(p_df, w_df.limit(0).drop("k"), "at", "b", "e").isEmpty()
+
+
+def test_heavy_keys_are_found(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 3, 1).when(F.col("id") % 10 < 5, 2).otherwise(F.col("id") % 5000 + 10).alias("k"), F.col("id").alias("s"), (F.col("id") % 2).alias("o"), (F.col("id") % 7).cast("double").alias("v"), F.lit(1).alias("f"))
+    hot = {r.k: r.h for r in rows.select("k", F.xxhash64("k").alias("h")).filter("k <= 2").distinct().collect()}
+    assert set(A.heavy_hashes(rows, ["k"], 0.1)) == set(hot.values())
+    plain, salted = A.rate_metrics(rows, ["k"], "o", "v", "f"), A.salted_metrics(rows, ["k"], "o", "v", "f", ["s"])
+    same = [sorted(tuple(round(v, 9) for v in r) for r in df.select(plain.columns).collect()) for df in (plain, salted)]
+    assert same[0] == same[1]
+    assert A.heavy_hashes(rows.limit(0), ["k"]) == []
+
+
 def test_nearest_in_crowded_places(spark):
     rng = random.Random(11)
     inf, nan = float("inf"), float("nan")
