@@ -73,6 +73,39 @@ def hotspots(panel: DataFrame, zone: str, day: str, load: str) -> DataFrame:
     return per.join(windows.pareto(panel, zone, load).select(zone, "rank", "share", "running_share"), zone)
 
 
+def daily_diagnostics(daily: DataFrame) -> DataFrame:
+    """Days (day, generated, collected, overflow, one row each) with the share collected, what is left and its change since the day before, and the share of overflow in it; null where that has no meaning."""
+    left = F.col("generated") - F.col("collected")
+    both = daily.withColumn("uncollected", left)
+    change = F.col("uncollected") - F.lag("uncollected").over(Window.orderBy("day"))  # a row a day
+    return both.withColumns({"collection_rate": F.try_divide(F.col("collected") * 100.0, "generated"), "backlog_change": change, "overflow_share": F.try_divide(F.col("overflow") * 100.0, "uncollected")})
+
+
+def point_diagnostics(states: DataFrame, points: DataFrame, persistent_days: int = 10) -> DataFrame:
+    """Per point of states (point, day, fill, overflow, fill_ratio, days_since): days with overflow, its sum and peak, fill ratios, the longest wait and the last day's state, with the
+    point's attributes (expected, capacity and others; one row a point) and its daily load ratio; persistent if overflow lasted persistent_days days or more."""
+    last = {f"final_{c}": F.max_by(c, "day") for c in ("fill", "overflow")}
+    per = states.groupBy("point").agg(F.count_if(F.col("overflow") > 0).alias("overflow_days"), F.sum("overflow").alias("total_overflow"), F.max("overflow").alias("peak_overflow"), F.avg("fill_ratio").alias("mean_fill_ratio"), F.max("fill_ratio").alias("peak_fill_ratio"), F.max("days_since").alias("longest_wait"), *[c.alias(n) for n, c in last.items()])
+    return per.join(points, "point", "left").withColumns({"load_ratio": F.try_divide("expected", "capacity"), "persistent_overflow": F.col("overflow_days") >= persistent_days})
+
+
+def truck_diagnostics(events: DataFrame, kinds: Sequence[str], pickup: str = "pickup") -> DataFrame:
+    """Per truck of events (truck, kind, kg): a count for each of kinds, 0 for those that never happened, and what its pickups took in all."""
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in kinds]
+    return events.groupBy("truck").agg(*counts, F.coalesce(F.sum(F.when(F.col("kind") == pickup, F.col("kg"))), F.lit(0)).alias("collected"))
+
+
+def bin_demand(assigned: DataFrame, bins: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """Every bin (bin and its attributes) with what is assigned to it (bin, expected, distance and `sums`): places, expected amount, sums and the mean and greatest distance, 0 without any."""
+    per = assigned.groupBy("bin").agg(F.count("*").alias("places"), F.sum("expected").alias("expected"), F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"), *[F.sum(c).alias(c) for c in sums])
+    return bins.join(per, "bin", "left").fillna(0, ["places", "expected", "mean_distance", "max_distance", *sums])
+
+
+def representative_travel(point_days: DataFrame, travel: DataFrame) -> DataFrame:
+    """Point-days (with representative, the least bin of each) and the travel (bin, hub, there, back, round_trip) of that bin; point-days whose bin no hub lists are kept with nulls."""
+    return point_days.join(travel.withColumnRenamed("bin", "representative"), "representative", "left")
+
+
 def usable_minutes(df: DataFrame) -> DataFrame:
     """Net minutes less lateness and faults; none without crew or vehicle; no more than to the breakdown (null: none)."""
     left = F.lit(NET_MINUTES) - F.coalesce("late_minutes", F.lit(0)) - F.coalesce("fault_minutes", F.lit(0))
