@@ -7,6 +7,7 @@ zstandard seekable format, so any zstandard reader can also read the whole strea
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -109,11 +110,25 @@ def _encoder(path: str, cache_words: int) -> WordEncoder:
     return WordEncoder(path, cache_words)
 
 
+#: Normaliser and pre-tokeniser of the files whose texts may be cut at white space (fixed values of `word_bpe_49k`).
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+
+def wordwise(path: str) -> bool:
+    """Whether a tokenizer file says that it drops white space, folds case and merges neither across white space nor from a letter or digit into a stop."""
+    with open(path, encoding="utf-8") as f:
+        stated = json.load(f)
+    return all(stated.get(k) == v for k, v in WORDWISE.items()) and not any(len(t["content"].split()) != 1 or t.get("lstrip") or t.get("rstrip") for t in stated.get("added_tokens") or [])
+
+
 class WordEncoder(dict):
     """Ids of pieces between ASCII white space, as little-endian bytes; a dictionary that works out what it lacks.
 
-    Right for tokenizers that drop white space, fold case and never merge across white space or from a letter or digit into
-    a stop, as `word_bpe_49k` does. A new piece is cut into a core and the stops that end it, and a core of ASCII letters is folded, so that
+    Texts are cut at white space if the tokenizer file allows it (see wordwise); by any other tokenizer each is encoded whole by the library. A new piece is cut into a core and the stops that end it, and a core of ASCII letters is folded, so that
     the library sees each word once. A core of small letters, which normalisation and pre-tokenisation leave in one part, goes straight
     to the library's merge model; anything else takes the whole way. Two generations of cache_words entries bound the memory.
     """
@@ -124,9 +139,10 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache_words = Tokenizer.from_file(path), cache_words
+        self.by_words = wordwise(path)
         self.merge, self.old = self.tokenizer.model.tokenize, {}
         tried = [b"the", b"tion", b"ndering", "für".encode(), "éçàêœ"[:4].encode(), "straße".encode()]
-        self.direct = all(self._merged(w) == self._whole(w) for w in tried)
+        self.direct = self.by_words and all(self._merged(w) == self._whole(w) for w in tried)
 
     def _whole(self, core: bytes) -> bytes:
         ids = self.tokenizer.encode(core.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -157,6 +173,8 @@ class WordEncoder(dict):
         return ids
 
     def encode_batch(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
+        if not self.by_words:
+            return [self._whole(t) + end if t else end for t in texts]
         if len(self) > self.cache_words:
             self.old = dict(self)
             self.clear()

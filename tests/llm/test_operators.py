@@ -184,11 +184,13 @@ def test_radix_sort_of_bytes():
     assert len(suffix.equal_groups(np.zeros(0, np.uint8), np.zeros(0, np.int32), 5)[0]) == 0
 
 
-def test_token_files(spark, docs):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files(spark, docs, name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = public_tokenizers.path(name)
+    assert tokens.wordwise(path) == (name == "word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     odd = ["Hello <|endoftext|> World'S <|ENDOFTEXT|>x", "it's. It'S, they're!! H̱. Àb, ΣΣ. x.y ... 12.5, a1. <|endoftext|>.  nbsp em.", "K. İ. ﬁ. 're,", "Straße ÉCOLE naïve œuvre"]
     more = spark.createDataFrame([(1000 + i, t, None, None, 0) for i, t in enumerate(odd)], SCHEMA)
