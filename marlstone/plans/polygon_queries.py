@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import polygons as P
 from ..operators import spatial as S
-from .aggregate_queries import rounded
 from .registry import Source, query, view
 
 # a star with four points around each site, every second one with a square hole
