@@ -119,6 +119,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 CLASSES = 32  # of a document's shingle classes, those that make up its blocks
 SHORT = 256  # shingles up to which a set has a block for each shingle of its prefix
 SKETCH = 256  # least shingle hashes kept, to discard pairs far below the similarity before whole sets are fetched
+COMMON_BITS = 24  # of a hash, those that find it in the bitmap of common shingles: 2 MB at any size of the corpus
+COMMON = 1 << 20  # shingles at most that enter the bitmap, those of the highest counts
 CHUNK = 1 << 18  # shingles, and EACH a document besides, of a chunk of a hot block: bounds what one comparison of two chunks holds
 EACH = 128
 
@@ -128,17 +130,57 @@ def _levels(n: int, similarity: float) -> set[int]:
     return {max(0, math.floor(math.log2(k / 2))) for k in (n, n / similarity)}
 
 
-def class_blocks(hashes: np.ndarray, similarity: float) -> list[int]:
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of n sorted hashes, those that the bitmap `common` marks last."""
+    size = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    if common is None:
+        return hashes[:size]
+    at = hashes & np.uint64((1 << COMMON_BITS) - 1)
+    marked = (common[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return np.concatenate([hashes[~marked], hashes[marked]])[:size]
+
+
+def common_shingles(docs: DataFrame, text: str, shingle: int, similarity: float, least: int = 4, most: int = COMMON) -> np.ndarray:
+    """A bitmap, by the last COMMON_BITS bits of the hash, of the shingles that at least `least` documents of up to SHORT shingles have in their prefixes.
+
+    A passage that many texts hold is put behind what is rare in them, so that texts meet by what few share. Any bitmap gives one order for all texts, and
+    prefixes are exact in any order: other shingles that fall on a marked bit, or marks left out since more than `most` are as common, cost time, not links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in as_bytes(part.column(0))]
+            firsts = [prefix(s, similarity) for s in sets if 0 < len(s) <= SHORT]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64))], ["hash"])
+
+    hashes = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "hash long")
+    counts = materialise(hashes.groupBy("hash").count().filter(F.col("count") >= least), "similar-common")
+    # whole powers of two of the count, from the highest down, while they fit
+    level, room = None, most
+    for row in counts.groupBy(F.floor(F.log2("count")).alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        if row.n > room:
+            break
+        level, room = row.level, room - row.n
+    bitmap = np.zeros(1 << (COMMON_BITS - 3), np.uint8)
+    if level is not None:
+        bit = F.col("hash").bitwiseAND((1 << COMMON_BITS) - 1)
+        words = counts.filter(F.col("count") >= 1 << level).groupBy(F.shiftright(bit, 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, CAST(hash & 7 AS int))")).alias("bits"))
+        found = words.toPandas()
+        bitmap[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
+    return bitmap
+
+
+def class_blocks(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None) -> list[int]:
     """Blocks of a set of shingle hashes: for each of CLASSES classes of the hash that has any, a hash of the class's members.
 
     Pigeonhole over the set: a pair of the given similarity differs in few shingles, these fall into few of the many small classes, and any
     class without a difference is a block that the pair shares. Sets of up to SHORT shingles meet by prefixes instead, which is exact: of two
-    similar sets in order of hash, some shingle is among the first n - ceil(similarity n) + 1 of each. A set that may meet both kinds has both blocks.
+    similar sets in one order, some shingle is among the first n - ceil(similarity n) + 1 of each; the order is that of the hash, common shingles last. A set that may meet both kinds has both blocks.
     """
     out: list[int] = []
     n = len(hashes)
     if n <= SHORT:
-        out += np.sort(hashes)[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64).tolist()
+        out += prefix(np.sort(hashes), similarity, common).view(np.int64).tolist()
     for level in _levels(max(n, SHORT + 1), similarity) if n / similarity > SHORT else ():
         of = hashes & np.uint64((1 << level) - 1)
         mine = of < CLASSES
@@ -156,8 +198,9 @@ def set_hash(distinct: np.ndarray) -> int:
     return int((((distinct ^ (distinct >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)).view(np.int64)) if len(distinct) else 0
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
     """Rows (doc_id, key, fp, whole, n, blocks, sketch): a hash of the text, the fingerprint, a hash and the size of the shingle set, its blocks and its least hashes (leading 32 bits)."""
+    marks = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -165,7 +208,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity
             for t in as_bytes(part.column(2)):
                 hashes = shingle_hashes(t, shingle)
                 distinct = np.unique(hashes)
-                rows.append((majority(hashes), set_hash(distinct), len(distinct), class_blocks(distinct, similarity) if len(distinct) else [], (distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()))
+                rows.append((majority(hashes), set_hash(distinct), len(distinct), class_blocks(distinct, similarity, marks.value) if len(distinct) else [], (distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()))
             fps, wholes, sizes, blocks, sketches = map(list, zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(wholes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "key", "fp", "whole", "n", "blocks", "sketch"])
 
@@ -308,7 +351,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     one shingle set are one node. Where more than max_block nodes share a block, each is compared with the one whose blocks meet most others (the
     likely original), and those that this does not connect are compared with all others by chunks (`hot_links`). Nulls, empty texts, ties and repeats as in near_duplicates.
     """
-    found = materialise(signatures(docs, doc_id, text, shingle, similarity), "similar")
+    found = materialise(signatures(docs, doc_id, text, shingle, similarity, common_shingles(docs, text, shingle, similarity)), "similar")
     node = F.struct("whole", "n")
     nodes = found.groupBy(node.alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
     nodes = materialise(nodes.select(F.xxhash64("node.whole", "node.n").alias("id"), "least", F.col("least.key").alias("key")), "similar-nodes")

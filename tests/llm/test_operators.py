@@ -594,6 +594,35 @@ def test_similar_in_hot_blocks(spark):
         assert [got[i] for i in range(len(texts))] == want, options
 
 
+def test_prefixes_are_exact_in_any_order():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, simhash.SHORT + 1))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, max(1, n // 12)).astype(np.uint64)]))
+        marks = rng.integers(0, 256, 1 << (simhash.COMMON_BITS - 3)).astype(np.uint8) if _ % 20 == 0 else marks
+        common = len(np.intersect1d(a, b))
+        if common / (len(a) + len(b) - common) >= 0.8 and max(len(a), len(b)) <= simhash.SHORT:
+            assert len(np.intersect1d(simhash.prefix(a, 0.8, marks), simhash.prefix(b, 0.8, marks)))
+            assert len(np.intersect1d(simhash.prefix(a, 0.8), simhash.prefix(b, 0.8)))
+
+
+def test_common_shingles_stand_last(spark):
+    passage = " ".join(f"shared{i}" for i in range(14))
+    texts = [f"{passage} " + " ".join(f"own{k}x{i}" for i in range(10)) for k in range(6)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string")
+    marks = simhash.common_shingles(docs, "text", 5, 0.8)
+    assert 0 < np.unpackbits(marks).sum() <= 10  # shingles of the passage that stand in prefixes, and nothing else
+    # marks that would exceed the bound are left out whole, and an empty table has none
+    assert not simhash.common_shingles(docs, "text", 5, 0.8, most=0).any() and not simhash.common_shingles(docs.limit(0), "text", 5, 0.8).any()
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    for s in sets:
+        bits = s & np.uint64((1 << simhash.COMMON_BITS) - 1)
+        marked = {h for h, b in zip(s.tolist(), bits.tolist(), strict=True) if marks[b >> 3] >> (b & 7) & 1}
+        # over a fifth of the set is unmarked, so no marked shingle is in the prefix
+        assert len(s) - len(marked) >= len(simhash.prefix(s, 0.8, marks)) and not marked & {*simhash.prefix(s, 0.8, marks).tolist()}
+
+
 def test_similar_at_the_edge(spark):
     rng = random.Random(3)
     texts = []
