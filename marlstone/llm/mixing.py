@@ -80,9 +80,9 @@ def mix_sources(docs: DataFrame, shares: DataFrame | None = None, doc_id: str =
     within = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "chunk").orderBy("digest")))
     placed = within.join(before, ["key", "chunk"]).withColumn("rank", F.col("before") + F.col("rank") - 1)
     blocks = placed.select("doc_id", "source", "key", F.floor(F.col("rank") / block).alias("block"), F.pmod("rank", F.lit(block)).alias("place"))
-    period = blocks.join(F.broadcast(pattern.select("key", "share", "slots").distinct()), "key", "left")
+    period = blocks.join(pattern.select("key", "share", "slots").distinct(), "key", "left")
     period = period.withColumn("k", F.pmod("block", F.coalesce("share", F.raise_error(F.lit("a source has no share")).cast("long"))))
-    # the pattern has `slots` rows, a parameter
-    slotted = period.drop("share", "slots").join(F.broadcast(pattern), ["key", "k"])
+    # the pattern has `slots` rows, or four a source: no hint, so that Spark broadcasts it by the size of its files
+    slotted = period.drop("share", "slots").join(pattern, ["key", "k"])
     turn = F.floor(F.col("block") / F.col("share")) * F.col("slots")
     return slotted.select("doc_id", "source", "block", *[(turn + F.col(c)).alias(c) for c in ("release", "deadline", "slot")], F.col("place").cast("long").alias("place"))
