@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import materialise
+
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
@@ -50,18 +52,19 @@ def lookup_window(df: DataFrame, minute: str, windows: DataFrame) -> DataFrame:
 def dyadic_cover(start: Column, end: Column) -> Column:
     """The fewest intervals [node * 2^level, (node + 1) * 2^level) that make up [start, end) of longs: an array of (level, node), two a level at most; empty unless start < end."""
     none = F.expr("CAST(array() AS array<struct<level: int, node: bigint>>)")
+    s, e = start.cast("long"), end.cast("long")
 
-    def climb(s: Column, level: Column) -> Column:
-        """From either end, what does not belong to a whole pair of the level above is cut off."""
-        a, b, out = s["a"], s["b"], s["out"]
-        left, right = (a < b) & (F.pmod(a, F.lit(2)) == 1), (a < b) & (F.pmod(b, F.lit(2)) == 1)
-        left_node = F.when(left, F.array(F.struct(level.alias("level"), a.alias("node")))).otherwise(none)
-        right_node = F.when(right & (b - 1 >= F.when(left, a + 1).otherwise(a)), F.array(F.struct(level.alias("level"), (b - 1).alias("node")))).otherwise(none)
-        up, down = F.when(left, a + 1).otherwise(a), F.when(right, b - 1).otherwise(b)
-        return F.struct(F.shiftright(up, 1).alias("a"), F.shiftright(down, 1).alias("b"), F.concat(out, left_node, right_node).alias("out"))
+    def at(v: Column) -> Column:
+        """Of the nodes of level v that lie within, [a, b), those at either end that are not half of a whole pair."""
+        low, b = F.call_function("shiftright", s, v), F.call_function("shiftright", e, v)
+        a = low + F.when(F.call_function("shiftleft", low, v) < s, 1).otherwise(0)
+        left, right = (a < b) & (a.bitwiseAND(F.lit(1)) == 1), (a < b) & (b.bitwiseAND(F.lit(1)) == 1)
+        right = right & (b - 1 >= F.when(left, a + 1).otherwise(a))
+        both = F.array(F.struct(v.alias("level"), F.when(left, a).alias("node")), F.struct(v.alias("level"), F.when(right, b - 1).alias("node")))
+        return F.filter(both, lambda n: n["node"].isNotNull())
 
-    from_ = F.struct(start.cast("long").alias("a"), end.cast("long").alias("b"), none.alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), from_, climb, lambda s: s["out"])
+    top = F.coalesce(F.length(F.bin(F.try_subtract(e, s))) - 1, F.lit(62))  # no node is longer than the interval
+    return F.when(s < e, F.flatten(F.transform(F.sequence(F.lit(0), top), at))).otherwise(none)
 
 
 def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, by: Sequence[str] = ()) -> DataFrame:
@@ -69,12 +72,62 @@ def interval_join(points: DataFrame, windows: DataFrame, at: str, start: str, en
 
     A window is covered by dyadic intervals, at most two a level, and a point lies in one of each level that any window uses: so the join is by equality, gives each pair once, and follows the
     number of pairs, however the windows overlap or how long they are. Nulls match nothing; empty windows hold nothing. The levels in use are looked up first (63 at most).
+    Both sides are exploded, which Spark's size estimates do not see, so the join is not left to choose a broadcast by them.
     """
     right = windows.filter(F.col(start) < F.col(end)).withColumn("_n", F.explode(dyadic_cover(F.col(start), F.col(end)))).withColumns({"_level": F.col("_n.level"), "_node": F.col("_n.node")}).drop("_n")
     levels = sorted(r[0] for r in right.select("_level").distinct().collect())
     nodes = F.array(*[F.struct(F.lit(v).alias("_level"), F.shiftright(F.col(at).cast("long"), v).alias("_node")) for v in levels]) if levels else F.expr("CAST(array() AS array<struct<_level: int, _node: bigint>>)")
     left = points.filter(F.col(at).isNotNull()).withColumn("_n", F.explode(nodes)).withColumns({"_level": F.col("_n._level"), "_node": F.col("_n._node")}).drop("_n")
-    return left.join(right, [*by, "_level", "_node"]).drop("_level", "_node")
+    return left.join(right.hint("merge"), [*by, "_level", "_node"]).drop("_level", "_node")
+
+
+def interval_totals(points: DataFrame, windows: DataFrame, at: str, start: str, end: str, by: Sequence[str], totals: dict[str, tuple[str, str]]) -> DataFrame:
+    """Every window [start, end) that holds a point (of equal `by`), with totals over its points: {name: (sum, min or max, column of points)}. At, start and end are whole numbers.
+
+    For windows that hold many points each: no pair is made. Points are totalled by dyadic node, each distinct window by its nodes, at most two a level, so work follows points plus windows, times levels.
+    """
+    ways = {"sum": F.sum, "min": F.min, "max": F.max}
+    span = [*by, start, end]
+    spans = windows.filter(F.col(start) < F.col(end)).select(*span).distinct()
+    cover = spans.withColumn("_n", F.explode(dyadic_cover(F.col(start), F.col(end)))).select(*span, "_n.*")
+    levels = sorted(r[0] for r in cover.select("level").distinct().collect())
+    if not levels:
+        levels = [0]
+    moments = points.filter(F.col(at).isNotNull()).groupBy(*by, F.col(at).cast("long").alias("_at")).agg(*[ways[k](c).alias(n) for n, (k, c) in totals.items()])
+    nodes = F.array(*[F.struct(F.lit(v).alias("level"), F.shiftright("_at", v).alias("node")) for v in levels])
+    sums = moments.withColumn("_n", F.explode(nodes)).select(*by, "_n.*", *totals).groupBy(*by, "level", "node").agg(*[ways[k](n).alias(n) for n, (k, _) in totals.items()])
+    found = cover.join(sums.hint("merge"), [*by, "level", "node"]).groupBy(*span).agg(*[ways[k](n).alias(n) for n, (k, _) in totals.items()])
+    return windows.join(found, span)
+
+
+#: Stretches of time into which running sums are cut, so that no task sorts a group whole.
+STRETCHES = 256
+
+
+def running_sums(df: DataFrame, by: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
+    """df with the sums of values up to each row in order of at (whole numbers, one row for each value of by and at), within by: sums of stretches first, then within each."""
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    width = max(1, ((high or 0) - (low or 0)) // STRETCHES + 1)
+    cut = df.withColumn("_stretch", F.floor((F.col(at) - F.lit(low or 0)) / width))
+    before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(*by, "_stretch").agg(*[F.sum(v).alias(v) for v in values]).select(*by, "_stretch", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    inside = Window.partitionBy(*by, "_stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut.select(*by, "_stretch", at, *values, *[F.sum(v).over(inside).alias(f"{v}_up_to") for v in values])
+    return summed.join(parts, [*by, "_stretch"]).select(*by, at, *values, *[(F.col(f"{v}_up_to") + F.col(f"_{v}")).alias(f"{v}_up_to") for v in values])
+
+
+def overlap_counts(intervals: DataFrame, start: str, end: str, by: Sequence[str], name: str = "n") -> DataFrame:
+    """Intervals [start, end) that are not empty, with the number of them, of equal `by`, that each overlaps, itself included: those that begin before its end less those that have ended by its start.
+
+    Two running sums over the distinct times and two lookups for each interval; no pair is made. Rows with a null take no part.
+    """
+    held = intervals.filter(F.col(start) < F.col(end)).dropna(subset=list(by))
+    turns = held.select(*by, F.explode(F.array(F.struct(F.col(start).alias("_at"), F.lit(1).alias("begun"), F.lit(0).alias("ended")), F.struct(F.col(end).alias("_at"), F.lit(0).alias("begun"), F.lit(1).alias("ended")))).alias("t"))
+    times = turns.select(*by, "t.*").groupBy(*by, "_at").agg(F.sum("begun").alias("begun"), F.sum("ended").alias("ended"))
+    times = materialise(running_sums(times, by, "_at", ["begun", "ended"]), "times")
+    gone = times.select(*by, F.col("_at").alias(start), F.col("ended_up_to").alias("_gone"))
+    come = times.select(*by, F.col("_at").alias(end), (F.col("begun_up_to") - F.col("begun")).alias("_come"))
+    return held.join(gone, [*by, start]).join(come, [*by, end]).select(*intervals.columns, (F.col("_come") - F.col("_gone")).alias(name))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, start: tuple[str, str], end: tuple[str, str], by: Sequence[str] = ()) -> DataFrame:

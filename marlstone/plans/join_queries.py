@@ -90,16 +90,20 @@ view("calls", "SELECT event_id, CAST(user_id % 20 AS INT) AS team, CAST((day(ts)
 
 @query("j17_overlapping_shifts", "SELECT shift, count(*) AS calls, min(c.at) AS first_at, max(event_id) AS last_event FROM {calls} c JOIN {shifts} w ON w.team = c.team AND c.at >= begins AND c.at < ends GROUP BY 1")
 def _(s: Source) -> DataFrame:
-    met = J.interval_join(s.view("calls"), s.view("shifts"), "at", "begins", "ends", ["team"])
-    return met.groupBy("shift").agg(F.count("*").alias("calls"), F.min("at").alias("first_at"), F.max("event_id").alias("last_event"))
+    calls = s.view("calls").withColumn("one", F.lit(1))
+    met = J.interval_totals(calls, s.view("shifts"), "at", "begins", "ends", ["team"], {"calls": ("sum", "one"), "first_at": ("min", "at"), "last_event": ("max", "event_id")})
+    return met.groupBy("shift").agg(F.sum("calls").alias("calls"), F.min("first_at").alias("first_at"), F.max("last_event").alias("last_event"))
 
 
 @query("j17_shift_overlaps", "SELECT a.shift, count(*) AS others FROM {shifts} a JOIN {shifts} b ON a.team = b.team AND a.shift <> b.shift AND a.begins < b.ends AND b.begins < a.ends AND a.begins < a.ends AND b.begins < b.ends GROUP BY 1")
 def _(s: Source) -> DataFrame:
-    one = s.view("shifts")
-    two = one.select("team", F.col("shift").alias("other"), F.col("begins").alias("other_begins"), F.col("ends").alias("other_ends"))
-    met = J.overlap_join(one, two, ("begins", "other_begins"), ("ends", "other_ends"), ["team"])
-    return met.filter("shift <> other").groupBy("shift").agg(F.count("*").alias("others"))
+    shifts, row = s.view("shifts"), ["team", "shift"]
+    met = J.overlap_counts(shifts, "begins", "ends", ["team"]).groupBy(*row).agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    # each meets itself; rows of one shift, if it has several, do not count among themselves
+    several = shifts.join(J.repeated_keys(shifts, row), row, "left_semi")
+    own = J.overlap_counts(several, "begins", "ends", row).groupBy(*row).agg(F.sum("n").alias("own"))
+    others = met.join(own, row, "left").select("shift", (F.col("n") - F.coalesce("own", "rows")).alias("others"))
+    return others.groupBy("shift").agg(F.sum("others").alias("others")).filter("others > 0")
 
 
 @query("p10_policy_defaults", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, 'P-' || o_orderstatus) AS priority FROM {orders}")

@@ -309,3 +309,46 @@ def test_a_cluster_must_name_its_shared_folder():
         T.shared_dir(session("spark://host:7077"))
     assert T.shared_dir(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
     assert T.shared_dir(session("local[2]")).endswith("spark-warehouse/scratch")
+
+
+def test_counts_and_totals_of_intervals_make_no_pairs(spark):
+    rng = random.Random(4)
+    shifts = [(rng.randrange(60), rng.choice([1, 2, None]), b, b + rng.randrange(-2, 90)) for b in (rng.randrange(-500, 500) for _ in range(150))]
+    held = [r for r in shifts if r[2] < r[3] and r[1] is not None]
+    df = spark.createDataFrame(shifts, "shift int, team int, begins long, ends long")
+    got = J.overlap_counts(df, "begins", "ends", ["team"])
+    assert sorted(tuple(r) for r in got.collect()) == sorted((*r, sum(o[1] == r[1] and o[2] < r[3] and r[2] < o[3] for o in held)) for r in held)
+    calls = [(rng.choice([1, 2, None]), rng.randrange(-600, 600), i) for i in range(200)] + [(1, None, 7)]
+    totals = J.interval_totals(spark.createDataFrame(calls, "team int, at long, id long"), df, "at", "begins", "ends", ["team"], {"first": ("min", "at"), "last": ("max", "id"), "all": ("sum", "id")})
+    want = []
+    for r in held:
+        if inside := [c for c in calls if c[0] == r[1] and c[1] is not None and r[2] <= c[1] < r[3]]:
+            want.append((*r, min(c[1] for c in inside), max(c[2] for c in inside), sum(c[2] for c in inside)))
+    assert sorted(tuple(r) for r in totals.select(*df.columns, "first", "last", "all").collect()) == sorted(want)
+    # 40,000 intervals that all meet: 1.6 billion pairs
+    crowd = spark.range(40_000).select(F.lit(1).alias("team"), F.col("id").alias("begins"), (F.col("id") + 50_000).alias("ends"))
+    assert J.overlap_counts(crowd, "begins", "ends", ["team"]).agg(F.min("n"), F.max("n")).first() == (40_000, 40_000)
+
+
+def test_exploded_intervals_are_not_broadcast(spark):
+    """Estimates of size do not see that windows are exploded: 3,000 of them have over 100,000 nodes."""
+    windows = spark.range(3000).select(F.col("id").alias("w"), F.col("id").alias("opens"), (F.col("id") + 1_000_000_007).alias("closes"))
+    met = J.interval_join(spark.range(10).withColumnRenamed("id", "at"), windows, "at", "opens", "closes")
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == sum(i + 1 for i in range(10))
+
+
+def test_equal_places_are_searched_and_counted_once(spark, monkeypatch):
+    seen, keep = [], S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    places = spark.range(600).select(F.col("id").alias("place"), (F.col("id") % 3).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("y"))
+    sites = spark.createDataFrame([(i, float(i % 13), float(i % 7), "ab"[i % 2]) for i in range(200)], "site long, x double, y double, category string")
+    near = {(r.place, r.category): (r.site, r.distance) for r in S.nearest(places, sites, "place", "site", by=["category"]).collect()}
+    rows = sites.collect()
+    for place in (0, 1, 5, 598, 599):
+        for c in "ab":
+            d, site = min((math.hypot(t.x - place % 3, t.y - place % 2), t.site) for t in rows if t.category == c)
+            assert near[place, c] == (site, d)
+    assert len(near) == 1200 and all(df.count() <= 6 * 2 * 64 for name, df in seen if name == "frontier")
+    boxes = spark.range(50).select(F.col("id").alias("site"), F.lit(0.0).alias("minx"), F.lit(0.0).alias("miny"), F.lit(1.5).alias("maxx"), F.lit(1.0).alias("maxy"))
+    assert {tuple(r) for r in S.counts_in_boxes(places, boxes, 1.0).groupBy("n").count().collect()} == {(200, 50)}
