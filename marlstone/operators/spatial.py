@@ -28,6 +28,14 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, x: str = "
     return points_in_cells(points, size, x, y).join(spread, ["cx", "cy"]).filter(inside).drop("cx", "cy")
 
 
+def counts_in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """Boxes (minx, miny, maxx, maxy, and others) that hold a point, with their number of points (x, y) as n. Equal places are counted first, and equal boxes are one, so what meets are distinct places and boxes."""
+    box = ["minx", "miny", "maxx", "maxy"]
+    places = points.groupBy("x", "y").agg(F.count("*").alias("n"))
+    found = points_in_boxes(places, boxes.select(*box).distinct(), size).groupBy(*box).agg(F.sum("n").alias("n"))
+    return boxes.join(found, box)
+
+
 #: Bits of a place, bits that a level of cells takes of each axis, and the number of points that a cell is no longer split at.
 BITS, STEP, FEW = 24, 2, 64
 
@@ -66,8 +74,8 @@ class CellTree:
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows (left_id, [by], right_id, distance): the nearest right row of each left row (and value of `by`), ties to the lesser id; columns x, y.
 
-    The cells of the right rows are searched from the whole down: every left row keeps the cells whose box is no farther than the farthest corner of some other, since one of their
-    points must be the nearest, and goes on to the cells within them, until they hold few points. So work follows the number of left rows and the depth of the cells, however crowded some
+    The cells of the right rows are searched from the whole down: every place of left rows keeps the cells whose box is no farther than the farthest corner of some other, since one of their
+    points must be the nearest, and goes on to the cells within them, until they hold few points. So work follows the number of distinct places and the depth of the cells, however crowded some
     of them are, and ends when boxes prove it. Rows without a finite place, and right rows with a null in `by`, are left out; an id at several places counts from the nearest of them.
     """
     placed = (F.abs(F.col("x").cast("double")) < float("inf")) & (F.abs(F.col("y").cast("double")) < float("inf"))
@@ -77,10 +85,11 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, by:
     kinds = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
     if tree.empty:
         return left.sparkSession.createDataFrame([], ", ".join(f"`{c}` {kinds[c]}" for c in (left_id, *by, right_id)) + ", distance double")
-    rows = left.filter(placed).select(F.col(left_id).alias("l"), x, y).distinct()
+    ids = left.filter(placed).select(F.col(left_id).alias("l"), x, y).distinct()
+    rows = ids.select("x", "y").distinct()  # equal places have the same nearest
     dx, dy = (F.greatest(F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}"), F.lit(0.0)) for c in ("x", "y"))
     fx, fy = (F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(c) - F.col(f"hi{c}"))) for c in ("x", "y"))
-    one = Window.partitionBy("l", "x", "y", *by)
+    one = Window.partitionBy("x", "y", *by)
     frontier, found = None, []
     for level, nodes in enumerate(tree.levels):
         cells = nodes.withColumnRenamed("cell", "_cell")
@@ -88,14 +97,15 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, by:
             met = rows.crossJoin(F.broadcast(cells.drop("parent")))  # the root, one row for each value of `by`
         else:
             held = frontier.filter(F.col("leaf"))
-            met = frontier.filter(~F.col("leaf")).select("l", "x", "y", *by, F.col("_cell").alias("parent")).join(cells, [*by, "parent"]).drop("parent")
-        met = met.withColumns({"near": F.hypot(dx, dy), "far": F.hypot(fx, fy), "_level": F.lit(level * STEP)}).select("l", "x", "y", *by, "_cell", "_level", "leaf", "near", "far")
+            met = frontier.filter(~F.col("leaf")).select("x", "y", *by, F.col("_cell").alias("parent")).join(cells, [*by, "parent"]).drop("parent")
+        met = met.withColumns({"near": F.hypot(dx, dy), "far": F.hypot(fx, fy), "_level": F.lit(level * STEP)}).select("x", "y", *by, "_cell", "_level", "leaf", "near", "far")
         if frontier is not None:
             met = met.unionByName(held)
         kept = met.withColumn("bound", F.min("far").over(one)).filter(F.col("near") <= F.col("bound") * (1 + 1e-12)).drop("bound")
         frontier = materialise(kept, "frontier")
     close = frontier.join(tree.points.select(*by, F.col("level").alias("_level"), F.col("cell").alias("_cell"), "rx", "ry", "id"), [*by, "_level", "_cell"])
-    best = close.groupBy("l", *by).agg(F.min(F.struct(F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")).alias("d"), "id")).alias("b"))
+    of_place = close.groupBy("x", "y", *by).agg(F.min(F.struct(F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")).alias("d"), "id")).alias("b"))
+    best = ids.join(of_place, ["x", "y"]).groupBy("l", *by).agg(F.min("b").alias("b"))
     return best.select(F.col("l").alias(left_id), *by, F.col("b.id").alias(right_id), F.col("b.d").alias("distance"))
 
 
