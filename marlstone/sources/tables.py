@@ -75,8 +75,14 @@ def write_split(df: DataFrame, path: str, reason: str = "quarantine_reason") ->
 
 
 def write_hashed(df: DataFrame, path: str, key: str, n: int) -> None:
-    """n folders by a hash of the key; rows of a folder are gathered first, so each gets few files."""
-    df.withColumn("bucket", X.md5_bucket(F.col(key), n)).repartition(n, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """n folders by a hash of the key, each from a task of its own, so it gets one file. A task keeps a writer for each folder it meets, so that nothing is sorted by folder first."""
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, n)
+    try:
+        df.withColumn("bucket", X.md5_bucket(F.col(key), n)).repartitionById(n, F.coalesce("bucket", F.lit(0)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 def append_log(df: DataFrame, path: str) -> None:
