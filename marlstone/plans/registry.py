@@ -18,11 +18,30 @@ def expand(text: str, table: Callable[[str], str]) -> str:
     return re.sub(r"\{([a-z_]+)\}", lambda m: table(m[1]) if m[1] in TABLES else f"({expand(VIEWS[m[1]], table)})", text)
 
 
+#: Bytes of the tables' files for each partition that a shuffle begins with.
+SHARE = 8 << 20
+#: Methods of more bytes of code than this are not compiled by the JVM; Spark makes small ones instead.
+METHOD = 8000
+
+
+def fit_session(spark: SparkSession, sf_dir: str) -> None:
+    """Lets shuffles begin with partitions in proportion to the tables, so that what a task holds of a grouping does not grow with them (adaptive execution joins those that turn out small), and
+    Spark make small methods where one would be too long to be compiled. Only raises the first setting and lowers the second."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    size = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(hadoop).getLength()
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if (parts := -(-size // SHARE)) > int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(name, parts)
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > METHOD:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD)
+
+
 class Source:
     """The tables of one folder, and the views on them, as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        fit_session(spark, sf_dir)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
