@@ -352,3 +352,83 @@ def test_equal_places_are_searched_and_counted_once(spark, monkeypatch):
     assert len(near) == 1200 and all(df.count() <= 6 * 2 * 64 for name, df in seen if name == "frontier")
     boxes = spark.range(50).select(F.col("id").alias("site"), F.lit(0.0).alias("minx"), F.lit(0.0).alias("miny"), F.lit(1.5).alias("maxx"), F.lit(1.0).alias("maxy"))
     assert {tuple(r) for r in S.counts_in_boxes(places, boxes, 1.0).groupBy("n").count().collect()} == {(200, 50)}
+
+
+def test_hashed_folders_are_written_by_a_task_each(spark, tmp_path):
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    df = spark.range(4000).select(F.col("id").cast("string").alias("k"))
+    T.write_hashed(df, str(tmp_path / "h"), "k", 8)
+    back = spark.read.schema("k string, bucket long").parquet(str(tmp_path / "h"))
+    files = {(r.bucket, r.part) for r in back.select("bucket", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part")).distinct().collect()}
+    assert files == {(i, i) for i in range(8)} and back.count() == 4000
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_partitions_grow_with_the_tables_and_methods_stay_small(spark, monkeypatch):
+    from marlstone.plans import registry
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(registry, "SHARE", 1000)
+    try:
+        registry.Source(spark, FOLDER)
+        assert int(spark.conf.get(name)) > 100
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_samples_of_a_batch_wait_as_one_entry():
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.rows, self.value = [], None
+
+        def appendValue(self, row):
+            self.rows.append(row)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def get(self):
+            return iter(self.rows) if self.value is None else self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.rows, self.value = [], None
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getListState(self, *_):
+            return State()
+
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    p, handle = R.AlertProcessor("key", 2), Handle()
+    p.init(handle)
+    seconds = [5, 1, 2, 3, 4, 6, 90]
+    frame = pd.DataFrame({"ts": pd.to_datetime(seconds, unit="s"), "on": [None, True, True, True, True, True, False]})
+    list(p.handleInputRows((7,), iter([frame.iloc[:4], frame.iloc[4:]]), Clock(0)))
+    assert len(p.waiting.rows) == 1 and handle.timers == [1000]
+    out = [tuple(r) for f in p.handleExpiredTimer((7,), Clock(60_000), None) for r in f.itertuples(index=False)]
+    assert out == [(7, pd.Timestamp(3, unit="s"), "firing"), (7, pd.Timestamp(5, unit="s"), "resolved")]
+    assert len(p.waiting.rows) == 1 and handle.timers == [1000, 90_000] and p.run.value == (6_000_000, False)
