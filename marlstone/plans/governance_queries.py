@@ -193,7 +193,7 @@ def _(s: Source) -> DataFrame:
     path = T.scratch(s.spark, "hashed")
     T.write_hashed(s.view("attendance").select("student_id"), path, "student_id", 8)
     back = s.spark.read.schema("student_id string, bucket long").parquet(path)
-    return back.groupBy("bucket").agg(F.count("*").alias("n"), F.min("student_id").alias("low"), F.max("student_id").alias("high"), F.countDistinct("_metadata.file_path").alias("files"))
+    return back.groupBy("bucket").agg(F.count("*").alias("n"), F.min("student_id").alias("low"), F.max("student_id").alias("high"), F.size(F.collect_set("_metadata.file_path")).cast("long").alias("files"))
 
 
 @query("g01_catalog", "SELECT path, extension, size_mb, data_layer FROM {catalog} c")

@@ -362,6 +362,10 @@ def test_hashed_folders_are_written_by_a_task_each(spark, tmp_path):
     files = {(r.bucket, r.part) for r in back.select("bucket", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part")).distinct().collect()}
     assert files == {(i, i) for i in range(8)} and back.count() == 4000
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    # nor is what is read back, for its least and greatest texts
+    from marlstone.plans import catalog
+
+    assert "Sort" not in catalog.queries()["s12_hash_files"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_partitions_grow_with_the_tables_and_methods_stay_small(spark, monkeypatch):
