@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, text_slices, whole_rows
+from .common import as_bytes, bound_batches, materialise, text_slices, whole_rows
 
 # Word characters are digits, letters and all beyond ASCII; A-Z are lower-cased; any other byte separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -173,6 +173,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, t
     The benchmark is sent to the workers in blocks of about block_bytes (measured first), one pass over the rows for each block, and what a pass
     finds is written before the next starts, so one block is held at a time; the documents are neither shuffled nor joined.
     """
+    bound_batches(docs)
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item_id"), F.col(f"`{item_text}`").cast("string").cast("binary").alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, crc_fold, text_slices, whole_rows
+from .common import as_bytes, bound_batches, crc_fold, text_slices, whole_rows
 
 UNDETERMINED = "und"
 STEPS = 64  # bytes of a training piece
@@ -200,6 +200,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     each of these up to `windows` pieces of STEPS bytes at evenly spread places of the whole text (all of it, up to 4 KB; repeated rows are one).
     Rows with a null label, or no letter, teach nothing.
     """
+    bound_batches(docs)
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{order}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).filter("lang IS NOT NULL")
     rows = rows.select("lang", F.xxhash64("id", "text").alias("rank"), "text")
     rows = rows.withColumn("part", F.pmod("rank", F.lit(64)))
@@ -233,6 +234,7 @@ def predict(docs: DataFrame, net: BiGru | None, text: str = "text", spans: bool
     bytes with one label (byte offsets). A text that is null or has no letter (so also an empty one) is `und` with score
     0, and so is every text without a network. Ties go to the lesser name. An empty table gives an empty result.
     """
+    bound_batches(docs)
     frame = whole_rows(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected_components, materialise, text_slices
+from .common import as_bytes, bound_batches, connected_components, materialise, text_slices
 
 SEED = 42
 #: The bits of each byte value, most significant first.
@@ -103,6 +103,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts are not shuffled: only (doc_id, fingerprint) is written, and links are between distinct fingerprints. The number of
     blocks, unless given, is the least whose keys have two bits more than it takes to count the distinct fingerprints.
     """
+    bound_batches(docs)
     found = materialise(fingerprints(docs, doc_id, text, shingle), "simhash")
     fps = materialise(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")), "simhash-distinct")
     n = fps.count()
@@ -351,6 +352,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     one shingle set are one node. Where more than max_block nodes share a block, each is compared with the one whose blocks meet most others (the
     likely original), and those that this does not connect are compared with all others by chunks (`hot_links`). Nulls, empty texts, ties and repeats as in near_duplicates.
     """
+    bound_batches(docs)
     found = materialise(signatures(docs, doc_id, text, shingle, similarity, common_shingles(docs, text, shingle, similarity)), "similar")
     node = F.struct("whole", "n")
     nodes = found.groupBy(node.alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, text_slices
+from .common import as_bytes, bound_batches, materialise, text_slices
 
 GRAM = 16
 UNIT = 96 << 10  # bytes of documents worked on at a time, so that arrays stay in a core's cache
@@ -269,8 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     the first digit's bucket (about bucket_bytes of text); a bucket answers with places in the group's own list. So what meets in a
     bucket for one string is at most one row per group, however often the string occurs, and all sizes follow the corpus.
     """
-    # texts reach the workers in batches of bytes, not of rows, so that neither side holds many at a time
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+    bound_batches(docs)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(8, math.ceil(size / group_bytes))

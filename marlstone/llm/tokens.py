@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, materialise, scratch, text_slices
+from .common import as_bytes, bound_batches, materialise, scratch, text_slices
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -192,6 +192,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str | None = None, end_id
     """
     spark = docs.sparkSession
     base = uri or scratch(spark, "tokens")
+    bound_batches(docs)
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *[c.alias(f"_o{i}") for i, c in enumerate(order or [])], F.col(f"`{text}`").cast("string").alias("text"))
     keys = [f"_o{i}" for i in range(len(order or []))] or ["doc_id"]
     dealt = source.repartitionByRange(*keys).sortWithinPartitions(*dict.fromkeys([*keys, "doc_id", "text"])).select("doc_id", "text")
