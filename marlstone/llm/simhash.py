@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, connected_components, materialise, text_slices
+from .common import as_bytes, bound_batches, connected_components, discard, mark_maybe, materialise, text_slices
 
 SEED = 42
 #: The bits of each byte value, most significant first.
@@ -168,6 +168,7 @@ def common_shingles(docs: DataFrame, text: str, shingle: int, similarity: float,
         words = counts.filter(F.col("count") >= 1 << level).groupBy(F.shiftright(bit, 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, CAST(hash & 7 AS int))")).alias("bits"))
         found = words.toPandas()
         bitmap[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
+    discard(counts)
     return bitmap
 
 
@@ -243,8 +244,9 @@ def shingle_sets(docs: DataFrame, text: str, shingle: int, wanted: DataFrame) ->
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["whole", "n", "shingles"])
 
     source = docs.select(F.col(f"`{text}`").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    again = source.join(wanted.select("key").distinct(), "key", "left_semi").select("text").mapInArrow(run, "whole long, n long, shingles binary")
-    return again.select(F.xxhash64("whole", "n").alias("id"), "shingles").join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    # texts stay in place; what the marks let through by chance goes where ids are joined
+    again = mark_maybe(source, F.col("key"), wanted.select("key")).filter("maybe").select("text").mapInArrow(run, "whole long, n long, shingles binary")
+    return again.select(F.xxhash64("whole", "n").alias("id"), "shingles").groupBy("id").agg(F.first("shingles").alias("shingles")).join(wanted.select("id"), "id", "left_semi")
 
 
 def whole_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -366,14 +368,17 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     a, b = (cold.select("block", F.col("id").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab")
     candidates = materialise(a.join(b, "block").filter((F.col("a") < F.col("b")) & sized).select("a", "b").distinct(), "similar-pairs")
     ends = F.explode(F.array("a", "b")).alias("id")
-    sketches = materialise(named.select("id", "sketch").join(candidates.select(ends).distinct(), "id", "left_semi").dropDuplicates(["id"]), "similar-sketches")
+    some = mark_maybe(named.select("id", "sketch"), F.col("id"), candidates.select(ends)).filter("maybe")
+    sketches = materialise(some.join(candidates.select(ends).distinct(), "id", "left_semi").select("id", "sketch").dropDuplicates(["id"]), "similar-sketches")
     compared = candidates.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("a_sketch")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("b_sketch")), "b")
     # a quarter below is eight standard errors of a full sketch
     likely = materialise(sketch_similarity(compared.select("a", "b", "a_sketch", "b_sketch")).filter(F.col("similarity") >= 0.75 * similarity).select("a", "b"), "similar-likely")
     wanted = likely.select(ends).unionByName(hot.select("id")).distinct()
-    sets = materialise(shingle_sets(docs, text, shingle, nodes.join(wanted, "id").select("id", "key")), "similar-sets")
+    wanted = materialise(nodes.join(wanted, "id").select("id", "key"), "similar-wanted")
+    sets = materialise(shingle_sets(docs, text, shingle, wanted), "similar-sets")
     alike = F.col("similarity") >= similarity
     links = materialise(whole_similarity(likely, sets).filter(alike).select("a", "b"), "similar-links")
+    spent = [found, nodes, met, candidates, sketches, likely, wanted, sets, links]
     if not hot.isEmpty():
         degree = met.groupBy("id").agg(F.sum("count").alias("degree"))
         centres = materialise(hot.join(degree, "id").groupBy("block").agg(F.max(F.struct("degree", "id")).alias("c")).select("block", F.col("c.id").alias("centre")), "similar-centres")
@@ -382,18 +387,24 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         stars = materialise(whole_similarity(stars, sets), "similar-stars")
         links = links.unionByName(stars.filter(alike).select("a", "b"))
         links = links.unionByName(hot_links(hot, stars, links, sets, similarity, chunk))
+        spent += [centres, hot, stars]
     groups = connected_components(links)
     member = nodes.join(groups.withColumnRenamed("node", "id"), "id").groupBy("component").agg(F.min("least").alias("first"))
     labels = groups.join(member, "component").select(F.col("node").alias("id"), "first")
     of = nodes.join(labels, "id", "left").select("id", F.coalesce("first", "least").alias("first"))
-    return found.select("doc_id", "key", "fp", F.xxhash64("whole", "n").alias("id")).join(of, "id").select("doc_id", "key", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("component_key"))
+    out = found.select("doc_id", "key", "fp", F.xxhash64("whole", "n").alias("id")).join(of, "id").select("doc_id", "key", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("component_key"))
+    out = materialise(out, "similar-groups")
+    # what is as large as the texts does not wait for the end of the session
+    for frame in [*spent, groups]:
+        discard(frame)
+    return out
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component of groups (as similar_documents gives them) one row of docs, with docs' own columns: that of the component's id and text.
 
     Unlike texts that share an id are told apart; a row with a null id goes if its component has a row with one. Rows that repeat the kept id and
-    text count as one document, of which any one stays. Rows move only where a join needs it: what goes is few, and is joined from its side.
+    text count as one document, of which any one stays. Rows move only where a join needs it: what goes is few, and other rows but few stay in place by their marks.
     """
     ids = groups.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first((F.col("doc_id").eqNullSafe(F.col("component_id"))) & (F.col("key") == F.col("component_key"))).alias("kept"))
     odd = materialise(ids.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("id"), "key", "kept"), "similar-removed")
@@ -402,6 +413,8 @@ def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: s
     def same(other: DataFrame) -> Column:
         return rows["id"].eqNullSafe(other["id"]) & (rows["key"] == other["key"])
 
+    marked = mark_maybe(rows, F.xxhash64("id", "key"), odd.select(F.xxhash64("id", "key")))
+    clear, rows = marked.filter("NOT maybe"), marked.filter("maybe")
     once = rows.join(odd, same(odd), "left_anti")
     repeated = odd.filter("kept")
-    return once.unionByName(rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["id", "key"])).select("row.*")
+    return clear.unionByName(once).unionByName(rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["id", "key"])).select("row.*")
