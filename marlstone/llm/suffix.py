@@ -4,7 +4,8 @@ Of every window of `length` bytes one suffix takes part: that at the window's le
 twice), so equal windows have it at equal offsets. Its digits are (1) the gram, (2) the rest of the windows that it stands for, from the first
 byte of the first to the last byte of the last, (3) the single windows. A pass orders suffixes by one digit, the first two by hashes of their
 bytes (104 bits in all); suffixes alone under the first digit go no further, those of one second digit are equal through the threshold, so all but the earliest document's windows are
-repeats, and only where one gram has several second digits are single windows ordered, by a radix sort over their bytes (`equal_groups`).
+repeats, and only where one gram has several second digits that also agree on one side of it (of the bytes that a window adds to its gram, half or more stand on
+one side, so equal windows agree there) are single windows ordered, by a radix sort over their bytes (`equal_groups`).
 Equal groups of its last pass are exactly the repeated windows. Where very many second digits share a gram, its windows are dealt by all their bytes, each once
 a group of documents, so that no string gathers in one task.
 """
@@ -32,6 +33,8 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD64
 TABLE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 SPANS = "array<struct<start:long,end:long>>"
+SIDE_BITS = 16  # of the hash of the bytes on one side of a gram; 0 says that no window reaches that far
+SIDE = np.uint64((1 << SIDE_BITS) - 1)
 
 
 @dataclass
@@ -41,8 +44,30 @@ class Suffixes:
     doc: np.ndarray  # place of the document in the group
     low: np.ndarray  # first and last start of the windows it stands for
     high: np.ndarray
+    place: np.ndarray  # start of the gram
     gram: np.ndarray  # first digit
     rest: np.ndarray  # second digit
+    sides: np.ndarray  # hashes of the bytes before and after the gram that any window with half of its other bytes there has
+
+
+def _half(length: int) -> int:
+    """Of the bytes that a window adds to its gram, so many or more stand before it or after it."""
+    return (length - GRAM + 1) // 2
+
+
+def _sides(h: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """Two hashes in one number: of the half bytes before the gram at place and of those after it, 0 where no window that starts at low to high holds them. h has the hash of the gram at each place."""
+    half = _half(length)
+    out = np.zeros(len(place), np.uint64)
+    # grams that cover the bytes, and of the gram in between no more than is equal anyway
+    before, after = range(-half, 0, GRAM), range(half, 0, -GRAM)
+    for held, covers, shift in ((place - low >= half, before, SIDE_BITS), (high + length - GRAM - place >= half, after, 0)):
+        at, x = place[held], np.zeros(int(held.sum()), np.uint64)
+        for c in covers:
+            x = (x ^ h[at + c]) * MULTIPLIERS[2]
+            x ^= x >> np.uint64(31)
+        out[held] |= (np.uint64(1) + x % SIDE) << np.uint64(shift)
+    return out
 
 
 def sampled_suffixes(data: bytes, starts: np.ndarray, length: int) -> Suffixes:
@@ -78,11 +103,11 @@ def sampled_suffixes(data: bytes, starts: np.ndarray, length: int) -> Suffixes:
                 hash_of = xxhash.xxh3_64_intdigest
                 rest = np.fromiter((hash_of(data[a:b]) for a, b in zip((low + begin).tolist(), (high + begin + length).tolist(), strict=True)), np.uint64, len(low))
                 rest = (rest ^ ((place[new] - low).astype(np.uint64) * MULTIPLIERS[0])) >> np.uint64(8)
-                out.append((doc[new] + first, low + begin, high + begin, h[place[new]] >> np.uint64(16), rest))
+                out.append((doc[new] + first, low + begin, high + begin, place[new] + begin, h[place[new]] >> np.uint64(16), rest, _sides(h, place[new], low, high, length)))
         first = last
     if not out:
         none = np.zeros(0, np.int64)
-        return Suffixes(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Suffixes(none, none, none, none, *[none.astype(np.uint64)] * 3)
     return Suffixes(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
@@ -148,8 +173,8 @@ class Group:
 
 ROW = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("bucket", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("run", pa.binary()), ("data", pa.binary())])
 ROW_DDL = "kind int, g int, bucket int, first long, n long, run binary, data binary"
-DIGITS, INTERVALS, CONTEXTS, PLACES, REPEATED, SEVERAL, MANY, WINDOWS = range(8)
-HOT = 512  # second digits of one gram above which its windows are dealt one by one
+DIGITS, INTERVALS, CONTEXTS, PLACES, REPEATED, SEVERAL, BEFORE, AFTER, WINDOWS = range(9)
+HOT = 512  # second digits of one gram, of those that share a side, above which its windows are dealt one by one
 
 
 def _row(kind: int, g: int, *columns: np.ndarray, bucket: int = 0, first: int = 0, data: bytes | None = None) -> dict:
@@ -164,18 +189,32 @@ def _sent(kind: int, g: int, buckets: int, *columns: np.ndarray, texts: list[byt
     return [_row(kind, g, *(c[x:y] for c in columns), bucket=i, first=x, data=zstd.compress(b"".join(texts[x:y])) if texts is not None else None) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
 
 
+def _share_sides(gram: np.ndarray, sides: np.ndarray) -> list[np.ndarray]:
+    """Which rows agree with another of their gram on what is before it, and which on what is after it."""
+    out = []
+    for side in (sides >> np.uint64(SIDE_BITS), sides & SIDE):
+        rows = np.flatnonzero(side)
+        rows = rows[np.lexsort((side[rows], gram[rows]))]
+        same = (gram[rows[1:]] == gram[rows[:-1]]) & (side[rows[1:]] == side[rows[:-1]])
+        out.append(_flags(len(gram), np.concatenate([rows[1:][same], rows[:-1][same]])))
+    return out
+
+
 def _judge_digits(table: pa.Table, hot: int) -> pa.Table:
-    """Of each group's rows in a bucket, the places of those whose two digits have a lesser document elsewhere, and of those whose gram has several (or very many) second digits."""
+    """Of each group's rows in a bucket, the places of those whose two digits have a lesser document elsewhere, and of those whose gram has several second digits that
+    share a side with another, or very many: then of those that share what is before and of those that share what is after."""
     g, first, n = (table.column(c).to_numpy() for c in ("g", "first", "n"))
     runs = [_columns(r, k) for r, k in zip(table.column("run").to_pylist(), n.tolist(), strict=True)]
-    gram, rest, doc = (np.concatenate(c) for c in zip(*runs, strict=True))
+    gram, rest, doc, sides = (np.concatenate(c) for c in zip(*runs, strict=True))
     ids = doc.view(np.int64)
     one, of, least = _distinct(gram, rest, doc=ids)
-    _, which, sharing = np.unique(gram[one], return_inverse=True, return_counts=True)
-    sharing = sharing[which]
+    before, after = _share_sides(gram[one], sides[one])
+    met = before | after
+    _, which = np.unique(gram[one], return_inverse=True)
+    sharing = np.where(met, np.bincount(which[met], minlength=len(one))[which], 0)[of]
     repeated = ids > least[of]
     out, ends = [], np.cumsum(n)
-    for kind, found in ((REPEATED, repeated), (SEVERAL, (sharing[of] > 1) & (sharing[of] <= hot) & ~repeated), (MANY, (sharing[of] > hot) & ~repeated)):
+    for kind, found in ((REPEATED, repeated), (SEVERAL, (sharing > 1) & (sharing <= hot) & ~repeated), (BEFORE, (sharing > hot) & ~repeated & before[of]), (AFTER, (sharing > hot) & ~repeated & after[of])):
         for i in range(len(n)):
             places = np.flatnonzero(found[ends[i] - n[i] : ends[i]]) + first[i]
             if len(places):
@@ -281,7 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
         group = Group.of(table)
         s = sampled_suffixes(group.data, group.starts, length)
         first, _, least = _distinct(s.gram, s.rest, doc=group.ids[s.doc])
-        return pa.Table.from_pylist(_sent(DIGITS, table.column("g")[0].as_py(), buckets, s.gram[first], s.rest[first], least.view(np.uint64)), schema=ROW)
+        return pa.Table.from_pylist(_sent(DIGITS, table.column("g")[0].as_py(), buckets, s.gram[first], s.rest[first], least.view(np.uint64), s.sides[first]), schema=ROW)
 
     def contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -292,14 +331,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
         first, of, least = _distinct(s.gram, s.rest, doc=ids)
         repeated = _flags(len(first), _read(answers, REPEATED, 1)[0])[of] | (ids > least[of])
         out = [_row(INTERVALS, g, s.low[repeated], s.high[repeated] + length - s.low[repeated])] if repeated.any() else []
-        several, many = (_flags(len(first), _read(answers, kind, 1)[0]) for kind in (SEVERAL, MANY))
-        open_, alone = ~repeated & several[of], ~repeated & many[of]
+        several, before, after = (_flags(len(first), _read(answers, kind, 1)[0]) for kind in (SEVERAL, BEFORE, AFTER))
+        open_, alone = ~repeated & several[of], ~repeated & (before | after)[of]
         chosen = np.flatnonzero(several & _flags(len(first), of[open_]))
         dealt_by, owner, texts = [s.gram[first[chosen]]], [least[chosen]], [group.data[a : b + length] for a, b in zip(s.low[first[chosen]].tolist(), s.high[first[chosen]].tolist(), strict=True)]
         places, number = [s.low[open_]], [np.searchsorted(chosen, of[open_])]
         if alone.any():
-            # single windows, each a context of its own, dealt by a hash of all its bytes
-            at, mine, same, one, lesser = _distinct_windows(group.data, s.low[alone], s.high[alone], ids[alone], length)
+            # single windows that hold a side shared with others, each a context of its own, dealt by a hash of all its bytes
+            low = np.where(before[of], s.low, np.maximum(s.low, s.place + GRAM + _half(length) - length))
+            high = np.where(after[of], s.high, np.minimum(s.high, s.place - _half(length)))
+            at, mine, same, one, lesser = _distinct_windows(group.data, low[alone], high[alone], ids[alone], length)
             again = mine > lesser[same]
             if again.any():
                 out.append(_row(INTERVALS, g, at[again], np.full(int(again.sum()), length)))

@@ -8,6 +8,7 @@ import random
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -164,6 +165,32 @@ def test_suffix_dedup(spark, docs, group_bytes, hot):
     assert {k: sorted(v) for k, v in got.items()} == brute_repeats(rows, 50)
 
 
+@pytest.mark.parametrize(("length", "hot"), [(16, 1), (17, 512), (33, 1), (48, 512), (50, 1), (80, 1)])
+def test_suffix_dedup_at_other_lengths(spark, length, hot):
+    rng = random.Random(length)
+    passages = ["".join(rng.choices("abcdefgh ", k=rng.randrange(length, length + 40))) for _ in range(4)]
+    rows = [(i, "".join(rng.choices("ij ", k=rng.randrange(60))).join(rng.choice(passages)[rng.randrange(12) :] for _ in range(4))) for i in range(60)]
+    got = defaultdict(list)
+    for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, group_bytes=2000, content=False, hot=hot).collect():
+        got[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    assert got == brute_repeats([(i, t.encode()) for i, t in rows], length)
+
+
+@pytest.mark.parametrize("hot", [512, 1])
+def test_suffix_dedup_sends_only_what_shares_a_side(spark, hot):
+    """A phrase of 22 bytes is in every document, so grams are, but no window of 50 bytes is twice: no bytes are sent. One passage of 60 bytes is."""
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnop", k=80)) + " words all texts have " + "".join(rng.choices("abcdefghijklmnop", k=80))) for i in range(200)]
+    path, sent = Path(common.shared_dir(spark).removeprefix("file://")), []
+    for extra in ([], [(i, "".join(rng.choices("qrst", k=40)) + "this passage of sixty bytes is in two of the documents only!" + "".join(rng.choices("uvwx", k=40))) for i in (300, 301)]):
+        before = set(path.glob("suffix-contexts-*"))
+        found = suffix.remove_repeats(spark.createDataFrame(rows + extra, "doc_id long, text string"), 50, group_bytes=4000, content=False, hot=hot)
+        assert {r.doc_id: r.n_removed for r in found.filter("n_removed > 0").collect()} == ({301: 60} if extra else {})
+        (new,) = set(path.glob("suffix-contexts-*")) - before
+        sent.append(spark.read.parquet(str(new)).filter(F.col("kind") == suffix.CONTEXTS).agg(F.sum("n")).first()[0] or 0)
+    assert sent[0] == 0 and 0 < sent[1] <= 80
+
+
 def test_suffix_dedup_of_an_empty_table(spark, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
