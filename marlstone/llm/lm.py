@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, crc_fold, materialise, text_slices, whole_rows
+from .common import as_bytes, bound_batches, crc_fold, materialise, text_slices, whole_rows
 
 WORD = np.uint64(0xFFFFFFFFFFFFFFFE)  # keys of words have a last bit of 0, those of longer n-grams one of 1
 END = xxhash.xxh3_64_intdigest(b"\n") & int(WORD)  # no word holds white space
@@ -37,7 +38,10 @@ def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def tokenise(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def tokenise(texts: list[bytes | None]) -> Tokens:
     """Hashes of the distinct words (the end first), the texts' tokens as places among them, each text ended, and the texts' token counts.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a null text has no words.
@@ -215,17 +219,17 @@ class Model:
     weight: float
     base: float
 
-    def keys(self, texts: list[bytes | None]) -> np.ndarray:
+    def keys(self, read: Tokens) -> np.ndarray:
         """All keys that scoring the texts looks up."""
-        known, ids, sizes = tokenise(texts)
+        known, ids, sizes = read
         return np.unique(np.concatenate([known, *grams(known[ids], sizes, self.order)[1:]]))
 
-    def score(self, texts: list[bytes | None], exact: Callable[[np.ndarray], np.ndarray], levels: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
+    def score(self, read: Tokens, exact: Callable[[np.ndarray], np.ndarray], levels: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
         """Columns n_tokens, n_known, train_tokens, base_score and score of the texts.
 
         A token's probability is the linear interpolation of the orders, with add-0.1 smoothing in the lowest.
         """
-        known, ids, sizes = tokenise(texts)
+        known, ids, sizes = read
         count, first = exact(known), sizes.cumsum() - sizes
         total = self.tokens + 0.1 * (self.words + 1)
         base = np.log10((count + 0.1) / total)
@@ -281,36 +285,45 @@ def _score_by_broadcast(rows: DataFrame, segments: DataFrame, n_segments: int, m
         held, words, of = shared.value
         probed = LogFrequencyFilter.of(held, bytes_of, hashes)
         for part in text_slices(batches, 1, 2 << 20):
-            yield pa.RecordBatch.from_arrays([part.column(0), *model.score(as_bytes(part.column(1)), lambda k: lookup(words, of, k), probed.levels)], ["row", *MEASURES])
+            yield pa.RecordBatch.from_arrays([part.column(0), *model.score(tokenise(as_bytes(part.column(1))), lambda k: lookup(words, of, k), probed.levels)], ["row", *MEASURES])
 
     return rows.mapInArrow(run, _scored(rows))
 
 
-def _score_by_shuffle(rows: DataFrame, segments: DataFrame, n_segments: int, model: Model, hashes: int, pack_bytes: int) -> DataFrame:
+def _score_by_shuffle(rows: DataFrame, text: str, segments: DataFrame, n_segments: int, model: Model, hashes: int, pack_bytes: int, parts: int = 4) -> DataFrame:
     """Scores with each filter segment in one task only: packs of texts send it the keys they look up, once each, and get counts and levels back.
 
-    Work and traffic are in proportion to the rows. A task holds one pack, or one segment with what is asked of it, at most each of its keys once a pack.
+    Work and traffic are in proportion to the rows. A task holds one pack, or one segment with what is asked of it, at most each of its keys once a pack. Keys are most of the traffic, so
+    packs ask in a few parts, one after the other, and the files of a part go before the next; a text is on disk once, and once more as the packs meet their answers.
     """
     row = rows.schema["row"].dataType
-    packed = T.StructType([T.StructField("pack", T.StringType()), T.StructField("rows", T.ArrayType(row)), T.StructField("texts", T.ArrayType(T.StringType()))])
+    # the place of the text in the row itself, unless it is no string there
+    own = [i for i, f in enumerate(row.fields) if f.name.lower() == text.lower() and isinstance(f.dataType, T.StringType)]
     shift = np.uint64(64 - (n_segments - 1).bit_length())
 
     def packs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, 1, pack_bytes):
-            lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(i)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists], ["pack", "rows", "texts"])
-
+        held = pack_bytes
+        for part in text_slices(batches, 1, max(1, pack_bytes // 8)):
+            if held >= pack_bytes:
+                name, held = uuid.uuid4().int >> 65, 0
+            held += part.column(1).nbytes
+            yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows, pa.int64()), part.column(0), *([] if own else [part.column(1)])], names)
+
+    names = ["pack", "row", *([] if own else ["text"])]
+    packed = T.StructType([T.StructField("pack", T.LongType()), rows.schema["row"], *([] if own else [T.StructField("text", T.StringType())])])
     packs = materialise(rows.mapInArrow(packs_of, packed), "lm-packs")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys = model.keys(as_bytes(texts.values))
-                segment = (keys >> shift).astype(np.int32)
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]])
-                none = np.zeros(len(keys), np.uint32)
-                runs = [pack(keys[x:y], none[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(runs), pa.string()), pa.array(segment[cuts[:-1]]), pa.array(np.diff(cuts)), pa.array(runs, pa.binary())], ["pack", "segment", "n", "asked"])
+    def read(table: pa.Table) -> Tokens:
+        texts = table.column("row").combine_chunks().field(own[0]) if own else table.column("text").combine_chunks()
+        return tokenise(as_bytes(texts))
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys = model.keys(read(table))
+        segment = (keys >> shift).astype(np.int32)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keys)]])
+        none = np.zeros(len(keys), np.uint32)
+        runs = [pack(keys[x:y], none[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table([pa.array([table.column("pack")[0].as_py()] * len(runs), pa.int64()), pa.array(segment[cuts[:-1]]), pa.array(np.diff(cuts)), pa.array(runs, pa.binary())], ["pack", "segment", "n", "asked"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         if right.num_rows:
@@ -318,25 +331,29 @@ def _score_by_shuffle(rows: DataFrame, segments: DataFrame, n_segments: int, mod
         else:
             words, of, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.uint8)
         probed = LogFrequencyFilter.of(held, np.array([len(held)]), hashes)
-        asked = [unpack(k, n)[0] for k, n in zip(left.column("asked").to_pylist(), left.column("n").to_pylist(), strict=True)]
-        exact = [lookup(words, of, k[k & ~WORD == 0]).tobytes() for k in asked]
-        return pa.table({"pack": left.column("pack"), "segment": left.column("segment"), "counts": pa.array(exact, pa.binary()), "levels": pa.array([probed.levels(k).astype(np.uint8).tobytes() for k in asked], pa.binary())})
+        counts, levels = [], []
+        for asked, n in zip(left.column("asked").to_pylist(), left.column("n").to_pylist(), strict=True):
+            keys = unpack(asked, n)[0]
+            counts.append(lookup(words, of, keys[keys & ~WORD == 0]).tobytes())
+            levels.append(probed.levels(keys).astype(np.uint8).tobytes())
+        return pa.table({"pack": left.column("pack"), "segment": left.column("segment"), "counts": pa.array(counts, pa.binary()), "levels": pa.array(levels, pa.binary())})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        one, texts = (left.column(c).chunk(0).values for c in ("rows", "texts"))
         # answers stand in the order of the keys asked for, segment by segment
-        right = right.sort_by("segment")
-        keys = model.keys(as_bytes(texts))
+        right, tokens = right.sort_by("segment"), read(left)
+        keys = model.keys(tokens)
         counts, levels = (np.concatenate([np.frombuffer(b, t) for b in right.column(c).to_pylist()]) for c, t in (("counts", np.int64), ("levels", np.uint8)))
         words = keys[keys & ~WORD == 0]
-        return pa.table([one, *model.score(as_bytes(texts), lambda k: lookup(words, counts, k), lambda k: lookup(keys, levels, k).astype(np.int64))], ["row", *MEASURES])
+        return pa.table([left.column("row"), *model.score(tokens, lambda k: lookup(words, counts, k), lambda k: lookup(keys, levels, k).astype(np.int64))], ["row", *MEASURES])
 
-    asked = packs.select("pack", "texts").mapInArrow(ask, "pack string, segment int, n long, asked binary")
-    answers = asked.groupBy("segment").cogroup(segments.select("segment", "keys", "counts", "filter").groupBy("segment")).applyInArrow(answer, "pack string, segment int, counts binary, levels binary")
-    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, _scored(rows))
+    known, answers = segments.select("segment", "keys", "counts", "filter").groupBy("segment"), []
+    for i in range(parts):
+        asked = packs.filter(F.pmod("pack", F.lit(parts)) == i).groupBy("pack").applyInArrow(ask, "pack long, segment int, n long, asked binary")
+        answers.append(materialise(asked.groupBy("segment").cogroup(known).applyInArrow(answer, "pack long, segment int, counts binary, levels binary"), "lm-answers"))
+    return packs.groupBy("pack").cogroup(reduce(DataFrame.unionByName, answers).groupBy("pack")).applyInArrow(finish, _scored(packs))
 
 
-def score_documents(docs: DataFrame, training: Column | None = None, text: str = "text", order: int = 2, weight: float = 0.7, max_broadcast: int = 144 << 20, pack_bytes: int = 16 << 20, **counting: float) -> DataFrame:
+def score_documents(docs: DataFrame, training: Column | None = None, text: str = "text", order: int = 2, weight: float = 0.7, max_broadcast: int = 144 << 20, pack_bytes: int = 4 << 20, **counting: float) -> DataFrame:
     """Rows (row, n_tokens, n_known, train_tokens, base_score, score), one per input row; row is the whole input row as a struct.
 
     Learns from the rows for which `training` holds (all by default; null does not hold) and scores every row. base_score sums
@@ -347,6 +364,7 @@ def score_documents(docs: DataFrame, training: Column | None = None, text: str =
     Filter and word counts are broadcast while both together have at most max_broadcast bytes, which is checked; beyond, the n-grams to be
     probed are shuffled to the filter's segments. Both ways give the same rows.
     """
+    bound_batches(docs)
     options = {"base": 2.0, "hashes": 4, **counting}
     segments = count_segments(docs.filter(training) if training is not None else docs, text, order, **options)
     words, tokens, n_segments, size = segments.agg(F.sum("words"), F.sum("tokens"), F.max("segments"), F.sum(F.octet_length("filter") + ENTRY * F.col("words"))).first()
@@ -354,7 +372,7 @@ def score_documents(docs: DataFrame, training: Column | None = None, text: str =
     rows = whole_rows(docs, text)
     if (size or 0) <= max_broadcast:
         return _score_by_broadcast(rows, segments, n_segments, model, options["hashes"])
-    return _score_by_shuffle(rows, segments, n_segments, model, options["hashes"], pack_bytes)
+    return _score_by_shuffle(rows, text, segments, n_segments, model, options["hashes"], pack_bytes)
 
 
 def score_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, **options: float) -> DataFrame:

@@ -457,6 +457,30 @@ def lm_brute_force(rows: list[tuple], weight: float = 0.7) -> dict:
     return out
 
 
+def test_lm_scores_by_shuffle_hold_little(spark):
+    """Packs of some MB are rows that hold a text once, and what is asked for in one part is gone from the disk before the next."""
+    docs = spark.range(0, 1500, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word "), 2000), F.col("id")).alias("text"))
+    path = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(path.glob("lm-packs-*"))
+    assert lm.score_documents(docs, max_broadcast=0).filter("n_tokens = 2002 AND score IS NOT NULL").count() == 1500
+    (new,) = set(path.glob("lm-packs-*")) - before
+    packs = spark.read.parquet(str(new))
+    assert packs.columns == ["pack", "row"] and packs.select("row.*").columns == docs.columns
+    sizes = [r.n for r in packs.groupBy("pack").agg(F.sum(F.octet_length("row.text")).alias("n")).collect()]
+    assert sum(sizes) > 15_000_000 and max(sizes) <= 6 << 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_lm_scores_of_other_texts(spark):
+    """Both ways score what a text column of another type or case says, and keep the rows as they are."""
+    numbers = spark.createDataFrame([(i, i % 7 if i % 5 else None) for i in range(40)], "doc_id long, Text int")
+    both = [sorted(tuple(r) for r in lm.score_documents(numbers, text="text", max_broadcast=m, pack_bytes=20).select("row.doc_id", "row.Text", *lm.MEASURES).fillna(-1).collect()) for m in (0, 1 << 20)]
+    assert len(both[0]) == 40 and [r[:5] for r in both[0]] == [r[:5] for r in both[1]] and np.allclose([r[5:] for r in both[0]], [r[5:] for r in both[1]])
+    words = numbers.select("doc_id", F.col("Text").cast("string").alias("Text"))
+    again = sorted(tuple(r) for r in lm.score_documents(words, text="text", max_broadcast=0, pack_bytes=20).select("row.doc_id", "n_tokens", "n_known").collect())
+    assert again == [(r[0], *r[2:4]) for r in both[0]]
+
+
 @pytest.mark.parametrize("max_broadcast", [0, 1 << 20])
 def test_lm_scores(spark, docs, max_broadcast):
     rows = [(i, t) for i, t, *_ in sample()] + [(None, "the marl of stone"), (None, None), (3, "the marl of marl"), (3, "the marl of marl")]
